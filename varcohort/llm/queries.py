@@ -3,24 +3,98 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contamination
+from .html_text import extract
+from .neighbours import nearest
 from .packing import pack
+from .pii import find_personal_data
+from .secrets import find_secrets
 from .simhash import near_duplicates
 from .tokens import token_counts
+from .toxicity import toxicity
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    return find_secrets(versions)[0].withColumnRenamed("path", "doc_id")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op6_packing, op9_simhash)}
-ORACLES: dict[str, str] = {}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), factor=1.05)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontamination, op3_secret_scans, op4_token_counts, op5_toxicity, op6_packing, op7_personal_data, op8_main_text, op9_simhash, op10_neighbours)
+}
+
+#: Spans as DuckDB finds them: what lies between the matches and the matches themselves, summed up.
+SPANS = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+r(kind, rank, pattern, counted) AS (VALUES {rules}),
+m AS (SELECT doc_id, kind, rank, counted, pattern, regexp_extract_all(x, pattern) AS hits, regexp_split_to_array(x, pattern) AS gaps
+      FROM t, r WHERE regexp_matches(x, pattern)),
+u AS (SELECT doc_id, kind, rank, counted, pattern, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i FROM m),
+e AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM u),
+f AS (SELECT doc_id, kind, rank, counted, CAST(stop - length(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, hit FROM e WHERE {test}),
+g AS (SELECT doc_id, {counts},
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY {order}) FILTER (counted) AS base,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY {order}) AS spans
+      FROM f GROUP BY doc_id)
+SELECT t.doc_id, {outer}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN g USING (doc_id)
+"""
+
+
+def spans_sql(rules: list[tuple[str, str, bool]], test: str, order: str) -> str:
+    quoted = ", ".join("('{}', {}, '{}', {})".format(k, i, p.replace("'", "''"), str(base).lower()) for i, (k, p, base) in enumerate(rules))
+    base = [k for k, _, b in rules if b]
+    return SPANS.format(
+        rules=quoted, test=test, order=order,
+        counts=", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in base),
+        outer=", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in base),
+    )
+
+
+ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)"""
+ORACLES: dict[str, str] = {
+    "op3_secret_scans": spans_sql(
+        [
+            ("assign", ASSIGN, True), ("access", "AKIA[A-Z0-9]{16,}", True), ("hex", "[0-9a-f]{24,}", True),
+            ("pem", "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", False), ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", False),
+        ],
+        "kind <> 'assign' OR length(regexp_extract(hit, pattern, 1)) >= 6",
+        "start, rank",
+    ),
+}
