@@ -11,6 +11,7 @@ from .html_text import extract
 from .neighbours import nearest
 from .packing import pack
 from .pii import find_personal_data
+from .repeats import remove_repeats
 from .secrets import find_secrets
 from .simhash import near_duplicates
 from .tokens import token_counts
@@ -21,6 +22,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
     return find_secrets(versions)[0].withColumnRenamed("path", "doc_id")
@@ -56,7 +61,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op3_secret_scans, op4_token_counts, op5_toxicity, op6_packing, op7_personal_data, op8_main_text, op9_simhash, op10_neighbours)
+    for f in (op1_decontamination, op2_suffix_dedup, op3_secret_scans, op4_token_counts, op5_toxicity, op6_packing, op7_personal_data, op8_main_text, op9_simhash, op10_neighbours)
 }
 
 #: Spans as DuckDB finds them: what lies between the matches and the matches themselves, summed up.
