@@ -204,6 +204,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: floa
                         n, e, lo, hi = by.get(index.owner[s], (0, 0, 1 << 30, 0))
                         by[index.owner[s]] = (n + 1, e + edits, min(lo, start), max(hi, end))
                     rows += [(doc, item, *x) for item, x in by.items()]
+                if not rows:
+                    continue
                 out = pd.DataFrame(rows, columns=["doc_id", "item_id", "n_segments", "n_edits", "start", "end"])
                 yield out.astype({c: "Int64" for c, t in zip(("doc_id", "item_id"), ids, strict=True) if t != "string"})
 

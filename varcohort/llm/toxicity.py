@@ -90,7 +90,7 @@ def in_fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, size: int = 2_000, support: int = 5, least: float = 2.2) -> dict:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, size: int = 2_000, support: float = 0.004, least: float = 2.2) -> dict:
     """Lexicon, exceptions and logistic weights, learned from at most ``sample`` labelled documents."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"))).select("doc_id", "toxic")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -110,7 +110,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, size: int =
 
         return rows.mapInPandas(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
-    often = count(1, None).where(F.col("n") >= support)
+    floor = max(3.0, support * chosen.where("toxic = 1").count())
+    often = count(1, None).where(F.col("n") >= floor)
     often = often.orderBy(F.desc("n"), "entry").limit(20 * size + 1).withColumnRenamed("n", "p")
     wanted = [(r["entry"], r["p"]) for r in often.collect()]
     counted = count(0, frozenset(e for e, _ in wanted))
@@ -138,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, size: int =
                     pairs |= {tuple(words[i : i + 2])} if i + 1 < len(words) else set()
                 seen[toxic].update(pairs)
         both = sorted(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"a": [x[0] for x in both], "b": [x[1] for x in both], "p": [seen[1][x] for x in both], "n": [seen[0][x] for x in both]})
+        if both:
+            yield pd.DataFrame({"a": [x[0] for x in both], "b": [x[1] for x in both], "p": [seen[1][x] for x in both], "n": [seen[0][x] for x in both]})
 
     pairs = rows.mapInPandas(phrases, "a string, b string, p long, n long").groupBy("a", "b").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     clears = pairs.where((F.col("n") >= 3) & (F.col("n") * totals["p"] > 4 * F.col("p") * totals["n"])).orderBy(F.desc("n"), "a", "b").limit(size).collect()
