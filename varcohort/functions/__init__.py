@@ -1 +1 @@
-"""Column expressions."""
+"""Column expressions over variants, genotypes and annotations; all of them stay in the JVM."""
