@@ -9,6 +9,8 @@ import pytest
 from varcohort.plans import registry
 
 SF = os.environ.get("TEST_SF", "/root/testdata/sf0.01")
+#: Queries whose result is rightly empty over these tables.
+EMPTY = ("related_to_drop", "singletons")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -44,6 +46,6 @@ def test_query(spark, duck, name):
     names = [d[0] for d in result.description]
     want = rows(names, result.fetchall())
     assert sorted(df.columns) == sorted(names)
-    assert len(got) == len(want) and want
+    assert len(got) == len(want) and (want or name in EMPTY)
     bad = [(g, w) for g, w in zip(got, want) if any(not (a == b or (isinstance(a, float) and isinstance(b, (int, float)) and abs(a - b) <= 2e-4 * max(1, abs(a)))) for a, b in zip(g, w))]
     assert not bad, bad[:3]

@@ -147,7 +147,7 @@ def nearest_distance(v: DataFrame, bed: DataFrame, name: str = "distance", key:
     found = inside.groupBy(key).agg(before.alias("near_high"), after.alias("near_low"))
     rows = points.join(found, key, "left").join(far, ["contig", "block"], "left")
     high, low = F.coalesce("near_high", "far_high"), F.coalesce("near_low", "far_low")
-    left = F.greatest(F.col("p") - high + 1, F.lit(0))
+    left = F.when(high.isNotNull(), F.greatest(F.col("p") - high + 1, F.lit(0)))
     return rows.withColumn(name, F.least(left, low - F.col("p"))).select(*v.columns, name)
 
 
