@@ -175,3 +175,8 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     w = np.exp(w - w.max())
     w /= w.sum()
     return float(min(1.0, w[w <= w[x == a][0] * (1 + 1e-7)].sum()))
+
+
+@F.pandas_udf(DoubleType())
+def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    return pd.Series([fisher_exact(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, d, strict=True)])

@@ -34,4 +34,4 @@ def union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-from . import cohort, frequencies, regions, scores, sources, statistics  # noqa: E402, F401  (they register their queries)
+from . import annotation, cohort, frequencies, regions, scores, sources, statistics  # noqa: E402, F401  (they register their queries)
