@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocked import running_sum
+
 
 def coverage_runs(t: DataFrame, value: str, least: float, by: str = "contig", pos: str = "pos") -> DataFrame:
     """Gaps and islands: stretches of consecutive positions whose value reaches ``least``, half-open from pos - 1."""
@@ -32,9 +34,17 @@ def signature_burden(calls: DataFrame, background: DataFrame) -> DataFrame:
     return out.withColumn("burden", F.when(F.col("background") > 0, F.col("n") * 1e6 / F.col("background")))
 
 
-def locus_windows(t: DataFrame, size: int, *order: str) -> DataFrame:
-    """Window number of each locus in the order of the whole genome: positions ranked, then divided."""
-    return t.withColumn("window", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("long"))
+def locus_windows(t: DataFrame, size: int, by: str, pos: str) -> DataFrame:
+    """Window number of each locus in the order of the whole genome: ranks, divided.
+
+    A locus's rank is its contig's offset and its rank there, so no task orders the genome.
+    """
+    ranked = running_sum(t.withColumn("__one", F.lit(1)), by, pos, ["__one"])
+    sizes = t.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(by, F.coalesce(before, F.lit(0)).alias("__o"))  # a row a contig
+    rows = ranked.join(offsets, by)
+    return rows.withColumn("window", F.floor((F.col("__o") + F.col("run___one") - 1) / size).cast("long")).select(*t.columns, "window")
 
 
 def merge_segments(w: DataFrame, by: str, order: str, state: str, total: str) -> DataFrame:

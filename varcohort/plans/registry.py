@@ -27,7 +27,8 @@ def query(views: str = "", twin: str | None = None) -> Callable:
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in columns})
+    """Six digits, and no negative zero."""
+    return df.withColumns({c: F.round(F.col(c).cast("double"), 6) + F.lit(0.0) for c in columns})
 
 
 def union(*parts: DataFrame) -> DataFrame:

@@ -23,9 +23,10 @@ def scored(spark, sf) -> DataFrame:
     return S.score(X.genotypes(spark, sf), X.models(spark, sf), X.N_SAMPLES, 0.2)
 
 
-@query("variants genotypes models", f"WITH {SCORE} SELECT id, s, round(score::DOUBLE, 6) AS score FROM score")
+@query("variants genotypes models", f"WITH {SCORE} SELECT id, s, round(score::DOUBLE, 8) AS score FROM score")
 def polygenic_score(spark, sf):
-    return rounded(scored(spark, sf), "score")
+    # seven digits can be exact, and their last a five: eight are asked for
+    return scored(spark, sf).withColumn("score", F.round("score", 8))
 
 
 @query("variants genotypes models", f"""
@@ -86,7 +87,7 @@ d AS (SELECT 'rs' || v AS rsid, v, ref, alt, (v % 50) / 100.0 AS af FROM variant
 j AS (SELECT trait, v, af, CASE WHEN split_part(snp, '-', 2) = ref THEN -ln(odds) ELSE ln(odds) END AS coef, CASE WHEN split_part(snp, '-', 2) = ref THEN 2 * ln(odds) ELSE 0 END AS shift
   FROM a JOIN d ON rsid = split_part(snp, '-', 1) WHERE n >= 5000 AND regexp_matches(snp, '^rs[0-9]+-[ACGT]$') AND split_part(snp, '-', 2) IN (ref, alt)),
 k AS (SELECT trait, sum(shift) AS shift FROM j GROUP BY trait HAVING count(*) >= 5)
-SELECT trait AS id, v, round(af::DOUBLE, 6) AS aaf, round(coef, 6) AS coef FROM j WHERE trait IN (SELECT trait FROM k) UNION ALL SELECT trait, NULL, NULL, round(shift, 6) FROM k""")
+SELECT trait AS id, v, round(af::DOUBLE, 6) AS aaf, round(coef, 6) + 0.0 AS coef FROM j WHERE trait IN (SELECT trait FROM k) UNION ALL SELECT trait, NULL, NULL, round(shift, 6) + 0.0 FROM k""")
 def gwas_to_models(spark, sf):
     v = X.variants(spark, sf)
     k = F.col("v")
