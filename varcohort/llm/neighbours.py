@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF = 64
+LEAF = 512
 
 
 def build(ids: np.ndarray, x: np.ndarray, longest: float, seed: int = 11) -> dict:
@@ -64,15 +64,25 @@ def search(tree: dict, qids: np.ndarray, q: np.ndarray, k: int, factor: float) -
     lifted = np.column_stack([q, np.zeros(len(q))])
 
     def scan(a: int, b: int, who: np.ndarray) -> None:
-        for lo in range(a, b, 2 * LEAF):
-            hi = min(b, lo + 2 * LEAF)
-            for at in range(0, len(who), 256):
-                w = who[at : at + 256]
-                score = (q[w][:, None, :] * x[None, lo:hi, :]).sum(axis=2)  # the same sum for the same pair, whatever the batch
-                score[qids[w][:, None] == ids[None, lo:hi]] = -np.inf
+        for lo in range(a, b, LEAF):
+            hi = min(b, lo + LEAF)
+            rough = q[who] @ x[lo:hi].T
+            slack = 1e-9 * (1 + np.abs(norms[who]))[:, None]
+            near = (rough >= best[who, k - 1][:, None] - slack) & (qids[who][:, None] != ids[None, lo:hi])
+            rows = np.flatnonzero(near.any(axis=1))
+            for at in range(0, len(rows), 64):
+                part = rows[at : at + 64]
+                w, (i, j) = who[part], np.nonzero(near[part])
+                score = np.full((len(part), hi - lo), -np.inf)
+                score[i, j] = (q[w[i]] * x[lo + j]).sum(axis=1)  # the same sum for the same pair, whatever the batch
                 all_s = np.concatenate([best[w], score], axis=1)
                 all_n = np.concatenate([names[w], np.broadcast_to(ids[lo:hi], score.shape)], axis=1)
                 all_n[np.isneginf(all_s)] = np.iinfo(np.int64).max
+                if all_s.shape[1] > 2 * k:  # what is below the k-th largest can't stay
+                    floor = -np.partition(-all_s, k - 1, axis=1)[:, k - 1 : k]
+                    width = int((all_s >= floor).sum(axis=1).max())
+                    keep = np.argsort(all_s < floor, axis=1, kind="stable")[:, : max(width, k)]
+                    all_s, all_n = np.take_along_axis(all_s, keep, 1), np.take_along_axis(all_n, keep, 1)
                 top = np.lexsort((all_n, -all_s), axis=1)[:, :k]
                 best[w], names[w] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_n, top, 1)
 
