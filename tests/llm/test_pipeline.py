@@ -110,3 +110,17 @@ def test_hot_buckets_are_split(spark, monkeypatch):
         for i, root in enumerate(label):
             want.setdefault(root, set()).add(int(signed[i]))
         assert {frozenset({n for n, r in got if r == root} | {root}) for root in {r for _, r in got}} == {frozenset(g) for g in want.values() if len(g) > 1}
+
+
+def test_stages_keep_odd_rows(spark, small):
+    """Null ids and texts, repeated rows, clashing columns and an empty table go through all stages but the last."""
+    rows = [(1, None, 5), (None, "some words of no harm", 5), (3, "", 5), (4, "other words, told twice over", 5), (4, "other words, told twice over", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int").selectExpr("*", "'e' as lang", "1 as component_id")
+    for table in (docs, docs.limit(0)):
+        kept = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, small)
+            assert kept.columns == docs.columns
+        ids = sorted(str(r["doc_id"]) for r in kept.collect())
+        assert ids == ([] if table is not docs else ["1", "4", "None"])
+        assert corpus_pipeline.STAGES[-1][1](spark, kept, small).count() == len(ids)

@@ -88,6 +88,8 @@ def test_redact(spark):
     rows = spark.createDataFrame([(1, f"a {TEXTS[0]} b", "l", "s", 5), (2, "clean", "l", "s", 5), (3, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r for r in secrets.redact(rows).collect()}
     assert got[1]["text"] == "a [secret]\" and [secret], api_key='x' b" and got[1]["n_chars"] == len(got[1]["text"])
+    clash = secrets.redact(rows.selectExpr("*", "7 as blob", "'x' as spans", "1 as path")).collect()
+    assert len(clash) == 3 and {(r["blob"], r["spans"], r["path"]) for r in clash} == {(7, "x", 1)}
     assert got[2]["text"] == "clean" and got[3]["text"] is None and len(got) == 3
 
 

@@ -110,10 +110,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
     """
     columns = docs.columns
     keyed = docs.withColumn("__blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    scanned = scan(with_blobs(docs.withColumnRenamed("doc_id", "path")), None, rules)
+    scanned = scan(with_blobs(docs.select(F.col("doc_id").alias("path"), "text")), None, rules)
     spans = F.array_sort(F.flatten(F.map_values("found")))
-    bad = cut(scanned.select("blob", spans.alias("spans")).where(F.size("spans") > 0), "secrets")
-    joined = keyed.join(bad, keyed["__blob"] == bad["blob"], "left")
+    bad = cut(scanned.select(F.col("blob").alias("__blob"), spans.alias("__spans")).where(F.size("__spans") > 0), "secrets")
+    joined = keyed.join(bad, "__blob", "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -122,9 +122,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
         inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["text"].alias("text"))
         return F.when(s["start"] >= acc["at"], new).otherwise(inside)
 
-    clean = F.aggregate(F.col("spans"), start, step, lambda a: F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean)
+    clean = F.aggregate(F.col("__spans"), start, step, lambda a: F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean)
     out = joined.withColumn("text", text)
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*columns)

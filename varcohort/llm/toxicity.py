@@ -169,8 +169,8 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, ro
     return w
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with a column ``score`` (0 to 1) added; all other columns are kept."""
+def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name`` (0 to 1) added; all other columns are kept."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most ``size`` entries and as many phrases
 
     @F.pandas_udf("double")
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             x = np.array([matcher.features(t or "") for t in texts]).reshape(len(texts), len(w) - 1)
             yield pd.Series(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))))
 
-    return docs.withColumn("score", rate(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.withColumn(name, rate(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 12_000) -> DataFrame:
