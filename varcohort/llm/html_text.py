@@ -241,8 +241,10 @@ def extract(pages: DataFrame, sample: int = 120, longest: int = 40_000) -> DataF
     has empty text; null ids and urls are carried; repeated rows give repeated results, an empty table none; further
     columns are ignored; pages cut off in the middle of a tag, and tags never closed, are read as far as they go.
     """
-    usable = pages.select("html").where((F.length("html") <= longest) & F.col("html").rlike("(?i)<(article|main)[ >]"))
-    fitted = fit([r["html"] for r in usable.orderBy(F.xxhash64("html"), "html").limit(sample).collect()])
+    usable = pages.where((F.length("html") <= longest) & F.col("html").rlike("(?i)<(article|main)[ >]")).select(F.xxhash64("html").alias("h"), "html")
+    smallest = [r["h"] for r in usable.select("h").distinct().orderBy("h").limit(sample).collect()]
+    chosen = usable.where(F.col("h") <= smallest[-1]).groupBy("h").agg(F.min("html").alias("html")) if smallest else usable.limit(0)
+    fitted = fit([r["html"] for r in chosen.orderBy("h").collect()])  # at most ``sample`` pages, copies once
     sent = pages.sparkSession.sparkContext.broadcast(fitted)  # a few dozen numbers
 
     @F.pandas_udf("string")
