@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, size: int =
         return rows.mapInPandas(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
     toxic = chosen.where("toxic = 1").count()
-    floor = max(support * toxic, min(5.0, toxic / 3))  # few documents lend an entry by chance
+    floor = max(support * toxic, min(5.0, toxic / 4))  # few documents lend an entry by chance
     often = count(1, None).where(F.col("n") >= floor)
     often = often.orderBy(F.desc("n"), "entry").limit(20 * size + 1).withColumnRenamed("n", "p")
     wanted = [(r["entry"], r["p"]) for r in often.collect()]
