@@ -76,7 +76,7 @@ def variant_qc(gt: DataFrame, n_samples: int, key: str = "v") -> DataFrame:
 def hwe_chisq(df: DataFrame, a: str = "n_hom_ref", b: str = "n_het", c: str = "n_hom_var") -> DataFrame:
     """Adds ``hwe_chisq``: squared departure from Hardy-Weinberg proportions, null where one allele is absent."""
     n = F.col(a) + F.col(b) + F.col(c)
-    p = (2 * F.col(a) + F.col(b)) / (2 * n)
+    p = (2 * F.col(a) + F.col(b)) / F.nullif(2 * n, F.lit(0))
     expect = {a: n * p * p, b: 2 * n * p * (1 - p), c: n * (1 - p) * (1 - p)}
     chisq = sum(((F.col(k) - e) * (F.col(k) - e) / e for k, e in expect.items()), F.lit(0.0))
     return df.withColumn("hwe_chisq", F.when((n > 0) & (p > 0) & (p < 1), chisq))

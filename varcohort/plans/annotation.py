@@ -93,9 +93,9 @@ def hwe_all_groups(spark, sf):
 WITH g AS (SELECT v, count(*) FILTER (gt = 0)::DOUBLE AS a, count(*) FILTER (gt = 1)::DOUBLE AS b, count(*) FILTER (gt = 2)::DOUBLE AS c FROM genotypes GROUP BY v),
 f AS (SELECT *, a + b + c AS n, (2 * a + b) / nullif(2 * (a + b + c), 0) AS p FROM g),
 h AS (SELECT v, n / 120.0 AS call_rate, 1 - p AS af, CASE WHEN p > 0 AND p < 1 THEN (a - n*p*p)^2 / (n*p*p) + (b - 2*n*p*(1-p))^2 / (2*n*p*(1-p)) + (c - n*(1-p)*(1-p))^2 / (n*(1-p)*(1-p)) END AS x FROM f)
-SELECT v, round(call_rate, 6) AS call_rate, round(af, 6) AS af, round(x, 6) AS hwe_chisq FROM h WHERE 1 - call_rate <= 0.4 AND least(af, 1 - af) >= 0.05 AND coalesce(x < 30, true)""")
+SELECT v, round(call_rate, 6) AS call_rate, round(af, 6) AS af, round(x, 6) AS hwe_chisq FROM h WHERE 1 - call_rate <= 0.4 AND least(af, 1 - af) >= 0.05 AND coalesce(x < 30, true)""", every=False)
 def filter_geno_maf_hwe(spark, sf):
-    return rounded(K.filter_geno_maf_hwe(X.genotypes(spark, sf), X.N_SAMPLES, 0.4, 0.05, 30.0), "call_rate", "af", "hwe_chisq")
+    return rounded(K.filter_geno_maf_hwe(X.genotypes(spark, sf), X.n_samples(), 0.4, 0.05, 30.0), "call_rate", "af", "hwe_chisq")
 
 
 @query("variants", "SELECT DISTINCT symbol, ref FROM variants")

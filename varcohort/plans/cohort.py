@@ -31,7 +31,7 @@ QC = """qc AS (SELECT v, count(gt) AS n_called, count(*) FILTER (gt = 0) AS n_ho
 WITH {QC}
 SELECT *, round(n_called / 120.0, 6) AS call_rate, round(ac::DOUBLE / (2 * nullif(n_called, 0)), 6) AS af, round(n_het::DOUBLE / nullif(n_called, 0), 6) AS r_het FROM qc""")
 def variant_qc(spark, sf):
-    return rounded(G.variant_qc(X.genotypes(spark, sf), X.N_SAMPLES), "dp_mean", "dp_stdev", "call_rate", "af", "r_het")
+    return rounded(G.variant_qc(X.genotypes(spark, sf), X.n_samples()), "dp_mean", "dp_stdev", "call_rate", "af", "r_het")
 
 
 @query("genotypes", f"""
@@ -39,7 +39,7 @@ WITH {QC},
 f AS (SELECT *, (n_hom_ref + n_het + n_hom_var)::DOUBLE AS n, (2 * n_hom_ref + n_het)::DOUBLE / nullif(2 * (n_hom_ref + n_het + n_hom_var), 0) AS p FROM qc)
 SELECT v, CASE WHEN n > 0 AND p > 0 AND p < 1 THEN round((n_hom_ref - n*p*p)^2 / (n*p*p) + (n_het - 2*n*p*(1-p))^2 / (2*n*p*(1-p)) + (n_hom_var - n*(1-p)*(1-p))^2 / (n*(1-p)*(1-p)), 6) END AS hwe_chisq FROM f""")
 def hwe_chisq(spark, sf):
-    return rounded(G.hwe_chisq(G.variant_qc(X.genotypes(spark, sf), X.N_SAMPLES)).select("v", "hwe_chisq"), "hwe_chisq")
+    return rounded(G.hwe_chisq(G.variant_qc(X.genotypes(spark, sf), X.n_samples())).select("v", "hwe_chisq"), "hwe_chisq")
 
 
 SAMPLE = """a AS (SELECT v, length(ref) = 1 AND length(alt) = 1 AS snp, ref || alt IN ('AG','GA','CT','TC') AS ts FROM variants),
@@ -54,7 +54,7 @@ sq AS (SELECT s, count(gt) AS n_called, round(avg(dp), 6) AS dp_mean, round(stdd
 WITH {SAMPLE}
 SELECT *, round(n_ti::DOUBLE / nullif(n_tv, 0), 6) AS r_ti_tv, round(n_het::DOUBLE / nullif(n_hom_var, 0), 6) AS r_het_hom FROM sq""")
 def sample_qc(spark, sf):
-    out = G.sample_qc(X.genotypes(spark, sf), X.variants(spark, sf), 299)
+    out = G.sample_qc(X.genotypes(spark, sf), X.variants(spark, sf), X.n_variants())
     return rounded(out, "dp_mean", "dp_stdev", "call_rate", "r_ti_tv", "r_het_hom")
 
 
@@ -72,18 +72,18 @@ SELECT s, CASE WHEN call_rate >= 0.7 AND dp_mean >= 50 AND coalesce(het_ratio_sd
 FROM sq LEFT JOIN hr USING (s)""")
 def sample_tiers(spark, sf):
     gt = X.genotypes(spark, sf)
-    qc = G.sample_qc(gt, X.variants(spark, sf), 299).join(G.het_ratio_stdev(gt).select("s", "het_ratio_sd"), "s", "left")
+    qc = G.sample_qc(gt, X.variants(spark, sf), X.n_variants()).join(G.het_ratio_stdev(gt).select("s", "het_ratio_sd"), "s", "left")
     qc = rounded(qc, "call_rate", "dp_mean", "het_ratio_sd")
     return qc.select("s", G.sample_tier(call_rate=0.7, dp=50.0).alias("tier"))
 
 
 @query("variants genotypes", f"""
 WITH {SAMPLE}, keep AS (SELECT s FROM sq WHERE call_rate >= 0.7 AND dp_mean >= 40)
-SELECT v, count(*) AS n, CAST(sum(gt) AS BIGINT) AS ac FROM genotypes WHERE gt IS NOT NULL AND s IN (SELECT s FROM keep) GROUP BY v HAVING sum(gt) > 0""")
+SELECT v, count(*) AS n, CAST(sum(gt) AS BIGINT) AS ac FROM genotypes WHERE gt IS NOT NULL AND s IN (SELECT s FROM keep) GROUP BY v HAVING sum(gt) > 0""", every=False)
 def genome_sample_filter(spark, sf):
     """Samples that pass quality control, and the variants that they still carry."""
     gt = X.genotypes(spark, sf)
-    qc = rounded(G.sample_qc(gt, X.variants(spark, sf), 299), "call_rate", "dp_mean")
+    qc = rounded(G.sample_qc(gt, X.variants(spark, sf), X.n_variants()), "call_rate", "dp_mean")
     kept = gt.join(qc.where("call_rate >= 0.7 AND dp_mean >= 40").select("s"), "s", "left_semi").where("gt IS NOT NULL")
     return kept.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum("gt").cast("long").alias("ac")).where("ac > 0")
 
@@ -139,7 +139,7 @@ SELECT (SELECT count(*) FROM a) AS n_snp, 0::BIGINT AS n_insertion, 0::BIGINT AS
   (SELECT count(*) FROM variants WHERE len(alts) > 1) AS n_multiallelic, (SELECT max(len(alts) + 1) FROM variants)::INT AS max_alleles, (SELECT count(DISTINCT contig) FROM variants) AS n_contigs,
   (SELECT count(gt) FROM genotypes) AS n_calls, round((SELECT count(gt) FROM genotypes) / ((SELECT count(*) FROM variants) * 120.0), 6) AS call_rate""")
 def summarize(spark, sf):
-    return rounded(G.summarize(X.variants(spark, sf), X.genotypes(spark, sf), X.N_SAMPLES), "call_rate")
+    return rounded(G.summarize(X.variants(spark, sf), X.genotypes(spark, sf), X.n_samples()), "call_rate")
 
 
 @query("variants genotypes", """

@@ -2,10 +2,19 @@
 
 Integer arithmetic only, so that both engines agree: ``samples``, ``variants``, ``genotypes``, ``regions``,
 ``features`` (a second interval set), ``trace`` and ``models`` (polygenic score models).
+
+By default variants and features are the parts with the smallest keys, and genotypes and samples are folded onto them.
+Inside ``whole`` every part is a variant and every customer a sample, over contigs whose length grows with the parts.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +22,54 @@ CONTIGS = ("1", "2", "3", "4", "X")
 #: Length that every contig is taken to have.
 CONTIG_LENGTH = 110_000
 N_SAMPLES = 120
+#: Views that differ inside ``whole``.
+FOLDED = {"samples", "variants", "genotypes", "features", "models"}
+
+
+class Span(NamedTuple):
+    """Numbers of samples and variants, and the length over which positions are spread."""
+
+    n_samples: int
+    n_variants: int
+    length: int
+
+
+SPAN: ContextVar[Span | None] = ContextVar("span", default=None)
+
+
+def whole(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``f`` over every part and customer."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        n = read(spark, sf_dir, "part").count()
+        before = SPAN.set(Span(read(spark, sf_dir, "customer").count(), n, 100_000 * -(-n // 300)))
+        try:
+            return f(spark, sf_dir)
+        finally:
+            SPAN.reset(before)
+
+    return run
+
+
+def n_samples() -> int:
+    return SPAN.get().n_samples if SPAN.get() else N_SAMPLES
+
+
+def n_variants() -> int:
+    return SPAN.get().n_variants if SPAN.get() else 299
+
+
+def length() -> int:
+    return SPAN.get().length if SPAN.get() else 100_000
+
+
+def contig_length() -> int:
+    return length() + CONTIG_LENGTH - 100_000
+
+
+def sample(key: Column) -> Column:
+    return (key if SPAN.get() else key % N_SAMPLES).cast("int")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,18 +81,18 @@ def contig(n: Column) -> Column:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = (F.col("c_custkey") % N_SAMPLES).cast("int")
+    s = sample(F.col("c_custkey"))
     rows = read(spark, sf_dir, "customer").groupBy(s.alias("s")).agg((F.min("c_nationkey") % 5).cast("int").alias("pop"))
     cohort = F.when(F.col("s") % 3 == 0, "A").when(F.col("s") % 3 == 1, "B").otherwise("Z")
     return rows.select("s", "pop", (F.col("s") % 2 == 1).alias("is_female"), cohort.alias("cohort"))
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, size = F.col("p_partkey"), F.col("p_size")
+    k, size = F.col("p_partkey").cast("long"), F.col("p_size")
     base = lambda n: F.substring(F.lit("ACGT"), n.cast("int"), F.lit(1))
-    rows = read(spark, sf_dir, "part").where(k < 300)
+    rows = read(spark, sf_dir, "part").where(F.lit(True) if SPAN.get() else k < 300)
     rows = rows.select(
-        k.cast("int").alias("v"), contig(1 + k % 5).alias("contig"), (1 + (k * 104729) % 100000).cast("long").alias("pos"),
+        k.cast("int").alias("v"), contig(1 + k % 5).alias("contig"), (1 + (k * 104729) % length()).cast("long").alias("pos"),
         base(1 + k % 4).alias("ref"), base(1 + (k + 1 + size % 3) % 4).alias("alt"), size.cast("int").alias("size"), F.col("p_brand").alias("symbol"), "p_retailprice",
     )
     second = F.element_at(F.filter(F.array(*map(F.lit, "ACGT")), lambda b: (b != F.col("ref")) & (b != F.col("alt"))), 1)
@@ -46,7 +103,8 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    v, s, n = (F.col("l_partkey") % 300).cast("int"), (F.col("o_custkey") % N_SAMPLES).cast("int"), F.col("l_quantity").cast("long")
+    part = F.col("l_partkey")
+    v, s, n = (part if SPAN.get() else part % 300).cast("int"), sample(F.col("o_custkey")), F.col("l_quantity").cast("long")
     carries = (F.col("l_suppkey") * 7 + F.col("l_orderkey") * 13 + F.col("l_linenumber") * 29) % 100 < 5 + (v * 37) % 90
     rows = rows.groupBy(v.alias("v"), s.alias("s")).agg(F.sum(n).alias("dp"), F.sum(F.when(carries, n).otherwise(0)).alias("ad"))
     dp, ad = F.col("dp"), F.col("ad")
@@ -55,14 +113,14 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
-    start = (k * 7919) % 100000
+    start = (k * 7919) % length()
     return read(spark, sf_dir, "supplier").select(contig(1 + k % 5).alias("contig"), start.alias("start0"), (start + 200 + k % 800).alias("end0"))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    start = (k * 6151) % 100000
-    return read(spark, sf_dir, "part").where(k < 400).select(contig(1 + k % 5).alias("contig"), start.alias("start0"), (start + 50 + (k * 31) % 900).alias("end0"))
+    start = (k * 6151) % length()
+    return read(spark, sf_dir, "part").where(F.lit(True) if SPAN.get() else k < 400).select(contig(1 + k % 5).alias("contig"), start.alias("start0"), (start + 50 + (k * 31) % 900).alias("end0"))
 
 
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,12 +164,47 @@ SQL = {
 }
 NEEDS = {"models": ("variants",)}
 
+#: The same views over every part and customer.
+WHOLE_SQL = SQL | {
+    "span": """span AS (
+        SELECT (SELECT count(*) FROM customer) AS n_samples, count(*) AS n_variants, 100000 * ((count(*) + 299) // 300) AS length FROM part)""",
+    "samples": """samples AS (
+        SELECT s, pop, s % 2 = 1 AS is_female, CASE s % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'Z' END AS cohort
+        FROM (SELECT CAST(c_custkey AS INT) AS s, CAST(min(c_nationkey) % 5 AS INT) AS pop FROM customer GROUP BY 1))""",
+    "variants": """variants AS (
+        SELECT *, CASE WHEN size % 7 = 0 THEN [alt, [b FOR b IN ['A','C','G','T'] IF b <> ref AND b <> alt][1]] ELSE [alt] END AS alts FROM (
+        SELECT CAST(p_partkey AS INT) AS v, CASE WHEN p_partkey % 5 = 4 THEN 'X' ELSE CAST(1 + p_partkey % 5 AS VARCHAR) END AS contig,
+               CAST(1 + (p_partkey::BIGINT * 104729) % (SELECT length FROM span) AS BIGINT) AS pos, substr('ACGT', CAST(1 + p_partkey % 4 AS INT), 1) AS ref,
+               substr('ACGT', CAST(1 + (p_partkey + 1 + p_size % 3) % 4 AS INT), 1) AS alt, CAST(p_size AS INT) AS size, p_brand AS symbol, p_retailprice
+        FROM part))""",
+    "genotypes": """genotypes AS (
+        SELECT v, s, dp, ad, CASE WHEN dp < 5 THEN NULL WHEN 5 * ad < dp THEN 0 WHEN 5 * ad > 4 * dp THEN 2 ELSE 1 END AS gt FROM (
+        SELECT CAST(l_partkey AS INT) AS v, CAST(o_custkey AS INT) AS s, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS dp,
+               CAST(sum(CASE WHEN (l_suppkey * 7 + l_orderkey * 13 + l_linenumber * 29) % 100 < 5 + (l_partkey * 37) % 90 THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS ad
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2))""",
+    "regions": """regions AS (
+        SELECT CASE WHEN s_suppkey % 5 = 4 THEN 'X' ELSE CAST(1 + s_suppkey % 5 AS VARCHAR) END AS contig,
+               (s_suppkey * 7919) % (SELECT length FROM span) AS start0, (s_suppkey * 7919) % (SELECT length FROM span) + 200 + s_suppkey % 800 AS end0 FROM supplier)""",
+    "features": """features AS (
+        SELECT CASE WHEN p_partkey % 5 = 4 THEN 'X' ELSE CAST(1 + p_partkey % 5 AS VARCHAR) END AS contig,
+               (p_partkey * 6151) % (SELECT length FROM span) AS start0, (p_partkey * 6151) % (SELECT length FROM span) + 50 + (p_partkey * 31) % 900 AS end0 FROM part)""",
+}
+#: Sizes that twins name, and what they are over every part and customer.
+WHOLE_SIZES = {r"\b120(\.0)?\b": "(SELECT n_samples FROM span)", r"\b299\.0\b": "(SELECT n_variants FROM span)", r"\b110000(::BIGINT)?\b": "(SELECT length + 10000 FROM span)"}
+
+
+def whole_sql(views: str, body: str) -> str:
+    """``body`` over every part and customer."""
+    for size, named in WHOLE_SIZES.items():
+        body = re.sub(size, named, body)
+    return sql(f"span {views}", body, WHOLE_SQL)
+
 
-def sql(views: str, body: str) -> str:
+def sql(views: str, body: str, given: dict[str, str] = SQL) -> str:
     """``body`` after the common table expressions of the views named in ``views``."""
     names: list[str] = []
     for v in views.split():
         names += [n for n in (*NEEDS.get(v, ()), v) if n not in names]
     body = body.strip()
-    head = "WITH " + ",\n".join(SQL[n] for n in names)
+    head = "WITH " + ",\n".join(given[n] for n in names)
     return f"{head},\n{body[5:]}" if body[:5].upper() == "WITH " else f"{head}\n{body}"

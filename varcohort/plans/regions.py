@@ -14,7 +14,7 @@ GENOME = "genome AS (SELECT unnest(['1', '2', '3', '4', 'X']) AS contig, 0::BIGI
 
 
 def genome(spark):
-    return spark.range(1, 6).select(X.contig(F.col("id")).alias("contig"), F.lit(0).cast("long").alias("start0"), F.lit(X.CONTIG_LENGTH).cast("long").alias("end0"))
+    return spark.range(1, 6).select(X.contig(F.col("id")).alias("contig"), F.lit(0).cast("long").alias("start0"), F.lit(X.contig_length()).cast("long").alias("end0"))
 
 
 def merged(name: str, table: str, gap: int = 0) -> str:

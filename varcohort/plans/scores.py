@@ -20,10 +20,10 @@ score AS (SELECT id, s, base + own AS score FROM o JOIN b USING (id))"""
 
 
 def scored(spark, sf) -> DataFrame:
-    return S.score(X.genotypes(spark, sf), X.models(spark, sf), X.N_SAMPLES, 0.2)
+    return S.score(X.genotypes(spark, sf), X.models(spark, sf), X.n_samples(), 0.2)
 
 
-@query("variants genotypes models", f"WITH {SCORE} SELECT id, s, round(score::DOUBLE, 8) AS score FROM score")
+@query("variants genotypes models", f"WITH {SCORE} SELECT id, s, round(score::DOUBLE, 8) AS score FROM score", every=False)
 def polygenic_score(spark, sf):
     # seven digits can be exact, and their last a five: eight are asked for
     return scored(spark, sf).withColumn("score", F.round("score", 8))
@@ -32,7 +32,7 @@ def polygenic_score(spark, sf):
 @query("variants genotypes models", f"""
 WITH {SCORE}, c AS (SELECT id, score::DOUBLE AS x, avg(score::DOUBLE) OVER (PARTITION BY id) AS m FROM score),
 k AS (SELECT id, avg(x) AS m1, avg((x - m)^2) AS m2, avg((x - m)^3) AS c3, avg((x - m)^4) AS c4 FROM c GROUP BY id)
-SELECT id, round(m1, 6) AS m1, round(m2, 6) AS m2, round(c3 / m2^1.5, 6) AS m3, round(c4 / m2^2, 6) AS m4 FROM k""")
+SELECT id, round(m1, 6) AS m1, round(m2, 6) AS m2, round(c3 / m2^1.5, 6) AS m3, round(c4 / m2^2, 6) AS m4 FROM k""", every=False)
 def score_moments(spark, sf):
     return rounded(S.moments(scored(spark, sf), "id"), "m1", "m2", "m3", "m4")
 
@@ -50,13 +50,13 @@ def cohort_mean_score(spark, sf):
     return rounded(S.cohort_mean_score(af, X.models(spark, sf)), "mean_score")
 
 
-@query()
+@query(every=False)
 def null_scores(spark, sf):
     """Moments of scores by frequency-matched random models, by model and iteration."""
     gt = X.genotypes(spark, sf)
     freq = gt.where("gt IS NOT NULL").groupBy("v").agg((F.sum("gt") / (2 * F.count(F.lit(1)))).alias("af"))
     null = S.null_models(X.models(spark, sf), freq, 20)
-    return rounded(S.moments(S.score(gt, null, X.N_SAMPLES, 0.2, ("iter",)), "id", "iter"), "m1", "m2", "m3", "m4")
+    return rounded(S.moments(S.score(gt, null, X.n_samples(), 0.2, ("iter",)), "id", "iter"), "m1", "m2", "m3", "m4")
 
 
 @query("trace", """

@@ -137,7 +137,7 @@ def hwe_exact(spark, sf):
     """Exact Hardy-Weinberg p of each variant, computed once for each distinct triple of counts."""
     from ..operators import genotype as G
 
-    qc = G.variant_qc(X.genotypes(spark, sf), X.N_SAMPLES).select("v", "n_hom_ref", "n_het", "n_hom_var")
+    qc = G.variant_qc(X.genotypes(spark, sf), X.n_samples()).select("v", "n_hom_ref", "n_het", "n_hom_var")
     triples = qc.select("n_hom_ref", "n_het", "n_hom_var").distinct()
     p = triples.withColumn("p", S.hwe_exact("n_hom_ref", "n_het", "n_hom_var"))
     return rounded(qc.join(p, ["n_hom_ref", "n_het", "n_hom_var"]).select("v", "p"), "p")
