@@ -36,3 +36,19 @@ def test_groups_without_calls(spark):
     gt = spark.createDataFrame([(1, 1, None), (1, 2, 0), (1, 3, 2)], "v int, s int, gt int")
     by = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "s int, pop int")
     assert [(r["v"], r["worst"]) for r in K.hwe_all_groups(gt, by, "pop", 12.5).collect()] == [(1, 2.0)]
+
+
+@pytest.mark.parametrize("name", ["whole_loh_trace", "whole_vcf_genotypes"])
+def test_all_samples_reach_the_operator(spark, name):
+    got = {int(r["s"]) for r in run(spark, name).select("s").distinct().collect()}
+    assert got == {r[0] for r in duckdb.sql(f"SELECT DISTINCT o_custkey FROM '{SF}/lineitem.parquet' JOIN '{SF}/orders.parquet' ON l_orderkey = o_orderkey").fetchall()}
+
+
+def test_all_variants_are_calls(spark):
+    got = run(spark, "whole_signature_burden").agg({"n": "sum", "background": "sum"}).first()
+    assert got["sum(n)"] == got["sum(background)"] == 1990  # all but the ends of five contigs
+
+
+def test_dosages_name_all_samples(spark, small):
+    n = duckdb.sql(f"SELECT (SELECT count(*) FROM '{small}/customer.parquet') * (SELECT count(DISTINCT l_partkey) FROM '{small}/lineitem.parquet' JOIN '{small}/orders.parquet' ON l_orderkey = o_orderkey)").fetchall()[0][0]
+    assert registry.QUERIES["whole_dosage_text"](spark, small).count() == n

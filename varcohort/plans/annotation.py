@@ -119,9 +119,11 @@ def consistent_direction(spark, sf):
 
 @query("variants genotypes", """
 WITH c AS (SELECT symbol, count(DISTINCT s) AS n FROM genotypes JOIN variants USING (v) WHERE gt = 2 AND v % 40 = 0 GROUP BY symbol)
+SELECT CASE WHEN n <= 1 THEN 'Other' ELSE symbol END AS gene, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_genes FROM c GROUP BY 1""", every="""
+WITH c AS (SELECT symbol, count(DISTINCT s) AS n FROM genotypes JOIN variants USING (v) WHERE gt = 2 GROUP BY symbol)
 SELECT CASE WHEN n <= 1 THEN 'Other' ELSE symbol END AS gene, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_genes FROM c GROUP BY 1""")
 def gene_sample_counts(spark, sf):
-    t = X.genotypes(spark, sf).where("gt = 2 AND v % 40 = 0").join(X.variants(spark, sf).select("v", F.col("symbol").alias("gene")), "v")
+    t = X.genotypes(spark, sf).where("gt = 2").where(X.part_of("v % 40 = 0")).join(X.variants(spark, sf).select("v", F.col("symbol").alias("gene")), "v")
     return K.gene_sample_counts(t.select("gene", "s"))
 
 
@@ -137,9 +139,12 @@ def loh_runs(spark, sf):
 @query("genotypes", """
 WITH t AS (SELECT v, s, least(ad::DOUBLE / dp, 1 - ad::DOUBLE / dp) AS vaf, dp / median(dp) OVER (PARTITION BY s) AS rel FROM genotypes WHERE dp > 0 AND s < 15),
 l AS (SELECT *, list_sort(list(vaf) OVER (PARTITION BY s ORDER BY v ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS near FROM t)
+SELECT v, s, round(vaf, 6) AS vaf, round(rel, 6) AS rel_depth, round(near[(len(near) + 1) // 2], 6) AS smooth FROM l""", every="""
+WITH t AS (SELECT v, s, least(ad::DOUBLE / dp, 1 - ad::DOUBLE / dp) AS vaf, dp / median(dp) OVER (PARTITION BY s) AS rel FROM genotypes WHERE dp > 0),
+l AS (SELECT *, list_sort(list(vaf) OVER (PARTITION BY s ORDER BY v ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS near FROM t)
 SELECT v, s, round(vaf, 6) AS vaf, round(rel, 6) AS rel_depth, round(near[(len(near) + 1) // 2], 6) AS smooth FROM l""")
 def loh_trace(spark, sf):
-    t = X.genotypes(spark, sf).where("s < 15")
+    t = X.genotypes(spark, sf).where(X.part_of("s < 15"))
     return rounded(K.loh_trace(t, "s", "v", 2).select("v", "s", "vaf", "rel_depth", "smooth"), "vaf", "rel_depth", "smooth")
 
 

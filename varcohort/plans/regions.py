@@ -148,11 +148,14 @@ def triplet_context(spark, sf):
 WITH t AS (SELECT v, ref, lag(ref) OVER w || ref || lead(ref) OVER w AS x FROM variants WINDOW w AS (PARTITION BY contig ORDER BY pos)),
 c AS (SELECT v, CASE WHEN ref IN ('A', 'G') THEN translate(reverse(x), 'ACGT', 'TGCA') ELSE x END AS class FROM t),
 b AS (SELECT class, count(*) AS background FROM c WHERE class IS NOT NULL GROUP BY class), n AS (SELECT class, count(*) AS n FROM c WHERE v % 4 = 0 GROUP BY class)
-SELECT class, background, coalesce(n, 0) AS n, round(coalesce(n, 0) * 1e6 / background, 6) AS burden FROM b LEFT JOIN n USING (class)""")
+SELECT class, background, coalesce(n, 0) AS n, round(coalesce(n, 0) * 1e6 / background, 6) AS burden FROM b LEFT JOIN n USING (class)""", every="""
+WITH t AS (SELECT v, ref, lag(ref) OVER w || ref || lead(ref) OVER w AS x FROM variants WINDOW w AS (PARTITION BY contig ORDER BY pos)),
+c AS (SELECT v, CASE WHEN ref IN ('A', 'G') THEN translate(reverse(x), 'ACGT', 'TGCA') ELSE x END AS class FROM t)
+SELECT class, count(*) AS background, count(*) AS n, round(count(*) * 1e6 / count(*), 6) AS burden FROM c WHERE class IS NOT NULL GROUP BY class""")
 def signature_burden(spark, sf):
     c = S.triplet_context(X.variants(spark, sf)).select("v", F.col("triplet").alias("class"))
     background = c.where("class IS NOT NULL").groupBy("class").agg(F.count(F.lit(1)).alias("background"))
-    return rounded(S.signature_burden(c.where("v % 4 = 0"), background), "burden")
+    return rounded(S.signature_burden(c.where(X.part_of("v % 4 = 0")), background), "burden")
 
 
 @query("variants", """

@@ -12,16 +12,23 @@ from . import fixtures as X
 from .registry import query
 
 
-@query("variants genotypes", "SELECT contig, pos, ref, s::VARCHAR AS s, CASE WHEN gt IS NULL THEN NULL WHEN gt = 2 THEN 1 ELSE 0 END AS a1, CASE WHEN gt IS NULL THEN NULL WHEN gt >= 1 THEN 1 ELSE 0 END AS a2, dp - ad AS rd, ad, dp::INT AS dp FROM genotypes JOIN variants USING (v) WHERE s < 20")
+def sample_ids(spark, sf) -> list[str]:
+    """Every sample in order, as a header names them; none outside ``whole``."""
+    return [str(r["s"]) for r in X.samples(spark, sf).select("s").orderBy("s").collect()] if X.SPAN.get() else []
+
+
+@query("variants genotypes", "SELECT contig, pos, ref, s::VARCHAR AS s, CASE WHEN gt IS NULL THEN NULL WHEN gt = 2 THEN 1 ELSE 0 END AS a1, CASE WHEN gt IS NULL THEN NULL WHEN gt >= 1 THEN 1 ELSE 0 END AS a2, dp - ad AS rd, ad, dp::INT AS dp FROM genotypes JOIN variants USING (v) WHERE s < 20",
+       every="SELECT contig, pos, ref, s::VARCHAR AS s, CASE WHEN gt IS NULL THEN NULL WHEN gt = 2 THEN 1 ELSE 0 END AS a1, CASE WHEN gt IS NULL THEN NULL WHEN gt >= 1 THEN 1 ELSE 0 END AS a2, dp - ad AS rd, ad, dp::INT AS dp FROM genotypes JOIN variants USING (v)")
 def vcf_genotypes(spark, sf):
     """Genotypes through VCF text and its parser."""
-    gt = X.genotypes(spark, sf).where("s < 20")
-    ids = list(range(20))
+    gt = X.genotypes(spark, sf).where(X.part_of("s < 20"))
+    ids = sample_ids(spark, sf) or [str(i) for i in range(20)]
     call = F.concat(F.when(F.col("gt").isNull(), "./.").when(F.col("gt") == 0, "0/0").when(F.col("gt") == 1, "0|1").otherwise("1/1"), F.lit(":"), (F.col("dp") - F.col("ad")).cast("string"), F.lit(","), F.col("ad").cast("string"), F.lit(":"), F.col("dp").cast("string"))
-    wide = gt.withColumn("call", call).groupBy("v").pivot("s", ids).agg(F.first("call")).join(X.variants(spark, sf), "v")
-    cells = ["contig", F.col("pos").cast("string"), F.lit("."), "ref", F.array_join("alts", ","), F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT:AD:DP"), *[F.coalesce(F.col(str(i)), F.lit("-")) for i in ids]]
+    wide = gt.groupBy("v").agg(F.map_from_entries(F.collect_list(F.struct(F.col("s").cast("string"), call))).alias("calls")).join(X.variants(spark, sf), "v")
+    calls = F.transform(R.texts(ids), lambda s: F.coalesce(F.try_element_at("calls", s), F.lit("-")))
+    cells = ["contig", F.col("pos").cast("string"), F.lit("."), "ref", F.array_join("alts", ","), F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT:AD:DP"), F.array_join(calls, "\t")]
     lines = wide.select(F.concat_ws("\t", *cells).alias("value"))
-    _, out = R.parse_vcf(lines, [str(i) for i in ids])
+    _, out = R.parse_vcf(lines, ids)
     return out.where("dp IS NOT NULL").select("contig", "pos", "ref", "s", "a1", "a2", F.col("ads")[0].alias("rd"), F.col("ads")[1].alias("ad"), "dp")
 
 
@@ -32,9 +39,10 @@ def vcf_variants(spark, sf):
     return out.select("contig", "pos", "ref", F.size("alts").cast("long").alias("n_alts"), F.col("info")["SVID"].alias("svid"))
 
 
-@query("genotypes", "SELECT v::VARCHAR AS vid, x.s::VARCHAR AS s, g.gt AS dosage FROM (SELECT DISTINCT v FROM genotypes WHERE s IN (1, 2, 3, 50)) k CROSS JOIN (SELECT unnest([1, 2, 3, 50]) AS s) x LEFT JOIN genotypes g USING (v, s)")
+@query("genotypes", "SELECT v::VARCHAR AS vid, x.s::VARCHAR AS s, g.gt AS dosage FROM (SELECT DISTINCT v FROM genotypes WHERE s IN (1, 2, 3, 50)) k CROSS JOIN (SELECT unnest([1, 2, 3, 50]) AS s) x LEFT JOIN genotypes g USING (v, s)",
+       every="SELECT v::VARCHAR AS vid, x.s::VARCHAR AS s, g.gt AS dosage FROM (SELECT DISTINCT v FROM genotypes) k CROSS JOIN (SELECT c_custkey AS s FROM customer) x LEFT JOIN genotypes g USING (v, s)")
 def dosage_text(spark, sf):
-    names = ["1", "2", "3", "50"]
+    names = sample_ids(spark, sf) or ["1", "2", "3", "50"]
     gt = X.genotypes(spark, sf).select(F.col("v").alias("vid"), F.col("s").cast("string").alias("s"), "gt")
     return R.parse_dosages(W.dosage_lines(gt, names), names).select("vid", "s", F.col("dosage").cast("int").alias("dosage"))
 

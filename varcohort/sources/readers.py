@@ -17,6 +17,11 @@ def contig_name(c: Column) -> Column:
     return F.when(bare == "M", "MT").otherwise(bare)
 
 
+def texts(values: list[str]) -> Column:
+    """An array of texts as one literal, however many there are."""
+    return F.split(F.lit("\n".join(values)), "\n") if values else F.array().cast("array<string>")
+
+
 def parse_vcf(lines: DataFrame, samples: list[str]) -> tuple[DataFrame, DataFrame]:
     """Variants and long genotypes from a column ``value`` of VCF lines; headers are skipped.
 
@@ -31,7 +36,7 @@ def parse_vcf(lines: DataFrame, samples: list[str]) -> tuple[DataFrame, DataFram
         F.col("f")[0].alias("contig"), F.col("f")[1].cast("long").alias("pos"), null(F.col("f")[2]).alias("rsid"), F.col("f")[3].alias("ref"),
         F.split(F.col("f")[4], ",").alias("alts"), null(F.col("f")[5]).cast("double").alias("qual"), filters.alias("filters"), info.alias("info"),
     )
-    names = F.array(*map(F.lit, samples)) if samples else F.array().cast("array<string>")
+    names = texts(samples)
     cells = F.arrays_zip(names.alias("s"), F.slice("f", 10, max(len(samples), 1)).alias("call"))
     g = rows.select(F.col("f")[0].alias("contig"), F.col("f")[1].cast("long").alias("pos"), F.col("f")[3].alias("ref"), F.split(F.col("f")[8], ":").alias("fmt"), F.explode(cells).alias("c"))
     call = F.split("c.call", ":")
@@ -100,7 +105,7 @@ def parse_dosages(lines: DataFrame, samples: list[str]) -> DataFrame:
     ok = part[1].rlike(f"^[012.]{{{n}}}$")
     rows = lines.where(~F.col("value").startswith("vid\t")).select(part[0].alias("vid"), F.when(F.assert_true(ok, "bad dosage row").isNull(), part[1]).alias("d"))
     out = rows.select("vid", F.posexplode(F.split(F.col("d"), "(?<=.)(?=.)")).alias("i", "c"))
-    names = F.array(*map(F.lit, samples))
+    names = texts(samples)
     return out.select("vid", F.get(names, F.col("i")).alias("s"), F.when(F.col("c") != ".", F.col("c").cast("tinyint")).alias("dosage"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .readers import texts
+
 
 def write_ds(df: DataFrame, path: str, by: str = "contig") -> None:
     """Parquet, partitioned by contig."""
@@ -60,8 +62,7 @@ def write_vcf(v: DataFrame, info: list[str], path: str) -> None:
 
 def dosage_lines(gt: DataFrame, samples: list[str], key: str = "vid") -> DataFrame:
     """'vid<TAB>0120.' for the named samples in their order; an absent cell is '.'."""
-    names = F.array(*map(F.lit, samples))
-    place = gt.where(F.col("s").isin(samples)).withColumn("i", F.array_position(names, F.col("s")))
+    place = gt.withColumn("i", F.array_position(texts(samples), F.col("s"))).where("i > 0")
     cells = place.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", F.coalesce(F.col("gt").cast("string"), F.lit("."))))).alias("m"))
     text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(len(samples))), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit("."))), "")
     return cells.select(F.concat_ws("\t", F.col(key).cast("string"), text).alias("value"))
