@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from varcohort.operators import calling as K
+from varcohort.plans import fixtures as X
 from varcohort.plans import registry
 
 SF = "/root/testdata/sf0.01"
@@ -52,3 +53,9 @@ def test_all_variants_are_calls(spark):
 def test_dosages_name_all_samples(spark, small):
     n = duckdb.sql(f"SELECT (SELECT count(*) FROM '{small}/customer.parquet') * (SELECT count(DISTINCT l_partkey) FROM '{small}/lineitem.parquet' JOIN '{small}/orders.parquet' ON l_orderkey = o_orderkey)").fetchall()[0][0]
     assert registry.QUERIES["whole_dosage_text"](spark, small).count() == n
+
+
+def test_depth_cap_drops_outliers_only(spark):
+    gt = X.whole(X.genotypes)(spark, SF)
+    assert gt.where("dp > 100").count() < 0.01 * gt.count()
+    assert run(spark, "subclonal_calls").agg({"v": "max"}).first()["max(v)"] > 299

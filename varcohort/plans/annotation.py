@@ -239,7 +239,7 @@ def cohort_count_tables(spark, sf):
 
 @query()
 def subclonal_calls(spark, sf):
-    """Subclonal calls over a pileup made of genotype depths."""
+    """Subclonal calls over a pileup made of genotype depths, a locus for each part and customer."""
     gt = X.genotypes(spark, sf).join(X.variants(spark, sf).select("v", "contig", "pos", "ref", "alt"), "v").where("dp <= 100")
     pile = gt.select("v", "s", "contig", "pos", "ref", *[(F.when(F.col("ref") == b, F.col("dp") - F.col("ad")).when(F.col("alt") == b, F.col("ad")).otherwise(0)).cast("int").alias(f"n_{b}") for b in "ACGT"])
     return rounded(K.subclonal_calls(pile, 100, rate=1e-4, snr=1.0), "sens", "snr").select("v", "s", "dp", "ad", "alt", "sens", "snr")
