@@ -25,7 +25,8 @@ DIGITS = str.maketrans("0134578@$", "oieastbas")
 INSIDE = re.compile(r"(?<=[^\W\d_])[013457@$8]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578]+|[0134578]+(?=[^\W\d_])")
 WORD = re.compile(r"[^\W_]+")
 SHORTEST, LONGEST = 3, 9
-NO_WORD = " . "
+#: Entries that a task counts before it hands them on.
+PART = 500_000
 
 
 def fold(text: str) -> list[str]:
@@ -96,32 +97,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, size: int =
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most ``sample`` rows are sent
 
-    def count(toxic: int, wanted: frozenset[str] | None):
-        """How many documents of one label have each entry (of ``wanted``, if given), and how many there are."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """How many toxic (p) and other (n) documents have each entry, in parts of bounded size."""
+        seen = {0: Counter(), 1: Counter()}
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen, total = Counter(), 0
-            for b in batches:
-                for text in b["text"][b["toxic"] == toxic]:
-                    total += 1
-                    entries = {e for w in set(fold(text)) for e in beginnings(w)}
-                    seen.update(entries if wanted is None else entries & wanted)
-            yield pd.DataFrame({"entry": [*seen, NO_WORD], "n": [*seen.values(), total]})
+        def part() -> pd.DataFrame:
+            both = [*(seen[0].keys() | seen[1].keys())]
+            return pd.DataFrame({"entry": both, "p": [seen[1][e] for e in both], "n": [seen[0][e] for e in both]})
 
-        return rows.mapInPandas(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+        for b in batches:
+            for text, toxic in zip(b["text"], b["toxic"], strict=True):
+                seen[toxic].update({e for w in set(fold(text)) for e in beginnings(w)})
+                if len(seen[0]) + len(seen[1]) > PART:
+                    yield part()
+                    seen = {0: Counter(), 1: Counter()}
+        if seen[0] or seen[1]:
+            yield part()
 
     toxic = chosen.where("toxic = 1").count()
     floor = max(support * toxic, min(5.0, toxic / 4))  # few documents lend an entry by chance
-    often = count(1, None).where(F.col("n") >= floor)
-    often = often.orderBy(F.desc("n"), "entry").limit(20 * size + 1).withColumnRenamed("n", "p")
-    wanted = [(r["entry"], r["p"]) for r in often.collect()]
-    counted = count(0, frozenset(e for e, _ in wanted))
-    totals = {"p": dict(wanted).get(NO_WORD, 0), "n": (counted.where(F.col("entry") == NO_WORD).first() or {"n": 0})["n"]}
+    kinds = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    totals = {"p": kinds.get(1, 0), "n": kinds.get(0, 0)}
     if not totals["p"] or not totals["n"]:
         return {"lexicon": {}, "exceptions": frozenset(), "weights": np.array([-3.0, 0, 0, 0, 0, 0])}
-    counted = docs.sparkSession.createDataFrame(wanted, "entry string, p long").join(counted, "entry", "left").na.fill(0)
+    counted = rows.mapInPandas(count, "entry string, p long, n long").groupBy("entry").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where(F.col("p") >= floor)
     odds = F.log((F.col("p") + 0.5) / (totals["p"] + 1.0)) - F.log((F.col("n") + 0.5) / (totals["n"] + 1.0))
-    top = counted.where((F.col("entry") != NO_WORD) & (F.col("p") >= support)).withColumn("w", odds).where(F.col("w") >= least)
+    top = counted.where(F.col("p") >= support).withColumn("w", odds).where(F.col("w") >= least)
     top = top.orderBy((F.col("w") * F.col("p")).desc(), "entry").limit(size).collect()
     lexicon: dict[str, float] = {}
     for r in sorted(top, key=lambda r: (len(r["entry"]), r["entry"])):
