@@ -19,17 +19,23 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select object canvas".split())
+#: Their content is no markup: code, or text that is no part of the page's own.
+RAW = frozenset("script style textarea title iframe".split())
+CODE = frozenset("script style".split())
+#: Whatever lies inside these runs on in the line.
+FOREIGN = frozenset("math svg".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table div section article aside nav main header footer form body html".split())
 #: Semantic tags and names that make a page label itself.
 INSIDE = frozenset("article main".split())
-OUTSIDE = frozenset("nav aside footer header form button head menu dialog".split())
+OUTSIDE = frozenset("nav aside footer header form button head menu dialog select noscript template".split())
 BOILER_NAME = re.compile(r"(?i)(^|[\s_-])(ad|ads|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu|side-?bar|foot\w*|head(er)?|comment\w*|reply|replies|respond|disqus|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|signup|share|social|related|breadcrumbs?|pagination|widget|toolbar|login|search)([\s_-]|$)")
 BODY_NAME = re.compile(r"(?i)(^|[\s_-])(article|content|main|post|entry|story|body|text|prose)([\s_-]|$)")
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>?|[^<]+|<""", re.S)
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
+NEXT_TAG = re.compile(r"</?[a-zA-Z]")
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -43,20 +49,19 @@ class Node:
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Block nodes, parents first, and the blocks' texts in page order as (node, text)."""
+    """Block nodes, parents first, and the blocks' texts in page order as (node, text).
+
+    Script, style, textarea, title and iframe have no text. Where one of them is never closed, code ends at the next
+    tag and of the others only the tag itself is left out, so that the rest of the page is kept; so it is after any
+    other element that is never closed.
+    """
     nodes = [Node("html", "", -1, 0)]
     stack: list[tuple[str, int]] = [("html", 0)]
     texts: list[tuple[int, list[str]]] = []
-    links, raw = 0, ""
-    raw_end = None
+    links, foreign = 0, 0
+    unclosed: set[str] = set()  # what has no closing tag from here on
     at, size, match = 0, len(page), TOKEN.match
     while at < size:
-        if raw:
-            raw_end = re.compile(rf"</{re.escape(raw)}(?=[\s/>]|\Z)", re.I).search(page, at)
-            at = raw_end.start() if raw_end else size
-            raw = ""
-            if at >= size:
-                break
         m = match(page, at)
         at = m.end()
         tag = m[2]
@@ -77,7 +82,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 links = max(0, links - 1)
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
-                    if tag not in INLINE:
+                    if stack[i][1] != stack[i - 1][1]:  # not run on in the line
                         texts.append((-1, []))
                     del stack[i:]
                     break
@@ -92,7 +97,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
-                raw = tag
+                end = None if tag in unclosed else RAW_END[tag].search(page, at)
+                if end is None:
+                    unclosed.add(tag)
+                    end = NEXT_TAG.search(page, at) if tag in CODE else None
+                    at = end.start() if end else size if tag in CODE else at
+                else:
+                    at = end.start()
             continue
         if tag == "html":
             continue
@@ -104,8 +115,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
                 if stack[i][0] in SCOPE:
                     break
-        if tag in INLINE:
+        foreign = sum(t in FOREIGN for t, _ in stack) if foreign else 0
+        if tag in INLINE or tag in FOREIGN or (foreign and tag not in CLOSES_P and tag not in CLOSED_BY):
+            if m[3].endswith("/") and tag not in INLINE:
+                continue
             links += tag == "a"
+            foreign += tag in FOREIGN
             stack.append((tag, stack[-1][1]))
             continue
         names = " ".join(x or y or z for x, y, z in NAMES.findall(m[3])) if m[3] else ""
@@ -128,6 +143,7 @@ HIDDEN_TAG = {"article": "div", "main": "div", "nav": "div", "aside": "div", "fo
 
 
 def features(nodes: list[Node], blocks: list[tuple[int, str]], plain: bool = False) -> np.ndarray:
+    """A row of features for each node; ``plain`` hides the tags and names by which pages label themselves."""
     stops = [0] * len(nodes)
     for i, text in blocks:
         stops[i] += text[-1] in ".!?…。"
@@ -136,7 +152,8 @@ def features(nodes: list[Node], blocks: list[tuple[int, str]], plain: bool = Fal
         tag = HIDDEN_TAG.get(n.tag, n.tag) if plain else n.tag
         size = sum(n.runs)
         above = under[n.parent] if n.parent >= 0 else (False,) * 4
-        own = (tag in INSIDE, tag in OUTSIDE, bool(n.names and BOILER_NAME.search(n.names)), bool(n.names and BODY_NAME.search(n.names)))
+        names = "" if plain and i % 2 else n.names
+        own = (tag in INSIDE, tag in OUTSIDE, bool(names and BOILER_NAME.search(names)), bool(names and BODY_NAME.search(names)))
         under.append(tuple(a or o for a, o in zip(above, own, strict=True)))
         rows.append((
             1.0, *own, tag in ("p", "pre", "blockquote"), tag in ("li", "td", "dt", "dd"), tag in ("h1", "h2", "h3", "h4"),
@@ -237,7 +254,8 @@ def main_text(page: str, model: dict[str, np.ndarray]) -> str:
 def extract(pages: DataFrame, sample: int = 120, longest: int = 40_000) -> DataFrame:
     """(page_id, url, text, n_chars) of every page, by a model fitted to at most ``sample`` pages.
 
-    The pages fitted to are those of up to ``longest`` characters with the smallest hashes. A null or empty html
+    The pages fitted to are those of up to ``longest`` characters with the smallest hashes, so that at most
+    ``sample`` x ``longest`` characters reach the driver; all pages of any length are extracted. A null or empty html
     has empty text; null ids and urls are carried; repeated rows give repeated results, an empty table none; further
     columns are ignored; pages cut off in the middle of a tag, and tags never closed, are read as far as they go.
     """
