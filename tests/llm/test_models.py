@@ -26,8 +26,9 @@ def test_toxicity_edges(spark):
 
 
 def test_exceptions_clear_a_match():
-    m = toxicity.Matcher({" trash": 3.0}, frozenset({("trash", "can")}))
-    assert m.matches(["the", "trash", "can"]) == [] and m.matches(["the", "trash"]) == [(1, 3.0)]
+    m, words = toxicity.Model({" trash": 3.0}, frozenset({("trash", "can")})), ["the", "trash", "can"]
+    find = toxicity.Matcher(m.lexicon)
+    assert m.matches(words, find.hits(words)) == [] and m.matches(words[:2], find.hits(words[:2])) == [(1, 3.0)]
 
 
 def brute(rows, k, every):
