@@ -45,11 +45,12 @@ def test_neighbours_exact(spark, small):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
     rows += [(1000 + i, [float("nan")] + [1.0] * 63) for i in range(2)] + [(None, [1.0] * 64), (1003, None), (1004, []), (1005, [0.0] * 64)]
     rows += [(2000 + i, [0.5] * 64) for i in range(300)]
+    rows += [rows[0], rows[40], rows[41]]  # repeated rows count once
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, rank int")
     got = {}
     for r in neighbours.nearest(df, shard_rows=200, block_rows=16).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
-    want = brute([(i, None if v is None else np.float32(v).tolist()) for i, v in rows], 20, 20)
+    want = brute([(i, None if v is None else np.float32(v).tolist()) for i, v in rows[:-3]], 20, 20)
     assert got == want
     df, want = df.where("vec_id < 1000"), brute([(i, None if v is None else np.float32(v).tolist()) for i, v in rows if i is not None and i < 1000], 20, 20)
     relaxed = neighbours.nearest(df, factor=1.1, shard_rows=200).groupBy("query_id").agg({"vec_id": "collect_set"}).collect()
@@ -57,6 +58,13 @@ def test_neighbours_exact(spark, small):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_neighbours_with_equal_ids(spark):
+    """Two vectors under one id ask for themselves, and can both be found."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (1, [0.0, 3.0]), (2, [1.0, 1.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1, 1, 2.0), (0, 1, 1, 3.0), (0, 2, 2, 1.0), (0, 2, 2, 1.0)]
+
+
 def test_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     extra = [(9001, "u", None), (9002, "u", ""), (9003, "u", "<p>a<"), (9004, None, "<!-- only -->"), (9005, "u", "<b>" * 5000)]

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 LEAF = 512
 
 
@@ -111,42 +113,50 @@ def search(tree: dict, qids: np.ndarray, q: np.ndarray, k: int, factor: float) -
     return np.where(np.isneginf(best), -1, names), best
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 1.0, shard_rows: int = 16384, block_rows: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 1.0, shard_rows: int = 16384, block_rows: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by ``every``, the k largest inner products.
 
     Rows with a null id, a null or empty vector, a zero vector, or a null or non-finite component take no part;
     a query's own id is no candidate, ties go to smaller ids, and vectors are compared with those of their own
-    length only. Equal vectors under several ids are all found; a repeated (id, vector) row counts once. An empty
-    table gives no row; further columns are ignored.
+    length only. Equal vectors under several ids are all found; a repeated (id, vector) row counts once. Of several
+    vectors under one id each asks for itself, with ranks from 1, and each can be found. An empty table gives no row;
+    further columns are ignored.
+
+    Every tree meets every block of queries, so trees are copied once a block and queries once a shard; with N vectors
+    of d bytes and Q queries that moves N Q d (1 / block_rows + 1 / shard_rows), in the type that the vectors came in.
     """
-    v = F.col("embedding")
+    v, shuffles = F.col("embedding"), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sound = F.coalesce(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists(v, lambda c: c != 0), F.lit(False))
     rows = vectors.where(F.col("vec_id").isNotNull() & (F.size(v) > 0)).where(sound)
-    rows = rows.select("vec_id", F.transform(v, lambda c: c.cast("double")).alias("x")).groupBy("vec_id", "x").agg(F.size("x").alias("n"))
-    square = F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c)
+    rows = cut(rows.select("vec_id", v.alias("x")).groupBy("vec_id", "x").agg(F.size("x").alias("n")), "vectors")
+    square = F.aggregate("x", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     facts = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("vec_id") % every == 0).alias("queries"), F.sqrt(F.max(square)).alias("longest")).first()
-    shards, blocks = max(1, -(-facts["rows"] // shard_rows)), max(1, -(-facts["queries"] // block_rows))
+    blocks = max(1, -(-facts["queries"] // block_rows))
+    shards = max(-(-facts["rows"] // shard_rows), min(-(-shuffles // blocks), facts["rows"] // (4 * LEAF)), 1)
     longest = float(facts["longest"] or 0.0)
 
     def plant(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         tree = build(part["vec_id"].to_numpy(np.int64), np.array(part["x"].tolist(), dtype=float), longest)
+        tree["x"] = np.ascontiguousarray(tree["x"], dtype=part["x"].iloc[0].dtype)  # exact: they came in this type
         return pd.DataFrame({"shard": [key[0]], "n": [key[1]], "tree": [pickle.dumps(tree, protocol=5)]})
 
-    placed = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    placed = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "x"), F.lit(shards)).cast("int"))
     trees = placed.groupBy("shard", "n").applyInPandas(plant, "shard int, n int, tree binary")
-    trees = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = rows.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+    trees = cut(trees, "trees").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = rows.where(F.col("vec_id") % every == 0).withColumn("key", F.xxhash64("vec_id", "x")).withColumn("block", F.pmod("key", F.lit(blocks)).cast("int"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def find(tree: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if tree.empty or queries.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            return pd.DataFrame({"query_id": [], "key": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "key": "int64", "vec_id": "int64"})
+        grown = pickle.loads(tree["tree"][0])
+        grown["x"] = grown["x"].astype(float)
         qids = queries["vec_id"].to_numpy(np.int64)
-        names, scores = search(pickle.loads(tree["tree"][0]), qids, np.array(queries["x"].tolist(), dtype=float), k, factor)
-        out = pd.DataFrame({"query_id": np.repeat(qids, k), "vec_id": names.ravel(), "score": scores.ravel()})
+        names, scores = search(grown, qids, np.array(queries["x"].tolist(), dtype=float), k, factor)
+        out = pd.DataFrame({"query_id": np.repeat(qids, k), "key": np.repeat(queries["key"].to_numpy(np.int64), k), "vec_id": names.ravel(), "score": scores.ravel()})
         return out[out["vec_id"] != -1]
 
     keys = ["shard", "n", "block"]
-    found = trees.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(find, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = trees.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(find, "query_id long, key long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
