@@ -3,9 +3,10 @@
 Every document gives whole windows and at most one shorter rest. The histogram of the rests' lengths (at
 most ``window`` numbers) goes to the driver, which enumerates shallow combinations of lengths that fill a
 window exactly, solves for repeat counts by non-negative least squares against the histogram, rounds them
-and takes what the histogram allows. What is left is packed greedily, cut where a window ends.
-Which rests take which place follows from each rest's rank among those of its length. A length is dealt
-over ``SALTS`` sub-groups for ranking, so that a very common length is no single task's work.
+and takes what the histogram allows. What is left is packed greedily: longest rests first, whole, into combinations
+of any depth that fill a window exactly; only what fits none of these is laid end to end and cut where a window ends.
+Which rests take which place follows from each rest's rank among those of its length: its rank in its task, which is
+written down with it, and the tasks' running counts. So no length, however common, is one task's work.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 from .tokens import Text, byte_symbols, default_path
 
-SALTS = 64
 MEMO = 800_000
 
 
@@ -104,11 +105,40 @@ def nonnegative_least_squares(combos: list[tuple[int, ...]], target: np.ndarray,
     return x
 
 
+def greedy(left: np.ndarray, window: int) -> Iterator[tuple[list[int], int]]:
+    """(lengths, repeats) of combinations that fill a window exactly, longest length first; ``left`` is used up."""
+    lengths = np.flatnonzero(left[:window])
+    lengths = lengths[lengths > 0]
+    for first in lengths[::-1].tolist():
+        while left[first] > 0:
+            parts, room, have = [first], window - first, left.copy()
+            have[first] -= 1
+            while room:
+                if have[room] > 0:
+                    nxt = room
+                else:  # two that end the window, or else the longest that fits
+                    a = np.flatnonzero(have[1 : room // 2 + 1]) + 1
+                    b = room - a
+                    a = a[(have[b] > 0) & ((a != b) | (have[a] > 1))]
+                    nxt = room - int(a[0]) if len(a) else int(np.flatnonzero(have[:room])[-1]) if have[1:room].any() else 0
+                if not nxt:
+                    break
+                parts.append(nxt)
+                have[nxt] -= 1
+                room -= nxt
+            if room:
+                break
+            kinds, counts = np.unique(parts, return_counts=True)
+            n = int((left[kinds] // counts).min())
+            left[kinds] -= n * counts
+            yield parts, n
+
+
 def plan(histogram: np.ndarray, window: int, third: int = 24) -> dict[str, np.ndarray]:
-    """Where each (length, rank) goes: places of the combinations, then the residual's running offsets.
+    """Where each (length, rank) goes: places of the combinations, then the remainder's running offsets.
 
     ``key`` (length * 2**40 + first rank), ``sequence`` (of that first rank), ``offset``: sorted places.
-    ``used``: ranks below it are in combinations. ``base``: offset of each length's first residual token.
+    ``used``: ranks below it are in combinations. ``base``: offset of each length's first remaining token.
     """
     rest = histogram.copy()
     rest[0] = rest[window] = 0
@@ -116,18 +146,24 @@ def plan(histogram: np.ndarray, window: int, third: int = 24) -> dict[str, np.nd
     combos = combinations(rest, window, third)
     repeats = nonnegative_least_squares(combos, rest.astype(float))
     places, sequence = [], int(histogram[window])
-    for k in np.argsort(-repeats, kind="stable").tolist():
-        parts, counts = np.unique(combos[k], return_counts=True)
-        n = min(int(round(repeats[k])), int((rest[parts] // counts).min()))
-        if n <= 0:
-            continue
+
+    def place(parts: list[int], n: int) -> None:
+        nonlocal sequence
         offset = 0
-        for length in combos[k]:
+        for length in parts:
             places.append((length * (1 << 40) + int(used[length]), sequence, offset))
             used[length] += n
-            rest[length] -= n
             offset += length
         sequence += n
+
+    for k in np.argsort(-repeats, kind="stable").tolist():
+        parts, counts = np.unique(combos[k], return_counts=True)
+        n = min(int(round(repeats[k])), int((rest[parts] // counts).min()))
+        if n > 0:
+            rest[parts] -= n * counts
+            place(list(combos[k]), n)
+    for parts, n in greedy(rest, window):
+        place(parts, n)
     places.append((window * (1 << 40), 0, 0))
     places.sort()
     key, first, offset = (np.array(x, dtype=np.int64) for x in zip(*places, strict=True))
@@ -140,7 +176,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = 4096, end
 
     A null or empty text is one token (the end id). A null doc_id is carried; repeated rows are packed as often as
     they occur; an empty table gives no piece; further columns are ignored. Every id lies in exactly one piece,
-    sequences are filled without gaps, and only the last one may need padding.
+    sequences are filled without gaps, and only the last one may need padding. ``third`` is how many common lengths
+    may be the third part of a combination in the least squares; whatever they leave is packed all the same.
     """
     spark, path = docs.sparkSession, vocabulary or default_path()
     kind = dict(docs.dtypes)["doc_id"]
@@ -151,6 +188,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = 4096, end
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, last = encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        part, ranks = TaskContext.get().partitionId(), np.zeros(window + 1, dtype=np.int64)
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"].array, b["text"], strict=True):
@@ -159,26 +197,27 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = 4096, end
                 for start in range(0, total, window):
                     own = ids[start * 4 : (start + window) * 4]
                     n = len(own) // 4
-                    rows.append((doc, start, n, zlib.crc32(own), total, own if n < window else b""))
-            yield typed(pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]))
+                    rows.append((doc, start, n, zlib.crc32(own), total, own if n < window else b"", part, int(ranks[n])))
+                    ranks[n] += 1
+            yield typed(pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "part", "n"]))
 
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    pieces_kind = f"doc_id {kind}, start long, length int, ids_crc32 long, doc_tokens long, ids binary"
-    table = rows.mapInPandas(pieces, pieces_kind).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    table = cut(table, "pieces", compression="zstd")
+    pieces_kind = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, part int, n long"
+    table = cut(rows.mapInPandas(pieces, pieces_kind), "pieces", compression="zstd")  # ranks are written with the rows: a retry changes none
 
-    #: At most window x SALTS rows, whatever the input's size.
-    counts = table.groupBy("length", "salt").count().toPandas()
-    grid = np.zeros((window + 1, SALTS), dtype=np.int64)
-    grid[counts["length"], counts["salt"]] = counts["count"]
-    first = np.cumsum(grid, axis=1) - grid
-    todo = spark.sparkContext.broadcast({"first": first, **plan(grid.sum(axis=1), window, third)})
+    by = table.groupBy("length", "part").agg(F.count(F.lit(1)).alias("count"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = by.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))  # a row a task and length
+    counts = by.groupBy("length").agg(F.sum("count").alias("count")).toPandas()  # at most ``window`` rows, whatever the input's size
+    histogram = np.zeros(window + 1, dtype=np.int64)
+    histogram[counts["length"]] = counts["count"]
+    todo = spark.sparkContext.broadcast(plan(histogram, window, third))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = todo.value
         for b in batches:
             length = b["length"].to_numpy(np.int64)
-            rank = p["first"][length, b["salt"].to_numpy()] + b["n"].to_numpy(np.int64) - 1
+            rank = b["rank"].to_numpy(np.int64)
             place = np.searchsorted(p["key"], length * (1 << 40) + rank, side="right") - 1
             place = np.maximum(place, 0)
             placed = (rank < p["used"][length]) | (length == window)
@@ -195,11 +234,10 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = 4096, end
                     left, right = own[: room * 4], own[room * 4 :]
                     extra.append(row | {"length": room, "ids_crc32": zlib.crc32(left)})
                     extra.append(row | {"start": row["start"] + room, "length": len(right) // 4, "ids_crc32": zlib.crc32(right), "sequence_id": row["sequence_id"] + 1, "offset": 0})
-                yield typed(pd.DataFrame(extra))[whole.columns].drop(columns=["salt", "n"])
-            yield whole.drop(columns=["salt", "n"])
+                yield typed(pd.DataFrame(extra))[whole.columns].drop(columns="rank")
+            yield whole.drop(columns="rank")
 
-    by = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = table.withColumn("n", F.row_number().over(by)).withColumn("length", F.col("length").cast("long"))
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "salt", "n").mapInPandas(
+    ranked = table.join(firsts, ["length", "part"]).withColumn("rank", F.col("first") + F.col("n"))
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "rank").mapInPandas(
         assign, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
