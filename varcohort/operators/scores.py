@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.variant import af_bin
 
+#: Parts into which models are dealt to meet all samples.
+CHUNKS = 64
 
-def score(gt: DataFrame, models: DataFrame, n_samples: int, missing: float = 0.01, by: tuple[str, ...] = (), key: str = "v") -> DataFrame:
+
+def score(gt: DataFrame, models: DataFrame, samples: DataFrame, missing: float = 0.01, by: tuple[str, ...] = (), key: str = "v") -> DataFrame:
     """Score of every sample by each model (id, v, aaf, coef): dosage times coefficient, summed.
 
     A missing genotype counts as twice the data's frequency; a variant that the data lack, or have with more than
-    ``missing`` of the samples missing, as twice the model's. Samples without any call for a model's usable variants
-    have no row. ``by`` names further model keys, such as an iteration.
-    Absent cells are missing genotypes.
+    ``missing`` of the samples missing, as twice the model's. Every row of ``samples`` (s) gets a score by every model,
+    also without any call. ``by`` names further model keys, such as an iteration. Absent cells are missing genotypes.
     """
+    n_samples = samples.count()
     called = gt.where("gt IS NOT NULL").select(key, "s", "gt")
     facts = called.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("gt").alias("ac")).withColumn("usable", F.col("n") >= n_samples * (1 - missing))
     m = models.join(facts, key, "left").withColumn("usable", F.coalesce("usable", F.lit(False)))
@@ -25,7 +28,12 @@ def score(gt: DataFrame, models: DataFrame, n_samples: int, missing: float = 0.0
     whole = m.groupBy(*keys).agg(F.sum(imputed).alias("base"))
     own = m.where("usable").select(*keys, key, "coef", (F.col("ac") / F.col("n")).alias("mean")).join(called, key)
     own = own.groupBy(*keys, "s").agg(F.sum(F.col("coef") * (F.col("gt") - F.col("mean"))).alias("own"))
-    return own.join(whole, keys).select(*keys, "s", (F.col("base") + F.col("own")).alias("score"))
+    # the answer has a row for each model and sample: models are dealt over chunks, and every sample visits each chunk
+    chunk = F.pmod(F.xxhash64(*keys), F.lit(CHUNKS).cast("long"))
+    dealt = whole.groupBy(chunk.alias("__chunk")).agg(F.collect_list(F.struct(*keys, "base")).alias("__m"))
+    asked = samples.select("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(CHUNKS - 1).cast("long"))).alias("__chunk"))
+    every = asked.join(dealt, "__chunk").select("s", F.inline("__m"))
+    return every.join(own, [*keys, "s"], "left").select(*keys, "s", (F.col("base") + F.coalesce("own", F.lit(0.0))).alias("score"))
 
 
 def null_models(models: DataFrame, freq: DataFrame, iters: int, bins: int = 50, seed: int = 1, key: str = "v") -> DataFrame:

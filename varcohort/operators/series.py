@@ -18,10 +18,17 @@ def coverage_runs(t: DataFrame, value: str, least: float, by: str = "contig", po
 
 
 def triplet_context(t: DataFrame, by: str = "contig", pos: str = "pos", base: str = "ref") -> DataFrame:
-    """Previous and next base; turned to the reverse complement where the centre is A or G."""
-    w = Window.partitionBy(by).orderBy(pos)
-    three = F.concat(F.lag(base).over(w), F.col(base), F.lead(base).over(w))
-    rows = t.withColumn("__t", three)
+    """Previous and next base, null where either position is absent; turned to the reverse complement where the centre is A or G.
+
+    A window over a block of positions finds the neighbours; blocks overlap by the position at each end.
+    """
+    block = 1 << 16
+    at = F.col(pos)
+    ends = F.array_distinct(F.array(F.floor((at - 1) / block), F.floor(at / block), F.floor((at + 1) / block)))
+    w = Window.partitionBy(by, "__b").orderBy(pos)
+    beside = lambda shift, d: F.when(shift(pos).over(w) == at + d, shift(base).over(w))
+    rows = t.withColumn("__b", F.explode(ends)).withColumn("__t", F.concat(beside(F.lag, -1), F.col(base), beside(F.lead, 1)))
+    rows = rows.where(F.col("__b") == F.floor(at / block)).drop("__b")
     flip = F.col(base).isin("A", "G")
     turned = F.translate(F.reverse(F.col("__t")), "ACGT", "TGCA")
     return rows.withColumn("triplet", F.when(flip, turned).otherwise(F.col("__t"))).withColumn("flipped", flip).drop("__t")

@@ -89,13 +89,13 @@ def hwe_all_groups(spark, sf):
     return rounded(K.hwe_all_groups(X.genotypes(spark, sf), X.samples(spark, sf), "pop", 12.5), "worst")
 
 
-@query("genotypes", """
-WITH g AS (SELECT v, count(*) FILTER (gt = 0)::DOUBLE AS a, count(*) FILTER (gt = 1)::DOUBLE AS b, count(*) FILTER (gt = 2)::DOUBLE AS c FROM genotypes GROUP BY v),
+@query("pools", """
+WITH g AS (SELECT v, count(*) FILTER (gt = 0)::DOUBLE AS a, count(*) FILTER (gt = 1)::DOUBLE AS b, count(*) FILTER (gt = 2)::DOUBLE AS c FROM pools GROUP BY v),
 f AS (SELECT *, a + b + c AS n, (2 * a + b) / nullif(2 * (a + b + c), 0) AS p FROM g),
-h AS (SELECT v, n / 120.0 AS call_rate, 1 - p AS af, CASE WHEN p > 0 AND p < 1 THEN (a - n*p*p)^2 / (n*p*p) + (b - 2*n*p*(1-p))^2 / (2*n*p*(1-p)) + (c - n*(1-p)*(1-p))^2 / (n*(1-p)*(1-p)) END AS x FROM f)
-SELECT v, round(call_rate, 6) AS call_rate, round(af, 6) AS af, round(x, 6) AS hwe_chisq FROM h WHERE 1 - call_rate <= 0.4 AND least(af, 1 - af) >= 0.05 AND coalesce(x < 30, true)""", every=False)
+h AS (SELECT v, n / (SELECT count(*) FROM nation) AS call_rate, 1 - p AS af, CASE WHEN p > 0 AND p < 1 THEN (a - n*p*p)^2 / (n*p*p) + (b - 2*n*p*(1-p))^2 / (2*n*p*(1-p)) + (c - n*(1-p)*(1-p))^2 / (n*(1-p)*(1-p)) END AS x FROM f)
+SELECT v, round(call_rate, 6) AS call_rate, round(af, 6) AS af, round(x, 6) AS hwe_chisq FROM h WHERE 1 - call_rate <= 0.4 AND least(af, 1 - af) >= 0.05 AND coalesce(x < 30, true)""")
 def filter_geno_maf_hwe(spark, sf):
-    return rounded(K.filter_geno_maf_hwe(X.genotypes(spark, sf), X.n_samples(), 0.4, 0.05, 30.0), "call_rate", "af", "hwe_chisq")
+    return rounded(K.filter_geno_maf_hwe(X.pools(spark, sf), X.n_pools(spark, sf), 0.4, 0.05, 30.0), "call_rate", "af", "hwe_chisq")
 
 
 @query("variants", "SELECT DISTINCT symbol, ref FROM variants")
@@ -118,12 +118,10 @@ def consistent_direction(spark, sf):
 
 
 @query("variants genotypes", """
-WITH c AS (SELECT symbol, count(DISTINCT s) AS n FROM genotypes JOIN variants USING (v) WHERE gt = 2 AND v % 40 = 0 GROUP BY symbol)
-SELECT CASE WHEN n <= 1 THEN 'Other' ELSE symbol END AS gene, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_genes FROM c GROUP BY 1""", every="""
 WITH c AS (SELECT symbol, count(DISTINCT s) AS n FROM genotypes JOIN variants USING (v) WHERE gt = 2 GROUP BY symbol)
 SELECT CASE WHEN n <= 1 THEN 'Other' ELSE symbol END AS gene, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_genes FROM c GROUP BY 1""")
 def gene_sample_counts(spark, sf):
-    t = X.genotypes(spark, sf).where("gt = 2").where(X.part_of("v % 40 = 0")).join(X.variants(spark, sf).select("v", F.col("symbol").alias("gene")), "v")
+    t = X.genotypes(spark, sf).where("gt = 2").join(X.variants(spark, sf).select("v", F.col("symbol").alias("gene")), "v")
     return K.gene_sample_counts(t.select("gene", "s"))
 
 
@@ -137,21 +135,18 @@ def loh_runs(spark, sf):
 
 
 @query("genotypes", """
-WITH t AS (SELECT v, s, least(ad::DOUBLE / dp, 1 - ad::DOUBLE / dp) AS vaf, dp / median(dp) OVER (PARTITION BY s) AS rel FROM genotypes WHERE dp > 0 AND s < 15),
-l AS (SELECT *, list_sort(list(vaf) OVER (PARTITION BY s ORDER BY v ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS near FROM t)
-SELECT v, s, round(vaf, 6) AS vaf, round(rel, 6) AS rel_depth, round(near[(len(near) + 1) // 2], 6) AS smooth FROM l""", every="""
 WITH t AS (SELECT v, s, least(ad::DOUBLE / dp, 1 - ad::DOUBLE / dp) AS vaf, dp / median(dp) OVER (PARTITION BY s) AS rel FROM genotypes WHERE dp > 0),
 l AS (SELECT *, list_sort(list(vaf) OVER (PARTITION BY s ORDER BY v ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS near FROM t)
 SELECT v, s, round(vaf, 6) AS vaf, round(rel, 6) AS rel_depth, round(near[(len(near) + 1) // 2], 6) AS smooth FROM l""")
 def loh_trace(spark, sf):
-    t = X.genotypes(spark, sf).where(X.part_of("s < 15"))
+    t = X.genotypes(spark, sf)
     return rounded(K.loh_trace(t, "s", "v", 2).select("v", "s", "vaf", "rel_depth", "smooth"), "vaf", "rel_depth", "smooth")
 
 
 @query("variants", """
-SELECT a.v, round(count(*) FILTER (abs(a.pos - b.pos) <= 2000 AND b.ref IN ('G', 'C'))::DOUBLE / nullif(count(*) FILTER (abs(a.pos - b.pos) <= 2000), 0), 6) AS gc4000,
-  round(count(*) FILTER (b.ref IN ('G', 'C'))::DOUBLE / nullif(count(*), 0), 6) AS gc8000
-FROM variants a JOIN variants b ON a.contig = b.contig AND abs(a.pos - b.pos) <= 4000 GROUP BY a.v""")
+SELECT a.v, round(count(b.v) FILTER (abs(a.pos - b.pos) <= 2000 AND b.ref IN ('G', 'C'))::DOUBLE / nullif(count(b.v) FILTER (abs(a.pos - b.pos) <= 2000), 0), 6) AS gc4000,
+  round(count(b.v) FILTER (b.ref IN ('G', 'C'))::DOUBLE / nullif(count(b.v), 0), 6) AS gc8000
+FROM variants a LEFT JOIN (SELECT * FROM variants WHERE length(ref) = 1) b ON a.contig = b.contig AND abs(a.pos - b.pos) <= 4000 GROUP BY a.v""")
 def gc_windows(spark, sf):
     v = X.variants(spark, sf)
     return rounded(K.gc_windows(v, v.select("contig", "pos", F.col("ref").alias("base")), (4000, 8000)), "gc4000", "gc8000")
@@ -218,7 +213,7 @@ def exclusion_track(spark, sf):
 
 
 @query("samples genotypes variants", f"""
-WITH {COUNTS}, f AS (SELECT v, max((n_ra + 2 * n_aa)::DOUBLE / nullif(2 * (n_rr + n_ra + n_aa), 0)) AS m FROM counts GROUP BY v), w AS (SELECT contig, pos - 1 AS start0, pos AS end0 FROM variants JOIN f USING (v) WHERE m >= 0.5), {merged('k', 'w')} SELECT * FROM k""")
+WITH {COUNTS}, f AS (SELECT v, max((n_ra + 2 * n_aa)::DOUBLE / nullif(2 * (n_rr + n_ra + n_aa), 0)) AS m FROM counts GROUP BY v), w AS (SELECT contig, pos - 1 AS start0, pos - 1 + length(ref) AS end0 FROM variants JOIN f USING (v) WHERE m >= 0.5), {merged('k', 'w')} SELECT * FROM k""")
 def common_snp_bed(spark, sf):
     f = counts(spark, sf).groupBy("v").agg(F.max(AF.allele_frequency()).alias("m")).where("m >= 0.5")
     v = X.variants(spark, sf).join(f.select("v"), "v", "left_semi")

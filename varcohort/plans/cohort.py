@@ -29,7 +29,7 @@ QC = """qc AS (SELECT v, count(gt) AS n_called, count(*) FILTER (gt = 0) AS n_ho
 
 @query("genotypes", f"""
 WITH {QC}
-SELECT *, round(n_called / 120.0, 6) AS call_rate, round(ac::DOUBLE / (2 * nullif(n_called, 0)), 6) AS af, round(n_het::DOUBLE / nullif(n_called, 0), 6) AS r_het FROM qc""")
+SELECT *, round(n_called / (SELECT n_samples FROM span), 6) AS call_rate, round(ac::DOUBLE / (2 * nullif(n_called, 0)), 6) AS af, round(n_het::DOUBLE / nullif(n_called, 0), 6) AS r_het FROM qc""")
 def variant_qc(spark, sf):
     return rounded(G.variant_qc(X.genotypes(spark, sf), X.n_samples()), "dp_mean", "dp_stdev", "call_rate", "af", "r_het")
 
@@ -42,11 +42,11 @@ def hwe_chisq(spark, sf):
     return rounded(G.hwe_chisq(G.variant_qc(X.genotypes(spark, sf), X.n_samples())).select("v", "hwe_chisq"), "hwe_chisq")
 
 
-SAMPLE = """a AS (SELECT v, length(ref) = 1 AND length(alt) = 1 AS snp, ref || alt IN ('AG','GA','CT','TC') AS ts FROM variants),
+SAMPLE = """a AS (SELECT v, ref, alt, length(ref) = 1 AND length(alt) = 1 AS snp, ref || alt IN ('AG','GA','CT','TC') AS ts FROM variants),
 c AS (SELECT v, sum(gt) AS site_ac FROM genotypes GROUP BY v),
 sq AS (SELECT s, count(gt) AS n_called, round(avg(dp), 6) AS dp_mean, round(stddev_pop(dp), 6) AS dp_stdev, count(*) FILTER (gt = 1) AS n_het, count(*) FILTER (gt = 2) AS n_hom_var,
-  count(*) FILTER (gt > 0 AND snp) AS n_snp, 0::BIGINT AS n_insertion, 0::BIGINT AS n_deletion, count(*) FILTER (gt > 0 AND site_ac = 1) AS n_singleton,
-  count(*) FILTER (gt > 0 AND snp AND ts) AS n_ti, count(*) FILTER (gt > 0 AND snp AND NOT ts) AS n_tv, round(count(gt) / 299.0, 6) AS call_rate
+  count(*) FILTER (gt > 0 AND snp) AS n_snp, count(*) FILTER (gt > 0 AND NOT snp AND length(ref) < length(alt)) AS n_insertion, count(*) FILTER (gt > 0 AND NOT snp AND length(ref) > length(alt)) AS n_deletion, count(*) FILTER (gt > 0 AND site_ac = 1) AS n_singleton,
+  count(*) FILTER (gt > 0 AND snp AND ts) AS n_ti, count(*) FILTER (gt > 0 AND snp AND NOT ts) AS n_tv, round(count(gt) / (SELECT n_variants FROM span), 6) AS call_rate
   FROM genotypes JOIN a USING (v) JOIN c USING (v) GROUP BY s)"""
 
 
@@ -77,14 +77,14 @@ def sample_tiers(spark, sf):
     return qc.select("s", G.sample_tier(call_rate=0.7, dp=50.0).alias("tier"))
 
 
-@query("variants genotypes", f"""
-WITH {SAMPLE}, keep AS (SELECT s FROM sq WHERE call_rate >= 0.7 AND dp_mean >= 40)
-SELECT v, count(*) AS n, CAST(sum(gt) AS BIGINT) AS ac FROM genotypes WHERE gt IS NOT NULL AND s IN (SELECT s FROM keep) GROUP BY v HAVING sum(gt) > 0""", every=False)
+@query("variants pools", f"""
+WITH {SAMPLE.replace("genotypes", "pools")}, keep AS (SELECT s FROM sq WHERE call_rate >= 0.6 AND dp_mean >= 40)
+SELECT v, count(*) AS n, CAST(sum(gt) AS BIGINT) AS ac FROM pools WHERE gt IS NOT NULL AND s IN (SELECT s FROM keep) GROUP BY v HAVING sum(gt) > 0""")
 def genome_sample_filter(spark, sf):
     """Samples that pass quality control, and the variants that they still carry."""
-    gt = X.genotypes(spark, sf)
+    gt = X.pools(spark, sf)
     qc = rounded(G.sample_qc(gt, X.variants(spark, sf), X.n_variants()), "call_rate", "dp_mean")
-    kept = gt.join(qc.where("call_rate >= 0.7 AND dp_mean >= 40").select("s"), "s", "left_semi").where("gt IS NOT NULL")
+    kept = gt.join(qc.where("call_rate >= 0.6 AND dp_mean >= 40").select("s"), "s", "left_semi").where("gt IS NOT NULL")
     return kept.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum("gt").cast("long").alias("ac")).where("ac > 0")
 
 
@@ -135,9 +135,10 @@ def genotype_counts_by_group(spark, sf):
 
 @query("variants genotypes", """
 WITH a AS (SELECT v, contig, ref, unnest(alts) AS alt, len(alts) AS n FROM variants)
-SELECT (SELECT count(*) FROM a) AS n_snp, 0::BIGINT AS n_insertion, 0::BIGINT AS n_deletion, 0::BIGINT AS n_complex, 0::BIGINT AS n_star, (SELECT count(*) FROM variants) AS n_variants,
+SELECT (SELECT count(*) FROM a WHERE length(ref) = 1 AND length(alt) = 1) AS n_snp, (SELECT count(*) FROM a WHERE length(alt) > length(ref) AND starts_with(alt, ref)) AS n_insertion,
+  (SELECT count(*) FROM a WHERE length(ref) > length(alt) AND starts_with(ref, alt)) AS n_deletion, (SELECT count(*) FROM a WHERE length(ref) > length(alt) AND NOT starts_with(ref, alt)) AS n_complex, 0::BIGINT AS n_star, (SELECT count(*) FROM variants) AS n_variants,
   (SELECT count(*) FROM variants WHERE len(alts) > 1) AS n_multiallelic, (SELECT max(len(alts) + 1) FROM variants)::INT AS max_alleles, (SELECT count(DISTINCT contig) FROM variants) AS n_contigs,
-  (SELECT count(gt) FROM genotypes) AS n_calls, round((SELECT count(gt) FROM genotypes) / ((SELECT count(*) FROM variants) * 120.0), 6) AS call_rate""")
+  (SELECT count(gt) FROM genotypes) AS n_calls, round((SELECT count(gt) FROM genotypes) / ((SELECT count(*) FROM variants) * (SELECT n_samples FROM span)), 6) AS call_rate""")
 def summarize(spark, sf):
     return rounded(G.summarize(X.variants(spark, sf), X.genotypes(spark, sf), X.n_samples()), "call_rate")
 
@@ -197,9 +198,9 @@ def concordance(spark, sf):
     return G.concordance(gt.where("(v + s) % 11 <> 0"), other)
 
 
-@query("genotypes", "SELECT v, max(gt) FILTER (s = 3) AS s3, max(gt) FILTER (s = 30) AS s30, max(gt) FILTER (s = 77) AS s77 FROM genotypes WHERE s IN (3, 30, 77) GROUP BY v")
+@query("pools", f"SELECT v, {', '.join(f'max(gt) FILTER (s = {i}) AS s{i}' for i in range(25))} FROM pools GROUP BY v")
 def genotype_wide(spark, sf):
-    return G.genotype_wide(X.genotypes(spark, sf), [3, 30, 77])
+    return G.genotype_wide(X.pools(spark, sf), list(range(X.n_pools(spark, sf))))
 
 
 @query("variants", """
@@ -214,7 +215,9 @@ def annotate_nonsplit_from_split(spark, sf):
 
 
 @query("variants", """
-SELECT v, contig || ':' || pos || ':' || ref || ':' || alt AS vid, ref || alt NOT IN ('AT', 'TA', 'CG', 'GC') AS strand_specific, ref || alt IN ('AG', 'GA', 'CT', 'TC') AS transition, 'snp' AS category, 'SNV' AS size_class, contig <> 'X' AS autosomal FROM variants""")
+SELECT v, contig || ':' || pos || ':' || ref || ':' || alt AS vid, ref || alt NOT IN ('AT', 'TA', 'CG', 'GC') AS strand_specific, ref || alt IN ('AG', 'GA', 'CT', 'TC') AS transition,
+  CASE WHEN length(ref) = length(alt) THEN 'snp' WHEN length(ref) < length(alt) THEN 'insertion' ELSE 'deletion' END AS category,
+  CASE WHEN length(ref) = length(alt) THEN 'SNV' WHEN length(ref) < length(alt) THEN 'ins_small' ELSE 'del_small' END AS size_class, contig <> 'X' AS autosomal FROM variants""")
 def variant_predicates(spark, sf):
     ref, alt = F.col("ref"), F.col("alt")
     return X.variants(spark, sf).select(

@@ -10,7 +10,7 @@ from ..operators import series as S
 from . import fixtures as X
 from .registry import query, rounded
 
-GENOME = "genome AS (SELECT unnest(['1', '2', '3', '4', 'X']) AS contig, 0::BIGINT AS start0, 110000::BIGINT AS end0)"
+GENOME = "genome AS (SELECT unnest(['1', '2', '3', '4', 'X']) AS contig, 0::BIGINT AS start0, (SELECT length + 10000 FROM span) AS end0)"
 
 
 def genome(spark):
@@ -94,7 +94,7 @@ def interval_coverage(spark, sf):
 
 
 @query("regions", f"""WITH {GENOME}, {EDGES.replace("UNION ALL SELECT contig, end0, -1 FROM regions", "UNION ALL SELECT contig, end0, -1 FROM regions UNION ALL SELECT contig, start0, 0 FROM genome UNION ALL SELECT contig, end0, 0 FROM genome")
-    .replace("HAVING sum(d) <> 0", "HAVING sum(d) <> 0 OR p IN (0, 110000)")}
+    .replace("HAVING sum(d) <> 0", "HAVING sum(d) <> 0 OR p IN (0, (SELECT length + 10000 FROM span))")}
 SELECT contig, start0, end0, depth FROM r WHERE end0 IS NOT NULL""")
 def interval_coverage_all(spark, sf):
     return I.coverage(X.regions(spark, sf), genome(spark))
@@ -120,7 +120,7 @@ def close_regions(spark, sf):
 
 
 @query("variants", f"""
-WITH w AS (SELECT contig, greatest(0, pos - 1 - 1000) AS start0, pos + 1000 AS end0 FROM variants WHERE symbol IN (SELECT min(symbol) FROM variants)),
+WITH w AS (SELECT contig, greatest(0, pos - 1 - 1000) AS start0, pos - 1 + length(ref) + 1000 AS end0 FROM variants WHERE symbol IN (SELECT min(symbol) FROM variants)),
 {GENOME}, {swept('k', 'w', 'genome', 'ina AND inb')} SELECT * FROM k""")
 def gene_regions(spark, sf):
     """Regions of a gene list, padded, clipped to the genome and merged."""
@@ -137,25 +137,21 @@ def coverage_runs(spark, sf):
     return S.coverage_runs(X.trace(spark, sf).withColumnRenamed("series", "contig"), "value", 40.0)
 
 
-@query("variants", """
-WITH t AS (SELECT v, ref, lag(ref) OVER w || ref || lead(ref) OVER w AS x FROM variants WINDOW w AS (PARTITION BY contig ORDER BY pos))
+@query("bases", """
+WITH t AS (SELECT v, ref, CASE WHEN lag(pos) OVER w = pos - 1 AND lead(pos) OVER w = pos + 1 THEN lag(ref) OVER w || ref || lead(ref) OVER w END AS x FROM bases WINDOW w AS (PARTITION BY contig ORDER BY pos))
 SELECT v, CASE WHEN ref IN ('A', 'G') THEN translate(reverse(x), 'ACGT', 'TGCA') ELSE x END AS triplet, ref IN ('A', 'G') AS flipped FROM t""")
 def triplet_context(spark, sf):
-    return S.triplet_context(X.variants(spark, sf)).select("v", "triplet", "flipped")
+    return S.triplet_context(X.bases(spark, sf)).select("v", "triplet", "flipped")
 
 
-@query("variants", """
-WITH t AS (SELECT v, ref, lag(ref) OVER w || ref || lead(ref) OVER w AS x FROM variants WINDOW w AS (PARTITION BY contig ORDER BY pos)),
-c AS (SELECT v, CASE WHEN ref IN ('A', 'G') THEN translate(reverse(x), 'ACGT', 'TGCA') ELSE x END AS class FROM t),
-b AS (SELECT class, count(*) AS background FROM c WHERE class IS NOT NULL GROUP BY class), n AS (SELECT class, count(*) AS n FROM c WHERE v % 4 = 0 GROUP BY class)
-SELECT class, background, coalesce(n, 0) AS n, round(coalesce(n, 0) * 1e6 / background, 6) AS burden FROM b LEFT JOIN n USING (class)""", every="""
-WITH t AS (SELECT v, ref, lag(ref) OVER w || ref || lead(ref) OVER w AS x FROM variants WINDOW w AS (PARTITION BY contig ORDER BY pos)),
+@query("bases", """
+WITH t AS (SELECT v, ref, CASE WHEN lag(pos) OVER w = pos - 1 AND lead(pos) OVER w = pos + 1 THEN lag(ref) OVER w || ref || lead(ref) OVER w END AS x FROM bases WINDOW w AS (PARTITION BY contig ORDER BY pos)),
 c AS (SELECT v, CASE WHEN ref IN ('A', 'G') THEN translate(reverse(x), 'ACGT', 'TGCA') ELSE x END AS class FROM t)
 SELECT class, count(*) AS background, count(*) AS n, round(count(*) * 1e6 / count(*), 6) AS burden FROM c WHERE class IS NOT NULL GROUP BY class""")
 def signature_burden(spark, sf):
-    c = S.triplet_context(X.variants(spark, sf)).select("v", F.col("triplet").alias("class"))
+    c = S.triplet_context(X.bases(spark, sf)).select("v", F.col("triplet").alias("class"))
     background = c.where("class IS NOT NULL").groupBy("class").agg(F.count(F.lit(1)).alias("background"))
-    return rounded(S.signature_burden(c.where(X.part_of("v % 4 = 0")), background), "burden")
+    return rounded(S.signature_burden(c, background), "burden")
 
 
 @query("variants", """

@@ -8,27 +8,19 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fixtures import FOLDED, sql, whole, whole_sql
+from .fixtures import spanned, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(views: str = "", twin: str | None = None, every: bool | str = True) -> Callable:
-    """Registers a function of (spark, sf_dir) under its name; ``twin`` is its SQL over the named views.
-
-    Without a twin it runs over every part and customer. With one over folded views it is registered again, as
-    ``whole_...``, over all of them, with that twin over the whole views; not without
-    ``every``, for what asks most samples for a call. A string is the twin over the whole views.
-    """
+def query(views: str = "", twin: str | None = None) -> Callable:
+    """Registers a function of (spark, sf_dir) under its name; ``twin`` is its SQL over the named views."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f if twin is not None or not every else whole(f)
+        QUERIES[f.__name__] = spanned(f)
         if twin is not None:
             ORACLES[f.__name__] = sql(views, twin) if views else twin
-            if every and FOLDED & set(views.split()):
-                QUERIES[f"whole_{f.__name__}"] = whole(f)
-                ORACLES[f"whole_{f.__name__}"] = whole_sql(views, every if isinstance(every, str) else twin)
         return f
 
     return add

@@ -12,27 +12,31 @@ from . import fixtures as X
 from .frequencies import counts, variant_burden
 from .registry import query, rounded
 
-SCORE = """f AS (SELECT v, count(*) AS n, sum(gt) AS ac FROM genotypes WHERE gt IS NOT NULL GROUP BY v),
-m AS (SELECT models.*, coalesce(n >= 120 * 0.8, false) AS usable, ac::DOUBLE / n AS mean FROM models LEFT JOIN f USING (v)),
+SCORE = """f AS (SELECT v, count(*) AS n, sum(gt) AS ac FROM pools WHERE gt IS NOT NULL GROUP BY v),
+m AS (SELECT models.*, coalesce(n >= (SELECT count(*) FROM nation) * 0.6, false) AS usable, ac::DOUBLE / n AS mean FROM models LEFT JOIN f USING (v)),
 b AS (SELECT id, sum(coef * CASE WHEN usable THEN mean ELSE 2 * aaf END) AS base FROM m GROUP BY id),
-o AS (SELECT id, s, sum(coef * (gt - mean)) AS own FROM m JOIN genotypes USING (v) WHERE usable AND gt IS NOT NULL GROUP BY id, s),
-score AS (SELECT id, s, base + own AS score FROM o JOIN b USING (id))"""
+o AS (SELECT id, s, sum(coef * (gt - mean)) AS own FROM m JOIN pools USING (v) WHERE usable AND gt IS NOT NULL GROUP BY id, s),
+score AS (SELECT b.id, n_nationkey AS s, base + coalesce(own, 0) AS score FROM b CROSS JOIN nation LEFT JOIN o ON o.id = b.id AND o.s = n_nationkey)"""
+
+
+def pool_ids(spark, sf) -> DataFrame:
+    return X.read(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("s"))
 
 
 def scored(spark, sf) -> DataFrame:
-    return S.score(X.genotypes(spark, sf), X.models(spark, sf), X.n_samples(), 0.2)
+    return S.score(X.pools(spark, sf), X.models(spark, sf), pool_ids(spark, sf), 0.4)
 
 
-@query("variants genotypes models", f"WITH {SCORE} SELECT id, s, round(score::DOUBLE, 8) AS score FROM score", every=False)
+@query("variants pools models", f"WITH {SCORE} SELECT id, s, round(score::DOUBLE, 8) AS score FROM score")
 def polygenic_score(spark, sf):
     # seven digits can be exact, and their last a five: eight are asked for
     return scored(spark, sf).withColumn("score", F.round("score", 8))
 
 
-@query("variants genotypes models", f"""
+@query("variants pools models", f"""
 WITH {SCORE}, c AS (SELECT id, score::DOUBLE AS x, avg(score::DOUBLE) OVER (PARTITION BY id) AS m FROM score),
 k AS (SELECT id, avg(x) AS m1, avg((x - m)^2) AS m2, avg((x - m)^3) AS c3, avg((x - m)^4) AS c4 FROM c GROUP BY id)
-SELECT id, round(m1, 6) AS m1, round(m2, 6) AS m2, round(c3 / m2^1.5, 6) AS m3, round(c4 / m2^2, 6) AS m4 FROM k""", every=False)
+SELECT id, round(m1, 6) AS m1, round(m2, 6) AS m2, round(c3 / m2^1.5, 6) AS m3, round(c4 / m2^2, 6) AS m4 FROM k""")
 def score_moments(spark, sf):
     return rounded(S.moments(scored(spark, sf), "id"), "m1", "m2", "m3", "m4")
 
@@ -50,13 +54,13 @@ def cohort_mean_score(spark, sf):
     return rounded(S.cohort_mean_score(af, X.models(spark, sf)), "mean_score")
 
 
-@query(every=False)
+@query()
 def null_scores(spark, sf):
     """Moments of scores by frequency-matched random models, by model and iteration."""
-    gt = X.genotypes(spark, sf)
+    gt = X.pools(spark, sf)
     freq = gt.where("gt IS NOT NULL").groupBy("v").agg((F.sum("gt") / (2 * F.count(F.lit(1)))).alias("af"))
     null = S.null_models(X.models(spark, sf), freq, 20)
-    return rounded(S.moments(S.score(gt, null, X.n_samples(), 0.2, ("iter",)), "id", "iter"), "m1", "m2", "m3", "m4")
+    return rounded(S.moments(S.score(gt, null, pool_ids(spark, sf), 0.4, ("iter",)), "id", "iter"), "m1", "m2", "m3", "m4")
 
 
 @query("trace", """

@@ -13,16 +13,15 @@ from .registry import query
 
 
 def sample_ids(spark, sf) -> list[str]:
-    """Every sample in order, as a header names them; none outside ``whole``."""
-    return [str(r["s"]) for r in X.samples(spark, sf).select("s").orderBy("s").collect()] if X.SPAN.get() else []
+    """Every pooled sample in order, as a header names them."""
+    return [str(r["n_nationkey"]) for r in X.read(spark, sf, "nation").orderBy("n_nationkey").collect()]
 
 
-@query("variants genotypes", "SELECT contig, pos, ref, s::VARCHAR AS s, CASE WHEN gt IS NULL THEN NULL WHEN gt = 2 THEN 1 ELSE 0 END AS a1, CASE WHEN gt IS NULL THEN NULL WHEN gt >= 1 THEN 1 ELSE 0 END AS a2, dp - ad AS rd, ad, dp::INT AS dp FROM genotypes JOIN variants USING (v) WHERE s < 20",
-       every="SELECT contig, pos, ref, s::VARCHAR AS s, CASE WHEN gt IS NULL THEN NULL WHEN gt = 2 THEN 1 ELSE 0 END AS a1, CASE WHEN gt IS NULL THEN NULL WHEN gt >= 1 THEN 1 ELSE 0 END AS a2, dp - ad AS rd, ad, dp::INT AS dp FROM genotypes JOIN variants USING (v)")
+@query("variants pools", "SELECT contig, pos, ref, s::VARCHAR AS s, CASE WHEN gt IS NULL THEN NULL WHEN gt = 2 THEN 1 ELSE 0 END AS a1, CASE WHEN gt IS NULL THEN NULL WHEN gt >= 1 THEN 1 ELSE 0 END AS a2, dp - ad AS rd, ad, dp::INT AS dp FROM pools JOIN variants USING (v)")
 def vcf_genotypes(spark, sf):
     """Genotypes through VCF text and its parser."""
-    gt = X.genotypes(spark, sf).where(X.part_of("s < 20"))
-    ids = sample_ids(spark, sf) or [str(i) for i in range(20)]
+    gt = X.pools(spark, sf)
+    ids = sample_ids(spark, sf)
     call = F.concat(F.when(F.col("gt").isNull(), "./.").when(F.col("gt") == 0, "0/0").when(F.col("gt") == 1, "0|1").otherwise("1/1"), F.lit(":"), (F.col("dp") - F.col("ad")).cast("string"), F.lit(","), F.col("ad").cast("string"), F.lit(":"), F.col("dp").cast("string"))
     wide = gt.groupBy("v").agg(F.map_from_entries(F.collect_list(F.struct(F.col("s").cast("string"), call))).alias("calls")).join(X.variants(spark, sf), "v")
     calls = F.transform(R.texts(ids), lambda s: F.coalesce(F.try_element_at("calls", s), F.lit("-")))
@@ -39,11 +38,10 @@ def vcf_variants(spark, sf):
     return out.select("contig", "pos", "ref", F.size("alts").cast("long").alias("n_alts"), F.col("info")["SVID"].alias("svid"))
 
 
-@query("genotypes", "SELECT v::VARCHAR AS vid, x.s::VARCHAR AS s, g.gt AS dosage FROM (SELECT DISTINCT v FROM genotypes WHERE s IN (1, 2, 3, 50)) k CROSS JOIN (SELECT unnest([1, 2, 3, 50]) AS s) x LEFT JOIN genotypes g USING (v, s)",
-       every="SELECT v::VARCHAR AS vid, x.s::VARCHAR AS s, g.gt AS dosage FROM (SELECT DISTINCT v FROM genotypes) k CROSS JOIN (SELECT c_custkey AS s FROM customer) x LEFT JOIN genotypes g USING (v, s)")
+@query("pools", "SELECT v::VARCHAR AS vid, x.s::VARCHAR AS s, g.gt AS dosage FROM (SELECT DISTINCT v FROM pools) k CROSS JOIN (SELECT n_nationkey AS s FROM nation) x LEFT JOIN pools g USING (v, s)")
 def dosage_text(spark, sf):
-    names = sample_ids(spark, sf) or ["1", "2", "3", "50"]
-    gt = X.genotypes(spark, sf).select(F.col("v").alias("vid"), F.col("s").cast("string").alias("s"), "gt")
+    names = sample_ids(spark, sf)
+    gt = X.pools(spark, sf).select(F.col("v").alias("vid"), F.col("s").cast("string").alias("s"), "gt")
     return R.parse_dosages(W.dosage_lines(gt, names), names).select("vid", "s", F.col("dosage").cast("int").alias("dosage"))
 
 
@@ -55,7 +53,7 @@ def model_text(spark, sf):
     return out.select("id", "vid", F.round("aaf", 6).alias("aaf"), F.round("coef", 6).alias("coef"))
 
 
-@query("variants", "SELECT contig, pos, 'rs' || v AS rsid, ref, alts[1] AS alt, v % 2 = 0 AS reverse FROM variants WHERE contig <> 'X' AND len(alts) = 1 AND ref || alts[1] NOT IN ('AT', 'TA', 'CG', 'GC')")
+@query("variants", "SELECT contig, pos, 'rs' || v AS rsid, ref, alts[1] AS alt, v % 2 = 0 AS reverse FROM variants WHERE contig <> 'X' AND len(alts) = 1 AND length(ref) = 1 AND length(alts[1]) = 1 AND ref || alts[1] NOT IN ('AT', 'TA', 'CG', 'GC')")
 def strand_specific_snvs(spark, sf):
     v = X.variants(spark, sf).withColumn("rsid", F.concat(F.lit("rs"), F.col("v").cast("string")))
     v = v.withColumn("info", F.when(F.col("v") % 2 == 0, F.create_map(F.lit("RV"), F.lit(""))))
@@ -74,14 +72,22 @@ def bed_text(spark, sf):
     return W.bed_lines(X.regions(spark, sf))
 
 
-@query("variants genotypes", "SELECT v, ref, alt, dp - ad AS ref_ad, ad FROM genotypes JOIN variants USING (v) WHERE s = 5 AND gt IS NOT NULL")
+@query("variants genotypes", """
+WITH c AS (SELECT v, s, ref, alts, dp, ad, gt, CASE WHEN gt = 2 THEN 1 ELSE 0 END AS a1, CASE WHEN gt = 0 THEN 0 WHEN len(alts) > 1 AND s % 2 = 0 THEN 2 ELSE 1 END AS a2,
+  CASE WHEN len(alts) > 1 THEN [dp - ad, ad - ad // 2, ad // 2] ELSE [dp - ad, ad] END AS ads FROM genotypes JOIN variants USING (v) WHERE gt IS NOT NULL),
+u AS (SELECT *, unnest(alts) AS alt, generate_subscripts(alts, 1) AS i FROM c)
+SELECT v, s, i::INT AS a_index, ref, alt, (a1 = i)::INT + (a2 = i)::INT AS gt, ads[i + 1] AS ad, dp - ads[i + 1] AS ref_ad FROM u""")
 def downcoded(spark, sf):
-    """Allele reads of one sample after splitting sites and down-coding its genotypes."""
-    g = F.col("gt")
-    raw = X.genotypes(spark, sf).where("s = 5 AND gt IS NOT NULL").select("v", F.when(g == 2, 1).otherwise(0).alias("a1"), F.when(g >= 1, 1).otherwise(0).alias("a2"), F.array(F.col("dp") - F.col("ad"), F.col("ad")).alias("ads"))
-    alleles = G.split_multi(X.variants(spark, sf))
-    out = G.downcode(raw, alleles.where("a_index = 1"), "v")
-    return out.join(alleles.where("a_index = 1").select("v", "ref", "alt"), "v").select("v", "ref", "alt", "ref_ad", "ad")
+    """Genotypes and allele reads of all samples at every alternate, after splitting sites and down-coding."""
+    g, many, half = F.col("gt"), F.size("alts") > 1, F.floor(F.col("ad") / 2)
+    sites = X.variants(spark, sf)
+    calls = X.genotypes(spark, sf).where("gt IS NOT NULL").join(sites.select("v", "alts"), "v")
+    second = F.when(g == 0, 0).when(many & (F.col("s") % 2 == 0), 2).otherwise(1)
+    reads = F.when(many, F.array(F.col("dp") - F.col("ad"), F.col("ad") - half, half)).otherwise(F.array(F.col("dp") - F.col("ad"), F.col("ad")))
+    raw = calls.select("v", "s", F.when(g == 2, 1).otherwise(0).alias("a1"), second.alias("a2"), reads.alias("ads"))
+    alleles = G.split_multi(sites)
+    out = G.downcode(raw, alleles, "v").join(alleles.select("v", "a_index", "ref", "alt"), ["v", "a_index"])
+    return out.select("v", "s", F.col("a_index").cast("int").alias("a_index"), "ref", "alt", F.col("gt").cast("int").alias("gt"), "ad", "ref_ad")
 
 
 @query("variants", "SELECT v, contig, pos FROM variants")
