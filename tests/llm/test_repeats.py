@@ -27,8 +27,9 @@ def test_cover():
     assert {(a - b) % repeats.COVER for a in repeats.SAMPLE for b in repeats.SAMPLE} == set(range(repeats.COVER))
 
 
-@pytest.mark.parametrize("blocks", [400, 4 << 20])
-def test_against_all_windows(spark, small, blocks):
+@pytest.mark.parametrize("blocks,volume,bits,hot", [(400, 50, 64, 1000), (4 << 20, 50_000, 64, 1000), (3000, 7, 8, 1000), (2000, 50_000, 64, 2)])
+def test_against_all_windows(spark, small, blocks, volume, bits, hot):
+    """Whatever the blocks, volumes and hot anchors, and with hashes of eight bits, of which most are chance hits."""
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("abcdé \n") for _ in range(n))
     shared = [word(n) for n in (150, 198, 199, 200, 201, 260, 333, 700, 1500)]
@@ -41,7 +42,7 @@ def test_against_all_windows(spark, small, blocks):
     texts += [texts[-1]] * 4 + [word(100) + shared[-1] + word(50) + shared[-1]]
     texts += [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").limit(60).collect()]
     df = spark.createDataFrame([(i if i else None, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, block int")
-    got = {r["doc_id"]: tuple(r)[1:] for r in repeats.remove_repeats(df, block_bytes=blocks, bucket_bytes=blocks).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in repeats.remove_repeats(df, block_bytes=blocks, bucket_bytes=blocks, volume=volume, hash_bits=bits, hot=hot).collect()}
     want = brute([(t or "").encode() for t in texts])
     assert len(got) == len(texts)
     bad = [(i, got[i if i else None], want[i]) for i in range(len(texts)) if got[i if i else None] != want[i]]
@@ -50,3 +51,20 @@ def test_against_all_windows(spark, small, blocks):
 
 def test_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_texts_and_binary_bytes(spark):
+    """A very long text that repeats itself, and texts of zero bytes."""
+    rng = random.Random(2)
+    part = "".join(rng.choice("abcdefgh ") for _ in range(150_000))
+    texts = [part + "|" + part[1000:90_000], part[50_000:50_400], "\0" * 150, "\0" * 199 + "a", "a" + "\0" * 199 + "b", "\0" * 199 + "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in repeats.remove_repeats(df).collect()}
+    want = brute([t.encode() for t in texts])
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_the_table_is_dropped(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    repeats.remove_repeats(spark.createDataFrame([(1, "x" * 300)], "doc_id long, text string")).count()
+    assert {t.name for t in spark.catalog.listTables()} == before

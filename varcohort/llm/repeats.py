@@ -2,17 +2,20 @@
 
 Any two positions of texts have an offset below ``COVER`` at which both lie in the sample of positions whose
 remainder is in ``SAMPLE`` (a difference cover). So a repeated string of ``length`` bytes begins, at one such
-offset, the same shorter anchor at two sampled positions. Three rounds follow, each of which sorts one
-bucket of suffix keys at a time, whatever its texts:
-
-1. anchors: sampled suffixes, by their first bytes, that occur at least twice;
-2. ranks: such suffixes get the rank of their whole surroundings. Equal ranks are long ties, and resolve every
-   window over the anchor at once. Where one anchor has several ranks, one holder of each goes on;
-3. windows: the remaining windows, by all their bytes.
-
-Only keys travel, in sorted runs for each block and bucket. Texts lie in one bucketed table of blocks, written
-once, and each round reads them where they are. Exact copies are found beforehand, and one of each group
-takes part. Keys are hashes of 64 bits, those of anchors of at least 48, where a chance hit costs work only.
+offset, the same shorter anchor at two sampled positions. Rounds follow, each of which sorts one bucket of suffixes
+at a time, whatever its texts:
+
+1. sieve: sampled suffixes whose anchors' hashes occur once are dropped, nine of ten in prose;
+2. order: the rest are sorted by their bytes. Long ties, suffixes equal in the whole anchor, are resolved by the ranks
+   of the sample, precomputed where the texts lie: a rank is the digest of all that windows over the anchor can
+   hold. Equal ranks settle every window over the anchor at once. Others go on, with one holder of each settled rank;
+3. windows: of what is left open, window hashes that occur once are dropped;
+4. proof: the remaining windows are sorted by the digests of their bytes.
+
+A hash only ever sends something on to the next round: nothing is removed but by equal digests (BLAKE2b, 128 bits) of
+the bytes themselves. Texts lie in one bucketed table of blocks, written once, and each round reads them where they
+are; only keys, anchors and digests travel. Exact copies are found beforehand, by SHA-256, and one of each group takes
+part.
 """
 
 from __future__ import annotations
@@ -20,26 +23,35 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, drop_path, shared_dir
 
 #: A perfect difference set, whose differences are each remainder but 0 once.
 COVER, SAMPLE = 133, (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
 LENGTH = 200
 KEY_BYTES = 6
+DIGEST = 16
+#: Anchors that so many blocks share are dealt out by rank in round 2, over so many parts.
+HOT, PARTS = 1000, 251
+#: Blocks in one partition of the bucketed table, whose buckets Spark bounds.
+VOLUME = 50_000
 BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xD6E8FEB86659FD93)
+#: What a block is told: a row's group of copies, repeated anchors, hot ones, settled ranks, open ranks, repeated window hashes, repeated windows, anchor positions.
+COPY, ANCHOR, HOT_ANCHOR, SETTLED, OPEN, WINDOW, PROVEN, PLACES = range(8)
 
 
 class Hashes:
     """Hashes of substrings of one text after another, from prefix sums of byte values times powers, modulo 2**64."""
 
-    def __init__(self):
+    def __init__(self, bits: int = 64):
+        self.bits = bits  # fewer make more chance hits, and more work, but no other result
         self.values = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
         self.up = self.down = np.ones(1, np.uint64)
 
@@ -55,7 +67,8 @@ class Hashes:
         return self
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.down[start])
+        h = mixed((self.sums[end] - self.sums[start]) * self.down[start])
+        return h if self.bits == 64 else mixed(h >> np.uint64(64 - self.bits))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -64,10 +77,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=DIGEST).digest()
+
+
 class Shape:
     """Which lengths follow from the repeat's length."""
 
-    def __init__(self, length: int = LENGTH):
+    def __init__(self, length: int = LENGTH, hash_bits: int = 64, hot: int = HOT):
+        self.hash_bits, self.hot = hash_bits, hot
         if length < COVER:
             raise ValueError(f"repeats must have {COVER} bytes at least")
         self.length, self.anchor = length, length - COVER + 1
@@ -80,13 +98,22 @@ class Shape:
         last = n - self.anchor + 1
         return np.flatnonzero(np.resize(self.wanted, last)) if last > 0 else np.zeros(0, np.int64)
 
-    def anchors(self, h: Hashes, at: np.ndarray) -> np.ndarray:
+    def keys(self, h: Hashes, n: int) -> np.ndarray:
+        at = self.sampled(n)
         return h.of(at, at + self.anchor)
 
-    def ranks(self, h: Hashes, at: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of all that windows over the anchors can hold, with where the text's ends cut it."""
-        a, e = np.maximum(at - COVER + 1, 0), np.minimum(at + self.length, n)
-        return mixed(h.of(a, e) + np.uint64(0x9FB21C651E98DF25) * (at - a).astype(np.uint64) + np.uint64(0xC2B2AE3D27D4EB4F) * (e - at).astype(np.uint64))
+    def suffixes(self, text: bytes, at: np.ndarray) -> np.ndarray:
+        """The anchors' bytes, a row each."""
+        return np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), self.anchor)[at]
+
+    def ranks(self, text: bytes, at: np.ndarray) -> list[bytes]:
+        """Digests of all that windows over the anchors can hold, with where the text's ends cut it."""
+        n, back, ahead = len(text), COVER - 1, self.length
+        out = []
+        for p in at.tolist():
+            a, e = max(p - back, 0), min(p + ahead, n)
+            out.append(digest(b"%d:%d:" % (p - a, e - p) + text[a:e]))
+        return out
 
     def windows(self, at: np.ndarray, n: int) -> np.ndarray:
         """Starts of all windows over the anchors, each once."""
@@ -116,14 +143,16 @@ def short(keys: np.ndarray, bits: int) -> np.ndarray:
     return high | (keys & LOW)
 
 
-def runs(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
-    """(bucket, from, to) over sorted keys."""
-    if not len(keys):
-        return
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
-        yield int(bucket[a]), a, b
+def buckets(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def runs(of: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to) of an array in runs."""
+    if len(of):
+        cuts = np.flatnonzero(np.diff(of)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)], strict=True):
+            yield int(of[a]), a, b
 
 
 def member(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -139,185 +168,270 @@ def doubled(keys: np.ndarray) -> np.ndarray:
     return np.unique(keys[1:][keys[1:] == keys[:-1]])
 
 
+NONE = np.zeros(0, np.uint64)
+
+
 class Block:
     """The texts of a block that take part, and what the rounds so far have told it."""
 
     def __init__(self, texts: pd.DataFrame, told: pd.DataFrame, shape: Shape, bits: int):
-        self.shape, self.bits, self.hashes = shape, bits, Hashes()
-        flags = told[told["kind"] == 0]
-        self.copy = dict(zip(flags["rid"].tolist(), flags["flag"].tolist(), strict=True))  # 1: takes part, 2: doesn't
+        self.shape, self.bits, self.hashes = shape, bits, Hashes(shape.hash_bits)
+        self.copy, self.places, self.told = {}, {}, {k: [] for k in range(8)}
+        for kind, rid, payload in zip(told["kind"].tolist(), told["rid"].tolist(), told["payload"].tolist(), strict=True):
+            if kind == COPY:
+                rids = np.frombuffer(payload, "<i8").tolist()
+                self.copy.update((r, r == rid) for r in rids)  # whether it takes part for all of them
+            elif kind == PLACES:
+                self.places[int(rid)] = np.frombuffer(payload, "<i8")
+            else:
+                self.told[kind].append(payload)
         self.rows = texts.sort_values("rid")
-        self.told = {k: self.joined(told, k) for k in (1, 2, 3, 4)}
 
-    @staticmethod
-    def joined(told: pd.DataFrame, kind: int) -> np.ndarray:
-        data = told.loc[told["kind"] == kind, "payload"].tolist()
-        return np.sort(np.concatenate([np.frombuffer(d, "<u8") for d in data])) if data else np.zeros(0, np.uint64)
-
-    def texts(self) -> Iterator[tuple[int, bytes, Hashes]]:
-        for rid, text in zip(self.rows["rid"].tolist(), self.rows["text"].tolist(), strict=True):
-            if self.copy.get(rid) != 2 and len(text) >= self.shape.length:
-                yield rid, text, self.hashes.load(text)
+    def keys(self, kind: int) -> np.ndarray:
+        return np.sort(np.concatenate([NONE, *[np.frombuffer(d, "<u8") for d in self.told[kind]]]))
 
-    def anchor_keys(self) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.uint64), *[short(self.shape.anchors(h, self.shape.sampled(len(t))), self.bits) for _, t, h in self.texts()]])
+    def digests(self, kind: int) -> set[bytes]:
+        return {d[i : i + DIGEST] for d in self.told[kind] for i in range(0, len(d), DIGEST)}
 
-    def repeated_anchors(self) -> np.ndarray:
-        return np.union1d(self.told[1], doubled(self.anchor_keys()))
+    def texts(self) -> Iterator[tuple[int, bytes]]:
+        for rid, text in zip(self.rows["rid"].tolist(), self.rows["text"].tolist(), strict=True):
+            if self.copy.get(rid, True) and len(text) >= self.shape.length:
+                yield rid, text
 
-    def chosen(self, repeated: np.ndarray) -> Iterator[tuple[int, bytes, Hashes, np.ndarray, np.ndarray, np.ndarray]]:
-        """Texts with the positions, keys and ranks of their repeated anchors."""
-        for rid, text, h in self.texts():
-            at = self.shape.sampled(len(text))
-            key = short(self.shape.anchors(h, at), self.bits)
+    def emit(self, stage: int) -> Iterator[tuple[int, int, int | None, bytes]]:
+        """(bucket, part of a hot bucket, row, payload); a negative bucket is told to the block as it is."""
+        if stage == 1:
+            found = [short(self.shape.keys(self.hashes.load(t), len(t)), self.bits) for _, t in self.texts()]
+            keys, counts = np.unique(np.concatenate([NONE, *found]), return_counts=True)
+            for bucket, a, b in runs(buckets(keys, self.bits)):
+                yield bucket, 0, None, packed(keys[a:b]) + (counts[a:b] > 1).tobytes()
+        elif stage == 2:
+            yield from self.suffixes()
+        elif stage == 3:
+            keys, counts = np.unique(np.concatenate([NONE, *[k for *_, k in self.open_windows()]]), return_counts=True)
+            for bucket, a, b in runs(buckets(keys, self.bits)):
+                yield bucket, 0, None, keys[a:b].tobytes() + (counts[a:b] > 1).tobytes()
+        else:
+            seen: dict[tuple[int, bytes], bool] = {}
+            for *_, key, own in self.candidates():
+                for pair in zip(buckets(key, self.bits).tolist(), own, strict=True):
+                    seen[pair] = pair in seen
+            order = sorted(seen)
+            for bucket, a, b in runs(np.array([k for k, _ in order], np.int64)):
+                yield bucket, 0, None, b"".join(d for _, d in order[a:b]) + np.array([seen[p] for p in order[a:b]], bool).tobytes()
+
+    def suffixes(self) -> Iterator[tuple[int, int, int | None, bytes]]:
+        repeated, hot = self.keys(ANCHOR), self.keys(HOT_ANCHOR)
+        found: dict[tuple[int, int, bytes, bytes], bool] = {}
+        for rid, text in self.texts():
+            key = short(self.shape.keys(self.hashes.load(text), len(text)), self.bits)
             own = member(repeated, key)
-            if own.any():
-                yield rid, text, h, at[own], key[own], self.shape.ranks(h, at[own], len(text))
+            if not own.any():
+                continue
+            at, key = self.shape.sampled(len(text))[own], key[own]
+            yield -1, 0, rid, at.astype("<i8").tobytes()
+            ranks = self.shape.ranks(text, at)
+            for bucket, is_hot, suffix, rank in zip(buckets(key, self.bits).tolist(), member(hot, key).tolist(), self.shape.suffixes(text, at), ranks, strict=True):
+                case = (bucket, 1 + rank[0] % PARTS if is_hot else 0, suffix.tobytes(), rank)
+                found[case] = case in found
+        order = sorted(found)
+        at = 0
+        while at < len(order):
+            end = at
+            while end < len(order) and order[end][:2] == order[at][:2]:
+                end += 1
+            part = order[at:end]
+            yield *part[0][:2], None, len(part).to_bytes(4, "little") + b"".join(c[2] for c in part) + b"".join(c[3] for c in part) + np.array([found[c] for c in part], bool).tobytes()
+            at = end
+
+    def open_windows(self) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+        """(row, text, starts, hashes) of the windows over anchors whose ranks are open."""
+        wanted = self.digests(OPEN)
+        for rid, text in self.texts() if wanted else ():
+            at = self.places.get(rid)
+            if at is not None:
+                at = at[[r in wanted for r in self.shape.ranks(text, at)]]
+                start = self.shape.windows(at, len(text)) if len(at) else at
+                if len(start):
+                    yield rid, text, start, self.hashes.load(text).of(start, start + self.shape.length)
 
-    def emit(self, stage: int) -> Iterator[tuple[int, bytes]]:
-        if stage == 1:
-            keys = np.unique(self.anchor_keys())
-            for bucket, a, b in runs(keys, self.bits):
-                yield bucket, packed(keys[a:b])
-            return
-        repeated = self.repeated_anchors()
-        if stage == 2:
-            found = [(key, rank) for *_, key, rank in self.chosen(repeated)]
-            if not found:
-                return
-            key, rank = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((rank, key))
-            key, rank = key[order], rank[order]
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (rank[1:] != rank[:-1])])
-            first = np.flatnonzero(new)
-            many = np.diff(np.append(first, len(key))) > 1
-            key, rank = key[first], rank[first]
-            for bucket, a, b in runs(key, self.bits):
-                yield bucket, (b - a).to_bytes(4, "little") + packed(key[a:b]) + rank[a:b].tobytes() + many[a:b].tobytes()
-            return
-        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *[w for *_, w in self.open_windows(repeated)]]))
-        for bucket, a, b in runs(keys, self.bits):
-            yield bucket, keys[a:b].tobytes()
-
-    def open_windows(self, repeated: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(text, starts, keys) of the windows over anchors that were chosen to go on."""
-        for rid, text, h, at, _, rank in self.chosen(repeated):
-            own = member(self.told[3], rank)
+    def candidates(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
+        """(row, starts, hashes, digests) of open windows whose hash is repeated."""
+        again, length = self.keys(WINDOW), self.shape.length
+        for rid, text, start, key in self.open_windows() if len(again) else ():
+            own = member(again, key)
             if own.any():
-                start = self.shape.windows(at[own], len(text))
-                if len(start):
-                    yield rid, start, h.of(start, start + self.shape.length)
+                yield rid, start[own], key[own], [digest(text[s : s + length]) for s in start[own].tolist()]
 
     def finish(self) -> pd.DataFrame:
-        repeated, covered = self.repeated_anchors(), {}
-        open_windows = list(self.open_windows(repeated))
-        again = np.union1d(self.told[4], doubled(np.concatenate([np.zeros(0, np.uint64), *[k for *_, k in open_windows]])))
-        for rid, start, key in open_windows:
-            covered[rid] = [start[member(again, key)]]
-        for rid, text, _, at, _, rank in self.chosen(repeated):
-            own = member(self.told[2], rank)
-            if own.any():
-                covered.setdefault(rid, []).append(self.shape.windows(at[own], len(text)))
+        covered: dict[int, list[np.ndarray]] = {}
+        proven, settled = self.digests(PROVEN), self.digests(SETTLED)
+        for rid, start, _, own in self.candidates() if proven else ():
+            covered[rid] = [start[[d in proven for d in own]]]
+        for rid, text in self.texts() if settled else ():
+            at = self.places.get(rid)
+            if at is not None:
+                at = at[[r in settled for r in self.shape.ranks(text, at)]]
+                covered.setdefault(rid, []).append(self.shape.windows(at, len(text)))
         out, length = [], self.shape.length
         for doc, rid, text in zip(self.rows["doc_id"].array, self.rows["rid"].tolist(), self.rows["text"].tolist(), strict=True):
             n = len(text)
             if rid in self.copy and n >= length:
                 out.append((doc, n, n, 1, hashlib.sha256(b"").hexdigest()))
                 continue
+            if not sum(map(len, covered.get(rid, ()))):
+                out.append((doc, n, 0, 0, hashlib.sha256(text).hexdigest()))
+                continue
             mark = np.zeros(n + 1, np.int64)
-            for start in covered.get(rid, ()):
+            for start in covered[rid]:
                 mark += np.bincount(start, minlength=n + 1) - np.bincount(start + length, minlength=n + 1)
             gone = np.cumsum(mark)[:-1] > 0
             spans = int(np.count_nonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1))
-            kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
-            out.append((doc, n, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+            out.append((doc, n, int(gone.sum()), spans, hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest()))
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def decide(stage: int, bits: int, bucket: int, rows: pd.DataFrame) -> Iterator[tuple[int, int, bytes]]:
+def decide(stage: int, bits: int, shape: Shape, bucket: int, part: int, rows: pd.DataFrame) -> Iterator[tuple[int, int, bytes]]:
     """(block, kind, keys) that a bucket, sorted, tells its blocks."""
     blocks, high = rows["block"].to_numpy(), np.uint64((bucket << (64 - bits)) if bits else 0)
     if stage == 2:
-        keys, ranks, many, owner = [], [], [], []
-        for block, data in zip(blocks, rows["payload"], strict=True):
-            n = int.from_bytes(data[:4], "little")
-            a, b = 4 + KEY_BYTES * n, 4 + (KEY_BYTES + 8) * n
-            keys.append(unpacked(data[4:a]))
-            ranks.append(np.frombuffer(data[a:b], "<u8"))
-            many.append(np.frombuffer(data[b:], bool))
-            owner.append(np.full(n, block))
-        key, rank, many, owner = (np.concatenate(x) for x in (keys, ranks, many, owner))
-        order = np.lexsort((owner, rank, key))
-        key, rank, many, owner = key[order], rank[order], many[order], owner[order]
-        new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        new_rank = new_key | np.concatenate([[True], rank[1:] != rank[:-1]])
-        group = np.cumsum(new_rank) - 1
-        sizes = np.bincount(group)
-        tie = (sizes[group] > 1) | many
-        ranks_of_key = np.bincount(np.cumsum(new_key) - 1, weights=new_rank)[np.cumsum(new_key) - 1]
-        yield from told(owner[tie], rank[tie], 2)
-        on = new_rank & (ranks_of_key > 1)
-        yield from told(owner[on], rank[on], 3)
+        yield from order(shape.anchor, part > 0, blocks, rows["payload"].tolist())
         return
-    parts = [(unpacked(d) | high) if stage == 1 else np.frombuffer(d, "<u8") for d in rows["payload"]]
-    key, owner = np.concatenate(parts), np.repeat(blocks, [len(p) for p in parts])
-    order = np.argsort(key, kind="stable")
-    key, owner = key[order], owner[order]
-    same = key[1:] == key[:-1]
-    twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    yield from told(owner[twice], key[twice], stage if stage == 1 else 4)
+    size = {1: KEY_BYTES, 3: 8, 4: DIGEST}[stage]
+    keys, many, owner = [], [], []
+    for block, data in zip(blocks, rows["payload"], strict=True):
+        n = len(data) // (size + 1)
+        keys.append(data[: n * size])
+        many.append(np.frombuffer(data[n * size :], bool))
+        owner.append(np.full(n, block))
+    many, owner = np.concatenate(many), np.concatenate(owner)
+    if stage == 4:
+        key, group = np.unique(np.frombuffer(b"".join(keys), f"V{DIGEST}").view("<u8").reshape(-1, 2), axis=0, return_inverse=True)
+    else:
+        own = np.concatenate([unpacked(d) | high if stage == 1 else np.frombuffer(d, "<u8") for d in keys])
+        key, group = np.unique(own, return_inverse=True)
+    group = group.ravel()
+    held = np.bincount(group)
+    twice = (held > 1) | (np.bincount(group, weights=many) > 0)
+    own = twice[group]
+    yield from told(owner[own], key[group[own]], {1: ANCHOR, 3: WINDOW, 4: PROVEN}[stage])
+    if stage == 1:
+        hot = held[group] >= shape.hot
+        yield from told(owner[hot], key[group[hot]], HOT_ANCHOR)
+
+
+def order(anchor: int, hot: bool, blocks: np.ndarray, payloads: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """Suffixes of a bucket sorted by their bytes, ties by rank: settled ranks, and those that stay open."""
+    suffix, rank, many, owner = [], [], [], []
+    wide = -(-anchor // 8) * 8
+    for block, data in zip(blocks, payloads, strict=True):
+        n = int.from_bytes(data[:4], "little")
+        a = 4 + n * anchor
+        b = a + n * DIGEST
+        row = np.zeros((n, wide), np.uint8)
+        row[:, :anchor] = np.frombuffer(data[4:a], np.uint8).reshape(n, anchor)
+        suffix.append(row)
+        rank.append(np.frombuffer(data[a:b], np.uint8).reshape(n, DIGEST))
+        many.append(np.frombuffer(data[b:], bool))
+        owner.append(np.full(n, block))
+    suffix, rank = np.concatenate(suffix).view(">u8"), np.concatenate(rank).view(">u8")
+    many, owner = np.concatenate(many), np.concatenate(owner)
+    at = np.lexsort((owner, *rank.T[::-1], *suffix.T[::-1]))
+    suffix, rank, many, owner = suffix[at], rank[at], many[at], owner[at]
+    new = np.concatenate([[True], (suffix[1:] != suffix[:-1]).any(axis=1)])
+    new_rank = new | np.concatenate([[True], (rank[1:] != rank[:-1]).any(axis=1)])
+    group = np.cumsum(new_rank) - 1
+    settled = ((np.bincount(group) > 1) | (np.bincount(group, weights=many) > 0))[group]
+    yield from told(owner[settled], rank[settled], SETTLED)
+    of = np.cumsum(new) - 1
+    mixed_ties = np.bincount(of, weights=new_rank)[of] > 1
+    on = new_rank & (mixed_ties | hot)  # one holder; a hot anchor's other ranks may be in other parts
+    yield from told(owner[on], rank[on], OPEN)
 
 
 def told(owner: np.ndarray, keys: np.ndarray, kind: int) -> Iterator[tuple[int, int, bytes]]:
-    order = np.argsort(owner, kind="stable")
-    owner, keys = owner[order], keys[order]
-    cuts = np.flatnonzero(np.diff(owner)) + 1
-    for part, own in zip(np.split(keys, cuts), np.split(owner, cuts), strict=True):
-        if len(part):
-            yield int(own[0]), kind, np.ascontiguousarray(part).tobytes()
+    at = np.argsort(owner, kind="stable")
+    owner, keys = owner[at], keys[at]
+    for block, a, b in runs(owner):
+        yield block, kind, np.ascontiguousarray(keys[a:b]).tobytes()
 
 
-TOLD = "block int, kind int, rid long, flag int, payload binary"
+TOLD = "block long, kind int, rid long, payload binary"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20) -> DataFrame:
+def copies(table: DataFrame, salts: int = 16) -> DataFrame:
+    """Rows that have exact copies, as told to their blocks: each block's rows of a group, and the row that stands for all.
+
+    A block's rows of one group are one row from the start, and the groups' answers are dealt over ``salts``, so that
+    the commonest text costs a task no more than one row for every ``salts`` blocks.
+    """
+    own = table.groupBy("volume", "block", "sha").agg(F.collect_list("rid").alias("rids"), F.min("rid").alias("least"), F.count(F.lit(1)).alias("n"))
+    own = cut(own, "hashes")
+    part = own.groupBy("sha", F.pmod("block", F.lit(salts)).alias("salt")).agg(F.sum("n").alias("n"), F.min("least").alias("first"))
+    groups = part.groupBy("sha").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1")
+    groups = groups.select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    joined = own.withColumn("salt", F.pmod("block", F.lit(salts)).cast("int")).join(groups, ["sha", "salt"])
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"block": b["block"], "kind": COPY, "rid": b["first"], "payload": [np.asarray(r, "<i8").tobytes() for r in b["rids"]]})
+
+    return joined.select("block", "first", "rids").mapInPandas(pack, TOLD)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int | None = None, bucket_bytes: int = 16 << 20, volume: int = VOLUME, hash_bits: int = 64, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document.
 
     A byte goes if a string of ``length`` bytes over it also begins anywhere else. A null text is empty; texts
     under ``length`` bytes keep everything; a null doc_id is carried; repeated rows are copies of each other and
     lose everything, if long enough; an empty table gives none; further columns are ignored.
+
+    Blocks have 4 MB of text, up to 64 MB where there are very many (or ``block_bytes``); a task holds one block or one
+    bucket of about ``bucket_bytes`` of keys. A single text must fit a task, at about 32 bytes of memory a byte.
     """
-    spark, shape = docs.sparkSession, Shape(length)
+    spark, shape = docs.sparkSession, Shape(length, hash_bits, hot)
     text = F.coalesce(F.col("text"), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text).cast("long")).alias("n")).first()["n"] or 0
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
-    bits = max(0, (total * len(SAMPLE) // COVER * 8 // bucket_bytes).bit_length())
-    name = f"varcohort_blocks_{uuid.uuid4().hex}"
-    rows = docs.select("doc_id", text.cast("binary").alias("text"), F.sha2(text, 256).alias("sha"), F.monotonically_increasing_id().alias("rid"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int"))
-    rows.repartition(blocks, "block").write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(blocks, "block").saveAsTable(name)
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    block_bytes = block_bytes or min(max(4 << 20, total // 20_000), 64 << 20)
+    blocks = max(shuffles, -(-total // block_bytes))
+    volumes = -(-blocks // volume)
+    bits = max((total * len(SAMPLE) // COVER * 8 // bucket_bytes).bit_length(), (2 * shuffles).bit_length())
+    name, at = f"varcohort_blocks_{uuid.uuid4().hex}", f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    rows = docs.select("doc_id", text.cast("binary").alias("text"), F.unhex(F.sha2(text, 256)).alias("sha"), F.monotonically_increasing_id().alias("rid"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks))).withColumn("volume", F.floor(F.col("block") / F.lit(volume)).cast("int"))
+    files = min(blocks, 100 * shuffles, 100_000) if volumes > 1 else blocks
+    rows.repartition(files, "block").write.format("parquet").partitionBy("volume").option("compression", "zstd").option("path", at).bucketBy(min(blocks, volume), "block").saveAsTable(name)
     table = spark.table(name)
 
-    copies = table.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("first")).where("n > 1")
-    flags = table.select("block", "rid", "sha").join(copies, "sha").select("block", F.lit(0).alias("kind"), "rid", F.when(F.col("rid") == F.col("first"), 1).otherwise(2).alias("flag"), F.lit(None).cast("binary").alias("payload"))
-    known = cut(flags, "copies")
+    def beside(known: DataFrame, run, schema: str) -> DataFrame:
+        """``run`` over each block's texts and what it was told, where the texts lie: a bucketed read of each volume."""
+        known = known.withColumn("volume", F.floor(F.col("block") / F.lit(volume)).cast("int"))
+        one = lambda df, v: df.where(F.col("volume") == v).drop("volume").groupBy("block")
+        return reduce(DataFrame.union, [one(table.select("volume", "block", "doc_id", "rid", "text"), v).cogroup(one(known, v)).applyInPandas(run, schema) for v in range(volumes)])
 
-    def round_of(stage: int, known: DataFrame) -> DataFrame:
+    def answers(stage: int, known: DataFrame) -> DataFrame:
         def emit(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
             if texts.empty:
-                return pd.DataFrame({"bucket": [], "block": [], "payload": []})
-            out = list(Block(texts, told, shape, bits).emit(stage))
-            return pd.DataFrame({"bucket": [b for b, _ in out], "block": int(texts["block"].iloc[0]), "payload": [p for _, p in out]})
+                return pd.DataFrame({c: [] for c in ("bucket", "part", "block", "rid", "payload")})
+            block = int(texts["block"].iloc[0])
+            out = [(-1 - block if b < 0 else b, p, block, r, d) for b, p, r, d in Block(texts, told, shape, bits).emit(stage)]
+            return pd.DataFrame(out, columns=["bucket", "part", "block", "rid", "payload"]).astype({"rid": "Int64"})
 
         def sort(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            out = list(decide(stage, bits, int(key[0]), rows))
-            return pd.DataFrame({"block": [o[0] for o in out], "kind": [o[1] for o in out], "rid": None, "flag": None, "payload": [o[2] for o in out]}).astype({"rid": "Int64", "flag": "Int64"})
-
-        sent = table.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(emit, "bucket long, block int, payload binary")
-        return known.unionByName(cut(sent.groupBy("bucket").applyInPandas(sort, TOLD), f"round{stage}"))
-
-    for stage in (1, 2, 3):
-        known = round_of(stage, known)
+            if key[0] < 0:  # anchor positions, for the block itself
+                return pd.DataFrame({"block": rows["block"], "kind": PLACES, "rid": rows["rid"], "payload": rows["payload"]})
+            out = list(decide(stage, bits, shape, int(key[0]), int(key[1]), rows))
+            return pd.DataFrame({"block": [o[0] for o in out], "kind": [o[1] for o in out], "rid": None, "payload": [o[2] for o in out]}).astype({"rid": "Int64"})
+
+        sent = beside(known, emit, "bucket long, part int, block long, rid long, payload binary")
+        return cut(sent.groupBy("bucket", "part").applyInPandas(sort, TOLD), f"round{stage}")
+
+    known = cut(copies(table), "copies")
+    for stage in (1, 2, 3, 4):
+        known = known.unionByName(answers(stage, known))
+        if stage == 2:  # the sieve's keys have done their work
+            known = known.where(~F.col("kind").isin(ANCHOR, HOT_ANCHOR))
     kind = dict(docs.dtypes)["doc_id"]
 
     def finish(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
@@ -326,4 +440,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = 4 <
         out = Block(texts, told, shape, bits).finish()
         return out if kind == "string" else out.astype({"doc_id": "Int64"})
 
-    return table.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = cut(beside(known, finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "kept")
+    spark.sql(f"DROP TABLE {name}")
+    drop_path(spark, at)
+    return out
