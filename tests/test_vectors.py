@@ -153,3 +153,34 @@ def test_split_and_downcode(spark):
     gt = spark.createDataFrame([(1, "s", 1, 2, [3, 4, 5]), (1, "t", None, None, [0, 0, 0])], "v int, s string, a1 int, a2 int, ads array<long>")
     got = {(r["s"], r["a_index"]): (r["gt"], r["ad"], r["ref_ad"]) for r in G.downcode(gt, G.split_multi(v)).collect()}
     assert got == {("s", 1): (1, 4, 8), ("s", 2): (1, 5, 7), ("t", 1): (None, 0, 0), ("t", 2): (None, 0, 0)}
+
+
+def test_subclonal_thresholds():
+    """Fixed vectors; they were recorded with a spread of one."""
+    from varcohort.operators.models import snr_thresholds
+
+    got = snr_thresholds([40, 100, 135], spread=1)
+    assert got[40] is None
+    assert got[100][:2] == (10, 28) and abs(got[100][2] - 0.6601016080599246) < 1e-6 and abs(got[100][3] - 18.0580053085918) < 1e-3
+    assert got[135][:2] == (11, 43) and abs(got[135][2] - 0.8803333325220946) < 1e-6 and abs(got[135][3] - 11.584716396883863) < 1e-3
+    assert [t and t[:2] for t in snr_thresholds([40, 100, 135]).values()] == [None, (10, 28), (11, 43)]
+
+
+def test_tails_at_any_depth(spark):
+    """Least counts against exact integer sums, and at a depth whose terms are below the smallest double."""
+    from math import comb
+
+    from varcohort.operators.calling import mark_fixed
+
+    def least(n, top, bottom):
+        k, tail, whole = n + 1, 0, bottom**n
+        while k and (tail + comb(n, k - 1) * top ** (k - 1) * (bottom - top) ** (n - k + 1)) * 20 < whole:
+            k -= 1
+            tail += comb(n, k) * top**k * (bottom - top) ** (n - k)
+        return k
+
+    rows = [(n, ad, ad >= least(n, 1, 300) and n - ad >= least(n, 1, 100)) for n in (1, 10, 100, 401, 1000) for ad in range(0, n + 1, 1 if n < 50 else 2)]
+    got = mark_fixed(spark.createDataFrame(rows, "dp long, ad long, want boolean")).collect()
+    assert len(got) == len(rows) and all(r["het"] == r["want"] for r in got)
+    deep = mark_fixed(spark.createDataFrame([(3_000_000, 10_100), (3_000_000, 10_200)], "dp long, ad long")).collect()
+    assert sorted((r["ad"], r["het"]) for r in deep) == [(10_100, False), (10_200, True)]

@@ -2,49 +2,88 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.variant import complement
 from .genotype import hwe_chisq, variant_qc
+from .intervals import in_intervals
 from .models import snr_thresholds
-from .stats import binomial_cdf
+from .series import triplet_context
+from .stats import log_choose
 
 
-def subclonal_calls(pile: DataFrame, cap: int = 100, **params: float) -> DataFrame:
-    """Calls of (contig, pos, ref, n_A .. n_T): the commonest other base within the thresholds of its depth.
+def powered(pile: DataFrame, cap: int = 100, **params: float) -> DataFrame:
+    """Loci (contig, pos, ref, n_A .. n_T) that could be called: depth, reads, the commonest other base and its reads, thresholds.
 
-    Depths above ``cap`` are skipped. Thresholds depend on the depth alone: one row a depth, at most ``cap`` of them.
+    Depths above ``cap``, and those at which no threshold reaches the ratio, are skipped. Thresholds depend on the
+    depth alone: one row a depth, at most ``cap`` of them.
     """
     limits = [(d, *t) for d, t in snr_thresholds(list(range(1, cap + 1)), **params).items() if t]
     table = pile.sparkSession.createDataFrame(limits or [(0, 1, 0, 0.0, 0.0)], "dp int, least int, most int, sens double, snr double")
-    others = F.filter(F.array(*[F.struct((-F.col(f"n_{b}")).alias("n"), F.lit(b).alias("base")) for b in "ACGT"]), lambda x: x["base"] != F.col("ref"))
-    best = F.array_min(others)
-    rows = pile.withColumn("dp", F.col("n_A") + F.col("n_C") + F.col("n_G") + F.col("n_T")).withColumn("alt", best["base"]).withColumn("ad", -best["n"])
-    return rows.join(F.broadcast(table), "dp").where((F.col("ad") >= F.col("least")) & (F.col("ad") <= F.col("most"))).drop("least", "most")  # at most ``cap`` rows
+    counts = F.array(*[F.struct((-F.col(f"n_{b}")).alias("n"), F.lit(b).alias("base")) for b in "ACGT"])
+    best = F.array_min(F.filter(counts, lambda x: x["base"] != F.col("ref")))
+    total = F.col("n_A") + F.col("n_C") + F.col("n_G") + F.col("n_T")
+    own = F.coalesce(-F.filter(counts, lambda x: x["base"] == F.col("ref"))[0]["n"], F.lit(0))
+    rows = pile.withColumns({"dp": total, "rd": own, "alt": best["base"], "ad": -best["n"]})
+    return rows.join(F.broadcast(table), "dp")  # at most ``cap`` rows
+
+
+def detected() -> Column:
+    """Whether all other bases' reads together lie within the thresholds."""
+    return (F.col("dp") - F.col("rd")).between(F.col("least"), F.col("most"))
+
+
+def subclonal_calls(pile: DataFrame, cap: int = 100, **params: float) -> DataFrame:
+    """Loci called, with the commonest other base (ties alphabetical), sensitivity and ratio."""
+    return powered(pile, cap, **params).where(detected()).drop("least", "most")
+
 
+def scan_pileup(pile: DataFrame, blacklist: DataFrame, cap: int = 100, key: str = "v", **params: float) -> tuple[DataFrame, DataFrame]:
+    """(calls, opportunity) of a pileup with blacklisted intervals (contig, start0, end0).
 
-def opportunity(pile: DataFrame, cap: int = 100, **params: float) -> DataFrame:
+    Calls carry the reference triplet, turned where its centre is A or G, and the alternate turned with it; the
+    triplet needs the loci on both sides in the pileup, blacklisted or of any depth though they may be, and a call at
+    the end of a stretch has none. Opportunity is the summed sensitivity of powered loci by triplet.
+    """
+    around = triplet_context(pile)
+    tested = in_intervals(powered(around, cap, **params), blacklist, key).where("NOT inside")
+    alt = F.when(F.col("flipped"), complement(F.col("alt"))).otherwise(F.col("alt"))
+    calls = tested.where(detected()).select(key, "contig", "pos", "triplet", alt.alias("alt"), F.when(F.col("flipped"), -1).otherwise(1).alias("strand"), "dp", "rd", "ad", "sens", "snr")
+    return calls, opportunity(tested)
+
+
+def opportunity(tested: DataFrame) -> DataFrame:
     """Summed sensitivity by reference triplet of all loci that could be called."""
-    limits = [(d, t[2]) for d, t in snr_thresholds(list(range(1, cap + 1)), **params).items() if t]
-    table = pile.sparkSession.createDataFrame(limits or [(0, 0.0)], "dp int, sens double")
-    rows = pile.withColumn("dp", F.col("n_A") + F.col("n_C") + F.col("n_G") + F.col("n_T")).join(F.broadcast(table), "dp")  # at most ``cap`` rows
-    return rows.where("triplet IS NOT NULL").groupBy("triplet").agg(F.sum("sens").alias("background"))
+    return tested.where("triplet IS NOT NULL").groupBy("triplet").agg(F.sum("sens").alias("background"))
 
 
-def mark_fixed(trace: DataFrame, eps: float = 0.01, alpha: float = 0.05, cap: int = 400) -> DataFrame:
+def mark_fixed(trace: DataFrame, eps: float = 0.01, alpha: float = 0.05) -> DataFrame:
     """Adds ``het``: neither allele's reads can be errors, by binomial tails at ``eps`` and a third of it.
 
-    The least alternate counts of both tails are a table over depths; deeper loci use the normal tail.
+    The least counts of both tails are found once for each depth that occurs, by the same exact tail at any depth,
+    as Arrow batches, and joined back by depth.
     """
 
     def least(n: int, p: float) -> int:
-        return next((k for k in range(n + 1) if 1 - binomial_cdf(k - 1, n, p) < alpha), n + 1)
-
-    table = trace.sparkSession.createDataFrame([(n, least(n, eps / 3), least(n, eps)) for n in range(cap + 1)], "dp long, k_alt int, k_ref int")
-    wide = lambda p: F.ceil(F.col("dp") * p + 1.645 * F.sqrt(F.col("dp") * p * (1 - p)) + 0.5).cast("int")
-    rows = trace.join(F.broadcast(table), "dp", "left")  # cap + 1 rows
-    k_alt, k_ref = F.coalesce("k_alt", wide(eps / 3)), F.coalesce("k_ref", wide(eps))
-    het = (F.col("ad") >= k_alt) & (F.col("dp") - F.col("ad") >= k_ref)
+        """Smallest k whose upper tail is below ``alpha``; mass further than forty deviations from the mean is nothing."""
+        mean, wide = n * p, 40 * (n * p * (1 - p)) ** 0.5 + 40
+        k = np.arange(max(0, int(mean - wide)), min(n, int(mean + wide)) + 1)
+        pmf = np.exp(log_choose(np.full(len(k), n), k) + k * np.log(p) + (n - k) * np.log1p(-p))
+        rare = np.flatnonzero(np.cumsum(pmf[::-1])[::-1] < alpha)
+        return int(k[rare[0]]) if len(rare) else n + 1
+
+    def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(k_alt=[least(n, eps / 3) for n in b["dp"]], k_ref=[least(n, eps) for n in b["dp"]])
+
+    depths = trace.select(F.col("dp").cast("long").alias("dp")).distinct().where("dp IS NOT NULL")
+    rows = trace.join(depths.mapInPandas(tails, "dp long, k_alt long, k_ref long"), "dp", "left")
+    het = (F.col("ad") >= F.col("k_alt")) & (F.col("dp") - F.col("ad") >= F.col("k_ref"))
     return rows.withColumn("het", het).drop("k_alt", "k_ref")
 
 
@@ -100,14 +139,15 @@ def signature_posterior(calls: DataFrame, weights: DataFrame, load: DataFrame) -
     return rows.withColumn("posterior", F.when(a + b > 0, a / (a + b)))
 
 
-def rescue_with_tags(models: DataFrame, tags: DataFrame, inside: DataFrame) -> DataFrame:
+def rescue_with_tags(models: DataFrame, tags: DataFrame, inside: DataFrame, least: float = 0.9) -> DataFrame:
     """Models (id, v, coef) whose variant lies in trusted regions, or else its nearest tag there, the sign turned with the phase.
 
-    ``tags`` is (v, tag, r2, sign, distance); ``inside`` lists trusted variants. What has no tag is dropped.
+    ``tags`` is (v, tag, r2, sign, distance), those below ``least`` unused; ``inside`` lists trusted variants. What has no
+    tag is dropped.
     """
     ok = models.join(inside.select("v"), "v", "left_semi")
     lost = models.join(inside.select("v"), "v", "left_anti")
-    near = tags.join(inside.select(F.col("v").alias("tag")), "tag", "left_semi").where("r2 >= 0.9")
+    near = tags.join(inside.select(F.col("v").alias("tag")), "tag", "left_semi").where(F.col("r2") >= least)
     first = near.withColumn("__n", F.row_number().over(Window.partitionBy("v").orderBy("distance", "tag"))).where("__n = 1")
     new = lost.join(first, "v").select("id", F.col("tag").alias("v"), (F.col("coef") * F.when(F.col("sign") < 0, -1).otherwise(1)).alias("coef"))
     return ok.select("id", "v", "coef").union(new)
@@ -147,8 +187,6 @@ def band_density(df: DataFrame, group: str, bands: Column, width: Column) -> Dat
 
 def hwe_all_groups(gt: DataFrame, by: DataFrame, group: str, limit: float, key: str = "v") -> DataFrame:
     """Variants whose Hardy-Weinberg chi-square stays below ``limit`` in every group."""
-
-
     g = F.col("gt")
     n = gt.join(by.select("s", group), "s").groupBy(key, group).agg(F.count_if(g == 0).alias("n_hom_ref"), F.count_if(g == 1).alias("n_het"), F.count_if(g == 2).alias("n_hom_var"))
     out = hwe_chisq(n).groupBy(key).agg(F.max("hwe_chisq").alias("worst"))
@@ -157,8 +195,6 @@ def hwe_all_groups(gt: DataFrame, by: DataFrame, group: str, limit: float, key:
 
 def filter_geno_maf_hwe(gt: DataFrame, n_samples: int, geno: float, maf: float, chisq: float, key: str = "v") -> DataFrame:
     """Variants with few missing calls, a common enough minor allele and no departure from Hardy-Weinberg."""
-
-
     qc = hwe_chisq(variant_qc(gt, n_samples, key))
     minor = F.least(F.col("af"), 1 - F.col("af"))
     return qc.where((1 - F.col("call_rate") <= geno) & (minor >= maf) & F.coalesce(F.col("hwe_chisq") < chisq, F.lit(True))).select(key, "call_rate", "af", "hwe_chisq")

@@ -12,6 +12,7 @@ from ..operators import annotate as A
 from ..operators import calling as K
 from ..operators import genotype as G
 from ..operators import intervals as I
+from ..operators import models as M
 from ..operators import series as S
 from ..operators import stats as T
 from . import fixtures as X
@@ -232,20 +233,73 @@ def cohort_count_tables(spark, sf):
     return out.where("cohort IS NOT NULL")
 
 
-@query()
+LIMITS = "limits(dp, least, most, sens, snr) AS (VALUES " + ", ".join(f"({d}, {t[0]}, {t[1]}, {t[2]!r}::DOUBLE, {t[3]!r}::DOUBLE)" for d, t in M.snr_thresholds(list(range(1, 101)), rate=1e-4, snr=1.0).items() if t) + ")"
+
+
+@query("genotypes variants", f"""
+WITH {LIMITS}, p AS (SELECT v, s, dp, CASE WHEN size % 4 = 0 THEN ad - ad // 3 ELSE ad END AS ad, ad AS others, alt FROM genotypes JOIN variants USING (v) WHERE length(ref) = 1 AND length(alt) = 1)
+SELECT v, s, dp::INT AS dp, ad::INT AS ad, alt, round(sens, 6) AS sens, round(snr, 6) AS snr FROM p JOIN limits USING (dp) WHERE others BETWEEN least AND most""")
 def subclonal_calls(spark, sf):
-    """Subclonal calls over a pileup made of genotype depths, a locus for each part and customer."""
-    gt = X.genotypes(spark, sf).join(X.variants(spark, sf).select("v", "contig", "pos", "ref", "alt"), "v").where("dp <= 100")
-    pile = gt.select("v", "s", "contig", "pos", "ref", *[(F.when(F.col("ref") == b, F.col("dp") - F.col("ad")).when(F.col("alt") == b, F.col("ad")).otherwise(0)).cast("int").alias(f"n_{b}") for b in "ACGT"])
+    """Subclonal calls over a pileup made of genotype depths; at every fourth part a third of the alternate reads shows another base."""
+    v = X.variants(spark, sf).where("length(ref) = 1 AND length(alt) = 1")
+    third = F.element_at(F.filter(F.array(*map(F.lit, "TGCA")), lambda b: (b != F.col("ref")) & (b != F.col("alt"))), 1)
+    gt = X.genotypes(spark, sf).join(v.select("v", "contig", "pos", "ref", "alt", "size"), "v").withColumn("third", third)
+    other = F.when(F.col("size") % 4 == 0, F.floor(F.col("ad") / 3)).otherwise(0)
+    reads = lambda b: F.when(F.col("ref") == b, F.col("dp") - F.col("ad")).when(F.col("alt") == b, F.col("ad") - other).when(F.col("third") == b, other).otherwise(0)
+    pile = gt.select("v", "s", "contig", "pos", "ref", *[reads(b).cast("int").alias(f"n_{b}") for b in "ACGT"])
     return rounded(K.subclonal_calls(pile, 100, rate=1e-4, snr=1.0), "sens", "snr").select("v", "s", "dp", "ad", "alt", "sens", "snr")
 
 
-@query()
+def pileup(spark, sf):
+    """Reads at every known base: 60 to 140 of them, up to 20 of the next base in the alphabet, and blacklisted places."""
+    b = X.bases(spark, sf)
+    next_base, ad = F.translate("ref", "ACGT", "CGTA"), (F.col("pos") * 13) % 21
+    n = (60 + (F.col("pos") * 7) % 81).cast("int")
+    reads = lambda x: F.when(F.col("ref") == x, n - ad).when(next_base == x, ad).otherwise(0)
+    black = b.where("pos % 37 = 0").select("contig", (F.col("pos") - 2).alias("start0"), F.col("pos").alias("end0"))
+    return b.select("v", "contig", "pos", "ref", *[reads(x).cast("int").alias(f"n_{x}") for x in "ACGT"]), black
+
+
+SCAN = f"""{LIMITS},
+t AS (SELECT *, translate(ref, 'ACGT', 'CGTA') AS alt, (pos * 13) % 21 AS ad, 60 + (pos * 7) % 81 AS dp,
+  CASE WHEN lag(pos) OVER w = pos - 1 AND lead(pos) OVER w = pos + 1 THEN lag(ref) OVER w || ref || lead(ref) OVER w END AS x, ref IN ('A', 'G') AS turned FROM bases WINDOW w AS (PARTITION BY contig ORDER BY pos)),
+u AS (SELECT v, contig, pos, CASE WHEN turned THEN translate(reverse(x), 'ACGT', 'TGCA') ELSE x END AS triplet, CASE WHEN turned THEN translate(alt, 'ACGT', 'TGCA') ELSE alt END AS alt,
+  CASE WHEN turned THEN -1 ELSE 1 END AS strand, dp::INT AS dp, ad::INT AS ad, least, most, sens, snr FROM t JOIN limits USING (dp)),
+k AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM bases b WHERE b.contig = u.contig AND b.pos % 37 = 0 AND u.pos IN (b.pos, b.pos - 1)))"""
+
+
+@query("bases", f"WITH {SCAN} SELECT v, contig, pos, triplet, alt, strand, dp, dp - ad AS rd, ad, round(sens, 6) AS sens, round(snr, 6) AS snr FROM k WHERE ad BETWEEN least AND most")
+def scan_calls(spark, sf):
+    return rounded(K.scan_pileup(*pileup(spark, sf), rate=1e-4, snr=1.0)[0], "sens", "snr")
+
+
+@query("bases", f"WITH {SCAN} SELECT triplet, round(sum(sens), 6) AS background FROM k WHERE triplet IS NOT NULL GROUP BY triplet")
+def scan_opportunity(spark, sf):
+    return rounded(K.scan_pileup(*pileup(spark, sf), rate=1e-4, snr=1.0)[1], "background")
+
+
+#: Least counts whose upper tail is below 5 %, by summing binomial terms in SQL.
+TAILS = """d AS (SELECT DISTINCT dp FROM genotypes), e AS (SELECT dp, p, which FROM d, (VALUES (0.01::DOUBLE / 3, 'alt'), (0.01::DOUBLE, 'ref')) x(p, which)),
+c AS (SELECT dp, which, k, p, sum(exp(lgamma(dp + 1) - lgamma(k + 1) - lgamma(dp - k + 1) + k * ln(p) + (dp - k) * ln(1 - p))) OVER (PARTITION BY dp, which ORDER BY k) AS upto FROM e, range(0, 60) r(k) WHERE k <= dp),
+t AS (SELECT dp, which, min(k) + 1 AS least FROM c WHERE 1 - upto < 0.05 GROUP BY dp, which), w AS (SELECT dp, max(least) FILTER (which = 'alt') AS k_alt, max(least) FILTER (which = 'ref') AS k_ref FROM t GROUP BY dp)"""
+
+
+@query("genotypes", f"WITH {TAILS} SELECT v, s, ad >= k_alt AND dp - ad >= k_ref AS het FROM genotypes JOIN w USING (dp)")
 def mark_fixed(spark, sf):
     return K.mark_fixed(X.genotypes(spark, sf).select("v", "s", "dp", "ad")).select("v", "s", "het")
 
 
-@query()
+def affinity(name: str, odd: int) -> str:
+    return f"""{name}_r AS (SELECT v, dp / avg(dp) OVER (PARTITION BY s) AS r FROM genotypes WHERE s % 2 = {odd}), {name}_a AS (SELECT v, avg(r) AS a, var_pop(r) AS x FROM {name}_r GROUP BY v),
+{name} AS (SELECT v, a / avg(a) OVER () AS a, x / (avg(a) OVER ())^2 AS x FROM {name}_a)"""
+
+
+@query("genotypes variants", f"""
+WITH {affinity('e', 0)}, {affinity('o', 1)}, j AS (SELECT v, e.a AS a, e.x AS xa, o.a AS b, o.x AS xb FROM e JOIN o USING (v) WHERE 0.3 + (v % 30) / 100.0 BETWEEN 0.3 AND 0.55),
+k AS (SELECT v, a / avg(a) OVER () AS a, xa, b / avg(b) OVER () AS b, xb FROM j),
+l AS (SELECT v, a / avg(a) OVER () AS a, b / avg(b) OVER () AS b, xb FROM k WHERE a BETWEEN 0.5 AND 1.5 AND xa <= 4 * a),
+m AS (SELECT v, a / avg(a) OVER () AS a, b / avg(b) OVER () AS b FROM l WHERE b BETWEEN 0.5 AND 1.5 AND xb <= 4 * b)
+SELECT v, round((a + b) / 2, 6) AS affinity FROM m WHERE abs(a - b) < 0.2""")
 def calibrate_loci(spark, sf):
     gt = X.genotypes(spark, sf)
     v = X.variants(spark, sf)
@@ -254,13 +308,23 @@ def calibrate_loci(spark, sf):
     return rounded(K.calibrate_loci(a, b, gc, delta=0.2), "affinity")
 
 
-@query()
+@query("variants pools models regions", """
+WITH n AS (SELECT a.v AS v1, b.v AS v2, b.pos - a.pos AS distance FROM variants a JOIN variants b ON a.contig = b.contig AND b.pos > a.pos AND b.pos - a.pos <= 3000),
+t AS (SELECT v1, v2, max(distance) AS distance, count(*) AS n, sum(x.gt)::DOUBLE AS sx, sum(y.gt)::DOUBLE AS sy, sum(x.gt * x.gt)::DOUBLE AS sxx, sum(y.gt * y.gt)::DOUBLE AS syy, sum(x.gt * y.gt)::DOUBLE AS sxy
+  FROM n JOIN pools x ON x.v = v1 JOIN pools y ON y.v = v2 AND y.s = x.s WHERE x.gt IS NOT NULL AND y.gt IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT v1, v2, distance, n * sxy < sx * sy AS turned, (n * sxy - sx * sy)^2 / ((n * sxx - sx * sx) * (n * syy - sy * sy)) AS r2 FROM t WHERE n * sxx > sx * sx AND n * syy > sy * sy),
+g AS (SELECT v1 AS v, v2 AS tag, r2, distance, turned FROM l UNION ALL SELECT v2, v1, r2, distance, turned FROM l),
+i AS (SELECT v FROM variants v WHERE EXISTS (SELECT 1 FROM regions r WHERE r.contig = v.contig AND r.start0 <= v.pos - 1 AND v.pos - 1 < r.end0)),
+f AS (SELECT * FROM g WHERE tag IN (SELECT v FROM i) AND round(r2, 9) >= 0.2 QUALIFY row_number() OVER (PARTITION BY v ORDER BY distance, tag) = 1)
+SELECT id, v, coef::DOUBLE AS coef FROM models WHERE v IN (SELECT v FROM i) UNION ALL SELECT id, tag, (CASE WHEN turned THEN -coef ELSE coef END)::DOUBLE FROM models JOIN f USING (v) WHERE v NOT IN (SELECT v FROM i)""")
 def rescue_with_tags(spark, sf):
-    gt, v = X.genotypes(spark, sf), X.variants(spark, sf)
-    r2 = G.ld_r2(gt, v, 3000).withColumn("r2", F.lit(0.9) + F.col("r2") / 10)
-    tags = r2.select(F.col("v1").alias("v"), F.col("v2").alias("tag"), "r2", "sign", F.lit(1).alias("distance")).union(r2.select("v2", "v1", "r2", "sign", F.lit(1)))
+    gt, v = X.pools(spark, sf), X.variants(spark, sf)
+    at = v.select("v", "pos")
+    r2 = G.ld_r2(gt, v, 3000).join(at.select(F.col("v").alias("v1"), F.col("pos").alias("p1")), "v1").join(at.select(F.col("v").alias("v2"), F.col("pos").alias("p2")), "v2")
+    r2 = r2.withColumn("r2", F.round("r2", 9)).withColumn("distance", F.col("p2") - F.col("p1"))
+    tags = r2.select(F.col("v1").alias("v"), F.col("v2").alias("tag"), "r2", "sign", "distance").union(r2.select("v2", "v1", "r2", "sign", "distance"))
     inside = I.in_intervals(v, X.regions(spark, sf)).where("inside").select("v")
-    return K.rescue_with_tags(X.models(spark, sf), tags, inside)
+    return K.rescue_with_tags(X.models(spark, sf), tags, inside, 0.2)
 
 
 @query()
