@@ -10,7 +10,7 @@ at a time, whatever its texts:
    of the sample, precomputed where the texts lie: a rank is the digest of all that windows over the anchor can
    hold. Equal ranks settle every window over the anchor at once. Others go on, with one holder of each settled rank;
 3. windows: of what is left open, window hashes that occur once are dropped;
-4. proof: the remaining windows are sorted by the digests of their bytes.
+4. proof: the remaining windows are sorted by the digests of their bytes, and those that no other equals are taken out.
 
 A hash only ever sends something on to the next round: nothing is removed but by equal digests (BLAKE2b, 128 bits) of
 the bytes themselves. Texts lie in one bucketed table of blocks, written once, and each round reads them where they
@@ -43,8 +43,9 @@ HOT, PARTS = 1000, 251
 VOLUME = 50_000
 BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xD6E8FEB86659FD93)
-#: What a block is told: a row's group of copies, repeated anchors, hot ones, settled ranks, open ranks, repeated window hashes, repeated windows, anchor positions.
-COPY, ANCHOR, HOT_ANCHOR, SETTLED, OPEN, WINDOW, PROVEN, PLACES = range(8)
+#: What a block is told: rows that are copies, repeated anchors, hot ones, settled ranks and open ones (by the block's own
+#: numbers), repeated window hashes, windows that share a hash with others but no bytes, anchor positions.
+COPY, ANCHOR, HOT_ANCHOR, SETTLED, OPEN, WINDOW, APART, PLACES = range(8)
 
 
 class Hashes:
@@ -106,14 +107,15 @@ class Shape:
         """The anchors' bytes, a row each."""
         return np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), self.anchor)[at]
 
-    def ranks(self, text: bytes, at: np.ndarray) -> list[bytes]:
-        """Digests of all that windows over the anchors can hold, with where the text's ends cut it."""
+    def ranks(self, text: bytes, at: np.ndarray) -> bytes:
+        """Digests of all that windows over the anchors can hold, with where the text's ends cut it, joined."""
         n, back, ahead = len(text), COVER - 1, self.length
+        inner, whole = b"%d:%d:" % (back, ahead), (at >= back) & (at + ahead <= n)
         out = []
-        for p in at.tolist():
-            a, e = max(p - back, 0), min(p + ahead, n)
-            out.append(digest(b"%d:%d:" % (p - a, e - p) + text[a:e]))
-        return out
+        for p, fits in zip(at.tolist(), whole.tolist(), strict=True):
+            a, e = (p - back, p + ahead) if fits else (max(p - back, 0), min(p + ahead, n))
+            out.append(digest((inner if fits else b"%d:%d:" % (p - a, e - p)) + text[a:e]))
+        return b"".join(out)
 
     def windows(self, at: np.ndarray, n: int) -> np.ndarray:
         """Starts of all windows over the anchors, each once."""
@@ -182,97 +184,126 @@ class Block:
                 rids = np.frombuffer(payload, "<i8").tolist()
                 self.copy.update((r, r == rid) for r in rids)  # whether it takes part for all of them
             elif kind == PLACES:
-                self.places[int(rid)] = np.frombuffer(payload, "<i8")
+                self.places = self.unpack(payload)
             else:
                 self.told[kind].append(payload)
         self.rows = texts.sort_values("rid")
 
-    def keys(self, kind: int) -> np.ndarray:
-        return np.sort(np.concatenate([NONE, *[np.frombuffer(d, "<u8") for d in self.told[kind]]]))
+    @staticmethod
+    def unpack(payload: bytes) -> dict[int, np.ndarray]:
+        """Rows (text, position, rank number) by text."""
+        table = np.frombuffer(payload, "<i8").reshape(3, -1)
+        cuts = np.flatnonzero(np.diff(table[0])) + 1
+        return {int(part[0, 0]): part[1:] for part in np.split(table, cuts, axis=1) if part.size}
 
-    def digests(self, kind: int) -> set[bytes]:
-        return {d[i : i + DIGEST] for d in self.told[kind] for i in range(0, len(d), DIGEST)}
+    def numbers(self, kind: int, of: str = "<u8") -> np.ndarray:
+        return np.sort(np.concatenate([np.zeros(0, of), *[np.frombuffer(d, of) for d in self.told[kind]]]))
 
     def texts(self) -> Iterator[tuple[int, bytes]]:
         for rid, text in zip(self.rows["rid"].tolist(), self.rows["text"].tolist(), strict=True):
             if self.copy.get(rid, True) and len(text) >= self.shape.length:
                 yield rid, text
 
-    def emit(self, stage: int) -> Iterator[tuple[int, int, int | None, bytes]]:
-        """(bucket, part of a hot bucket, row, payload); a negative bucket is told to the block as it is."""
-        if stage == 1:
-            found = [short(self.shape.keys(self.hashes.load(t), len(t)), self.bits) for _, t in self.texts()]
-            keys, counts = np.unique(np.concatenate([NONE, *found]), return_counts=True)
-            for bucket, a, b in runs(buckets(keys, self.bits)):
-                yield bucket, 0, None, packed(keys[a:b]) + (counts[a:b] > 1).tobytes()
-        elif stage == 2:
+    def emit(self, stage: int) -> Iterator[tuple[int, int, bytes]]:
+        """(bucket, part of a hot bucket, payload); a negative bucket is told to the block as it is."""
+        if stage == 2:
             yield from self.suffixes()
-        elif stage == 3:
-            keys, counts = np.unique(np.concatenate([NONE, *[k for *_, k in self.open_windows()]]), return_counts=True)
-            for bucket, a, b in runs(buckets(keys, self.bits)):
-                yield bucket, 0, None, keys[a:b].tobytes() + (counts[a:b] > 1).tobytes()
+        elif stage == 4:
+            yield from self.proofs()
         else:
-            seen: dict[tuple[int, bytes], bool] = {}
-            for *_, key, own in self.candidates():
-                for pair in zip(buckets(key, self.bits).tolist(), own, strict=True):
-                    seen[pair] = pair in seen
-            order = sorted(seen)
-            for bucket, a, b in runs(np.array([k for k, _ in order], np.int64)):
-                yield bucket, 0, None, b"".join(d for _, d in order[a:b]) + np.array([seen[p] for p in order[a:b]], bool).tobytes()
-
-    def suffixes(self) -> Iterator[tuple[int, int, int | None, bytes]]:
-        repeated, hot = self.keys(ANCHOR), self.keys(HOT_ANCHOR)
-        found: dict[tuple[int, int, bytes, bytes], bool] = {}
+            if stage == 1:
+                found = [short(self.shape.keys(self.hashes.load(t), len(t)), self.bits) for _, t in self.texts()]
+            else:
+                found = [k for *_, k in self.open_windows()]
+            keys, counts = np.unique(np.concatenate([NONE, *found]), return_counts=True)
+            for bucket, a, b in runs(buckets(keys, self.bits)):
+                yield bucket, 0, (packed(keys[a:b]) if stage == 1 else keys[a:b].tobytes()) + (counts[a:b] > 1).tobytes()
+
+    def suffixes(self) -> Iterator[tuple[int, int, bytes]]:
+        repeated, hot = self.numbers(ANCHOR), self.numbers(HOT_ANCHOR)
+        rids, places, keys, suffixes, ranks = [], [], [NONE], [], []
         for rid, text in self.texts():
             key = short(self.shape.keys(self.hashes.load(text), len(text)), self.bits)
             own = member(repeated, key)
-            if not own.any():
-                continue
-            at, key = self.shape.sampled(len(text))[own], key[own]
-            yield -1, 0, rid, at.astype("<i8").tobytes()
-            ranks = self.shape.ranks(text, at)
-            for bucket, is_hot, suffix, rank in zip(buckets(key, self.bits).tolist(), member(hot, key).tolist(), self.shape.suffixes(text, at), ranks, strict=True):
-                case = (bucket, 1 + rank[0] % PARTS if is_hot else 0, suffix.tobytes(), rank)
-                found[case] = case in found
-        order = sorted(found)
-        at = 0
-        while at < len(order):
-            end = at
-            while end < len(order) and order[end][:2] == order[at][:2]:
-                end += 1
-            part = order[at:end]
-            yield *part[0][:2], None, len(part).to_bytes(4, "little") + b"".join(c[2] for c in part) + b"".join(c[3] for c in part) + np.array([found[c] for c in part], bool).tobytes()
-            at = end
+            if own.any():
+                at = self.shape.sampled(len(text))[own]
+                rids.append(np.full(len(at), rid))
+                places.append(at)
+                keys.append(key[own])
+                suffixes.append(self.shape.suffixes(text, at))
+                ranks.append(self.shape.ranks(text, at))
+        if not rids:
+            return
+        key, suffix = np.concatenate(keys), np.concatenate(suffixes)
+        rank = np.frombuffer(b"".join(ranks), np.uint8).reshape(-1, DIGEST)
+        part = np.where(member(hot, key), 1 + rank[:, 0].astype(np.int64) % PARTS, 0)
+        bucket = buckets(key, self.bits)
+        words = rank.view(">u8")
+        order = np.lexsort((words[:, 1], words[:, 0], key, part, bucket))
+        cols = np.stack([bucket.astype(np.uint64), part.astype(np.uint64), key, words[:, 0], words[:, 1]])[:, order]
+        new = np.concatenate([[True], (cols[:, 1:] != cols[:, :-1]).any(axis=0)])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        first = order[new]
+        many = np.bincount(number) > 1
+        yield -1, 0, np.stack([np.concatenate(rids), np.concatenate(places), number]).astype("<i8").tobytes()
+        for case, a, b in runs(bucket[first] * (PARTS + 1) + part[first]):
+            own = first[a:b]
+            yield *divmod(case, PARTS + 1), (b - a).to_bytes(4, "little") + suffix[own].tobytes() + rank[own].tobytes() + np.arange(a, b, dtype="<i4").tobytes() + many[a:b].tobytes()
 
     def open_windows(self) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
         """(row, text, starts, hashes) of the windows over anchors whose ranks are open."""
-        wanted = self.digests(OPEN)
-        for rid, text in self.texts() if wanted else ():
-            at = self.places.get(rid)
-            if at is not None:
-                at = at[[r in wanted for r in self.shape.ranks(text, at)]]
-                start = self.shape.windows(at, len(text)) if len(at) else at
+        wanted = self.numbers(OPEN, "<i4")
+        for rid, text in self.texts() if len(wanted) else ():
+            if rid in self.places:
+                at, number = self.places[rid]
+                own = member(wanted, number)
+                start = self.shape.windows(at[own], len(text)) if own.any() else at[:0]
                 if len(start):
                     yield rid, text, start, self.hashes.load(text).of(start, start + self.shape.length)
 
-    def candidates(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
-        """(row, starts, hashes, digests) of open windows whose hash is repeated."""
-        again, length = self.keys(WINDOW), self.shape.length
+    def candidates(self) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+        """(row, text, starts, hashes) of open windows whose hash is repeated."""
+        again = self.numbers(WINDOW)
         for rid, text, start, key in self.open_windows() if len(again) else ():
             own = member(again, key)
             if own.any():
-                yield rid, start[own], key[own], [digest(text[s : s + length]) for s in start[own].tolist()]
+                yield rid, text, start[own], key[own]
+
+    def digests(self, text: bytes, start: np.ndarray) -> bytes:
+        make, length = hashlib.blake2b, self.shape.length
+        return b"".join([make(text[s : s + length], digest_size=DIGEST).digest() for s in start.tolist()])
+
+    def proofs(self) -> Iterator[tuple[int, int, bytes]]:
+        """Distinct windows as (hash, digest), in order of their hashes."""
+        found = [(key, self.digests(text, start)) for _, text, start, key in self.candidates()]
+        if not found:
+            return
+        key, own = np.concatenate([k for k, _ in found]), np.frombuffer(b"".join(d for _, d in found), "<u8").reshape(-1, 2)
+        order = np.lexsort((own[:, 1], own[:, 0], key))
+        table = np.column_stack([key, own])[order]
+        new = np.concatenate([[True], (table[1:] != table[:-1]).any(axis=1)])
+        many, table = np.bincount(np.cumsum(new) - 1) > 1, table[new]
+        for bucket, a, b in runs(buckets(table[:, 0], self.bits)):
+            yield bucket, 0, table[a:b].tobytes() + many[a:b].tobytes()
 
     def finish(self) -> pd.DataFrame:
         covered: dict[int, list[np.ndarray]] = {}
-        proven, settled = self.digests(PROVEN), self.digests(SETTLED)
-        for rid, start, _, own in self.candidates() if proven else ():
-            covered[rid] = [start[[d in proven for d in own]]]
-        for rid, text in self.texts() if settled else ():
-            at = self.places.get(rid)
-            if at is not None:
-                at = at[[r in settled for r in self.shape.ranks(text, at)]]
-                covered.setdefault(rid, []).append(self.shape.windows(at, len(text)))
+        apart = np.frombuffer(b"".join(self.told[APART]), "<u8").reshape(-1, 3)
+        doubtful, alone = np.unique(apart[:, 0]), {row.tobytes() for row in apart}
+        for rid, text, start, key in self.candidates():
+            ask = np.flatnonzero(member(doubtful, key))
+            if len(ask):
+                own = np.frombuffer(self.digests(text, start[ask]), "<u8").reshape(-1, 2)
+                start = np.delete(start, ask[[row.tobytes() in alone for row in np.column_stack([key[ask], own])]])
+            covered[rid] = [start]
+        settled = self.numbers(SETTLED, "<i4")
+        for rid, text in self.texts() if len(settled) else ():
+            if rid in self.places:
+                at, number = self.places[rid]
+                own = member(settled, number)
+                if own.any():
+                    covered.setdefault(rid, []).append(self.shape.windows(at[own], len(text)))
         out, length = [], self.shape.length
         for doc, rid, text in zip(self.rows["doc_id"].array, self.rows["rid"].tolist(), self.rows["text"].tolist(), strict=True):
             n = len(text)
@@ -297,7 +328,7 @@ def decide(stage: int, bits: int, shape: Shape, bucket: int, part: int, rows: pd
     if stage == 2:
         yield from order(shape.anchor, part > 0, blocks, rows["payload"].tolist())
         return
-    size = {1: KEY_BYTES, 3: 8, 4: DIGEST}[stage]
+    size = {1: KEY_BYTES, 3: 8, 4: 8 + DIGEST}[stage]
     keys, many, owner = [], [], []
     for block, data in zip(blocks, rows["payload"], strict=True):
         n = len(data) // (size + 1)
@@ -306,47 +337,52 @@ def decide(stage: int, bits: int, shape: Shape, bucket: int, part: int, rows: pd
         owner.append(np.full(n, block))
     many, owner = np.concatenate(many), np.concatenate(owner)
     if stage == 4:
-        key, group = np.unique(np.frombuffer(b"".join(keys), f"V{DIGEST}").view("<u8").reshape(-1, 2), axis=0, return_inverse=True)
+        own = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 3)
+        at = np.lexsort(own.T[::-1])
+        new = np.concatenate([[True], (own[at[1:]] != own[at[:-1]]).any(axis=1)])
+        group = np.empty(len(at), np.int64)
+        group[at] = np.cumsum(new) - 1
     else:
         own = np.concatenate([unpacked(d) | high if stage == 1 else np.frombuffer(d, "<u8") for d in keys])
-        key, group = np.unique(own, return_inverse=True)
-    group = group.ravel()
+        _, group = np.unique(own, return_inverse=True)
     held = np.bincount(group)
-    twice = (held > 1) | (np.bincount(group, weights=many) > 0)
-    own = twice[group]
-    yield from told(owner[own], key[group[own]], {1: ANCHOR, 3: WINDOW, 4: PROVEN}[stage])
+    twice = ((held > 1) | (np.bincount(group, weights=many) > 0))[group]
+    if stage == 4:
+        yield from told(owner[~twice], own[~twice], APART)
+        return
+    yield from told(owner[twice], own[twice], ANCHOR if stage == 1 else WINDOW)
     if stage == 1:
         hot = held[group] >= shape.hot
-        yield from told(owner[hot], key[group[hot]], HOT_ANCHOR)
+        yield from told(owner[hot], own[hot], HOT_ANCHOR)
 
 
 def order(anchor: int, hot: bool, blocks: np.ndarray, payloads: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
     """Suffixes of a bucket sorted by their bytes, ties by rank: settled ranks, and those that stay open."""
-    suffix, rank, many, owner = [], [], [], []
+    suffix, rank, number, many, owner = [], [], [], [], []
     wide = -(-anchor // 8) * 8
     for block, data in zip(blocks, payloads, strict=True):
         n = int.from_bytes(data[:4], "little")
         a = 4 + n * anchor
-        b = a + n * DIGEST
+        b, c = a + n * DIGEST, a + n * (DIGEST + 4)
         row = np.zeros((n, wide), np.uint8)
         row[:, :anchor] = np.frombuffer(data[4:a], np.uint8).reshape(n, anchor)
         suffix.append(row)
         rank.append(np.frombuffer(data[a:b], np.uint8).reshape(n, DIGEST))
-        many.append(np.frombuffer(data[b:], bool))
+        number.append(np.frombuffer(data[b:c], "<i4"))
+        many.append(np.frombuffer(data[c:], bool))
         owner.append(np.full(n, block))
     suffix, rank = np.concatenate(suffix).view(">u8"), np.concatenate(rank).view(">u8")
-    many, owner = np.concatenate(many), np.concatenate(owner)
+    number, many, owner = np.concatenate(number), np.concatenate(many), np.concatenate(owner)
     at = np.lexsort((owner, *rank.T[::-1], *suffix.T[::-1]))
-    suffix, rank, many, owner = suffix[at], rank[at], many[at], owner[at]
+    suffix, rank, number, many, owner = suffix[at], rank[at], number[at], many[at], owner[at]
     new = np.concatenate([[True], (suffix[1:] != suffix[:-1]).any(axis=1)])
     new_rank = new | np.concatenate([[True], (rank[1:] != rank[:-1]).any(axis=1)])
     group = np.cumsum(new_rank) - 1
     settled = ((np.bincount(group) > 1) | (np.bincount(group, weights=many) > 0))[group]
-    yield from told(owner[settled], rank[settled], SETTLED)
+    yield from told(owner[settled], number[settled], SETTLED)
     of = np.cumsum(new) - 1
-    mixed_ties = np.bincount(of, weights=new_rank)[of] > 1
-    on = new_rank & (mixed_ties | hot)  # one holder; a hot anchor's other ranks may be in other parts
-    yield from told(owner[on], rank[on], OPEN)
+    on = new_rank & ((np.bincount(of, weights=new_rank)[of] > 1) | hot)  # one holder; a hot anchor's other ranks may be in other parts
+    yield from told(owner[on], number[on], OPEN)
 
 
 def told(owner: np.ndarray, keys: np.ndarray, kind: int) -> Iterator[tuple[int, int, bytes]]:
@@ -379,7 +415,7 @@ def copies(table: DataFrame, salts: int = 16) -> DataFrame:
     return joined.select("block", "first", "rids").mapInPandas(pack, TOLD)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int | None = None, bucket_bytes: int = 16 << 20, volume: int = VOLUME, hash_bits: int = 64, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int | None = None, bucket_bytes: int = 4 << 20, volume: int = VOLUME, hash_bits: int = 64, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document.
 
     A byte goes if a string of ``length`` bytes over it also begins anywhere else. A null text is empty; texts
@@ -396,7 +432,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int | Non
     block_bytes = block_bytes or min(max(4 << 20, total // 20_000), 64 << 20)
     blocks = max(shuffles, -(-total // block_bytes))
     volumes = -(-blocks // volume)
-    bits = max((total * len(SAMPLE) // COVER * 8 // bucket_bytes).bit_length(), (2 * shuffles).bit_length())
+    bits = (total * len(SAMPLE) // COVER * 8 // bucket_bytes).bit_length()
     name, at = f"varcohort_blocks_{uuid.uuid4().hex}", f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
     rows = docs.select("doc_id", text.cast("binary").alias("text"), F.unhex(F.sha2(text, 256)).alias("sha"), F.monotonically_increasing_id().alias("rid"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks))).withColumn("volume", F.floor(F.col("block") / F.lit(volume)).cast("int"))
@@ -413,18 +449,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int | Non
     def answers(stage: int, known: DataFrame) -> DataFrame:
         def emit(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
             if texts.empty:
-                return pd.DataFrame({c: [] for c in ("bucket", "part", "block", "rid", "payload")})
+                return pd.DataFrame({c: [] for c in ("bucket", "part", "block", "payload")})
             block = int(texts["block"].iloc[0])
-            out = [(-1 - block if b < 0 else b, p, block, r, d) for b, p, r, d in Block(texts, told, shape, bits).emit(stage)]
-            return pd.DataFrame(out, columns=["bucket", "part", "block", "rid", "payload"]).astype({"rid": "Int64"})
+            out = [(-1 - block if b < 0 else b, p, block, d) for b, p, d in Block(texts, told, shape, bits).emit(stage)]
+            return pd.DataFrame(out, columns=["bucket", "part", "block", "payload"])
 
         def sort(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             if key[0] < 0:  # anchor positions, for the block itself
-                return pd.DataFrame({"block": rows["block"], "kind": PLACES, "rid": rows["rid"], "payload": rows["payload"]})
+                return pd.DataFrame({"block": rows["block"], "kind": PLACES, "rid": None, "payload": rows["payload"]}).astype({"rid": "Int64"})
             out = list(decide(stage, bits, shape, int(key[0]), int(key[1]), rows))
             return pd.DataFrame({"block": [o[0] for o in out], "kind": [o[1] for o in out], "rid": None, "payload": [o[2] for o in out]}).astype({"rid": "Int64"})
 
-        sent = beside(known, emit, "bucket long, part int, block long, rid long, payload binary")
+        sent = beside(known, emit, "bucket long, part int, block long, payload binary")
         return cut(sent.groupBy("bucket", "part").applyInPandas(sort, TOLD), f"round{stage}")
 
     known = cut(copies(table), "copies")
