@@ -1,7 +1,8 @@
 """Ordered operations in two levels, so that no key is one task's work.
 
 Rows of a key are cut into blocks of positions. Sums and neighbours inside a block come from a window over that
-block; what crosses blocks comes from a table with one row a block. Positions must be unique within a key.
+block; what crosses blocks comes from the window's own first row of each block, so the rows are shuffled once and both
+uses read that shuffle. Positions must be unique within a key.
 """
 
 from __future__ import annotations
@@ -12,37 +13,34 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 20
 
 
-def _blocks(df: DataFrame, by: str, pos: str, size: int) -> DataFrame:
+def blocks(df: DataFrame, pos: str, size: int) -> DataFrame:
     return df.withColumn("__block", F.floor(F.col(pos) / F.lit(size)))
 
 
 def running_sum(df: DataFrame, by: str, pos: str, columns: list[str], size: int = BLOCK) -> DataFrame:
     """Adds ``run_<c>``: the sum of each column over the key's rows up to this one."""
-    rows = _blocks(df, by, pos, size)
-    totals = rows.groupBy(by, "__block").agg(*[F.sum(c).alias(f"__t_{c}") for c in columns])
+    block = Window.partitionBy(by, "__block")
+    upto = block.orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    rows = blocks(df, pos, size).select("*", F.row_number().over(block.orderBy(pos)).alias("__n"), *[F.sum(c).over(upto).alias(f"__r_{c}") for c in columns], *[F.sum(c).over(block).alias(f"__t_{c}") for c in columns])
     before = Window.partitionBy(by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(by, "__block", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in columns])
-    inside = Window.partitionBy(by, "__block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.select("*", *[F.sum(c).over(inside).alias(f"__r_{c}") for c in columns]).join(offsets, [by, "__block"])
-    return out.select(*df.columns, *[(F.col(f"__r_{c}") + F.col(f"__o_{c}")).alias(f"run_{c}") for c in columns])
+    offsets = rows.where("__n = 1").select(by, "__block", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in columns])
+    return rows.join(offsets, [by, "__block"]).select(*df.columns, *[(F.col(f"__r_{c}") + F.col(f"__o_{c}")).alias(f"run_{c}") for c in columns])
 
 
 def neighbour(df: DataFrame, by: str, pos: str, column: str, name: str, ahead: bool, size: int = BLOCK) -> DataFrame:
     """Adds ``name``: ``column`` of the key's previous (or, ``ahead``, next) row, null where there is none."""
-    rows = _blocks(df, by, pos, size)
-    edge = (F.min_by if ahead else F.max_by)(column, pos).alias("__edge")
-    edges = rows.groupBy(by, "__block").agg(edge)
-    order = Window.partitionBy(by).orderBy("__block")
-    shift = F.lead if ahead else F.lag
-    edges = edges.select(by, "__block", shift("__edge").over(order).alias("__far"))
     inside = Window.partitionBy(by, "__block").orderBy(F.desc(pos) if ahead else F.asc(pos))
-    out = rows.select("*", F.row_number().over(inside).alias("__n"), F.lag(column).over(inside).alias("__near")).join(edges, [by, "__block"])
+    edge = F.last(column).over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = blocks(df, pos, size).select("*", F.row_number().over(inside).alias("__n"), F.lag(column).over(inside).alias("__near"), edge.alias("__edge"))
+    order = Window.partitionBy(by).orderBy("__block")
+    edges = rows.where("__n = 1").select(by, "__block", (F.lead if ahead else F.lag)("__edge").over(order).alias("__far"))
+    out = rows.drop("__edge").join(edges, [by, "__block"])
     return out.select(*df.columns, F.when(F.col("__n") == 1, F.col("__far")).otherwise(F.col("__near")).alias(name))
 
 
-def runs(df: DataFrame, by: str, pos: str, inside: Column, size: int = BLOCK) -> DataFrame:
-    """(key, start0, end0): maximal stretches of positions from a row where ``inside`` begins to hold to where it ends."""
-    flagged = df.select(by, pos, F.coalesce(inside, F.lit(False)).alias("__in"))
-    turned = neighbour(flagged, by, pos, "__in", "__was", False, size).where(F.col("__in") != F.coalesce("__was", F.lit(False)))
-    closed = neighbour(turned.select(by, pos, "__in"), by, pos, pos, "end0", True, size)
+def turns(df: DataFrame, by: str, pos: str, inside: Column, was: Column) -> DataFrame:
+    """(key, start0, end0): stretches of positions from a row where ``inside`` begins to hold, ``was`` not, to where it ends."""
+    now, then = F.coalesce(inside, F.lit(False)), F.coalesce(was, F.lit(False))
+    turned = df.where(now != then).select(by, pos, now.alias("__in"))
+    closed = neighbour(turned, by, pos, pos, "end0", True)
     return closed.where(F.col("__in") & F.col("end0").isNotNull()).select(by, F.col(pos).alias("start0"), "end0")

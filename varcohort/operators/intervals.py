@@ -7,12 +7,13 @@ short one. Set operations are sweeps over the intervals' edges in two levels of
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocked import neighbour, running_sum, runs
+from .blocked import BLOCK, blocks, neighbour, running_sum, turns
 
 #: Bin sizes of the levels, as powers of two; the last holds a contig.
 LEVELS = (9, 13, 17, 21, 25, 62)
@@ -63,7 +64,7 @@ def contained_in(v: DataFrame, bed: DataFrame, key: str = "v") -> DataFrame:
 
 
 def depth(*tracks: DataFrame) -> DataFrame:
-    """Edges of all tracks in order: (contig, pos, run_d0, run_d1, ...), each the track's depth from pos on."""
+    """Edges of all tracks in order: (contig, pos, d0, ..., run_d0, ...): each track's change at pos, and its depth from there on."""
     n = len(tracks)
     edges = []
     for i, t in enumerate(tracks):
@@ -74,11 +75,20 @@ def depth(*tracks: DataFrame) -> DataFrame:
     return running_sum(summed, "contig", "pos", names)
 
 
+def sweep(tracks: list[DataFrame], test: Callable[..., Column]) -> DataFrame:
+    """Maximal stretches where ``test``, of the tracks' depths, holds: one pass over all edges, whatever the tracks' number.
+
+    The depths before an edge are those after it less its changes, so no second look at the row before is needed.
+    """
+    n = range(len(tracks))
+    now, before = [F.col(f"run_d{i}") for i in n], [F.col(f"run_d{i}") - F.col(f"d{i}") for i in n]
+    return turns(depth(*tracks), "contig", "pos", test(*now), test(*before))
+
+
 def merge(bed: DataFrame, gap: int = 0) -> DataFrame:
     """Union of overlapping or touching intervals, and of those at most ``gap`` apart."""
     wide = bed.select("contig", "start0", (F.col("end0") + gap).alias("end0"))
-    out = runs(depth(wide), "contig", "pos", F.col("run_d0") > 0)
-    return out.select("contig", "start0", (F.col("end0") - gap).alias("end0"))
+    return sweep([wide], lambda a: a > 0).select("contig", "start0", (F.col("end0") - gap).alias("end0"))
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -89,12 +99,12 @@ def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def common(a: DataFrame, b: DataFrame) -> DataFrame:
     """Bases in both sets, merged."""
-    return runs(depth(a, b), "contig", "pos", (F.col("run_d0") > 0) & (F.col("run_d1") > 0))
+    return sweep([a, b], lambda a, b: (a > 0) & (b > 0))
 
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
     """Bases of ``a`` that are not in ``b``, merged."""
-    return runs(depth(a, b), "contig", "pos", (F.col("run_d0") > 0) & (F.col("run_d1") == 0))
+    return sweep([a, b], lambda a, b: (a > 0) & (b == 0))
 
 
 def complement(bed: DataFrame, genome: DataFrame) -> DataFrame:
@@ -103,12 +113,12 @@ def complement(bed: DataFrame, genome: DataFrame) -> DataFrame:
 
 def coverage(bed: DataFrame, genome: DataFrame | None = None) -> DataFrame:
     """(contig, start0, end0, depth) segments of constant positive depth; with ``genome``, of zero depth in it too."""
-    edges = depth(bed, genome) if genome is not None else depth(bed)
-    level = edges.select("contig", F.col("pos").alias("start0"), F.col("run_d0").alias("depth"), (F.col("run_d1") if genome is not None else F.lit(0)).alias("in_genome"))
-    was = neighbour(neighbour(level, "contig", "start0", "depth", "was", False), "contig", "start0", "in_genome", "was_in", False)
-    turns = was.where(F.col("was").isNull() | (F.col("was") != F.col("depth")) | (F.col("was_in") != F.col("in_genome"))).select(level.columns)
-    out = neighbour(turns, "contig", "start0", "start0", "end0", True).where(F.col("end0").isNotNull())
-    return out.where((F.col("depth") > 0) | (F.col("in_genome") > 0)).select("contig", "start0", "end0", "depth")
+    tracks = (bed, genome) if genome is not None else (bed,)
+    level, inside = F.col("run_d0"), F.col("run_d1") > 0 if genome is not None else F.lit(False)
+    changed = (F.col("d0") != 0) | ((inside != (F.col("run_d1") - F.col("d1") > 0)) if genome is not None else F.lit(False))
+    edges = depth(*tracks).where(changed).select("contig", F.col("pos").alias("start0"), level.alias("depth"), inside.alias("in_genome"))
+    out = neighbour(edges, "contig", "start0", "start0", "end0", True).where(F.col("end0").isNotNull())
+    return out.where((F.col("depth") > 0) | F.col("in_genome")).select("contig", "start0", "end0", "depth")
 
 
 def total_bp(bed: DataFrame) -> DataFrame:
@@ -124,40 +134,63 @@ def slop(bed: DataFrame, flank: int) -> DataFrame:
 def nearest_distance(v: DataFrame, bed: DataFrame, name: str = "distance", key: str = "v") -> DataFrame:
     """Adds each variant's distance to the nearest interval: 0 inside, gap + 1 outside, null if the contig has none.
 
-    Points and merged intervals' edges share one order; the last edge before a point and the first one after it
-    come from two-level neighbours over the edges' blocks.
+    Points and interval starts share one order. Up to a point the furthest end, and after it the next start, come
+    from a window over its block and from the blocks before and behind it; no pairs are made.
     """
-    merged = merge(bed)
-    size = 1 << 14
-    block = lambda c: F.floor(F.col(c) / F.lit(size))
-    ends = merged.groupBy("contig", block("start0").alias("block")).agg(F.min("start0").alias("low"), F.max("end0").alias("high"))
-    asked = v.select("contig", block("pos").alias("block")).distinct()
-    order = Window.partitionBy("contig").orderBy("block")
-    both = ends.unionByName(asked, allowMissingColumns=True).groupBy("contig", "block").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    far = both.select(
-        "contig", "block",
-        F.last("high", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("far_high"),
-        F.first("low", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("far_low"),
+    at = bed.where("start0 < end0").select("contig", F.col("start0").cast("long").alias("x"), F.lit(0).alias("k"), F.col("end0").cast("long").alias("high"), F.col("start0").cast("long").alias("low"), F.lit(None).cast(v.schema).alias("row"))
+    points = v.select("contig", (F.col("pos") - 1).cast("long").alias("x"), F.lit(1).alias("k"), F.lit(None).cast("long").alias("high"), F.lit(None).cast("long").alias("low"), F.struct(*v.columns).alias("row"))
+    block = Window.partitionBy("contig", "__block")
+    order = block.orderBy("x", "k")
+    rows = blocks(at.unionByName(points), "x", BLOCK).select(
+        "contig", "__block", "x", "k", "row", F.row_number().over(order).alias("__n"),
+        F.max("high").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("high"), F.min("low").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("low"),
+        F.max("high").over(block).alias("most"), F.min("low").over(block).alias("least"),
     )
-    points = v.withColumn("block", block("pos")).withColumn("p", F.col("pos") - 1)
-    near = merged.withColumn("block", block("start0"))
-    inside = points.select(key, "contig", "block", "p").join(near, ["contig", "block"], "left")
-    before = F.max(F.when(F.col("start0") <= F.col("p"), F.col("end0")))
-    after = F.min(F.when(F.col("start0") > F.col("p"), F.col("start0")))
-    found = inside.groupBy(key).agg(before.alias("near_high"), after.alias("near_low"))
-    rows = points.join(found, key, "left").join(far, ["contig", "block"], "left")
-    high, low = F.coalesce("near_high", "far_high"), F.coalesce("near_low", "far_low")
-    left = F.when(high.isNotNull(), F.greatest(F.col("p") - high + 1, F.lit(0)))
-    return rows.withColumn(name, F.least(left, low - F.col("p"))).select(*v.columns, name)
+    along = Window.partitionBy("contig").orderBy("__block")
+    far = rows.where("__n = 1").select(
+        "contig", "__block", F.max("most").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("far_high"),
+        F.min("least").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("far_low"),
+    )
+    found = rows.where("k = 1").join(far, ["contig", "__block"])
+    high, low = F.greatest("high", "far_high"), F.coalesce("low", "far_low")
+    left = F.when(high.isNotNull(), F.greatest(F.col("x") - high + 1, F.lit(0)))
+    return found.select("row.*", F.least(left, low - F.col("x")).alias(name))
 
 
 def qc_regions(genome: DataFrame, good: DataFrame, bads: list[DataFrame], least: int = 100, erode: int = 10) -> DataFrame:
-    """Well-measured regions: genome and good track, less every bad track, long enough, then eroded."""
+    """Well-measured regions: genome and good track, less every bad track, long enough, then eroded. One sweep."""
     bad = reduce(DataFrame.unionByName, [b.select("contig", "start0", "end0") for b in bads])
-    kept = subtract(common(genome, good), bad)
+    kept = sweep([genome, good, bad], lambda g, t, b: (g > 0) & (t > 0) & (b == 0))
     return slop(kept.where(F.col("end0") - F.col("start0") >= least), -erode)
 
 
+def rarely_covered(coverage_: DataFrame, n_samples: int, share: float = 0.5) -> DataFrame:
+    """Segments (contig, start0, end0, depth) that fewer than ``share`` of the samples cover."""
+    return coverage_.where(F.col("depth") < share * n_samples).select("contig", "start0", "end0")
+
+
+def loh_regions(genome: DataFrame, good: DataFrame, bads: list[DataFrame], covered: DataFrame, n_samples: int, least: int = 100, erode: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Regions for loss of heterozygosity, and the rest of the genome as their blacklist.
+
+    As ``qc_regions``, with places that fewer than half of the samples cover as one more bad track.
+    """
+    kept = qc_regions(genome, good, [*bads, rarely_covered(covered, n_samples)], least, erode)
+    return kept, complement(kept, genome)
+
+
+def cnv_regions(genome: DataFrame, bads: list[DataFrame], covered: DataFrame, n_samples: int, width: int = 65, least: int = 450) -> DataFrame:
+    """Regions for copy number: the genome less all bad tracks and rarely covered places, closed, and longer than ``least``."""
+    bad = reduce(DataFrame.unionByName, [b.select("contig", "start0", "end0") for b in [*bads, rarely_covered(covered, n_samples)]])
+    return close_regions(subtract(genome, bad), width, least)
+
+
+def comparison_regions(covs: list[tuple[DataFrame, int]], good: DataFrame, coding: DataFrame, flank: int = 2, least: int = 5) -> DataFrame:
+    """Regions in which cohorts can be compared: each (coverage, least depth) reached, inside good and padded coding regions, ``least`` bases or more."""
+    tracks = [c.where(F.col("depth") >= n).select("contig", "start0", "end0") for c, n in covs]
+    out = sweep([*tracks, good, slop(coding, flank)], lambda *d: reduce(lambda a, b: a & b, [x > 0 for x in d]))
+    return out.where(F.col("end0") - F.col("start0") >= least)
+
+
 def close_regions(bed: DataFrame, width: int, least: int) -> DataFrame:
     """Morphological closing: dilate, merge, erode, and keep what is longer than ``least``."""
     return slop(merge(slop_free(bed, width)), -width).where(F.col("end0") - F.col("start0") > least)

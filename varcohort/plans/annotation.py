@@ -201,7 +201,7 @@ WITH w AS (SELECT contig, greatest(start0 - 5, 0) AS start0, end0 + 5 AS end0 FR
 SELECT * FROM u""")
 def tier_beds(spark, sf):
     """Tier 1: good regions away from bad ones; tier 3: bad regions with five bases around them."""
-    bad = I.merge(I.slop(X.features(spark, sf), 5))
+    bad = I.slop(X.features(spark, sf), 5)
     one = I.subtract(X.regions(spark, sf), bad).withColumn("tier", F.lit(1))
     return one.unionByName(I.common(bad, genome(spark)).withColumn("tier", F.lit(3)))
 

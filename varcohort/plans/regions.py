@@ -112,6 +112,41 @@ def qc_regions(spark, sf):
     return I.qc_regions(genome(spark), X.regions(spark, sf), [X.features(spark, sf)])
 
 
+#: Depth of regions over the genome, and what fewer than half of two samples cover.
+COVERED = f"""{GENOME}, {EDGES.replace("UNION ALL SELECT contig, end0, -1 FROM regions", "UNION ALL SELECT contig, end0, -1 FROM regions UNION ALL SELECT contig, start0, 0 FROM genome UNION ALL SELECT contig, end0, 0 FROM genome")
+    .replace("HAVING sum(d) <> 0", "HAVING sum(d) <> 0 OR p IN (0, (SELECT length + 10000 FROM span))")},
+rare AS (SELECT contig, start0, end0 FROM r WHERE end0 IS NOT NULL AND depth < 1), bad AS (SELECT * FROM features UNION ALL SELECT * FROM rare)"""
+LOH = f"{COVERED}, {swept('g', 'genome', 'regions', 'ina AND inb')}, {swept('k', 'g', 'bad', 'ina AND NOT inb')}, h AS (SELECT contig, greatest(start0 + 10, 0) AS start0, end0 - 10 AS end0 FROM k WHERE end0 - start0 >= 100)"
+
+
+def covered(spark, sf):
+    return I.coverage(X.regions(spark, sf), genome(spark))
+
+
+@query("regions features", f"WITH {LOH} SELECT * FROM h")
+def loh_regions(spark, sf):
+    return I.loh_regions(genome(spark), X.regions(spark, sf), [X.features(spark, sf)], covered(spark, sf), 2)[0]
+
+
+@query("regions features", f"WITH {LOH}, {swept('z', 'genome', 'h', 'ina AND NOT inb')} SELECT * FROM z")
+def loh_blacklist(spark, sf):
+    return I.loh_regions(genome(spark), X.regions(spark, sf), [X.features(spark, sf)], covered(spark, sf), 2)[1]
+
+
+@query("regions features", f"""
+WITH {COVERED}, {swept('k', 'genome', 'bad', 'ina AND NOT inb')}, w AS (SELECT contig, start0 - 65 AS start0, end0 + 65 AS end0 FROM k), {merged('m', 'w')}
+SELECT contig, greatest(start0 + 65, 0) AS start0, end0 - 65 AS end0 FROM m WHERE end0 - greatest(start0 + 65, 0) - 65 > 100""")
+def cnv_regions(spark, sf):
+    return I.cnv_regions(genome(spark), [X.features(spark, sf)], covered(spark, sf), 2, least=100)
+
+
+@query("regions features", f"""
+WITH {COVERED}, one AS (SELECT contig, start0, end0 FROM r WHERE end0 IS NOT NULL AND depth >= 1), w AS (SELECT contig, greatest(start0 - 2, 0) AS start0, end0 + 2 AS end0 FROM features),
+{swept('g', 'one', 'regions', 'ina AND inb')}, {swept('k', 'g', 'w', 'ina AND inb')} SELECT * FROM k WHERE end0 - start0 >= 5""")
+def comparison_regions(spark, sf):
+    return I.comparison_regions([(covered(spark, sf), 1)], X.regions(spark, sf), X.features(spark, sf))
+
+
 @query("features", f"""
 WITH w AS (SELECT contig, start0 - 65 AS start0, end0 + 65 AS end0 FROM features), {merged('m', 'w')}
 SELECT contig, greatest(start0 + 65, 0) AS start0, end0 - 65 AS end0 FROM m WHERE end0 - greatest(start0 + 65, 0) - 65 > 400""")
