@@ -112,6 +112,47 @@ def test_hot_buckets_are_split(spark, monkeypatch):
         assert {frozenset({n for n, r in got if r == root} | {root}) for root in {r for _, r in got}} == {frozenset(g) for g in want.values() if len(g) > 1}
 
 
+def test_rows_decide_not_ids(spark):
+    """Different texts under one id both stay, null ids are no exception, and of equal rows one stays."""
+    a, b = "one two three four five six seven", "completely other words in this text here"
+    rows = [(1, a, "en"), (1, b, "en"), (1, b, "de"), (2, a, "en"), (None, a, "en"), (None, "alone in the world it stands", "en"), (None, "alone in the world it stands", "en")]
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, a, "en"), (1, b, "de"), (None, "alone in the world it stands", "en")]))
+
+
+def plain_fingerprint(text):
+    """As the contract says it, a word and a bit at a time."""
+    import xxhash
+
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def test_the_simhash_query_against_brute_force(spark, small):
+    from varcohort.llm import queries
+
+    rows = {r["doc_id"]: plain_fingerprint(r["text"] or "") for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    ids, fps = sorted(rows), np.array([rows[i] for i in sorted(rows)], dtype=np.uint64)
+    label = list(range(len(ids)))
+    for _ in ids:  # until nothing changes
+        new = [min(label[j] for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 3)) for i in range(len(ids))]
+        if new == label:
+            break
+        label = new
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op9_simhash(spark, small).collect()}
+    assert got == {d: (f"{rows[d]:016x}", ids[label[i]]) for i, d in enumerate(ids)}
+
+
+def test_fingerprint_of_odd_texts():
+    for text in ("", " \t ", "a", "A b", "ÀB c\x0bd\x1ce f", "x " * 50_000, "日本 語 テキスト \u3000 Z"):
+        assert simhash.fingerprint(text) == plain_fingerprint(text), text[:20]
+
+
 def test_stages_keep_odd_rows(spark, small):
     """Null ids and texts, repeated rows, clashing columns and an empty table go through all stages but the last."""
     rows = [(1, None, 5), (None, "some words of no harm", 5), (3, "", 5), (4, "other words, told twice over", 5), (4, "other words, told twice over", 5)]

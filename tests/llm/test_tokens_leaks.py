@@ -97,9 +97,27 @@ def test_edited_and_partial_passages(spark, small):
         rows.append((n, f"{noise[n]} {''.join(chars).upper()} {noise[-1 - n]}", "x"))
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    for size in (4_000_000, 2_000):  # one block, several blocks
-        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(docs, bench, block_chars=size).collect()}
-        assert sum((n, n) in got for n in range(len(items))) >= 0.95 * len(items)
+    one, several = (sorted(map(tuple, decontaminate.contamination(docs, bench, block_chars=size).collect())) for size in (4_000_000, 2_000))
+    assert one == several
+    assert sum((n, n) in {r[:2] for r in one} for n in range(len(items))) >= 0.95 * len(items)
+
+
+def test_quotes_wherever_they_begin(spark, small):
+    """A verbatim quote of a segment and a stride is found at every place of an item, edited or not its surroundings."""
+    item = max((decontaminate.fold(r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()), key=len)
+    docs = spark.createDataFrame([(i, f"zz {item[i : i + 99]} qq") for i in range(len(item) - 98)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"] for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == set(range(len(item) - 98))
+
+
+def test_every_region_counts(spark):
+    """Copies close to each other are all regions; segments are counted once."""
+    item = "the quick brown fox jumps over the lazy dog while seven wizards box a quacking"
+    docs = spark.createDataFrame([(1, f"{item} {item} {item}"), (2, f"x {item}")], "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[2:] for r in decontaminate.contamination(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    n = len(item)
+    assert got == {1: (1, 0, 0, 3 * n + 2), 2: (1, 0, 2, n + 2)}
 
 
 def test_leak_edges(spark):
@@ -110,7 +128,7 @@ def test_leak_edges(spark):
     assert sorted((str(r["doc_id"]), r["item_id"]) for r in got) == [("4", 7), ("4", 7), ("None", 7)]
     assert decontaminate.contamination(docs, bench.limit(0)).count() == 0 and decontaminate.contamination(docs.limit(0), bench).count() == 0
     kept = decontaminate.clean(docs.withColumnRenamed("x", "y"), bench)
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "5", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "5"]
 
 
 def test_op8_query(spark, small):

@@ -3,23 +3,29 @@
 Benchmark items are cut into overlapping segments. A segment of m characters within k edits of a stretch of text
 shares at least m + 1 - q - k q of its q-grams with it, on diagonals (text position less segment position) that
 lie within k of each other. Shared q-grams are counted in diagonal bands that overlap by half, bands that reach
-the bound are kept, and a banded alignment verifies them. Documents are read where they lie: nothing is
-shuffled, and the benchmark is sent in blocks of bounded size.
+the bound are kept, and a banded alignment verifies each of them. Documents are read where they lie, once: nothing is
+shuffled, and the benchmark is sent in blocks of bounded size. Where it has several, one pass with a bitmap of all their
+q-grams writes down the few documents that can share a passage, and the blocks run over these only.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 GAPS = re.compile(r"[\W_]+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-BITMAP_BITS = 22
+#: Slots of a bitmap for each q-gram, as a power of two, and the most slots that are sent.
+SPARSE, MOST_BITS = 5, 27
 
 
 def fold(text: str) -> str:
@@ -80,15 +86,29 @@ def distance(pattern: np.ndarray, text: np.ndarray, low: int, width: int, budget
     return int(cost[best]), int(start[best]), int(len(pattern) + low + best)
 
 
+def slots(n: int) -> int:
+    """Bits of a slot's number, for n q-grams."""
+    return min(max(16, n.bit_length() + SPARSE), MOST_BITS)
+
+
+def dense(hit: np.ndarray, reach: int, least: int) -> np.ndarray:
+    """Starts of the windows of ``reach`` positions with at least ``least`` hits."""
+    if int(hit.sum()) < least:
+        return np.zeros(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(hit)])
+    ends = np.minimum(np.arange(reach, len(hit) + reach), len(hit))
+    return np.flatnonzero(total[ends] - total[:-1] >= least)
+
+
 class Index:
     """Q-grams of a block of benchmark segments."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, rate: float, segment: int, least: int):
+    def __init__(self, items: list[tuple[int, str]], q: int, rate: float, segment: int, stride: int, least: int):
         self.q, self.segments, self.texts, self.owner, self.budget, self.need = q, [], [], [], [], []
         hashes, seg, off = [], [], []
         for item, text in items:
             folded = fold(text or "")
-            starts = range(0, max(1, len(folded) - segment // 2), segment // 2) if len(folded) > segment else (0,)
+            starts = range(0, len(folded) - segment + stride, stride) if len(folded) > segment else (0,)
             for s in starts:
                 own = folded[s : s + segment] if s + segment <= len(folded) else folded[-segment:]
                 part = symbols(own)
@@ -112,8 +132,9 @@ class Index:
         order = np.argsort(h, kind="stable")
         self.seg, self.off = np.concatenate(seg)[order], np.concatenate(off)[order]
         self.hash, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
-        self.bitmap = np.zeros(1 << BITMAP_BITS, dtype=bool)
-        self.bitmap[self.hash >> np.uint64(64 - BITMAP_BITS)] = True
+        self.shift = np.uint64(64 - slots(len(self.hash)))
+        self.bitmap = np.zeros(1 << slots(len(self.hash)), dtype=bool)
+        self.bitmap[self.hash >> self.shift] = True
         self.need, self.budget = np.array(self.need), np.array(self.budget)
         self.band = int(max(1, self.budget.max()))
         self.reach = max(len(s) for s in self.segments) + self.band
@@ -125,18 +146,15 @@ class Index:
         h = grams(code, self.q)
         if len(h) < self.least:
             return []
-        hit = self.bitmap[h >> np.uint64(64 - BITMAP_BITS)]
-        if int(hit.sum()) < self.least:
-            return []
+        hit = self.bitmap[h >> self.shift]
         # the q-grams of a region lie in one window of ``reach``: only windows with enough of them are looked at
-        total = np.concatenate([[0], np.cumsum(hit)])
-        ends = np.minimum(np.arange(self.reach, len(h) + self.reach), len(h))
-        dense = np.flatnonzero(total[ends] - total[:-1] >= self.least)
-        if not len(dense):
+        starts = dense(hit, self.reach, self.least)
+        if not len(starts):
             return []
+        ends = np.minimum(starts + self.reach, len(h))
         cover = np.zeros(len(h) + 1, dtype=np.int64)
-        cover[dense] += 1
-        cover += -np.bincount(ends[dense], minlength=len(h) + 1)
+        cover[starts] += 1
+        cover += -np.bincount(ends, minlength=len(h) + 1)
         at = np.flatnonzero(hit & (np.cumsum(cover)[:-1] > 0))
         if not len(at):
             return []
@@ -152,32 +170,36 @@ class Index:
         key = np.concatenate([(seg << 40) + diag // width, (seg << 40) + diag // width - 1])  # a band spans two widths
         # a q-gram that occurs twice in a segment may meet one text position twice: count text positions
         pos = np.concatenate([np.repeat(at, count)] * 2)
-        pair = np.unique(np.stack([key, pos]), axis=1) if len(key) < 4_000_000 else np.stack([key, pos])
-        keys, n = np.unique(pair[0], return_counts=True)
-        keep = n >= self.need[keys >> 40]
-        keys, n = keys[keep], n[keep]
-        found: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for i in np.lexsort((keys, -n)).tolist():
-            s, low = int(keys[i]) >> 40, (int(keys[i]) & ((1 << 40) - 1)) * width - (1 << 20)
+        order = np.lexsort((pos, key))
+        key, pos = key[order], pos[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])])
+        keys, n = np.unique(key[new], return_counts=True)
+        keys = keys[n >= self.need[keys >> 40]]
+        found: set[tuple[int, int, int, int]] = set()
+        for band in keys.tolist():
+            s, low = band >> 40, (band & ((1 << 40) - 1)) * width - (1 << 20)
             pattern, k = self.segments[s], int(self.budget[s])
-            if (s, (low + width) // self.reach) in found:
-                continue
             a = max(0, low - k)
             same = text.find(self.texts[s], a, low + 2 * width + len(pattern) + k)
             if same >= 0:  # an alignment without edits
-                found[s, (low + width) // self.reach] = (s, same, same + len(pattern), 0)
+                found.add((s, same, same + len(pattern), 0))
                 continue
             edits, start, end = distance(pattern, code[a : low + 2 * width + len(pattern) + k], low - a - k, 2 * width + 2 * k, k)
             if edits <= k:
-                found[s, (low + width) // self.reach] = (s, a + start, a + end, edits)
-        return list(found.values())
+                found.add((s, a + start, a + end, edits))
+        return sorted(found)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.067, segment: int = 120, least: int = 25, block_chars: int = 4_000_000) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.067, segment: int = 80, stride: int = 20, least: int = 25, block_chars: int = 4_000_000
+) -> DataFrame:
     """(doc_id, item_id, n_segments, n_edits, start, end) of every document and benchmark item that share a passage.
 
-    ``rate`` is the edit budget as a share of a segment's characters, less where fewer than ``least`` shared q-grams would
-    be asked for; start and end are positions in the folded text.
+    ``n_segments`` counts the item's segments found, ``n_edits`` their fewest edits; start and end are the outermost
+    positions of any region in the folded text. Segments of ``segment`` characters start every ``stride``, and the last
+    one at the item's end, so a verbatim quote of ``segment`` + ``stride`` - 1 folded characters is always found. An
+    item no longer than a segment is one segment. ``rate`` is the edit budget as a share of a segment's characters,
+    less where fewer than ``least`` shared q-grams would be asked for.
     Null or empty texts share nothing, neither do items shorter than ``q`` folded characters; a null doc_id or item_id
     is carried; repeated rows give repeated results; an empty table on either side gives none; further columns are
     ignored. One benchmark item must fit a block of ``block_chars`` characters.
@@ -189,32 +211,64 @@ def contamination(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: floa
     blocks = -(-total // block_chars)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     schema = f"doc_id {ids[0]}, item_id {ids[1]}, n_segments int, n_edits int, start int, end int"
-    out = None
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        sent = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in own.collect()], q, rate, segment, least))  # about block_chars characters
+    if not blocks:
+        return spark.createDataFrame([], schema)
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+    def block(i: int) -> Index:
+        """About ``block_chars`` characters of the benchmark."""
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i) if blocks > 1 else items
+        return Index([(r["item_id"], r["text"]) for r in own.collect()], q, rate, segment, stride, least)
+
+    def search(texts: DataFrame, index: Index) -> tuple[DataFrame, Broadcast]:
+        sent = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index = sent.value
             for b in batches:
                 rows = []
                 for doc, text in zip(b["doc_id"].array, b["text"], strict=True):
                     by: dict = {}
                     for s, start, end, edits in index.find(fold(text)) if index.some else ():
-                        n, e, lo, hi = by.get(index.owner[s], (0, 0, 1 << 30, 0))
-                        by[index.owner[s]] = (n + 1, e + edits, min(lo, start), max(hi, end))
-                    rows += [(doc, item, *x) for item, x in by.items()]
+                        own, lo, hi = by.get(index.owner[s], ({}, start, end))
+                        own[s] = min(edits, own.get(s, edits))
+                        by[index.owner[s]] = (own, min(lo, start), max(hi, end))
+                    rows += [(doc, item, len(own), sum(own.values()), lo, hi) for item, (own, lo, hi) in by.items()]
                 if not rows:
                     continue
                 out = pd.DataFrame(rows, columns=["doc_id", "item_id", "n_segments", "n_edits", "start", "end"])
                 yield out.astype({c: "Int64" for c, t in zip(("doc_id", "item_id"), ids, strict=True) if t != "string"})
 
-        part = texts.mapInPandas(run, schema)
-        out = part if out is None else out.union(part)
-    return spark.createDataFrame([], schema) if out is None else out
+        return texts.mapInPandas(run, schema), sent
+
+    if blocks == 1:
+        return search(texts, block(0))[0]
+
+    bits, found = slots(total), []
+    bitmap, reach, fewest = np.zeros(1 << bits, dtype=bool), 1, 1 << 30
+    for i in range(blocks):
+        index = block(i)
+        if index.some:
+            bitmap[index.hash >> np.uint64(64 - bits)] = True
+            reach, fewest = max(reach, index.reach), min(fewest, index.least)
+    sieve = spark.sparkContext.broadcast(np.packbits(bitmap))  # at most 2 ** MOST_BITS bits
+
+    @F.pandas_udf("boolean")
+    def may_share(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bitmap = np.unpackbits(sieve.value).view(bool)
+        for texts in batches:
+            hits = (bitmap[grams(symbols(fold(t)), q) >> np.uint64(64 - bits)] for t in texts)
+            yield pd.Series([len(dense(h, reach, fewest)) > 0 for h in hits], dtype=bool)
+
+    few = cut(texts.where(may_share("text")), "may-share")
+    for i in range(blocks):  # one block at a time is held and sent
+        out, sent = search(few, block(i))
+        found.append(cut(out, "shared"))
+        sent.destroy()
+    return reduce(DataFrame.union, found)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
-    """``docs`` without the documents that share a passage with the benchmark; rows with a null doc_id stay."""
-    bad = contamination(docs.where(F.col("doc_id").isNotNull()), benchmark, **options).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without those that share a passage with the benchmark. Texts decide, whatever their ids, null ones too."""
+    keyed = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    bad = cut(contamination(keyed.select(F.col("__sha").alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("__sha")).distinct(), "leaks")
+    return keyed.join(bad, "__sha", "left_anti").select(*docs.columns)

@@ -49,15 +49,16 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """The rows of ``docs`` (doc_id, text and whatever else is there) with fp, the fingerprint as a signed long, for their text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = np.array([fingerprint(t, words, seed) for t in b["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps.view(np.int64)})
+            yield b.drop(columns="text").assign(fp=fps.view(np.int64))
 
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    rows = docs.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
+    kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes if c != "text")
+    return rows.mapInPandas(run, f"{kinds}, fp long")
 
 
 def block_masks(bits: int, many: bool) -> list[int]:
@@ -145,8 +146,11 @@ def links(distinct: DataFrame, bits: int = 3, seed: int = 7, total: int | None =
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root): the smallest node of each linked node's component, by large-star and small-star rounds."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node of each linked node's component, by large-star and small-star rounds.
+
+    Rounds go on until nothing changes; their number grows as the logarithm of the longest path.
+    """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
 
     def star(rows: DataFrame) -> DataFrame:
@@ -158,7 +162,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     seen = mark(edges)
-    for _ in range(rounds):
+    while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = star(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -168,8 +172,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -180,10 +182,35 @@ def near_duplicates(docs: DataFrame, bits: int = 3, words: int = 3, seed: int =
     keeps its row and never names a component unless all of its component's ids are null. Repeated rows give
     repeated results. An empty table gives none. Further columns are ignored.
     """
-    fps = cut(fingerprints(docs, words, seed), "fingerprints")
+    fps = cut(fingerprints(docs.select("doc_id", "text"), words, seed), "fingerprints")
+    return fps.join(component_of(fps, bits), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def component_of(fps: DataFrame, bits: int) -> DataFrame:
+    """(fp, component_id, root) of every distinct fingerprint of (doc_id, fp)."""
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     roots = components(links(distinct, bits))
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = placed.join(named, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return placed.join(named, "root").select("fp", "component_id", "root")
+
+
+def deduplicate(docs: DataFrame, bits: int = 3, words: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each component of near-duplicates: the one with the smallest doc_id (null last), then text hash.
+
+    Rows decide, not ids: two texts under one id that are not alike both stay, and null ids are no exception. Of rows
+    with one id and one text the smallest, by all columns, stays. A text that is null is empty.
+    """
+    columns, key = docs.columns, ["doc_id", "__sha"]
+    keyed = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    fps = cut(fingerprints(keyed.select("doc_id", "__sha", "text"), words, seed), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__sha")
+    placed = fps.groupBy("doc_id", "__sha", "fp").agg(F.count(F.lit(1)).alias("n")).join(component_of(fps, bits).select("fp", "root"), "fp")
+    placed = cut(placed.select("doc_id", "__sha", "n", "root", place.alias("place")), "placed")
+    first = placed.groupBy("root").agg(F.min("place").alias("first"))
+    judged = placed.join(first, "root").select(*key, "n", (F.col("place") == F.col("first")).alias("stays"))
+    losers, again = judged.where("NOT stays").select(*key), judged.where("stays AND n > 1").select(*key)
+    same = lambda other: keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed["__sha"] == other["__sha"])
+    kept = keyed.join(losers, same(losers), "left_anti")
+    once = kept.join(again, same(again), "left_semi").groupBy(*key).agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    return kept.join(again, same(again), "left_anti").select(*columns).union(once.select(*columns))
