@@ -84,6 +84,27 @@ def test_ledger_is_incremental(spark, docs):
     assert {r["rule"] for r in changed.collect()} == {"assign@2"}
 
 
+def test_a_second_run_scans_no_blob(spark, docs, tmp_path):
+    versions, path = docs.withColumnRenamed("doc_id", "path"), f"file://{tmp_path}/ledger"
+    first = sorted(map(tuple, secrets.scan_into(versions, path).collect()))
+    ledger = spark.read.parquet(path)
+    n = ledger.count()
+    assert n == len({r["text"] or "" for r in docs.collect()}) * len(secrets.RULES)
+    assert secrets.scan(secrets.with_blobs(versions), ledger).where("size(fresh) > 0").count() == 0
+    assert sorted(map(tuple, secrets.scan_into(versions, path).collect())) == first
+    assert spark.read.parquet(path).count() == n
+
+
+def test_a_hot_blob_null_paths_and_repeats(spark):
+    """One text under most paths: its versions are dealt over parts; null paths and repeated rows keep theirs."""
+    rows = spark.range(5000).selectExpr("if(id % 50 = 0, null, id) as path", "if(id % 10 < 9, 'token = abcdefgh', concat('text ', id)) as text", "1 as blob")
+    got = secrets.find_secrets(rows.union(rows.where("path = 1")))[0].collect()
+    assert len(got) == 5001 and sum(r["path"] is None for r in got) == 100 and sum(r["path"] == 1 for r in got) == 2
+    assert all(r["n_assign"] == (r["path"] % 10 < 9) for r in got if r["path"] is not None)
+    plan = secrets.find_secrets(rows)[0]._jdf.queryExecution().toString()
+    assert "__salt" in plan
+
+
 def test_redact(spark):
     rows = spark.createDataFrame([(1, f"a {TEXTS[0]} b", "l", "s", 5), (2, "clean", "l", "s", 5), (3, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r for r in secrets.redact(rows).collect()}
@@ -108,3 +129,42 @@ def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_personal_data(none).count() == 0
     assert secrets.find_secrets(none.withColumnRenamed("doc_id", "path"))[0].count() == 0
+
+
+@pytest.mark.parametrize("sf", ["0.001"])
+def test_the_personal_data_query_against_brute_force(spark, sf):
+    """Base columns of the registered query over its whole table, from plain regular expressions."""
+    from varcohort.llm import queries
+
+    d = f"/root/testdata/sf{sf}"
+    got = {r["doc_id"]: r for r in queries.op7_personal_data(spark, d).collect()}
+    rows = spark.read.parquet(f"{d}/documents.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        want = spans(r["text"], PRIVATE)
+        assert got[r["doc_id"]]["base_sha256"] == digest(want)
+        assert [got[r["doc_id"]][f"n_{k}"] for k in PRIVATE] == [sum(s[0] == k for s in want) for k in PRIVATE]
+
+
+def test_null_ids_and_repeats(spark):
+    rows = spark.createDataFrame([(None, TEXTS[8], 1), (5, TEXTS[8], 1), (5, TEXTS[8], 1), (6, None, 1)], "doc_id long, text string, found int")
+    got = sorted(map(str, map(tuple, pii.find_personal_data(rows).collect())))
+    assert len(got) == 4 and got[0] == got[1].replace("None", "5") or len({g.split(",", 1)[1] for g in got}) == 2
+
+
+def test_expectation_maximisation_recovers_reliabilities():
+    """Votes drawn from known shares: the objective never falls, and reliable labelers outweigh noisy ones."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    truth = rng.random(20_000) < 0.3
+    right = np.array([0.95, 0.9, 0.8, 0.6, 0.5])
+    silent = np.array([0.0, 0.3, 0.2, 0.5, 0.4])
+    draws = np.where(rng.random((20_000, 5)) < right, 1, -1) * np.where(truth, 1, -1)[:, None]
+    draws[rng.random((20_000, 5)) < silent] = 0
+    votes, where, counts = np.unique(draws, axis=0, return_inverse=True, return_counts=True)
+    post, shares, seen = pii.expectation_maximisation(votes, counts.astype(float))
+    assert all(b >= a - 1e-6 * abs(a) for a, b in zip(seen, seen[1:]))
+    said = shares[:, :, [0, 2]] / shares[:, :, [0, 2]].sum(axis=2, keepdims=True)
+    assert np.allclose(said[1, :, 1], right, atol=0.03) and np.allclose(said[0, :, 0], right, atol=0.03)
+    assert ((post[where.ravel()] > 0.5) == truth).mean() > 0.95

@@ -30,6 +30,25 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: DataFrame, how: str = "inner", share: int = 1000, salts: int = 64) -> DataFrame:
+    """``left`` joined to ``right``, which has a row for each ``key``, where a few keys may hold most rows of ``left``.
+
+    ``rows`` is (key, n), n rows of ``left`` each. Keys with over a ``share``-th of all rows, of which there are fewer
+    than ``share``, are sent to all tasks; their rows are dealt over ``salts``, and their rows of ``right`` copied so often.
+    """
+    total = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = rows.where(F.col("n") > max(total // share, 1)).select(key, F.lit(True).alias("__hot"))
+    seed = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("__salt", F.when(F.col("__hot"), seed).otherwise(0)).drop("__hot")  # fewer than ``share`` rows
+    copies = right.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
+
+
 def cut(df: DataFrame, name: str = "step", **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_dir, table
 from .decontaminate import contamination
 from .html_text import extract
 from .neighbours import nearest
 from .packing import pack
 from .pii import find_personal_data
 from .repeats import remove_repeats
-from .secrets import find_secrets
+from .secrets import scan_into
 from .simhash import near_duplicates
 from .tokens import token_counts
 from .toxicity import toxicity
@@ -28,7 +28,8 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
-    return find_secrets(versions)[0].withColumnRenamed("path", "doc_id")
+    ledger = f"{shared_dir(spark)}/secret-ledger-{spark.sparkContext.applicationId}"
+    return scan_into(versions, ledger).withColumnRenamed("path", "doc_id")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_matches, cut
+from .common import all_matches, cut, exists, join_hot
 
 
 class Rule(NamedTuple):
@@ -45,6 +45,7 @@ RULES = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 FOUND = "map<string,array<struct<start:int,end:int>>>"
+LEDGER = "blob string, rule string, spans array<struct<start:int,end:int>>"
 
 
 def with_blobs(versions: DataFrame) -> DataFrame:
@@ -54,14 +55,12 @@ def with_blobs(versions: DataFrame) -> DataFrame:
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, found, fresh): spans by rule key for every blob of ``versions`` (path, blob, text).
+    """(blob, n, found, fresh): spans by rule key for every blob of ``versions`` (path, blob, text), and its number of versions.
 
     What the ledger (blob, rule, spans) has is taken from it; ``fresh`` lists the rules that were run now.
-    The smallest path of a blob lends its text, so the hottest blob is read once.
+    Each task hands on one text of a blob, however many versions have it.
     """
-    chosen = versions.groupBy("blob").agg(F.min("path").alias("path"))
-    v, c = versions.alias("v"), chosen.alias("c")
-    own = v.join(c, (F.col("v.blob") == F.col("c.blob")) & F.col("v.path").eqNullSafe(F.col("c.path")), "left_semi")
+    own = versions.groupBy("blob").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("n"))
     if ledger is None:
         own = own.withColumn("known", F.lit(None).cast(FOUND))
     else:
@@ -70,8 +69,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     have = lambda r: F.coalesce(F.map_contains_key(F.col("known"), F.lit(r.key)), F.lit(False))
     pairs = [x for r in rules for x in (F.lit(r.key), F.when(have(r), F.col("known")[r.key]).otherwise(r.find(F.col("text"))))]
     fresh = F.array_compact(F.array(*[F.when(~have(r), F.lit(r.key)) for r in rules]))
-    found = own.select("blob", F.create_map(*pairs).cast(FOUND).alias("found"), fresh.alias("fresh"))
-    return found.groupBy("blob").agg(F.min(F.struct(F.map_entries("found").alias("found"), "fresh")).alias("x")).select("blob", F.map_from_entries("x.found").alias("found"), "x.fresh")
+    return own.select("blob", "n", F.create_map(*pairs).cast(FOUND).alias("found"), fresh.alias("fresh"))
 
 
 def ledger_rows(scanned: DataFrame) -> DataFrame:
@@ -94,13 +92,25 @@ def find_secrets(versions: DataFrame, ledger: DataFrame | None = None, rules: tu
 
     Null texts are empty and have no finding; a null path keeps its row; repeated rows give repeated results, an
     empty table none; further columns of ``versions`` are ignored. The blobs' findings are written to the shared
-    folder once; a hot blob meets its many paths in a join that Spark may split.
+    folder once; the versions of hot blobs meet them in parts.
     """
     seen = with_blobs(versions)
     scanned = cut(scan(seen, ledger, rules), "findings")
     counts = [F.size(F.col("found")[r.key]).cast("long").alias(f"n_{r.kind}") for r in rules if r.base]
     digests = scanned.select("blob", *counts, F.sha2(digest(F.col("found"), rules, True), 256).alias("base_sha256"), digest(F.col("found"), rules, False).alias("spans"))
-    return seen.select("path", "blob").join(digests, "blob").drop("blob"), ledger_rows(scanned)
+    return join_hot(seen.select("path", "blob"), digests, "blob", scanned.select("blob", "n")).drop("blob"), ledger_rows(scanned)
+
+
+def scan_into(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Findings of every path, as ``find_secrets`` gives them, with the ledger at ``path``: read where there is one, and added to.
+
+    Rows are added before the findings are given out; a run that fails adds none, and what two runs add at once counts once.
+    """
+    spark = versions.sparkSession
+    ledger = spark.read.schema(LEDGER).parquet(path) if exists(spark, path) else None
+    found, new = find_secrets(versions, ledger, rules)
+    new.write.mode("append").parquet(path)
+    return found
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
@@ -111,9 +121,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
     columns = docs.columns
     keyed = docs.withColumn("__blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     scanned = scan(with_blobs(docs.select(F.col("doc_id").alias("path"), "text")), None, rules)
+    scanned = cut(scanned.select("blob", "n", "found"), "scanned")
     spans = F.array_sort(F.flatten(F.map_values("found")))
-    bad = cut(scanned.select(F.col("blob").alias("__blob"), spans.alias("__spans")).where(F.size("__spans") > 0), "secrets")
-    joined = keyed.join(bad, "__blob", "left")
+    bad = scanned.select(F.col("blob").alias("__blob"), spans.alias("__spans")).where(F.size("__spans") > 0)
+    joined = join_hot(keyed, bad, "__blob", scanned.select(F.col("blob").alias("__blob"), "n"), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
     def step(acc: Column, s: Column) -> Column:
