@@ -187,3 +187,62 @@ def test_tails_at_any_depth(spark):
     assert len(got) == len(rows) and all(r["het"] == r["want"] for r in got)
     deep = mark_fixed(spark.createDataFrame([(3_000_000, 10_100), (3_000_000, 10_200)], "dp long, ad long")).collect()
     assert sorted((r["ad"], r["het"]) for r in deep) == [(10_100, False), (10_200, True)]
+
+
+def test_tails(spark):
+    """Five per cent points of the distributions."""
+    from pyspark.sql import functions as F
+
+    from varcohort.operators import stats as S
+
+    d = lambda x: F.lit(float(x))
+    row = spark.range(1).select(
+        S.normal_tail(d(1.959964)), S.t_tail(d(2.228139), d(10)), S.t_tail(d(12.706205), d(1)), S.f_tail(d(4.964603), d(1), d(10)), S.f_tail(d(2.978237), d(10), d(10)),
+        S.chisq_tail(d(3.841459), d(1)), S.chisq_tail(d(18.307038), d(10)), S.chisq_tail(d(124.342113), d(100)), S.kolmogorov(d(1.358099)),
+    ).first()
+    assert all(abs(x - 0.05) < 2e-6 for x in row), row
+    z, p = S.two_proportions(d(30), d(100), d(45), d(100))
+    row = spark.range(1).select(z, p, S.t_tail(d(0), d(5)), S.chisq_tail(d(0), d(3))).first()
+    assert abs(row[0] + 2.190890) < 1e-6 and abs(row[1] - 0.028460) < 1e-5 and row[2] == 1 and row[3] == 1
+
+
+def test_logistic_regression(spark):
+    """Coefficients of grouped rows, of which the closed form is known; too few cases give no row."""
+    from math import log
+
+    from varcohort.operators import stats as S
+
+    rows = [(1, 0.0)] * 40 + [(0, 0.0)] * 60 + [(1, 1.0)] * 70 + [(0, 1.0)] * 30
+    r = S.score_logit(spark.createDataFrame(rows, "y int, x double"), "y", "x").first()
+    beta, se = log(70 / 30) - log(40 / 60), (1 / 70 + 1 / 30 + 1 / 40 + 1 / 60) ** 0.5
+    assert abs(r["beta"] - beta) < 1e-9 and abs(r["se"] - se) < 1e-9 and r["n"] == 200 and r["cases"] == 110
+    assert S.score_logit(spark.createDataFrame(rows[:60], "y int, x double"), "y", "x").count() == 0
+
+
+def test_global_ranks_against_sorting(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from varcohort.operators import stats as S
+
+    rng = random.Random(1)
+    xs = [rng.choice([rng.random(), 0.5, rng.randint(0, 9)]) for _ in range(3000)]
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(xs)] + [(9999, None)], "k int, x double")
+    order = sorted(xs)
+    got = {r["k"]: r["rank"] for r in S.avg_rank(df, "x").collect()}
+    assert got[9999] is None
+    for i, x in enumerate(xs):
+        n = xs.count(x)
+        assert got[i] == order.index(x) + (n + 1) / 2
+    ps = [x / 10 for x in xs]
+    m = len(ps)
+    ranked = sorted(ps)
+    bh, low = {}, 1.0
+    for i in range(m, 0, -1):
+        low = min(low, ranked[i - 1] * m / i)
+        bh[ranked[i - 1]] = min(bh.get(ranked[i - 1], 1.0), low)
+    out = S.p_adjust(df.withColumn("p", F.col("x") / 10), "p", "bh", "k").where("k < 9999").collect()
+    assert all(abs(r["p_adj"] - bh[r["p"]]) < 1e-12 for r in out)
+    w = S.wilcoxon_signed_rank(df.withColumn("d", F.col("x") - 0.55), "d").first()
+    assert w["n"] == m and w["w_plus"] + w["w_minus"] == m * (m + 1) / 2

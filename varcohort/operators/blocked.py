@@ -44,3 +44,24 @@ def turns(df: DataFrame, by: str, pos: str, inside: Column, was: Column) -> Data
     turned = df.where(now != then).select(by, pos, now.alias("__in"))
     closed = neighbour(turned, by, pos, pos, "end0", True)
     return closed.where(F.col("__in") & F.col("end0").isNotNull()).select(by, F.col(pos).alias("start0"), "end0")
+
+
+def value_blocks(df: DataFrame, value: str, n: int = 200) -> Column:
+    """A block for each value: about ``n`` ranges of like numbers of rows, bounded by approximate quantiles, so that equal values share one."""
+    bounds = sorted(set(df.approxQuantile(value, [i / n for i in range(1, n)], 0.5 / n)))
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(value))) if bounds else F.lit(0)
+
+
+def scan(df: DataFrame, by: list[str], pos: str, block: Column, column: str, name: str, how: str = "sum", ahead: bool = False) -> DataFrame:
+    """Adds ``name``: the sum, max or min of ``column`` over the key's rows up to this one, or, ``ahead``, from it on.
+
+    ``block`` numbers ranges of ``pos`` in order; positions are unique within a key.
+    """
+    fold, turn = {"sum": F.sum, "max": F.max, "min": F.min}[how], F.desc if ahead else F.asc
+    own = Window.partitionBy(*by, "__block")
+    order = own.orderBy(turn(pos))
+    rows = df.withColumn("__block", block).select("*", F.row_number().over(order).alias("__n"), fold(column).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("__r"), fold(column).over(own).alias("__t"))
+    before = Window.partitionBy(*by).orderBy(turn("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.where("__n = 1").select(*by, "__block", fold("__t").over(before).alias("__o"))  # a row a block
+    whole = {"sum": lambda: F.col("__r") + F.coalesce("__o", F.lit(0)), "max": lambda: F.greatest("__r", "__o"), "min": lambda: F.least("__r", "__o")}[how]()
+    return rows.join(offsets, [*by, "__block"]).select(*df.columns, whole.alias(name))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import models as M
 from ..operators import resample as R
 from ..operators import scores as S
+from ..operators.blocked import scan
 from . import fixtures as X
 from .frequencies import counts, variant_burden
 from .registry import query, rounded
@@ -123,7 +124,8 @@ def drift_null(spark, sf):
     """Mean simulated frequency by replicate, from observed normalised differences of two cohorts."""
     gt = X.genotypes(spark, sf).where("gt IS NOT NULL").join(X.samples(spark, sf), "s")
     af = gt.groupBy("v").pivot("pop", [0, 1]).agg(F.sum("gt").cast("double") / (2 * F.count(F.lit(1)))).select("v", F.col("0").alias("af"), F.col("1").alias("b")).where("af > 0 AND af < 1 AND b IS NOT NULL")
-    d = af.select(((F.col("b") - F.col("af")) / F.sqrt(F.col("af") * (1 - F.col("af")))).alias("d"), (F.row_number().over(Window.orderBy("v")) - 1).alias("i"))
+    ones = scan(af.withColumn("one", F.lit(1)), [], "v", F.floor(F.col("v") / 65536), "one", "i")  # numbered in blocks of keys
+    d = ones.select(((F.col("b") - F.col("af")) / F.sqrt(F.col("af") * (1 - F.col("af")))).alias("d"), (F.col("i") - 1).cast("int").alias("i"))
     return rounded(R.drift_null(af, d, 10, 5).groupBy("rep").agg(F.avg("af").alias("af"), F.count(F.lit(1)).alias("n")), "af")
 
 

@@ -67,7 +67,7 @@ WITH {LABELLED}, a AS (SELECT n_chars, count(*) FILTER (quality = 1) AS a, count
 r AS (SELECT sum(a) OVER w AS ca, sum(b) OVER w AS cb FROM a WINDOW w AS (ORDER BY n_chars ROWS UNBOUNDED PRECEDING))
 SELECT CAST(max(na) AS BIGINT) AS n_a, CAST(max(nb) AS BIGINT) AS n_b, round(max(abs(ca::DOUBLE / na - cb::DOUBLE / nb)), 6) AS ks FROM r, t""")
 def ks2(spark, sf):
-    return rounded(S.ks2(labelled(spark, sf), "n_chars", F.col("quality") == 1), "ks")
+    return rounded(S.ks2(labelled(spark, sf), "n_chars", F.col("quality") == 1).select("n_a", "n_b", "ks"), "ks")
 
 
 @query("", f"""
@@ -84,7 +84,7 @@ SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS w_plus, coal
 def wilcoxon(spark, sf):
     odd = F.col("event_id") % 2 == 1
     d = events(spark, sf).groupBy("user_id").agg((F.avg(F.when(~odd, F.col("value"))) - F.avg(F.when(odd, F.col("value")))).alias("d"))
-    return rounded(S.wilcoxon_signed_rank(rounded(d, "d"), "d"), "w_plus", "w_minus")
+    return rounded(S.wilcoxon_signed_rank(rounded(d, "d"), "d").select("n", "w_plus", "w_minus"), "w_plus", "w_minus")
 
 
 @query("", "SELECT lang, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad, count(*) FILTER (quality IS NULL) AS unlabelled FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
@@ -132,6 +132,55 @@ def binning(spark, sf):
     return X.read(spark, sf, "part").select("p_partkey", af_bin(F.col("p_size") / 50.0, 20).alias("bin"), band(F.col("p_size"), [1, 10, 30, 51]).alias("band"))
 
 
+@query("", f"""
+WITH {LABELLED}, t AS (SELECT n_chars AS x, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality <> 1) AS q FROM j GROUP BY 1)
+SELECT x::DOUBLE AS threshold, round(sum(p) OVER w / sum(p) OVER (), 6) AS tpr, round(sum(q) OVER w / sum(q) OVER (), 6) AS fpr FROM t WINDOW w AS (ORDER BY x DESC ROWS UNBOUNDED PRECEDING)""")
+def roc_points(spark, sf):
+    return rounded(S.roc_points(labelled(spark, sf), "n_chars", F.col("quality") == 1), "tpr", "fpr")
+
+
+@query("", "WITH r AS (SELECT event_id, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS rank FROM events) SELECT event_id, rank::DOUBLE AS rank FROM r")
+def rank_all(spark, sf):
+    """Average ranks without a group: no task orders all rows."""
+    return S.avg_rank(events(spark, sf), "value").select("event_id", F.col("rank").cast("double").alias("rank"))
+
+
+@query("", "SELECT event_type, count(value) AS n, round(avg(value - 50), 6) AS mean, round(avg(value - 50) / stddev_samp(value) * sqrt(count(value)), 6) AS t FROM events GROUP BY event_type")
+def paired_t(spark, sf):
+    """Differences from fifty; the p is left to the fixed vectors."""
+    d = events(spark, sf).select("event_type", (F.col("value") - 50).alias("d"))
+    return rounded(S.paired_t(d, "d", "event_type").select("event_type", "n", "mean", "t"), "mean", "t")
+
+
+@query("", """
+WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2), x AS (SELECT n, sum(n) OVER (PARTITION BY lang) AS r, sum(n) OVER (PARTITION BY source) AS c, sum(n) OVER () AS m FROM c)
+SELECT round(sum(2 * n * ln(n * m / (r * c))), 6) AS g, CAST(max(m) AS BIGINT) AS n, ((SELECT count(DISTINCT lang) FROM documents) - 1) * ((SELECT count(DISTINCT source) FROM documents) - 1) AS df FROM x""")
+def g_test(spark, sf):
+    return rounded(S.g_test(X.read(spark, sf, "documents"), "lang", "source").select("g", "n", "df"), "g")
+
+
+@query("", """
+WITH c AS (SELECT p_size AS x, p_partkey % 7 AS y, count(*)::DOUBLE AS n FROM part GROUP BY 1, 2)
+SELECT (SELECT sum(a.n * b.n) FROM c a, c b WHERE a.x < b.x AND a.y < b.y) AS concordant, (SELECT sum(a.n * b.n) FROM c a, c b WHERE a.x > b.x AND a.y < b.y) AS discordant""")
+def kendall_tau(spark, sf):
+    return S.kendall_tau(X.read(spark, sf, "part").withColumn("y", F.col("p_partkey") % 7), "p_size", "y").select("concordant", "discordant")
+
+
+@query("", """
+WITH g AS (SELECT event_type, count(*) AS n, regr_sxx(value, user_id) AS sxx, regr_sxy(value, user_id) AS sxy, regr_syy(value, user_id) AS syy FROM events WHERE value IS NOT NULL GROUP BY 1),
+s AS (SELECT sum(n) AS n, count(*) AS k, sum(syy) - sum(sxy)^2 / sum(sxx) AS rss, sum(syy - sxy^2 / sxx) AS own FROM g)
+SELECT k - 1 AS df1, CAST(n - 2 * k AS BIGINT) AS df2, round((rss - own) / (k - 1) / (own / (n - 2 * k)), 6) AS f FROM s""")
+def slope_interaction(spark, sf):
+    return rounded(S.slope_interaction(events(spark, sf), "value", "user_id", "event_type").select("df1", "df2", "f"), "f")
+
+
+@query()
+def score_logit(spark, sf):
+    """Quality by length: log odds, standard error and Wald p."""
+    d = labelled(spark, sf).select((F.col("quality") == 1).cast("int").alias("y"), F.log1p("n_chars").alias("x"))
+    return rounded(S.score_logit(d, "y", "x"), "beta", "se", "z", "p")
+
+
 @query()
 def hwe_exact(spark, sf):
     """Exact Hardy-Weinberg p of each variant, computed once for each distinct triple of counts."""

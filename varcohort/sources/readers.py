@@ -146,6 +146,80 @@ def af_vcf_to_counts(v: DataFrame, n: int = 1000) -> DataFrame:
     return rows.withColumn("n_rr", F.lit(n) - F.col("n_missing") - F.col("n_ra") - F.col("n_aa"))
 
 
+def frqx_to_counts(df: DataFrame) -> DataFrame:
+    """Genotype counts from frequency reports (vid, a1, hom_a1, het, hom_a2, missing): a1 may be either allele of contig:pos:ref:alt."""
+    part = F.split("vid", ":")
+    flipped = F.col("a1") == part[3]
+    turn = lambda x, y: F.when(flipped, F.col(x)).otherwise(F.col(y)).cast("long")
+    return df.select(
+        part[0].alias("contig"), part[1].cast("long").alias("pos"), part[2].alias("ref"), part[3].alias("alt"),
+        turn("hom_a2", "hom_a1").alias("n_rr"), F.col("het").cast("long").alias("n_ra"), turn("hom_a1", "hom_a2").alias("n_aa"), F.col("missing").cast("long").alias("n_missing"),
+    )
+
+
+def ac_an(lines: DataFrame) -> DataFrame:
+    """Allele counts from lines of a contig:pos:ref:alt, a tab and a digit or dot for each sample."""
+    part, calls = F.split(F.split("value", "\t")[0], ":"), F.split("value", "\t")[1]
+    n = lambda c: F.length(calls) - F.length(F.replace(calls, F.lit(c), F.lit("")))
+    ac, an = n("1") + 2 * n("2"), 2 * (F.length(calls) - n("."))
+    return lines.select(part[0].alias("contig"), part[1].cast("long").alias("pos"), part[2].alias("ref"), part[3].alias("alt"), ac.cast("long").alias("ac"), an.cast("long").alias("an"))
+
+
+def titled(text: Column) -> Column:
+    """Every run of letters with a capital first and small letters after, blanks taken out."""
+    return F.replace(F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"\p{L}+|\P{L}+"), F.lit(0)), lambda w: F.initcap(w)), ""), F.lit(" "), F.lit(""))
+
+
+def clinvar_to_variants(t: DataFrame, bases: DataFrame, assembly: str = "GRCh37") -> DataFrame:
+    """Variant rows from a ClinVar table, with upstream bases from (contig, pos, ref): a row a base.
+
+    ``t`` is (assembly, contig, start, stop, ref, alt, significance, review) and further columns, which are kept. Rows of
+    other assemblies, with equal or unknown alleles or without a significance are left out; so are alleles other than
+    plain bases, and rows whose reference allele isn't the reference's, or has another length than their span. ``-`` is an empty
+    allele: an insertion lies between ``start`` and ``stop``, a deletion covers them, and both take the base before.
+    """
+    plain = lambda c: F.col(c).rlike("^[ACGT]+$")
+    r, a, size = F.col("ref"), F.col("alt"), F.col("stop") - F.col("start") + 1
+    kind = F.when(plain("ref") & plain("alt") & (size == F.length(r)), "var").when((r == "-") & plain("alt") & (size == 2), "ins").when(plain("ref") & (a == "-") & (size == F.length(r)), "del")
+    rows = t.where((F.col("assembly") == assembly) & (r != a) & (r != "na") & (a != "na") & (F.col("significance") != "-")).withColumn("__kind", kind).where("__kind IS NOT NULL")
+    rows = rows.withColumn("__from", F.when(F.col("__kind") == "del", F.col("start") - 1).otherwise(F.col("start")))
+    rows = rows.withColumn("__to", F.when(F.col("__kind") == "ins", F.col("start")).otherwise(F.col("stop")))
+    spans = rows.select("contig", "__from", "__to").distinct()
+    spelled = spans.withColumn("pos", F.explode(F.sequence("__from", "__to"))).join(bases.select("contig", "pos", F.col("ref").alias("__b")), ["contig", "pos"])
+    spelled = spelled.groupBy("contig", "__from", "__to").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "__b"))), lambda x: x["__b"]), "").alias("__seq"))
+    rows = rows.join(spelled, ["contig", "__from", "__to"])
+    seq = F.col("__seq")
+    ok = (F.length(seq) == F.col("__to") - F.col("__from") + 1) & F.when(F.col("__kind") == "var", seq == r).when(F.col("__kind") == "del", F.substring(seq, 2, 1 << 30) == r).otherwise(True)
+    rest = [c for c in t.columns if c not in ("assembly", "contig", "start", "stop", "ref", "alt", "significance", "review")]
+    new_alt = F.when(F.col("__kind") == "var", a).when(F.col("__kind") == "ins", F.concat(seq, a)).otherwise(F.substring(seq, 1, 1))
+    return rows.where(ok).select(
+        "contig", F.col("__from").alias("pos"), seq.alias("ref"), new_alt.alias("alt"), titled(F.col("significance")).alias("significance"),
+        titled(F.replace("review", F.lit(","), F.lit(""))).alias("review"), *rest,
+    )
+
+
+#: Columns of the score tables, from one: name, number and type.
+SCORES = {
+    "cadd": (("contig", 1, "string"), ("pos", 2, "long"), ("ref", 3, "string"), ("alt", 4, "string"), ("raw", 5, "double"), ("phred", 6, "double")),
+    "cato": (("contig", 1, "string"), ("pos", 3, "long"), ("id", 4, "string"), ("ref", 9, "string"), ("alt", 10, "string"), ("score", 5, "double"), ("strand", 6, "string"), ("motif", 7, "string"), ("motif_pos", 8, "long"), ("cell_types", 11, "string")),
+    "eigen": (("contig", 1, "string"), ("pos", 2, "long"), ("ref", 3, "string"), ("alt", 4, "string"), ("raw", 18, "double"), ("phred", 19, "double"), ("pc_raw", 20, "double"), ("pc_phred", 21, "double")),
+}
+
+
+def scores_to_variants(lines: DataFrame, kind: str) -> DataFrame:
+    """Variant rows from the tab-separated lines (value) of a score table: ``cadd``, ``cato`` or ``eigen``.
+
+    Comments and headers, whose position is no number, are left out, and ``chr`` is taken off contigs. CATO's strand is
+    1, -1 or 0, and its cell types a list.
+    """
+    cell = F.split("value", "\t")
+    rows = lines.where(~F.col("value").startswith("#")).select(*[F.get(cell, F.lit(i - 1)).try_cast(of).alias(n) for n, i, of in SCORES[kind]]).where("pos IS NOT NULL")
+    rows = rows.withColumn("contig", F.regexp_replace("contig", "^chr", ""))
+    if kind == "cato":
+        rows = rows.withColumns({"strand": F.when(F.col("strand") == "+", 1).when(F.col("strand") == "-", -1).otherwise(0), "cell_types": F.split("cell_types", ";")})
+    return rows
+
+
 BASES = "ACGT"
 
 
