@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
-    ledger = f"{shared_dir(spark)}/secret-ledger-{spark.sparkContext.applicationId}"
+    ledger = f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"  # a ledger of this run's own: whoever keeps one passes its path to scan_into
     return scan_into(versions, ledger).withColumnRenamed("path", "doc_id")
 
 
