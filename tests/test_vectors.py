@@ -246,3 +246,106 @@ def test_global_ranks_against_sorting(spark):
     assert all(abs(r["p_adj"] - bh[r["p"]]) < 1e-12 for r in out)
     w = S.wilcoxon_signed_rank(df.withColumn("d", F.col("x") - 0.55), "d").first()
     assert w["n"] == m and w["w_plus"] + w["w_minus"] == m * (m + 1) / 2
+
+
+def test_pruning_of_a_chain(spark):
+    """A path of 500 linked variants and a clique: nothing kept is linked, and nothing else could be kept."""
+    import random
+
+    keys = list(range(500))
+    random.Random(3).shuffle(keys)
+    pairs = [(a, b, 0.9) for a, b in zip(keys, keys[1:])] + [(600 + i, 600 + j, 0.5) for i in range(12) for j in range(i + 1, 12)] + [(700, 701, 0.1)]
+    v = spark.createDataFrame([(i,) for i in [*range(500), *range(600, 612), 700, 701, 702]], "v int")
+    kept = [r["v"] for r in M.ld_prune(spark.createDataFrame(pairs, "v1 int, v2 int, r2 double"), v, 0.2).collect()]
+    linked = {(a, b) for a, b, r in pairs if r > 0.2} | {(b, a) for a, b, r in pairs if r > 0.2}
+    assert len(kept) == len(set(kept)) and {700, 701, 702} <= set(kept)
+    assert not [1 for a in kept for b in kept if (a, b) in linked]
+    assert all(any((x, k) in linked for k in kept) for x in {r["v"] for r in v.collect()} - set(kept))
+
+
+def test_components_against_dense_algebra(spark):
+    rng = np.random.default_rng(5)
+    freq = rng.uniform(0.2, 0.8, (2, 400))
+    g = rng.binomial(2, freq[np.repeat([0, 1], 15)])
+    rows = [(v, s, int(g[s, v])) for s in range(30) for v in range(400) if rng.random() < 0.9]
+    gt = spark.createDataFrame(rows, "v int, s int, gt int")
+    z = np.zeros((30, 400))
+    for v in range(400):
+        own = [(s, x) for w, s, x in rows if w == v]
+        p = sum(x for _, x in own) / (2 * len(own))
+        if 0 < p < 1:
+            for s, x in own:
+                z[s, v] = (x - 2 * p) / (2 * p * (1 - p)) ** 0.5
+    left, sing, right = np.linalg.svd(z, full_matrices=False)
+    scores, loadings, values = M.pca(gt, 1)
+    assert abs(values[0] / sing[0] ** 2 - 1) < 1e-6
+    one = np.array([r["pc1"] for r in scores.orderBy("s").collect()])
+    assert abs(abs(one @ left[:, 0]) / sing[0] - 1) < 1e-6 and one[np.abs(one).argmax()] > 0
+    load = np.array([r["l1"] for r in loadings.orderBy("v").collect()])
+    assert abs(abs(load @ right[0]) - 1) < 1e-6
+
+
+def test_kinship_in_blocks(spark):
+    """Whatever the blocks, the sums of all pairs are those of looking at each site."""
+    rng = np.random.default_rng(6)
+    rows = [(v, s, None if rng.random() < 0.1 else int(rng.integers(0, 3))) for v in range(50) for s in range(9) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "v int, s int, gt int")
+    want = {}
+    for a in range(9):
+        for b in range(a + 1, 9):
+            x, y = ({v: g for v, s, g in rows if s == t and g is not None} for t in (a, b))
+            both = [(x[v], y[v]) for v in x.keys() & y.keys()]
+            want[a, b] = (sum(p == (1, 1) for p in both), sum(abs(p[0] - p[1]) == 2 for p in both), sum(p[0] == 1 for p in both), sum(p[1] == 1 for p in both), len(both))
+    for sites, people in ((4096, 512), (10, 3), (7, 2)):
+        got = {(r["s1"], r["s2"]): tuple(r)[2:7] for r in G.king_kinship(df, sites=sites, people=people).collect()}
+        assert got == want
+
+
+def test_vcf_files(spark, tmp_path):
+    """Sites and genotypes through a folder of files, each whole; files of different samples keep their own names."""
+    v = spark.createDataFrame([(i, str(1 + i % 3), 10 * i, "A", ["C", "G"] if i % 4 == 0 else ["C"], f"x{i}") for i in range(1, 40)], "v int, contig string, pos long, ref string, alts array<string>, note string")
+    gt = spark.createDataFrame([(i, s, (i + len(s)) % 3, i, 2 * i) for i in range(1, 40) for s in ("s1", "s22")], "v int, s string, gt int, ad long, dp long")
+    writers.write_vcf(v, ["note"], f"{tmp_path}/out", gt, ("s1", "s22", "s3"))
+    files = list((tmp_path / "out").glob("part-*"))
+    assert files and all(f.read_text().startswith("##fileformat") for f in files)
+    sites, calls = readers.read_vcf(spark, f"{tmp_path}/out")
+    assert {(r["contig"], r["pos"], tuple(r["alts"]), r["info"]["NOTE"]) for r in sites.collect()} == {(r["contig"], r["pos"], tuple(r["alts"]), r["note"]) for r in v.collect()}
+    got = {(r["pos"], r["s"]): (r["a1"], r["a2"], r["ads"], r["dp"]) for r in calls.collect()}
+    assert len(got) == 39 * 3 and got[50, "s3"][:2] == (None, None) and got[50, "s1"] == (0, 1, [5, 5], 10) if (5 + 2) % 3 == 1 else True
+    for name, sample in (("a", "one"), ("b", "two")):
+        (tmp_path / f"{name}.vcf").write_text(f"#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t{sample}\n1\t5\t.\tA\tC\t.\t.\t.\tGT\t0/1\n")
+    _, calls = readers.read_vcf(spark, f"{tmp_path}/*.vcf")
+    assert sorted(r["s"] for r in calls.collect()) == ["one", "two"]
+
+
+def test_small_functions(spark, tmp_path):
+    """Functions that no query needs."""
+    from varcohort.functions import consequence as C
+    from varcohort.functions import variant as V
+    from varcohort.operators import af as AF
+    from varcohort.operators import alleles as L
+    from varcohort.operators import series as SE
+
+    row = spark.range(1).select(
+        V.in_par(F.lit("X"), F.lit(60001)), V.in_par(F.lit("X"), F.lit(60000)), V.parse_vid(F.lit("1:5:A:C")).alias("vid"), SE.folded_vaf(F.lit(10), F.lit(7)).alias("vaf"), SE.folded_vaf(F.lit(0), F.lit(0)).alias("none"),
+    ).first()
+    assert row[0] and not row[1] and tuple(row["vid"]) == ("1", 5, "A", "C") and abs(row["vaf"] - 0.3) < 1e-12 and row["none"] is None
+    t = spark.createDataFrame([(1, "a", 5), (1, "b", 7), (2, "c", 1)], "k int, x string, n int")
+    assert sorted(r["x"] for r in G.top1(t, ["k"], F.desc("n")).collect()) == ["b", "c"]
+    for i, rows in enumerate(([(1, "a")], [(2, "b")])):
+        spark.createDataFrame(rows, "k int, x string").write.parquet(f"{tmp_path}/p{i}")
+    assert readers.read_union(spark, [f"{tmp_path}/p0", f"{tmp_path}/p1"]).count() == 2
+    writers.export(t, ["k", "x"], f"{tmp_path}/tsv")
+    assert readers.read_many_tsv(spark, f"{tmp_path}/tsv", "k int, x string").where("file LIKE 'part%'").count() == 3
+    g = spark.createDataFrame([("1", "s1", 0, 3, 10), ("1", "s2", 2, 4, 9), ("2", "s1", None, 0, 5)], "contig string, s string, gt int, ad int, dp int")
+    writers.export_genotypes(g, ["s", "gt"], f"{tmp_path}/gt")
+    assert spark.read.csv(f"{tmp_path}/gt", sep="\t", header=True).count() == 1
+    writers.write_by_sample(g, f"{tmp_path}/by")
+    assert sorted(p.name for p in (tmp_path / "by").glob("s=*")) == ["s=s1", "s=s2"]
+    writers.write_ds(g, f"{tmp_path}/ds")
+    assert sorted(p.name for p in (tmp_path / "ds").glob("contig=*")) == ["contig=1", "contig=2"]
+    writers.export_dosage_set(g, t, t, f"{tmp_path}/set")
+    assert spark.read.parquet(f"{tmp_path}/set/variants").count() == 3
+    rows = spark.createDataFrame([(3, 7)], "ad int, ref_ad int")
+    assert abs(L.with_balance(rows).first()["p_ab"] - 0.34375) < 1e-9
+    assert AF.counts_from_ac and C.vep_canonical

@@ -6,6 +6,8 @@ sample tables are dimension tables and joined by key.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,14 +159,43 @@ def impute_sex(gt: DataFrame, v: DataFrame, key: str = "v") -> DataFrame:
     return out.withColumn("sex", F.when(F.col("f") < 0.2, "female").when(F.col("f") > 0.8, "male"))
 
 
-def king_kinship(gt: DataFrame, key: str = "v") -> DataFrame:
-    """KING-robust kinship of every pair of samples that share called sites: sums over a join on the site."""
-    g = gt.where("gt IS NOT NULL").select(key, "s", "gt")
-    pair = g.alias("a").join(g.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.s") < F.col("b.s")))
-    ga, gb = F.col("a.gt"), F.col("b.gt")
-    sums = pair.groupBy(F.col("a.s").alias("s1"), F.col("b.s").alias("s2")).agg(
-        F.count_if((ga == 1) & (gb == 1)).alias("het_het"), F.count_if(F.abs(ga - gb) == 2).alias("opposite"), F.count_if(ga == 1).alias("het1"), F.count_if(gb == 1).alias("het2"), F.count(F.lit(1)).alias("n_sites"),
-    )
+def king_kinship(gt: DataFrame, key: str = "v", sites: int = 4096, people: int = 512) -> DataFrame:
+    """KING-robust kinship of every pair of samples that share called sites.
+
+    Cells are dealt into blocks of about ``sites`` sites and, once for each other block of samples, pairs of blocks of
+    about ``people`` samples. A task counts a pair of blocks by products of 0/1 matrices, so what moves are cells times
+    blocks of samples and a row a pair and block of sites, never a row for each pair at each site.
+    """
+    g = gt.where("gt IS NOT NULL").select(F.xxhash64(key).alias("__v"), "s", "gt")
+    n = g.agg(F.approx_count_distinct("__v").alias("v"), F.approx_count_distinct("s").alias("s")).first()
+    n_sites, n_people = max(1, -(-n["v"] // sites)), max(1, -(-n["s"] // people))
+    rows = g.select("__v", "s", "gt", F.pmod("__v", F.lit(n_sites)).alias("block"), F.pmod(F.xxhash64("s"), F.lit(n_people)).cast("int").alias("own"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_people - 1))))
+    rows = rows.select("__v", "s", "gt", "own", "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    kind = dict(gt.dtypes)["s"]
+    counts = ("het_het", "opposite", "het1", "het2", "n_sites")
+
+    def count(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+        _, place = np.unique(cells["__v"].to_numpy(), return_inverse=True)
+        names, of = np.unique(cells["s"].to_numpy(), return_inverse=True)
+        state = np.zeros((3, place.max() + 1, len(names)), np.float32)
+        state[cells["gt"].to_numpy(np.int64), place, of] = 1
+        called = state.sum(axis=0)
+        side = np.zeros(len(names), np.int64)
+        side[of] = cells["own"].to_numpy()
+        left, right = (np.arange(len(names)),) * 2 if key[1] == key[2] else (np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2]))
+        a, b = state[:, :, left], state[:, :, right]
+        ca, cb = called[:, left], called[:, right]
+        sums = np.stack([a[1].T @ b[1], a[0].T @ b[2] + a[2].T @ b[0], a[1].T @ cb, ca.T @ b[1], ca.T @ cb]).astype(np.int64)
+        x, y = np.nonzero((sums[4] > 0) & ((names[left][:, None] < names[right][None, :]) if key[1] == key[2] else True))
+        s1, s2, sums = names[left][x], names[right][y], sums[:, x, y]
+        turned = s1 > s2
+        out = pd.DataFrame({"s1": np.where(turned, s2, s1), "s2": np.where(turned, s1, s2)})
+        sums[2], sums[3] = np.where(turned, sums[3], sums[2]), np.where(turned, sums[2], sums[3])
+        return out.assign(**dict(zip(counts, sums, strict=True)))
+
+    part = rows.groupBy("block", "i", "j").applyInPandas(count, f"s1 {kind}, s2 {kind}, " + ", ".join(f"{c} long" for c in counts))
+    sums = part.groupBy("s1", "s2").agg(*[F.sum(c).alias(c) for c in counts])
     least = F.least("het1", "het2")
     kin = (F.col("het_het") - 2 * F.col("opposite")) / (2.0 * least) + 0.5 - 0.25 * (F.col("het1") + F.col("het2")) / least
     return sums.withColumn("kin", F.when(least > 0, kin))

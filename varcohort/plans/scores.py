@@ -133,17 +133,18 @@ def drift_null(spark, sf):
 def ld_prune(spark, sf):
     from ..operators import genotype as G
 
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-varcohort-"))
     v = X.variants(spark, sf)
-    return M.ld_prune(G.ld_r2(X.genotypes(spark, sf), v, 3000), v, 0.2)
+    return M.ld_prune(G.ld_r2(X.pools(spark, sf), v, 3000), v, 0.2)
 
 
 @query()
 def pca(spark, sf):
-    return rounded(M.pca(X.genotypes(spark, sf), 4), "pc1", "pc2", "pc3", "pc4")
+    return rounded(M.pca(X.pools(spark, sf), 4)[0], "pc1", "pc2", "pc3", "pc4")
+
+
+@query()
+def pca_loadings(spark, sf):
+    return rounded(M.pca(X.pools(spark, sf), 2)[1], "l1", "l2")
 
 
 @query()

@@ -22,13 +22,14 @@ def texts(values: list[str]) -> Column:
     return F.split(F.lit("\n".join(values)), "\n") if values else F.array().cast("array<string>")
 
 
-def parse_vcf(lines: DataFrame, samples: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Variants and long genotypes from a column ``value`` of VCF lines; headers are skipped.
+def parse_vcf(lines: DataFrame, samples: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """Variants and long genotypes from a column ``value`` of VCF lines; headers are skipped. Without ``samples`` each line has its own ``names``.
 
     Genotypes are (contig, pos, ref, s, a1, a2, ads, dp, gq), with null alleles where a call is missing.
     """
     part = F.split("value", "\t")
-    rows = lines.where(~F.col("value").startswith("#") & (F.length("value") > 0)).select(part.alias("f"))
+    names = texts(samples) if samples is not None else F.col("names")
+    rows = lines.where(~F.col("value").startswith("#") & (F.length("value") > 0)).select(part.alias("f"), names.alias("names"))
     info = F.when(F.col("f")[7] != ".", F.str_to_map(F.col("f")[7], F.lit(";"), F.lit("=")))
     filters = F.when(F.col("f")[6].isin("PASS", "."), F.array().cast("array<string>")).otherwise(F.split(F.col("f")[6], ";"))
     null = lambda c: F.when(c != ".", c)
@@ -36,8 +37,7 @@ def parse_vcf(lines: DataFrame, samples: list[str]) -> tuple[DataFrame, DataFram
         F.col("f")[0].alias("contig"), F.col("f")[1].cast("long").alias("pos"), null(F.col("f")[2]).alias("rsid"), F.col("f")[3].alias("ref"),
         F.split(F.col("f")[4], ",").alias("alts"), null(F.col("f")[5]).cast("double").alias("qual"), filters.alias("filters"), info.alias("info"),
     )
-    names = texts(samples)
-    cells = F.arrays_zip(names.alias("s"), F.slice("f", 10, max(len(samples), 1)).alias("call"))
+    cells = F.arrays_zip(F.col("names").alias("s"), F.slice("f", F.lit(10), F.greatest(F.size("names"), F.lit(1))).alias("call"))
     g = rows.select(F.col("f")[0].alias("contig"), F.col("f")[1].cast("long").alias("pos"), F.col("f")[3].alias("ref"), F.split(F.col("f")[8], ":").alias("fmt"), F.explode(cells).alias("c"))
     call = F.split("c.call", ":")
     value = lambda name: F.try_element_at(F.map_from_arrays(F.slice("fmt", F.lit(1), F.least(F.size("fmt"), F.size(call))), F.slice(call, F.lit(1), F.least(F.size("fmt"), F.size(call)))), F.lit(name))
@@ -49,10 +49,13 @@ def parse_vcf(lines: DataFrame, samples: list[str]) -> tuple[DataFrame, DataFram
 
 
 def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """All files of a glob; the sample names are those of one header line."""
+    """All files of a glob or folder. Where their headers name different samples, each file's lines get their own file's names."""
     lines = spark.read.text(path)
-    head = lines.where(F.col("value").startswith("#CHROM")).first()
-    return parse_vcf(lines, head["value"].split("\t")[9:] if head else [])
+    heads = lines.where(F.col("value").startswith("#CHROM")).select(F.input_file_name().alias("file"), F.slice(F.split("value", "\t"), 10, 1 << 30).alias("names"))
+    kinds = heads.select("names").distinct().limit(2).collect()
+    if len(kinds) < 2:
+        return parse_vcf(lines, list(kinds[0]["names"]) if kinds else [])
+    return parse_vcf(lines.withColumn("file", F.input_file_name()).join(heads.dropDuplicates(["file"]), "file"), None)
 
 
 def read_table(spark: SparkSession, path: str, schema: str, sep: str = "\t", comment: str | None = None, null: str = "NA", header: bool = True) -> DataFrame:

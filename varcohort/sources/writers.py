@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,17 +50,33 @@ def write_af(df: DataFrame, path: str, key: tuple[str, ...] = ("contig", "pos",
     df.write.mode("overwrite").parquet(path)
 
 
-def vcf_lines(v: DataFrame, info: list[str]) -> DataFrame:
+def vcf_lines(v: DataFrame, info: list[str], gt: DataFrame | None = None, samples: tuple[str, ...] = (), key: str = "v") -> DataFrame:
+    """Lines in the genome's order; with genotypes (key, s, gt, ad, dp) a call for each of ``samples``, absent ones as no call."""
     fields = F.concat_ws(";", *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c.upper()}="), F.col(c).cast("string"))) for c in info])
     cells = [F.col("contig"), F.col("pos").cast("string"), F.lit("."), F.col("ref"), F.array_join("alts", ","), F.lit("."), F.lit("PASS"), F.when(fields == "", ".").otherwise(fields)]
+    if gt is not None:
+        g = F.col("gt")
+        call = F.concat_ws(":", F.when(g.isNull(), "./.").when(g == 0, "0/0").when(g == 1, "0/1").otherwise("1/1"), F.concat_ws(",", (F.col("dp") - F.col("ad")).cast("string"), F.col("ad").cast("string")), F.col("dp").cast("string"))
+        calls = gt.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("s").cast("string"), call))).alias("__c"))
+        v = v.join(calls, key, "left")
+        cells += [F.lit("GT:AD:DP"), F.array_join(F.transform(texts(list(samples)), lambda s: F.coalesce(F.try_element_at("__c", s), F.lit("./."))), "\t")]
     return v.repartitionByRange("contig", "pos").sortWithinPartitions("contig", "pos").select(F.concat_ws("\t", *cells).alias("value"))
 
 
-def write_vcf(v: DataFrame, info: list[str], path: str) -> None:
-    """Sites as text; the header, with a line for each field, beside them in ``path/../header``."""
-    head = ["##fileformat=VCFv4.2", *[f'##INFO=<ID={c.upper()},Number=1,Type=String,Description="{c}">' for c in info], "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"]
-    vcf_lines(v, info).write.mode("overwrite").text(path)
-    v.sparkSession.createDataFrame([(h,) for h in head], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.header")
+def write_vcf(v: DataFrame, info: list[str], path: str, gt: DataFrame | None = None, samples: tuple[str, ...] = (), key: str = "v") -> None:
+    """A folder of VCF files, each of which begins with the whole header and holds a stretch of the genome."""
+    head = ["##fileformat=VCFv4.2", *[f'##INFO=<ID={c.upper()},Number=1,Type=String,Description="{c}">' for c in info]]
+    columns = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO"]
+    if gt is not None:
+        head += [f'##FORMAT=<ID={k},Number={n},Type={t},Description="{d}">' for k, n, t, d in (("GT", 1, "String", "Genotype"), ("AD", "R", "Integer", "Reads of each allele"), ("DP", 1, "Integer", "Depth"))]
+        columns += ["FORMAT", *samples]
+    head.append("\t".join(columns))
+
+    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": head})
+        yield from batches
+
+    vcf_lines(v, info, gt, samples, key).mapInPandas(headed, "value string").write.mode("overwrite").text(path)
 
 
 def dosage_lines(gt: DataFrame, samples: list[str], key: str = "vid") -> DataFrame:
