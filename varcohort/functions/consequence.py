@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,10 +59,16 @@ def drop_tokens(csq: Column, tokens: list[str]) -> Column:
     return F.array_join(F.array_except(F.split(csq, "[,&]"), F.array(*map(F.lit, tokens))), ",")
 
 
-def caller_filter(qual: Column, dp: Column, ad: Column, rd: Column) -> Column:
-    """Quality by depth, allele depth and share thresholds; the reference's terms count where it has reads."""
-    ok = (qual >= 20) & (dp >= 10) & (ad >= 3) & (qual / dp >= 0.5) & (ad / dp >= 0.02)
-    return ok & (F.coalesce(rd == 0, F.lit(True)) | (rd / dp <= 0.98))
+def caller_filter() -> Column:
+    """The thresholds of a targeted caller's table: reads, pairing, mapping and base qualities, and six bias scores.
+
+    Terms of the reference's pairing and base quality count only where it has reads.
+    """
+    c = F.col
+    bias = [c(n) <= 20 for n in ("epp", "eppr", "sap", "srp", "rpp", "rppr")]
+    ok = (c("ad") >= 2) & (c("paired") >= 0.9) & (c("mqm") >= 50) & (c("mqmr") >= 50) & (c("qa") / F.nullif("ad", F.lit(0)) >= 30)
+    ref = (c("rd") == 0) | ((c("pairedr") >= 0.9) & (c("qr") / F.nullif("rd", F.lit(0)) >= 30))
+    return F.coalesce(reduce(lambda a, b: a & b, bias, ok & ref), F.lit(False))
 
 
 def sv_tranche(filters: Column, qual: Column, asm: Column, ras: Column) -> Column:

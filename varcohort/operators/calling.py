@@ -9,12 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import variant as V
 from ..functions.variant import complement
 from .genotype import hwe_chisq, variant_qc
 from .intervals import in_intervals
 from .models import snr_thresholds
 from .series import triplet_context
-from .stats import log_choose
+from .stats import log_choose, with_hwe
 
 
 def powered(pile: DataFrame, cap: int = 100, **params: float) -> DataFrame:
@@ -185,16 +186,39 @@ def band_density(df: DataFrame, group: str, bands: Column, width: Column) -> Dat
     return n.select(group, "band", "n", (F.col("n") / total / F.col("width")).alias("density"))
 
 
+def group_counts(gt: DataFrame, by: DataFrame, group: str, key: str = "v") -> DataFrame:
+    g = F.col("gt")
+    return gt.join(by.select("s", group), "s").groupBy(key, group).agg(F.count_if(g == 0).alias("n_hom_ref"), F.count_if(g == 1).alias("n_het"), F.count_if(g == 2).alias("n_hom_var"))
+
+
 def hwe_all_groups(gt: DataFrame, by: DataFrame, group: str, limit: float, key: str = "v") -> DataFrame:
     """Variants whose Hardy-Weinberg chi-square stays below ``limit`` in every group."""
-    g = F.col("gt")
-    n = gt.join(by.select("s", group), "s").groupBy(key, group).agg(F.count_if(g == 0).alias("n_hom_ref"), F.count_if(g == 1).alias("n_het"), F.count_if(g == 2).alias("n_hom_var"))
-    out = hwe_chisq(n).groupBy(key).agg(F.max("hwe_chisq").alias("worst"))
+    out = hwe_chisq(group_counts(gt, by, group, key)).groupBy(key).agg(F.max("hwe_chisq").alias("worst"))
     return out.where(F.coalesce(F.col("worst") < limit, F.lit(True)))
 
 
-def filter_geno_maf_hwe(gt: DataFrame, n_samples: int, geno: float, maf: float, chisq: float, key: str = "v") -> DataFrame:
-    """Variants with few missing calls, a common enough minor allele and no departure from Hardy-Weinberg."""
-    qc = hwe_chisq(variant_qc(gt, n_samples, key))
+def common_snps(v: DataFrame, gt: DataFrame, by: DataFrame, group: str, alpha: float = 0.01, low: float = 0.05, key: str = "v") -> DataFrame:
+    """A set of well-behaved common variants: (key, af, worst).
+
+    Autosomal, unfiltered, named, biallelic substitutions that tell their strand, with a frequency from ``low`` to 1 - ``low``, whose
+    exact Hardy-Weinberg p is above ``alpha`` over the number of groups in every group.
+    """
+    alt = F.col("alts")[0]
+    fit = V.is_autosomal(F.col("contig")) & (F.size("filters") == 0) & F.col("rsid").isNotNull() & (F.size("alts") == 1) & V.is_snp(F.col("ref"), alt) & V.strand_specific(F.col("ref"), alt)
+    n = group_counts(gt, by, group, key)
+    groups = by.agg(F.countDistinct(group).alias("n_groups"))
+    rows = with_hwe(n).groupBy(key).agg(F.sum(F.col("n_het") + 2 * F.col("n_hom_var")).alias("ac"), F.sum(2 * (F.col("n_hom_ref") + F.col("n_het") + F.col("n_hom_var"))).alias("an"), F.min("hwe_p").alias("worst"))
+    rows = rows.withColumn("af", F.col("ac") / F.nullif("an", F.lit(0))).join(F.broadcast(groups))  # one row
+    kept = rows.where(F.col("af").between(low, 1 - low) & (F.col("worst") > F.lit(alpha) / F.col("n_groups")))
+    return kept.join(v.where(fit).select(key), key).select(key, "af", "worst")
+
+
+def filter_geno_maf_hwe(gt: DataFrame, n_samples: int, geno: float, maf: float, p: float, drop: DataFrame | None = None, key: str = "v") -> DataFrame:
+    """Variants with few missing calls, a common enough minor allele and a mid-p of Hardy-Weinberg's exact test of at least ``p``.
+
+    Samples of ``drop`` (s) are left out first; ``n_samples`` counts the others.
+    """
+    rows = gt if drop is None else gt.join(drop.select("s"), "s", "left_anti")
+    qc = with_hwe(variant_qc(rows, n_samples, key), mid=True)
     minor = F.least(F.col("af"), 1 - F.col("af"))
-    return qc.where((1 - F.col("call_rate") <= geno) & (minor >= maf) & F.coalesce(F.col("hwe_chisq") < chisq, F.lit(True))).select(key, "call_rate", "af", "hwe_chisq")
+    return qc.where((1 - F.col("call_rate") <= geno) & (minor >= maf) & (F.col("hwe_p") >= p)).select(key, "call_rate", "af", "hwe_p")

@@ -341,15 +341,27 @@ def hardy_weinberg(aa: int, ab: int, bb: int, mid: bool = False) -> float:
     return float(min(1.0, p - (own / 2 if mid else 0)))
 
 
-@F.pandas_udf(DoubleType())
-def hwe_exact(aa: pd.Series, ab: pd.Series, bb: pd.Series) -> pd.Series:
-    seen: dict[tuple[int, int, int], float] = {}
-    out = []
-    for t in zip(aa.astype(int), ab.astype(int), bb.astype(int), strict=True):
-        if t not in seen:
-            seen[t] = hardy_weinberg(*t)
-        out.append(seen[t])
-    return pd.Series(out)
+def _hwe(mid: bool):
+    @F.pandas_udf(DoubleType())
+    def p(aa: pd.Series, ab: pd.Series, bb: pd.Series) -> pd.Series:
+        seen: dict[tuple[int, int, int], float] = {}
+        out = []
+        for t in zip(aa.astype(int), ab.astype(int), bb.astype(int), strict=True):
+            if t not in seen:
+                seen[t] = hardy_weinberg(*t, mid)
+            out.append(seen[t])
+        return pd.Series(out)
+
+    return p
+
+
+hwe_exact, hwe_mid = _hwe(False), _hwe(True)
+
+
+def with_hwe(df: DataFrame, mid: bool = False, counts: tuple[str, str, str] = ("n_hom_ref", "n_het", "n_hom_var")) -> DataFrame:
+    """Adds ``hwe_p``, computed once for each triple of counts that occurs."""
+    p = df.select(*counts).distinct().withColumn("hwe_p", (hwe_mid if mid else hwe_exact)(*counts))
+    return df.join(p, list(counts))
 
 
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:

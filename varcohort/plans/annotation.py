@@ -19,6 +19,7 @@ from . import fixtures as X
 from .frequencies import COUNTS, counts
 from .regions import GENOME, genome, merged, swept
 from .registry import query, rounded
+from .statistics import exact
 
 CSQ = "csq AS (SELECT v, ['missense_variant', 'stop_gained,splice_region_variant', 'synonymous_variant', 'frameshift_variant', 'splice_donor_variant', 'intron_variant'][1 + v % 6] AS csq, (v * 13) % 500 AS res, 400 + v % 100 AS len FROM variants)"
 
@@ -60,10 +61,21 @@ def pathogenicity(spark, sf):
     return X.variants(spark, sf).select("v", C.predictor_bin(F.when(k % 8 != 0, (k % 100) / 100.0)).alias("predictor"), C.clinical_call(text, k % 3).alias("clinical"))
 
 
-@query("genotypes", "SELECT v, s FROM genotypes WHERE ad >= 3 AND dp >= 10 AND (dp + 10) >= 20 AND (dp + 10.0) / dp >= 0.5 AND ad::DOUBLE / dp >= 0.02 AND (dp = ad OR (dp - ad)::DOUBLE / dp <= 0.98)")
+CALLER = """t AS (SELECT v, s, dp, dp - ad - ad // 9 AS rd, ad, 40 * ad - (v % 3) * 11 * ad AS qa, (25 + v % 20) * (dp - ad - ad // 9) AS qr, 45 + s % 20 AS mqm, 48 + v % 9 AS mqmr, 0.8 + (s % 5) / 20.0 AS paired, 0.86 + (v % 8) / 40.0 AS pairedr, (v + s) % 23 AS score FROM genotypes)"""
+
+
+@query("genotypes", f"""
+WITH {CALLER} SELECT v, s FROM t WHERE ad >= 2 AND paired >= 0.9 AND mqm >= 50 AND mqmr >= 50 AND qa / ad >= 30 AND (rd = 0 OR (pairedr >= 0.9 AND qr / rd >= 30)) AND score <= 20""")
 def caller_filter(spark, sf):
-    ok = C.caller_filter(F.col("dp") + 10, F.col("dp"), F.col("ad"), F.col("dp") - F.col("ad"))
-    return X.genotypes(spark, sf).where(ok).select("v", "s")
+    k, n = F.col("v"), F.col("s")
+    rd = F.col("dp") - F.col("ad") - F.floor(F.col("ad") / 9)
+    t = X.genotypes(spark, sf).select(
+        "v", "s", "dp", rd.alias("rd"), "ad", (40 * F.col("ad") - (k % 3) * 11 * F.col("ad")).alias("qa"), ((25 + k % 20) * rd).alias("qr"), (45 + n % 20).alias("mqm"), (48 + k % 9).alias("mqmr"),
+        (0.8 + (n % 5) / 20).alias("paired"), (0.86 + (k % 8) / 40).alias("pairedr"), *[((k + n) % 23).alias(c) for c in ("epp", "eppr", "sap", "srp", "rpp", "rppr")],
+    )
+    # shares of exactly nine tenths: eight digits settle what both engines' sums leave
+    t = t.withColumns({c: F.round(c, 8) for c in ("paired", "pairedr")})
+    return t.where(C.caller_filter()).select("v", "s")
 
 
 @query("variants", "SELECT v, CASE WHEN v % 7 = 0 THEN NULL WHEN v * 10 >= 1000 AND v % 2 > 0 AND v % 3 > 0 THEN 'HIGH' WHEN v * 10 >= 500 AND (v % 2 > 0 OR v % 3 > 0) THEN 'INTERMEDIATE' ELSE 'LOW' END AS tranche FROM variants")
@@ -90,13 +102,25 @@ def hwe_all_groups(spark, sf):
     return rounded(K.hwe_all_groups(X.genotypes(spark, sf), X.samples(spark, sf), "pop", 12.5), "worst")
 
 
-@query("pools", """
-WITH g AS (SELECT v, count(*) FILTER (gt = 0)::DOUBLE AS a, count(*) FILTER (gt = 1)::DOUBLE AS b, count(*) FILTER (gt = 2)::DOUBLE AS c FROM pools GROUP BY v),
-f AS (SELECT *, a + b + c AS n, (2 * a + b) / nullif(2 * (a + b + c), 0) AS p FROM g),
-h AS (SELECT v, n / (SELECT count(*) FROM nation) AS call_rate, 1 - p AS af, CASE WHEN p > 0 AND p < 1 THEN (a - n*p*p)^2 / (n*p*p) + (b - 2*n*p*(1-p))^2 / (2*n*p*(1-p)) + (c - n*(1-p)*(1-p))^2 / (n*(1-p)*(1-p)) END AS x FROM f)
-SELECT v, round(call_rate, 6) AS call_rate, round(af, 6) AS af, round(x, 6) AS hwe_chisq FROM h WHERE 1 - call_rate <= 0.4 AND least(af, 1 - af) >= 0.05 AND coalesce(x < 30, true)""")
+@query("pools", f"""
+WITH g AS (SELECT v, count(*) FILTER (gt = 0) AS aa, count(*) FILTER (gt = 1) AS ab, count(*) FILTER (gt = 2) AS bb FROM pools WHERE s <> 7 GROUP BY v), {exact('g')},
+h AS (SELECT v, (aa + ab + bb) / ((SELECT count(*) FROM nation) - 1) AS call_rate, (ab + 2 * bb)::DOUBLE / nullif(2 * (aa + ab + bb), 0) AS af, mid FROM g JOIN hwe USING (aa, ab, bb))
+SELECT v, round(call_rate, 6) AS call_rate, round(af, 6) AS af, round(mid, 6) AS hwe_p FROM h WHERE 1 - call_rate <= 0.4 AND least(af, 1 - af) >= 0.05 AND mid >= 0.001""")
 def filter_geno_maf_hwe(spark, sf):
-    return rounded(K.filter_geno_maf_hwe(X.pools(spark, sf), X.n_pools(spark, sf), 0.4, 0.05, 30.0), "call_rate", "af", "hwe_chisq")
+    drop = spark.range(7, 8).select(F.col("id").cast("int").alias("s"))
+    return rounded(K.filter_geno_maf_hwe(X.pools(spark, sf), X.n_pools(spark, sf) - 1, 0.4, 0.05, 0.001, drop), "call_rate", "af", "hwe_p")
+
+
+@query("pools variants", f"""
+WITH g AS (SELECT v, s % 5 AS pop, count(*) FILTER (gt = 0) AS aa, count(*) FILTER (gt = 1) AS ab, count(*) FILTER (gt = 2) AS bb FROM pools GROUP BY 1, 2), {exact('g')},
+m AS (SELECT v, sum(ab + 2 * bb)::DOUBLE / nullif(sum(2 * (aa + ab + bb)), 0) AS af, min(p) AS worst FROM g JOIN hwe USING (aa, ab, bb) GROUP BY v)
+SELECT v, round(af, 6) AS af, round(worst, 6) AS worst FROM m JOIN variants USING (v) WHERE af BETWEEN 0.05 AND 0.95 AND worst > 0.01 / 5 AND contig <> 'X' AND v % 6 > 0 AND v % 7 > 0 AND len(alts) = 1 AND length(ref) = 1 AND length(alts[1]) = 1 AND ref || alts[1] NOT IN ('AT', 'TA', 'CG', 'GC')""")
+def common_snps(spark, sf):
+    k = F.col("v")
+    none = F.array().cast("array<string>")
+    v = X.variants(spark, sf).withColumns({"filters": F.when(k % 6 == 0, F.array(F.lit("q10"))).otherwise(none), "rsid": F.when(k % 7 > 0, F.concat(F.lit("rs"), k.cast("string")))})
+    by = X.read(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("s"), (F.col("n_nationkey") % 5).cast("int").alias("pop"))
+    return rounded(K.common_snps(v, X.pools(spark, sf), by, "pop"), "af", "worst")
 
 
 @query("variants", "SELECT DISTINCT symbol, ref FROM variants")
@@ -327,7 +351,13 @@ def rescue_with_tags(spark, sf):
     return K.rescue_with_tags(X.models(spark, sf), tags, inside, 0.2)
 
 
-@query()
+@query("samples genotypes variants", f"""
+WITH {COUNTS}, t AS (SELECT contig, sum(CASE WHEN cohort IN ('p0', 'p1') AND v % 3 <> 0 THEN n_ra + 2 * n_aa ELSE 0 END)::BIGINT AS a, sum(CASE WHEN cohort IN ('p0', 'p1') AND v % 3 = 0 THEN n_ra + 2 * n_aa ELSE 0 END)::BIGINT AS b,
+  sum(CASE WHEN cohort NOT IN ('p0', 'p1') AND v % 3 <> 0 THEN n_ra + 2 * n_aa ELSE 0 END)::BIGINT AS c, sum(CASE WHEN cohort NOT IN ('p0', 'p1') AND v % 3 = 0 THEN n_ra + 2 * n_aa ELSE 0 END)::BIGINT AS d FROM counts JOIN variants USING (v) GROUP BY contig),
+x AS (SELECT *, a + b AS r, a + c AS k, a + b + c + d AS n, unnest(range(greatest(0, a + c - c - d), least(a + b, a + c) + 1)) AS i FROM t),
+w AS (SELECT *, lgamma(r + 1) - lgamma(i + 1) - lgamma(r - i + 1) + lgamma(n - r + 1) - lgamma(k - i + 1) - lgamma(n - r - k + i + 1) AS l FROM x),
+e AS (SELECT contig, a, b, c, d, i, exp(l - max(l) OVER (PARTITION BY contig)) AS e FROM w), o AS (SELECT contig, sum(e) AS total, max(e) FILTER (i = a) AS own FROM e GROUP BY contig)
+SELECT contig, a, b, c, d, round(least(1, sum(e) FILTER (e <= own * (1 + 1e-7)) / max(total)), 6) AS p FROM e JOIN o USING (contig) GROUP BY contig, a, b, c, d""")
 def fisher_by_class(spark, sf):
     """Two-sided Fisher p of allele class against cohort, for each contig: one row of four sums a contig."""
     c = counts(spark, sf).join(X.variants(spark, sf).select("v", "contig"), "v")

@@ -181,18 +181,31 @@ def score_logit(spark, sf):
     return rounded(S.score_logit(d, "y", "x"), "beta", "se", "z", "p")
 
 
-@query()
+def exact(table: str) -> str:
+    """SQL for exact Hardy-Weinberg p (``p``, and ``mid``) of each (aa, ab, bb) of a table, as ``hwe``."""
+    return f"""hx AS (SELECT DISTINCT aa, ab, bb, 2 * least(aa, bb) + ab AS rare, aa + ab + bb AS n FROM {table}),
+hh AS (SELECT *, unnest(range(rare % 2, rare + 1, 2)) AS het FROM hx),
+hw AS (SELECT *, het * ln(2) - lgamma((rare - het) // 2 + 1) - lgamma(het + 1) - lgamma(n - het - (rare - het) // 2 + 1) AS l FROM hh),
+he AS (SELECT aa, ab, bb, het, exp(l - max(l) OVER (PARTITION BY aa, ab, bb)) AS e FROM hw),
+ho AS (SELECT aa, ab, bb, sum(e) AS total, max(e) FILTER (het = ab) AS own FROM he GROUP BY aa, ab, bb),
+hwe AS (SELECT aa, ab, bb, least(1, sum(e) FILTER (e <= own * (1 + 1e-9)) / max(total)) AS p, least(1, sum(e) FILTER (e <= own * (1 + 1e-9)) / max(total) - max(own) / max(total) / 2) AS mid FROM he JOIN ho USING (aa, ab, bb) GROUP BY aa, ab, bb)"""
+
+
+@query("genotypes", f"""
+WITH c AS (SELECT v, count(*) FILTER (gt = 0) AS aa, count(*) FILTER (gt = 1) AS ab, count(*) FILTER (gt = 2) AS bb FROM genotypes GROUP BY v), {exact('c')} SELECT v, round(p, 6) AS p FROM c JOIN hwe USING (aa, ab, bb)""")
 def hwe_exact(spark, sf):
     """Exact Hardy-Weinberg p of each variant, computed once for each distinct triple of counts."""
     from ..operators import genotype as G
 
     qc = G.variant_qc(X.genotypes(spark, sf), X.n_samples()).select("v", "n_hom_ref", "n_het", "n_hom_var")
-    triples = qc.select("n_hom_ref", "n_het", "n_hom_var").distinct()
-    p = triples.withColumn("p", S.hwe_exact("n_hom_ref", "n_het", "n_hom_var"))
-    return rounded(qc.join(p, ["n_hom_ref", "n_het", "n_hom_var"]).select("v", "p"), "p")
+    return rounded(S.with_hwe(qc).select("v", F.col("hwe_p").alias("p")), "p")
 
 
-@query()
+@query("genotypes", """
+WITH h AS (SELECT * FROM genotypes WHERE gt = 1 AND dp > 10), d AS (SELECT DISTINCT ad, dp FROM h), k AS (SELECT *, unnest(range(0, dp + 1)) AS i FROM d),
+e AS (SELECT ad, dp, i, exp(lgamma(dp + 1) - lgamma(i + 1) - lgamma(dp - i + 1) + dp * ln(0.5)) AS w FROM k), o AS (SELECT ad, dp, max(w) FILTER (i = ad) AS own FROM e GROUP BY 1, 2),
+p AS (SELECT ad, dp, least(1, sum(w) FILTER (w <= own * (1 + 1e-7))) AS p FROM e JOIN o USING (ad, dp) GROUP BY 1, 2)
+SELECT v, s, ad, dp, round(p, 6) AS p FROM h JOIN p USING (ad, dp) WHERE p >= 0.1""")
 def het_balance(spark, sf):
     """Heterozygous calls whose allele balance an exact binomial test allows, by distinct (reads, depth)."""
     het = X.genotypes(spark, sf).where("gt = 1 AND dp > 10")

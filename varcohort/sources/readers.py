@@ -135,11 +135,19 @@ def strand_specific_snvs(v: DataFrame) -> DataFrame:
     return rows.select("contig", "pos", F.col("rsid"), "ref", alt.alias("alt"), F.map_contains_key(F.coalesce("info", F.create_map().cast("map<string,string>")), F.lit("RV")).alias("reverse"))
 
 
+CALLER_INFO = ("split", "mqm", "mqmr", "paired", "pairedr", "epp", "eppr", "saf", "sar", "sap", "srf", "srr", "srp", "rpl", "rpr", "rpp", "rppr")
+
+
 def caller_vcf_to_table(v: DataFrame, gt: DataFrame) -> DataFrame:
-    """Depth and allele shares of each call beside its site's quality."""
-    ado = F.aggregate("ads", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0))) - F.get("ads", F.lit(0)) - F.get("ads", F.lit(1))
-    rows = gt.join(v, ["contig", "pos", "ref"])
-    return rows.select("contig", "pos", "ref", F.col("alts")[0].alias("alt"), "s", "dp", F.get("ads", F.lit(0)).alias("rd"), F.get("ads", F.lit(1)).alias("ad"), ado.alias("ado"), (F.get("ads", F.lit(1)) / F.col("dp")).alias("vaf"), (ado / F.col("dp")).alias("vafo"), "qual")
+    """A targeted caller's calls, one alternate a site, as a table: depths, shares, summed base qualities and its bias scores.
+
+    ``gt`` is (contig, pos, ref, alt, s, dp, rd, ad, qr, qa). ``vaf`` is of all reads, ``vafo`` of reference and alternate reads;
+    ``ado`` are reads of neither. Sites with more alternates are left out.
+    """
+    site = v.where(F.size("alts") == 1).select("contig", "pos", "ref", F.col("alts")[0].alias("alt"), *[F.col("info")[n.upper()].try_cast("double").alias(n) for n in CALLER_INFO])
+    share = lambda of: F.col("ad") / F.nullif(of, F.lit(0))
+    rows = gt.join(site, ["contig", "pos", "ref", "alt"]).withColumns({"ado": F.col("dp") - F.col("rd") - F.col("ad"), "vaf": share(F.col("dp")), "vafo": share(F.col("rd") + F.col("ad"))})
+    return rows.select("s", "contig", "pos", "ref", "alt", "dp", "rd", "ad", "ado", "vaf", "vafo", "qr", "qa", *CALLER_INFO)
 
 
 def af_vcf_to_counts(v: DataFrame, n: int = 1000) -> DataFrame:
