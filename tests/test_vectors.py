@@ -349,3 +349,57 @@ def test_small_functions(spark, tmp_path):
     rows = spark.createDataFrame([(3, 7)], "ad int, ref_ad int")
     assert abs(L.with_balance(rows).first()["p_ab"] - 0.34375) < 1e-9
     assert AF.counts_from_ac and C.vep_canonical
+
+
+def test_relatedness_allows_for_ancestry(spark):
+    """Two populations far apart, a pair of identical samples: only that pair is related, and a sample with itself is one half."""
+    rng = np.random.default_rng(7)
+    freq = np.clip(np.stack([rng.uniform(0.1, 0.9, 1500)] * 2) + rng.normal(0, 0.15, (2, 1500)), 0.05, 0.95)
+    g = rng.binomial(2, freq[np.repeat([0, 1], 12)])
+    g[5] = g[4]
+    gt = spark.createDataFrame([(v, s, int(g[s, v])) for s in range(24) for v in range(1500)], "v int, s int, gt int")
+    pcs = spark.createDataFrame([(s, float(s >= 12)) for s in range(24)], "s int, pc1 double")
+    one = {(r["s1"], r["s2"]): r["kin"] for r in M.pc_relate(gt, pcs, ["pc1"]).collect()}
+    many = {(r["s1"], r["s2"]): r["kin"] for r in M.pc_relate(gt, pcs, ["pc1"], sites=400, people=7).collect()}
+    assert one.keys() == many.keys() and all(abs(one[p] - many[p]) < 1e-9 for p in one)
+    assert len(one) == 24 * 25 / 2 and one[4, 5] > 0.35
+    assert max(abs(k) for (a, b), k in one.items() if a != b and (a, b) != (4, 5)) < 0.12
+    assert 0.3 < np.mean([one[s, s] for s in range(24)]) < 0.6
+
+
+def test_corrected_intervals(spark):
+    """An unbiased bootstrap gives plain percentiles; bias and acceleration move them as by the formula."""
+    from statistics import NormalDist
+
+    values = [float(x) for x in range(1001)]
+    reps = spark.createDataFrame([("a", x) for x in values], "g string, x double")
+    nd = NormalDist()
+    for seen in (500.0, 600.0):
+        r = R.corrected_interval(reps, spark.createDataFrame([("a", seen)], "g string, x double"), ["g"], "x").first()
+        z = nd.inv_cdf((seen + 0.5) / 1001)
+        assert abs(r["low"] - 1000 * nd.cdf(2 * z + nd.inv_cdf(0.025))) < 1e-6 and abs(r["high"] - 1000 * nd.cdf(2 * z + nd.inv_cdf(0.975))) < 1e-6
+    jack = [1.0, 2.0, 3.0, 10.0]
+    d = [4.0 - x for x in jack]
+    acc = sum(x**3 for x in d) / (6 * sum(x**2 for x in d) ** 1.5)
+    r = R.corrected_interval(reps, spark.createDataFrame([("a", 500.0)], "g string, x double"), ["g"], "x", jackknife=spark.createDataFrame([("a", x) for x in jack], "g string, x double")).first()
+    t = nd.inv_cdf(0.025)
+    assert abs(r["low"] - 1000 * nd.cdf(t / (1 - acc * t))) < 1e-6
+    w = R.poisson_weights(spark.range(3000), 4, 1, "id").groupBy("rep").agg(F.avg("w").alias("m"), F.var_pop("w").alias("v")).collect()
+    assert all(abs(x["m"] - 1) < 0.08 and abs(x["v"] - 1) < 0.15 for x in w)
+
+
+def test_subsampling_to_equal_size(spark):
+    rows = [(v, c, 30, 8 if c == "a" else 2, 2, 0) for v in range(20) for c in ("a", "b")]
+    df = spark.createDataFrame(rows, "v int, cohort string, n_rr int, n_ra int, n_aa int, n_missing int")
+    got = {r["kind"]: r for r in R.subsampled_burden(df, ("a", "b"), 20, 40, 1).collect()}
+    assert abs(got["dominant"]["mean_a"] - 20 * 8 / 40) < 0.4 and got["dominant"]["p"] < 0.1
+    whole = {r["kind"]: r for r in R.subsampled_burden(df, ("a", "b"), 1000, 3, 1).collect()}
+    assert abs(whole["recessive"]["mean_a"] - 20 * 2 / 40) < 1e-9
+
+
+def test_callers_table(spark):
+    info = {n.upper(): "1" for n in readers.CALLER_INFO}
+    v = spark.createDataFrame([("1", 5, "A", ["C"], info), ("1", 9, "A", ["C", "G"], info)], "contig string, pos long, ref string, alts array<string>, info map<string,string>")
+    gt = spark.createDataFrame([("1", 5, "A", "C", "s", 20, 10, 8, 400, 300), ("1", 9, "A", "C", "s", 20, 10, 8, 400, 300)], "contig string, pos long, ref string, alt string, s string, dp int, rd int, ad int, qr int, qa int")
+    r = readers.caller_vcf_to_table(v, gt).collect()
+    assert len(r) == 1 and r[0]["ado"] == 2 and r[0]["vaf"] == 0.4 and abs(r[0]["vafo"] - 8 / 18) < 1e-12 and r[0]["rppr"] == 1.0

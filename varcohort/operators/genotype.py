@@ -159,43 +159,59 @@ def impute_sex(gt: DataFrame, v: DataFrame, key: str = "v") -> DataFrame:
     return out.withColumn("sex", F.when(F.col("f") < 0.2, "female").when(F.col("f") > 0.8, "male"))
 
 
-def king_kinship(gt: DataFrame, key: str = "v", sites: int = 4096, people: int = 512) -> DataFrame:
-    """KING-robust kinship of every pair of samples that share called sites.
-
-    Cells are dealt into blocks of about ``sites`` sites and, once for each other block of samples, pairs of blocks of
-    about ``people`` samples. A task counts a pair of blocks by products of 0/1 matrices, so what moves are cells times
-    blocks of samples and a row a pair and block of sites, never a row for each pair at each site.
+def pair_sums(cells: DataFrame, values: list[str], combine, names: list[str], of: str, key: str = "v", sites: int = 4096, people: int = 512, itself: bool = False) -> DataFrame:
+    """(s1, s2, names): sums over sites for every pair of samples that share one, by blocks.
+
+    ``cells`` is (key, s, values). Cells are dealt into blocks of about ``sites`` sites and, once for each other block of
+    samples, pairs of blocks of about ``people`` samples. A task has matrices (sites x samples) of each value, zero where
+    there is no cell, and of a last one that is 1 where there is: ``combine(a, b)`` gives, for two such lists, a matrix
+    (samples x samples) for each name, the last of them the shared sites. So what moves are cells times blocks of
+    samples and a row a pair and block of sites, never a row for each pair at each site.
     """
-    g = gt.where("gt IS NOT NULL").select(F.xxhash64(key).alias("__v"), "s", "gt")
+    g = cells.select(F.xxhash64(key).alias("__v"), "s", *values)
     n = g.agg(F.approx_count_distinct("__v").alias("v"), F.approx_count_distinct("s").alias("s")).first()
     n_sites, n_people = max(1, -(-n["v"] // sites)), max(1, -(-n["s"] // people))
-    rows = g.select("__v", "s", "gt", F.pmod("__v", F.lit(n_sites)).alias("block"), F.pmod(F.xxhash64("s"), F.lit(n_people)).cast("int").alias("own"))
+    rows = g.select("*", F.pmod("__v", F.lit(n_sites)).alias("block"), F.pmod(F.xxhash64("s"), F.lit(n_people)).cast("int").alias("own"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_people - 1))))
-    rows = rows.select("__v", "s", "gt", "own", "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    kind = dict(gt.dtypes)["s"]
-    counts = ("het_het", "opposite", "het1", "het2", "n_sites")
-
-    def count(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        _, place = np.unique(cells["__v"].to_numpy(), return_inverse=True)
-        names, of = np.unique(cells["s"].to_numpy(), return_inverse=True)
-        state = np.zeros((3, place.max() + 1, len(names)), np.float32)
-        state[cells["gt"].to_numpy(np.int64), place, of] = 1
-        called = state.sum(axis=0)
-        side = np.zeros(len(names), np.int64)
-        side[of] = cells["own"].to_numpy()
-        left, right = (np.arange(len(names)),) * 2 if key[1] == key[2] else (np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2]))
-        a, b = state[:, :, left], state[:, :, right]
-        ca, cb = called[:, left], called[:, right]
-        sums = np.stack([a[1].T @ b[1], a[0].T @ b[2] + a[2].T @ b[0], a[1].T @ cb, ca.T @ b[1], ca.T @ cb]).astype(np.int64)
-        x, y = np.nonzero((sums[4] > 0) & ((names[left][:, None] < names[right][None, :]) if key[1] == key[2] else True))
-        s1, s2, sums = names[left][x], names[right][y], sums[:, x, y]
+    rows = rows.select("__v", "s", *values, "own", "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    kind = dict(cells.dtypes)["s"]
+
+    def count(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        _, place = np.unique(part["__v"].to_numpy(), return_inverse=True)
+        people_, who = np.unique(part["s"].to_numpy(), return_inverse=True)
+        side = np.zeros(len(people_), np.int64)
+        side[who] = part["own"].to_numpy()
+        every = []
+        for x in [part[v].to_numpy(float) for v in values] + [np.ones(len(part))]:
+            m = np.zeros((place.max() + 1, len(people_)))
+            m[place, who] = x
+            every.append(m)
+        same = key[1] == key[2]
+        left, right = np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2])
+        sums = np.stack(combine([m[:, left] for m in every], [m[:, right] for m in every]))
+        first, second = people_[left][:, None], people_[right][None, :]
+        x, y = np.nonzero((sums[-1] > 0) & ((first < second) | ((first == second) & itself) if same else True))
+        s1, s2, sums = people_[left][x], people_[right][y], sums[:, x, y]
         turned = s1 > s2
+        if turned.any():  # the smaller sample first, and what belongs to either with it
+            back = np.stack(combine([m[:, right] for m in every], [m[:, left] for m in every]))
+            sums = np.where(turned, back[:, y, x], sums)
         out = pd.DataFrame({"s1": np.where(turned, s2, s1), "s2": np.where(turned, s1, s2)})
-        sums[2], sums[3] = np.where(turned, sums[3], sums[2]), np.where(turned, sums[2], sums[3])
-        return out.assign(**dict(zip(counts, sums, strict=True)))
+        return out.assign(**{c: v.astype(np.int64) if of == "long" else v for c, v in zip(names, sums, strict=True)})
+
+    part = rows.groupBy("block", "i", "j").applyInPandas(count, f"s1 {kind}, s2 {kind}, " + ", ".join(f"{c} {of}" for c in names))
+    return part.groupBy("s1", "s2").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def king_kinship(gt: DataFrame, key: str = "v", sites: int = 4096, people: int = 512) -> DataFrame:
+    """KING-robust kinship of every pair of samples that share called sites: counts of genotype pairs, by blocks."""
+
+    def combine(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+        (a0, a1, a2, ca), (b0, b1, b2, cb) = a, b
+        return [a1.T @ b1, a0.T @ b2 + a2.T @ b0, a1.T @ cb, ca.T @ b1, ca.T @ cb]
 
-    part = rows.groupBy("block", "i", "j").applyInPandas(count, f"s1 {kind}, s2 {kind}, " + ", ".join(f"{c} long" for c in counts))
-    sums = part.groupBy("s1", "s2").agg(*[F.sum(c).alias(c) for c in counts])
+    cells = gt.where("gt IS NOT NULL").select(key, "s", *[(F.col("gt") == i).cast("int").alias(f"g{i}") for i in range(3)])
+    sums = pair_sums(cells, ["g0", "g1", "g2"], combine, ["het_het", "opposite", "het1", "het2", "n_sites"], "long", key, sites, people)
     least = F.least("het1", "het2")
     kin = (F.col("het_het") - 2 * F.col("opposite")) / (2.0 * least) + 0.5 - 0.25 * (F.col("het1") + F.col("het2")) / least
     return sums.withColumn("kin", F.when(least > 0, kin))

@@ -147,6 +147,35 @@ def pca_loadings(spark, sf):
     return rounded(M.pca(X.pools(spark, sf), 2)[1], "l1", "l2")
 
 
+@query()
+def pc_relate(spark, sf):
+    """Kinship of pooled samples, allowing for two components."""
+    gt = X.pools(spark, sf)
+    return rounded(M.pc_relate(gt, M.pca(gt, 2)[0], ["pc1", "pc2"]), "kin")
+
+
+@query()
+def enrichment_interval(spark, sf):
+    """Log odds of classes between two cohorts on every contig, with bias-corrected intervals."""
+    vb = variant_burden(spark, sf).join(X.variants(spark, sf).select("v", "contig"), "v")
+    return rounded(R.enrichment_interval(vb, ["contig"], 50, 5), "observed", "low", "high")
+
+
+@query()
+def subsampled_burden(spark, sf):
+    """Loci per person of two cohorts drawn down to two people a locus."""
+    return rounded(R.subsampled_burden(counts(spark, sf), ("p0", "p1"), 2, 20, 7), "mean_a", "mean_b", "share_a", "p")
+
+
+@query()
+def nmf_best(spark, sf):
+    """Fits of the event-type by user matrix over ranks and restarts."""
+    t = X.trace(spark, sf)
+    kinds = F.pmod(F.hash("event_type"), F.lit(97))
+    m = t.groupBy(F.col("series").cast("int").alias("user"), kinds.cast("int").alias("kind")).agg(F.count(F.lit(1)).cast("float").alias("n"))
+    return rounded(M.nmf_best(m, "user", "kind", "n", [1, 2, 3], 2)[2], "rss", "explained")
+
+
 @query()
 def gda_predict(spark, sf):
     """Embedding classes by a Gaussian discriminant on four components, trained on the even ids."""
