@@ -159,14 +159,16 @@ def impute_sex(gt: DataFrame, v: DataFrame, key: str = "v") -> DataFrame:
     return out.withColumn("sex", F.when(F.col("f") < 0.2, "female").when(F.col("f") > 0.8, "male"))
 
 
-def pair_sums(cells: DataFrame, values: list[str], combine, names: list[str], of: str, key: str = "v", sites: int = 4096, people: int = 512, itself: bool = False) -> DataFrame:
-    """(s1, s2, names): sums over sites for every pair of samples that share one, by blocks.
-
-    ``cells`` is (key, s, values). Cells are dealt into blocks of about ``sites`` sites and, once for each other block of
-    samples, pairs of blocks of about ``people`` samples. A task has matrices (sites x samples) of each value, zero where
-    there is no cell, and of a last one that is 1 where there is: ``combine(a, b)`` gives, for two such lists, a matrix
-    (samples x samples) for each name, the last of them the shared sites. So what moves are cells times blocks of
-    samples and a row a pair and block of sites, never a row for each pair at each site.
+def pair_sums(cells: DataFrame, values: list[str], forms: dict[str, list[tuple[int, int]]], of: str, key: str = "v", sites: int = 4096, people: int = 512, itself: bool = False) -> DataFrame:
+    """(s1, s2, names of ``forms``): sums over sites for every pair of samples that share one, by blocks.
+
+    ``cells`` is (key, s, values). A form is a sum of products, each of a value of the first sample and one of the second, by
+    their numbers; after the values comes a last one that is 1 in every cell. The last form counts the shared sites.
+
+    Cells are dealt into blocks of about ``sites`` sites and, once for each other block of samples, pairs of blocks of
+    about ``people`` samples. A task multiplies matrices (sites x samples) or, where cells are few, looks at the pairs of cells
+    only. What moves are cells times blocks of samples and a row a pair and block of sites, never a row for each
+    pair at each site.
     """
     g = cells.select(F.xxhash64(key).alias("__v"), "s", *values)
     n = g.agg(F.approx_count_distinct("__v").alias("v"), F.approx_count_distinct("s").alias("s")).first()
@@ -177,41 +179,51 @@ def pair_sums(cells: DataFrame, values: list[str], combine, names: list[str], of
     kind = dict(cells.dtypes)["s"]
 
     def count(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__v")
         _, place = np.unique(part["__v"].to_numpy(), return_inverse=True)
-        people_, who = np.unique(part["s"].to_numpy(), return_inverse=True)
-        side = np.zeros(len(people_), np.int64)
-        side[who] = part["own"].to_numpy()
-        every = []
-        for x in [part[v].to_numpy(float) for v in values] + [np.ones(len(part))]:
-            m = np.zeros((place.max() + 1, len(people_)))
-            m[place, who] = x
-            every.append(m)
-        same = key[1] == key[2]
-        left, right = np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2])
-        sums = np.stack(combine([m[:, left] for m in every], [m[:, right] for m in every]))
-        first, second = people_[left][:, None], people_[right][None, :]
-        x, y = np.nonzero((sums[-1] > 0) & ((first < second) | ((first == second) & itself) if same else True))
-        s1, s2, sums = people_[left][x], people_[right][y], sums[:, x, y]
-        turned = s1 > s2
-        if turned.any():  # the smaller sample first, and what belongs to either with it
-            back = np.stack(combine([m[:, right] for m in every], [m[:, left] for m in every]))
-            sums = np.where(turned, back[:, y, x], sums)
-        out = pd.DataFrame({"s1": np.where(turned, s2, s1), "s2": np.where(turned, s1, s2)})
-        return out.assign(**{c: v.astype(np.int64) if of == "long" else v for c, v in zip(names, sums, strict=True)})
-
-    part = rows.groupBy("block", "i", "j").applyInPandas(count, f"s1 {kind}, s2 {kind}, " + ", ".join(f"{c} {of}" for c in names))
-    return part.groupBy("s1", "s2").agg(*[F.sum(c).alias(c) for c in names])
+        names, who = np.unique(part["s"].to_numpy(), return_inverse=True)
+        cell = np.stack([*[part[v].to_numpy(float) for v in values], np.ones(len(part))])
+        own, n = part["own"].to_numpy(), place.max() + 1
+        one, two = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
+        in_one, in_two = np.bincount(place[one], minlength=n), np.bincount(place[two], minlength=n)
+        meet = int((in_one * in_two).sum())
+        size = len(names)
+        if meet < 1 << 24 and 50 * meet < n * len(np.unique(who[one])) * len(np.unique(who[two])):
+            each = in_two[place[one]]
+            p = np.repeat(one, each)
+            q = two[np.repeat((np.cumsum(in_two) - in_two)[place[one]] - np.cumsum(each) + each, each) + np.arange(len(p))]
+            p, q = np.where(who[p] <= who[q], p, q), np.where(who[p] <= who[q], q, p)
+            pairs, at = np.unique(who[p] * size + who[q], return_inverse=True)
+            x, y = pairs // size, pairs % size
+            sums = np.stack([np.bincount(at, weights=sum(cell[i][p] * cell[j][q] for i, j in form), minlength=len(pairs)) for form in forms.values()])
+            if key[1] == key[2]:  # both orders of a pair were met
+                sums = np.where(x == y, sums, sums / 2)
+        else:
+            every = np.zeros((len(cell), n, size))
+            every[:, place, who] = cell
+            left, right = np.unique(who[one]), np.unique(who[two])
+            a, b = every[:, :, left], every[:, :, right]
+            sums = np.stack([sum(a[i].T @ b[j] for i, j in form) for form in forms.values()])
+            back = np.stack([sum(a[j].T @ b[i] for i, j in form) for form in forms.values()])
+            x, y = np.nonzero((sums[-1] > 0) & ((left[:, None] <= right[None, :]) if key[1] == key[2] else True))
+            sums, back, x, y = sums[:, x, y], back[:, x, y], left[x], right[y]
+            sums = np.where(x <= y, sums, back)  # the smaller sample first, and what belongs to either with it
+            x, y = np.minimum(x, y), np.maximum(x, y)
+        keep = np.full(len(x), True) if itself else x != y
+        x, y, sums = x[keep], y[keep], sums[:, keep]
+        if of == "long":
+            sums = np.rint(sums).astype(np.int64)
+        return pd.DataFrame({"s1": names[x], "s2": names[y]}).assign(**dict(zip(forms, sums, strict=True)))
+
+    part = rows.groupBy("block", "i", "j").applyInPandas(count, f"s1 {kind}, s2 {kind}, " + ", ".join(f"{c} {of}" for c in forms))
+    return part.groupBy("s1", "s2").agg(*[F.sum(c).alias(c) for c in forms])
 
 
 def king_kinship(gt: DataFrame, key: str = "v", sites: int = 4096, people: int = 512) -> DataFrame:
     """KING-robust kinship of every pair of samples that share called sites: counts of genotype pairs, by blocks."""
-
-    def combine(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
-        (a0, a1, a2, ca), (b0, b1, b2, cb) = a, b
-        return [a1.T @ b1, a0.T @ b2 + a2.T @ b0, a1.T @ cb, ca.T @ b1, ca.T @ cb]
-
     cells = gt.where("gt IS NOT NULL").select(key, "s", *[(F.col("gt") == i).cast("int").alias(f"g{i}") for i in range(3)])
-    sums = pair_sums(cells, ["g0", "g1", "g2"], combine, ["het_het", "opposite", "het1", "het2", "n_sites"], "long", key, sites, people)
+    forms = {"het_het": [(1, 1)], "opposite": [(0, 2), (2, 0)], "het1": [(1, 3)], "het2": [(3, 1)], "n_sites": [(3, 3)]}
+    sums = pair_sums(cells, ["g0", "g1", "g2"], forms, "long", key, sites, people)
     least = F.least("het1", "het2")
     kin = (F.col("het_het") - 2 * F.col("opposite")) / (2.0 * least) + 0.5 - 0.25 * (F.col("het1") + F.col("het2")) / least
     return sums.withColumn("kin", F.when(least > 0, kin))
