@@ -34,8 +34,8 @@ SHORTEST, LONGEST = 3, 9
 #: Shares of the toxic documents that an entry must occur in, of which cross-validation takes one.
 SUPPORTS = (0.002, 0.005, 0.012, 0.03)
 FOLDS = 3
-#: Entries that a task counts before it hands them on.
-PART = 500_000
+#: Entries, and phrases, that a task counts before it hands them on.
+PART = 100_000
 
 
 def fold(text: str) -> list[str]:
@@ -171,6 +171,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, least: float
 
     def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher, seen = Matcher(*(m.lexicon for m in models)), Counter()
+
+        def run() -> pd.DataFrame:
+            k, toxic, a, b = zip(*seen, strict=True)
+            return pd.DataFrame({"model": k, "toxic": toxic, "a": a, "b": b, "n": seen.values()})
+
         for b in batches:
             for text, toxic, part in zip(b["text"], b["toxic"].tolist(), b["part"].tolist(), strict=True):
                 words = fold(text)
@@ -178,9 +183,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, least: float
                 for k, m in enumerate(models):
                     if hits and grid[k][1] != part:
                         seen.update({(k, toxic, *pair) for i, _ in m.matches(words, hits) for pair in pairs_at(words, i)})
+                if len(seen) > PART:
+                    yield run()
+                    seen = Counter()
         if seen:
-            k, toxic, a, b = zip(*seen, strict=True)
-            yield pd.DataFrame({"model": k, "toxic": toxic, "a": a, "b": b, "n": seen.values()})
+            yield run()
 
     pairs = rows.mapInPandas(phrases, "model int, toxic int, a string, b string, n long").groupBy("model", "a", "b")
     pairs = pairs.agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n")).where("n >= 3").collect()
