@@ -53,6 +53,26 @@ def test_token_edges(spark):
     assert tokens.token_counts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_long_texts_by_a_scan_of_chunks(spark, library):
+    """Chunks of three characters, cut anywhere, composed in several rounds; texts without white space among them."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(ODD) for _ in range(n)) for n in (30, 400, 900)] + ["x" * 700, " " * 500, "<|endoftext|>" * 40, "a <|endoftext|> b " * 50, None, ""]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1, texts[1]), (None, texts[2])]
+    got = tokens.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), chunk_chars=3, long_chars=20).collect()
+    want = [(d, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for d, t in rows]
+    assert sorted(map(str, (tuple(r)[:3] for r in got))) == sorted(map(str, want))
+
+
+def test_other_vocabularies_are_refused():
+    import json
+
+    spec = json.load(open(tokens.default_path(), encoding="utf-8"))
+    tokens.Text(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            tokens.Text(spec | change)
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -8,12 +8,15 @@ rule that each neighbouring pair of tokens must itself be a valid encoding.
 
 White space resets the transducer, so the state map of a chunk of text is (head, count, tail): the text
 before its first white space, the tokens between its first and its last, and the text after. Such maps
-compose associatively, and long texts are counted as the prefix scan of their chunks' maps.
+compose associatively. A long text is cut into chunks that are counted on their own, by as many tasks as there are,
+and their maps are composed in rounds, a fixed number of neighbours at a time: a parallel scan, of which the last
+value is asked for.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -26,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WORD_END = "</w>"
 #: Characters that Python's str.split() takes for white space and Unicode's White_Space property doesn't.
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
@@ -50,15 +55,32 @@ class Text:
     """How the vocabulary file prepares text: special strings, normal form, pretokens."""
 
     def __init__(self, spec: dict):
-        special = [t["content"] for t in spec.get("added_tokens", ()) if t.get("special")]
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.special_ids = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        added = spec.get("added_tokens") or []
+        if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens with options are not supported")
+        self.special_ids = {t["content"]: t["id"] for t in added}
+        self.special = regex.compile("|".join(map(regex.escape, sorted(self.special_ids, key=len, reverse=True)))) if added else None
+        self.sign = os.path.commonprefix(list(self.special_ids))
+        if self.steps(spec["normalizer"], "normalizers") != ["NFC", ("Replace", r"\s+", " "), "Lowercase"]:
+            raise ValueError("normal forms other than NFC, white space and lower case are not supported")
+        split, *rest = self.steps(spec["pre_tokenizer"], "pretokenizers")
+        if rest != ["ByteLevel"] or split[::2] != ("Split", ("Removed", True)) or spec["model"]["type"] != "BPE" or spec["model"]["end_of_word_suffix"] != WORD_END:
+            raise ValueError("vocabularies other than byte-level pairs with word ends, split by one pattern, are not supported")
+        self.pieces = regex.compile(split[1])
+
+    @staticmethod
+    def steps(spec: dict, inner: str) -> list:
+        """What each step of a sequence is and does."""
+        out = []
+        for x in spec[inner] if spec["type"] == "Sequence" else [spec]:
+            pattern = x.get("pattern", {}).get("Regex")
+            out.append(x["type"] if pattern is None else (x["type"], pattern, x["content"] if "content" in x else (x["behavior"], x["invert"])))
+        return out
 
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """(normalised part, False) and (special string, True) in turn."""
         at = 0
-        if self.special is not None and "<|" in text:
+        if self.special is not None and self.sign in text:
             for m in self.special.finditer(text):
                 yield self.normal(text[at : m.start()]), False
                 yield m[0], True
@@ -228,12 +250,59 @@ def counter(path: str) -> TokenCounter:
     return TokenCounter(path)
 
 
-def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 2048, chunk_chars: int = 1 << 16) -> DataFrame:
+#: Neighbouring maps that one step of the scan composes.
+FAN = 64
+MAPS = "key long, part int, at long, head string, count long, tail string"
+
+
+def long_texts(rows: DataFrame, path: str, chunk_chars: int) -> DataFrame:
+    """(key, n_tokens) of texts (key, text): normalised and cut by one task each, counted and composed by many.
+
+    A chunk's map has to hold what stands before its first and after its last white space, so a text without any
+    white space is held whole in the end.
+    """
+
+    def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = counter(path).text.parts
+        for b in batches:
+            for key, text in zip(b["key"].tolist(), b["text"], strict=True):
+                for n, (part, special) in enumerate(parts(text)):
+                    ends = [None] if special else range(0, max(len(part), 1), chunk_chars)
+                    for at, i in enumerate(ends):
+                        yield pd.DataFrame({"key": [key], "part": [n], "at": [at], "text": ["" if special else part[i : i + chunk_chars]], "extra": [int(special)]})
+
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = counter(path)
+        for b in batches:
+            found = [count.chunk_map(t) for t in b["text"]]
+            yield b[["key", "part", "at"]].assign(head=[m.head for m in found], count=[m.count + e for m, e in zip(found, b["extra"], strict=True)], tail=[m.tail for m in found])
+
+    def compose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, count = rows.sort_values("at"), counter(path)
+        *_, whole = accumulate((ChunkMap(h, int(n), t) for h, n, t in zip(rows["head"], rows["count"], rows["tail"], strict=True)), count.compose)
+        first = rows.iloc[0]
+        return pd.DataFrame({"key": [first["key"]], "part": [first["part"]], "at": [first["at"] // FAN], "head": [whole.head], "count": [whole.count], "tail": [whole.tail]})
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk = counter(path).chunk
+        for b in batches:
+            yield pd.DataFrame({"key": b["key"], "n_tokens": [int(n) + chunk(h) + chunk(t or "") for h, n, t in zip(b["head"], b["count"], b["tail"], strict=True)]})
+
+    chunks = rows.mapInPandas(cuts, "key long, part int, at long, text string, extra int").repartition("key", "part", "at")
+    found = cut(chunks.mapInPandas(maps, MAPS), "chunk-maps")
+    most = (found.agg(F.max("at").alias("n")).first()["n"] or 0) + 1
+    while most > 1:
+        found = found.groupBy("key", "part", F.floor(F.col("at") / F.lit(FAN)).alias("to")).applyInPandas(compose, MAPS)
+        most = -(-most // FAN)
+    return found.mapInPandas(close, "key long, n_tokens long").groupBy("key").agg(F.sum("n_tokens").alias("n_tokens"))
+
+
+def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 2048, chunk_chars: int = 1 << 16, long_chars: int = 1 << 20) -> DataFrame:
     """Tokens of each whole text: (doc_id, n_bytes, n_tokens, over_limit).
 
     A null text counts as empty (no bytes, no tokens, not over the limit); a null doc_id stays null, repeated
-    rows give repeated results, an empty table gives none, and further columns are ignored. No row moves
-    between tasks: the plan has no exchange, and a task holds one batch of texts at a time.
+    rows give repeated results, an empty table gives none, and further columns are ignored. Texts up to
+    ``long_chars`` characters are counted where they lie, without any exchange; longer ones by the scan of their chunks.
     """
     path = vocabulary or default_path()
 
@@ -245,5 +314,9 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 20
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     kind = dict(rows.dtypes)["doc_id"]
-    out = rows.mapInPandas(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    long = F.length("text") > long_chars
+    out = rows.where(~long).mapInPandas(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    some = cut(rows.where(long).withColumn("key", F.monotonically_increasing_id()), "long-texts")  # written: keys stay as they are
+    if not some.isEmpty():
+        out = out.union(some.select("key", "doc_id", "n_bytes").join(long_texts(some.select("key", "text"), path, chunk_chars), "key").select("doc_id", "n_bytes", "n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
