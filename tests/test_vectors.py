@@ -403,3 +403,29 @@ def test_callers_table(spark):
     gt = spark.createDataFrame([("1", 5, "A", "C", "s", 20, 10, 8, 400, 300), ("1", 9, "A", "C", "s", 20, 10, 8, 400, 300)], "contig string, pos long, ref string, alt string, s string, dp int, rd int, ad int, qr int, qa int")
     r = readers.caller_vcf_to_table(v, gt).collect()
     assert len(r) == 1 and r[0]["ado"] == 2 and r[0]["vaf"] == 0.4 and abs(r[0]["vafo"] - 8 / 18) < 1e-12 and r[0]["rppr"] == 1.0
+
+
+def test_quality_tiers(spark):
+    """One sample of each tier under both profiles, and what an unclear sex does."""
+    names = "call_rate double, dp_mean double, dp_stdev double, gq_stdev double, het_ratio_sd double, r_het_hom double, r_ti_tv double, n_singleton long, n_snp long, n_insertion long, n_deletion long, f double"
+    exome = (0.999, 40.0, 5.0, 5.0, 0.5, 1.5, 4.0, 0, 1000, 10, 10, 0.1)
+    rows = [exome, (0.99, *exome[1:]), (0.97, *exome[1:]), (0.9, *exome[1:]), (*exome[:-1], 0.5), (*exome[:7], 5, *exome[8:]), (*exome[:3], 20.0, *exome[4:]), (*exome[:6], 2.1, *exome[7:])]
+    df = spark.createDataFrame(rows, names)
+    assert [r[0] for r in df.select(G.quality_tier("autosomes")).collect()] == [1, 2, 3, 4, 4, 4, 2, 2]
+    assert [r[0] for r in df.select(G.quality_tier("genomes")).collect()] == [2, 2, 3, 4, 2, 2, 2, 1]
+    sexes = spark.createDataFrame([("female", True), ("male", True), (None, True)], "sex string, female boolean")
+    assert [r[0] for r in sexes.select(G.sex_match(F.col("sex"), F.col("female"))).collect()] == [True, False, False]
+
+
+def test_projection_and_permutation(spark):
+    z = spark.createDataFrame([(1, 7, 2.0), (2, 7, -1.0), (3, 7, 9.0), (1, 8, 1.0)], "v int, s int, z double")
+    load = spark.createDataFrame([(1, 0.5), (2, 1.0)], "v int, l1 double")
+    assert {r["s"]: r["l1"] for r in M.project(z, load, ["l1"]).collect()} == {7: 0.0, 8: 0.5}
+    nulls = spark.createDataFrame([("t", 3.0, float(i)) for i in range(19)], "k string, seen double, x double")
+    assert R.permutation_two_sided(nulls, "seen", "x", "k").first()["p"] == 2 * 5 / 20
+    from varcohort.operators import scores as SC
+
+    vids = spark.createDataFrame([("m", i, 1.0 if i % 2 else -1.0) for i in range(20)], "id string, v int, coef double")
+    af = spark.createDataFrame([(i, 0.4 if i % 2 else 0.1, 0.2) for i in range(20)], "v int, a double, b double")
+    r = SC.depletion_test(vids, af, "a", "b").first()
+    assert (r["up_pos"], r["up_neg"], r["down_pos"], r["down_neg"]) == (10, 0, 0, 10) and r["p"] < 1e-4

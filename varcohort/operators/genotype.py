@@ -90,7 +90,9 @@ def sample_qc(gt: DataFrame, alleles: DataFrame, n_variants: int, key: str = "v"
     info = alleles.select(key, V.is_snp(F.col("ref"), F.col("alt")).alias("snp"), V.is_transition(F.col("ref"), F.col("alt")).alias("ts"), V.is_insertion(F.col("ref"), F.col("alt")).alias("ins"), V.is_deletion(F.col("ref"), F.col("alt")).alias("del"))
     counts = gt.groupBy(key).agg(F.sum("gt").alias("__ac"))
     rows = gt.join(info, key).join(counts, key)
+    quality = [F.avg("gq").alias("gq_mean"), F.stddev_pop("gq").alias("gq_stdev")] if "gq" in gt.columns else []
     out = rows.groupBy("s").agg(
+        *quality,
         F.count_if(g.isNotNull()).alias("n_called"), F.avg("dp").alias("dp_mean"), F.stddev_pop("dp").alias("dp_stdev"),
         F.count_if(g == 1).alias("n_het"), F.count_if(g == 2).alias("n_hom_var"), F.count_if(carried & F.col("snp")).alias("n_snp"),
         F.count_if(carried & F.col("ins")).alias("n_insertion"), F.count_if(carried & F.col("del")).alias("n_deletion"),
@@ -114,6 +116,31 @@ def sample_tier(qc: Column | None = None, call_rate: float = 0.9, dp: float = 20
     return F.when(good & deep & tight, 1).when(good & deep, 2).when(good, 3).otherwise(4)
 
 
+#: Fixed values of two profiles: exome-like autosomes, and whole genomes. Slopes and levels of spread against depth, and Ti/Tv ranges.
+PROFILES = {
+    "autosomes": {"dp_sd": 8, "dp_line": (0.12, 2.7), "gq_line": (-0.68, 36), "ti_tv": (3.8, 4.3), "singletons": 0.001, "sex": True},
+    "genomes": {"dp_sd": 6, "dp_line": (-0.05, 7.5), "gq_line": (-0.68, 38), "ti_tv": (2.05, 2.15), "singletons": None, "sex": False},
+}
+
+
+def quality_tier(profile: str) -> Column:
+    """Tier 1 to 4 of a sample from its metrics, as ``sample_qc`` and ``het_ratio_stdev`` name them, and ``f`` of ``impute_sex``.
+
+    Under ``autosomes`` few of the alternates may be singletons, and the sex must be clear.
+    """
+    c, p = F.col, PROFILES[profile]
+    share = c("n_singleton") / F.nullif(c("n_snp") + c("n_insertion") + c("n_deletion"), F.lit(0))
+    always = (c("het_ratio_sd") < 1.0) & (c("r_het_hom") < 2) & (share < p["singletons"] if p["singletons"] is not None else F.lit(True)) & (((c("f") < 0.2) | (c("f") > 0.8)) if p["sex"] else F.lit(True))
+    line = lambda name: p[name][0] * c("dp_mean") + p[name][1]
+    one = (c("call_rate") > 0.996) & (c("dp_stdev") < p["dp_sd"]) & (c("het_ratio_sd") < 0.7) & (c("dp_stdev") < line("dp_line")) & (c("gq_stdev") < line("gq_line")) & (c("r_ti_tv") > p["ti_tv"][0]) & (c("r_ti_tv") < p["ti_tv"][1])
+    return F.when(always & one, 1).when(always & (c("call_rate") > 0.98) & (c("dp_stdev") < 10), 2).when(always & (c("call_rate") > 0.96), 3).otherwise(4)
+
+
+def sex_match(imputed: Column, reported_female: Column) -> Column:
+    """Whether the imputed sex is the reported one; no where none was imputed."""
+    return F.coalesce((imputed == "female") == reported_female, F.lit(False))
+
+
 def cohort_allele_counts(gt: DataFrame, s: DataFrame, v: DataFrame, controls: str = "Z", key: str = "v") -> DataFrame:
     """Genotype counts and allele counts by sex, without controls; on X a male's alleles count half."""
     rows = gt.join(s.where(F.col("cohort") != controls).select("s", "is_female"), "s").join(v.select(key, "contig"), key).where("gt IS NOT NULL")
@@ -256,15 +283,23 @@ def ld_r2(gt: DataFrame, v: DataFrame, window: int, key: str = "v") -> DataFrame
     return sums.where((dx > 0) & (dy > 0)).select("v1", "v2", "n", (F.signum(cov.cast("double"))).alias("sign"), (cov * cov / (dx.cast("double") * dy)).alias("r2"))
 
 
-def concordance(a: DataFrame, b: DataFrame, key: str = "v") -> DataFrame:
-    """Counts over state of a x state of b: NoData, NoCall, HomRef, Het, HomVar."""
+def concordance(a: DataFrame, b: DataFrame, key: str = "v", by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts over state of a x state of b: NoData, NoCall, HomRef, Het, HomVar; for each sample or variant with ``by``."""
 
     def state(gt: str, there: str) -> Column:
         return F.when(F.col(there).isNull(), "NoData").when(F.col(gt).isNull(), "NoCall").when(F.col(gt) == 0, "HomRef").when(F.col(gt) == 1, "Het").otherwise("HomVar")
 
     left = a.select(key, "s", F.col("gt").alias("ga"), F.lit(1).alias("in_a"))
     right = b.select(key, "s", F.col("gt").alias("gb"), F.lit(1).alias("in_b"))
-    return left.join(right, [key, "s"], "full").groupBy(state("ga", "in_a").alias("a"), state("gb", "in_b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return left.join(right, [key, "s"], "full").groupBy(*by, state("ga", "in_a").alias("a"), state("gb", "in_b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def judgement(a: Column, b: Column) -> Column:
+    """A tested state against the truth's: true or false, positive or negative; DZ where the two carry different doses, null without data."""
+    called = lambda x: x.isin("HomRef", "Het", "HomVar")
+    carries = lambda x: x.isin("Het", "HomVar")
+    both = called(a) & called(b)
+    return F.when(both & carries(a) & carries(b), F.when(a == b, "TP").otherwise("DZ")).when(both & carries(a), "FP").when(both & carries(b), "FN").when(both, "TN")
 
 
 def genotype_wide(gt: DataFrame, ids: list[int], key: str = "v") -> DataFrame:

@@ -164,6 +164,29 @@ def qc_regions(genome: DataFrame, good: DataFrame, bads: list[DataFrame], least:
     return slop(kept.where(F.col("end0") - F.col("start0") >= least), -erode)
 
 
+def tier_beds(genome: DataFrame, good: DataFrame, bads: list[DataFrame], flank: int = 5) -> DataFrame:
+    """The genome as (contig, start0, end0, tier): 3 in bad tracks and ``flank`` bases around them and on contigs that are no
+    chromosome, else 2 on X and Y and outside the good track, else 1."""
+    bad = reduce(DataFrame.unionByName, [slop(b.select("contig", "start0", "end0"), flank) for b in bads])
+    odd, sex = ~F.col("contig").rlike("^([0-9]+|X|Y)$"), F.col("contig").isin("X", "Y")
+
+    def tier(n: int) -> Callable[..., Column]:
+        def test(g: Column, t: Column, b: Column) -> Column:
+            worst = (b > 0) | odd
+            two = ~worst & (sex | (t == 0))
+            return (g > 0) & (worst if n == 3 else two if n == 2 else ~worst & ~two)
+
+        return test
+
+    return reduce(DataFrame.unionByName, [sweep([genome, good, bad], tier(n)).withColumn("tier", F.lit(n)) for n in (1, 2, 3)])
+
+
+def common_bp(bed: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
+    """Bases of a set, and of what it has in common with each other one: (name, bp)."""
+    out = [total_bp(merge(bed)).select(F.lit("all").alias("name"), "bp")]
+    return reduce(DataFrame.unionByName, out + [total_bp(common(bed, b)).select(F.lit(n).alias("name"), "bp") for n, b in others.items()])
+
+
 def rarely_covered(coverage_: DataFrame, n_samples: int, share: float = 0.5) -> DataFrame:
     """Segments (contig, start0, end0, depth) that fewer than ``share`` of the samples cover."""
     return coverage_.where(F.col("depth") < share * n_samples).select("contig", "start0", "end0")

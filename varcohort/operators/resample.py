@@ -68,6 +68,12 @@ def drift_null(af: DataFrame, diffs: DataFrame, reps: int, seed: int, key: str =
     return rows.join(diffs, "i").select(key, "rep", F.greatest(F.lit(0.0), F.least(F.lit(1.0), f)).alias("af"))
 
 
+def permutation_two_sided(stats: DataFrame, observed: str, null: str, *by: str) -> DataFrame:
+    """min(1, 2 (min(below, above) + 1) / (B + 1)), below and above counted with ties, over permuted values of a statistic."""
+    out = stats.groupBy(*by).agg(F.count(null).alias("reps"), F.count_if(F.col(null) <= F.col(observed)).alias("below"), F.count_if(F.col(null) >= F.col(observed)).alias("above"))
+    return out.withColumn("p", F.least(F.lit(1.0), 2 * (F.least("below", "above") + 1) / (F.col("reps") + 1)))
+
+
 def two_sided(df: DataFrame, value: str, *by: str) -> DataFrame:
     """(0.5 + min(below zero, above zero)) * 2 / (B + 1) over replicates of a difference."""
     out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("reps"), F.count_if(F.col(value) < 0).alias("below"), F.count_if(F.col(value) > 0).alias("above"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.variant import af_bin
+from .stats import fisher
 
 #: Parts into which models are dealt to meet all samples.
 CHUNKS = 64
@@ -92,3 +93,8 @@ def depletion_counts(vids: DataFrame, af: DataFrame, a: str, b: str) -> DataFram
     one = vids.withColumn("__n", F.row_number().over(w)).where("__n = 1 AND coef <> 0").select("v", "coef").join(af, "v").where(F.col(a) != F.col(b))
     up, pos = F.col(a) > F.col(b), F.col("coef") > 0
     return one.agg(F.count_if(up & pos).alias("up_pos"), F.count_if(up & ~pos).alias("up_neg"), F.count_if(~up & pos).alias("down_pos"), F.count_if(~up & ~pos).alias("down_neg"))
+
+
+def depletion_test(vids: DataFrame, af: DataFrame, a: str, b: str) -> DataFrame:
+    """``depletion_counts`` with the two-sided Fisher p of direction against sign: one row."""
+    return depletion_counts(vids, af, a, b).withColumn("p", fisher("up_pos", "up_neg", "down_pos", "down_neg"))

@@ -267,6 +267,12 @@ def robust_scale(df: DataFrame, col: str, by: str) -> DataFrame:
     return rows.join(mad, by).withColumn("scaled", F.when(F.col("__s") > 0, (F.col(col) - F.col("__m")) / (1.4826 * F.col("__s")))).drop("__m", "__d", "__s")
 
 
+def z_scale(df: DataFrame, col: str, by: str) -> DataFrame:
+    """Adds ``scaled``: distance from the group's mean in standard deviations."""
+    m = df.groupBy(by).agg(F.avg(col).alias("__m"), F.stddev_samp(col).alias("__s"))
+    return df.join(m, by).withColumn("scaled", F.when(F.col("__s") > 0, (F.col(col) - F.col("__m")) / F.col("__s"))).drop("__m", "__s")
+
+
 def trend(df: DataFrame, y: str, x: str, by: str) -> DataFrame:
     """Least-squares slope, intercept and r2 of each group."""
     return df.groupBy(by).agg(F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))

@@ -221,13 +221,13 @@ def ecdf(spark, sf):
 
 
 @query("regions features", f"""
-WITH w AS (SELECT contig, greatest(start0 - 5, 0) AS start0, end0 + 5 AS end0 FROM features), {merged('m', 'w')}, {GENOME}, {swept('k', 'regions', 'm', 'ina AND NOT inb')}, {swept('a', 'm', 'genome', 'ina AND inb')}, u AS (SELECT *, 1 AS tier FROM k UNION ALL SELECT *, 3 AS tier FROM a)
-SELECT * FROM u""")
+WITH w AS (SELECT contig, greatest(start0 - 5, 0) AS start0, end0 + 5 AS end0 FROM features), {merged('m', 'w')}, {GENOME}, {swept('t3', 'm', 'genome', 'ina AND inb')}, {swept('ng', 'genome', 'regions', 'ina AND NOT inb')},
+out2 AS (SELECT * FROM ng WHERE contig <> 'X' UNION ALL SELECT * FROM genome WHERE contig = 'X'), {swept('t2', 'out2', 't3', 'ina AND NOT inb')}, auto AS (SELECT * FROM genome WHERE contig <> 'X'),
+bad AS (SELECT * FROM t3 UNION ALL SELECT * FROM ng), {swept('t1', 'auto', 'bad', 'ina AND NOT inb')}
+SELECT *, 1 AS tier FROM t1 UNION ALL SELECT *, 2 AS tier FROM t2 UNION ALL SELECT *, 3 AS tier FROM t3""")
 def tier_beds(spark, sf):
-    """Tier 1: good regions away from bad ones; tier 3: bad regions with five bases around them."""
-    bad = I.slop(X.features(spark, sf), 5)
-    one = I.subtract(X.regions(spark, sf), bad).withColumn("tier", F.lit(1))
-    return one.unionByName(I.common(bad, genome(spark)).withColumn("tier", F.lit(3)))
+    """The genome in three tiers: good regions away from bad ones, the rest, and bad regions with five bases around them."""
+    return I.tier_beds(genome(spark), X.regions(spark, sf), [X.features(spark, sf)])
 
 
 @query("regions features", f"""

@@ -198,6 +198,18 @@ def concordance(spark, sf):
     return G.concordance(gt.where("(v + s) % 11 <> 0"), other)
 
 
+@query("genotypes", f"""
+WITH {SECOND}, g AS (SELECT v, s, gt FROM genotypes WHERE (v + s) % 11 <> 0), j AS (SELECT g.s, g.gt AS a, h.gt AS b FROM g JOIN h ON g.v = h.v AND g.s = h.s WHERE g.gt IS NOT NULL AND h.gt IS NOT NULL)
+SELECT s, CASE WHEN a > 0 AND b > 0 THEN CASE WHEN a = b THEN 'TP' ELSE 'DZ' END WHEN a > 0 THEN 'FP' WHEN b > 0 THEN 'FN' ELSE 'TN' END AS judgement, count(*) AS n FROM j GROUP BY 1, 2""")
+def concordance_by_sample(spark, sf):
+    """Each sample's true and false calls against a second call set."""
+    gt = X.genotypes(spark, sf)
+    dp, ad = F.col("dp"), F.col("ad")
+    other = gt.where("(v + s) % 7 <> 0").select("v", "s", F.when(dp < 8, None).when(10 * ad < dp, 0).when(10 * ad > 9 * dp, 2).otherwise(1).alias("gt"))
+    states = G.concordance(gt.where("(v + s) % 11 <> 0"), other, by=("s",)).withColumn("judgement", G.judgement(F.col("a"), F.col("b")))
+    return states.where("judgement IS NOT NULL").groupBy("s", "judgement").agg(F.sum("n").alias("n"))
+
+
 @query("pools", f"SELECT v, {', '.join(f'max(gt) FILTER (s = {i}) AS s{i}' for i in range(25))} FROM pools GROUP BY v")
 def genotype_wide(spark, sf):
     return G.genotype_wide(X.pools(spark, sf), list(range(X.n_pools(spark, sf))))

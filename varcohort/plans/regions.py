@@ -105,6 +105,12 @@ def total_bp(spark, sf):
     return I.total_bp(I.merge(X.regions(spark, sf)))
 
 
+@query("regions features", f"""
+WITH {merged('m', 'regions')}, {swept('k', 'regions', 'features', 'ina AND inb')} SELECT 'all' AS name, CAST(sum(end0 - start0) AS BIGINT) AS bp FROM m UNION ALL SELECT 'features', CAST(coalesce(sum(end0 - start0), 0) AS BIGINT) FROM k""")
+def common_bp(spark, sf):
+    return I.common_bp(X.regions(spark, sf), {"features": X.features(spark, sf)})
+
+
 @query("regions features", f"""
 WITH {GENOME}, {swept('g', 'genome', 'regions', 'ina AND inb')}, {swept('k', 'g', 'features', 'ina AND NOT inb')}
 SELECT contig, greatest(start0 + 10, 0) AS start0, end0 - 10 AS end0 FROM k WHERE end0 - start0 >= 100""")

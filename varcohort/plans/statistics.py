@@ -101,6 +101,11 @@ def robust_scale(spark, sf):
     return rounded(S.robust_scale(events(spark, sf), "value", "event_type").select("event_id", "scaled"), "scaled")
 
 
+@query("", "SELECT event_id, round((value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0), 6) AS scaled FROM events WINDOW w AS (PARTITION BY event_type)")
+def z_scale(spark, sf):
+    return rounded(S.z_scale(events(spark, sf), "value", "event_type").select("event_id", "scaled"), "scaled")
+
+
 @query("", "SELECT event_type, regr_count(value, user_id)::BIGINT AS n, round(regr_slope(value, user_id), 6) AS slope, round(regr_intercept(value, user_id), 6) AS intercept, round(regr_r2(value, user_id), 6) AS r2 FROM events GROUP BY event_type")
 def trend(spark, sf):
     return rounded(S.trend(events(spark, sf), "value", "user_id", "event_type"), "slope", "intercept", "r2")
