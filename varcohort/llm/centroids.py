@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,10 +83,14 @@ def assign(q: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def sums(parts: dict[int, np.ndarray], fetched: int) -> pa.RecordBatch:
-    """Rows (cluster, d, s): the change of a cluster's count (d = 0) and of its sums, and under cluster -1 how many vectors were fetched."""
-    keys, width = np.array([-1, *np.repeat(sorted(parts), WIDTH + 1)]), np.arange(WIDTH + 1)
-    values = np.concatenate([[fetched], *[parts[k] for k in sorted(parts)]]).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(np.array([0, *np.tile(width, len(parts))], np.int32)), pa.array(values)], names=["cluster", "d", "s"])
+    """A row (cluster, s) for each cluster: the change of its count and of its sums; under cluster -1 how many vectors were fetched."""
+    keys = sorted(parts)
+    return pa.RecordBatch.from_arrays([pa.array([-1, *keys], pa.int32()), pa.array([[fetched], *[parts[k].tolist() for k in keys]], pa.list_(pa.int64()))], names=["cluster", "s"])
+
+
+def total(rows: pd.DataFrame) -> pd.DataFrame:
+    """One cluster's rows, one from each task, summed."""
+    return pd.DataFrame({"cluster": rows["cluster"].iloc[:1], "s": [np.sum(np.stack(rows["s"]), axis=0)]})
 
 
 def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,16 +152,16 @@ class Clusters:
         at = f"{shared_dir(self.spark)}/cells-{uuid.uuid4().hex}"
         self.rows.select("row", "q").mapInArrow(approximate, "row long, cells binary").write.parquet(at)
         approximations = self.spark.read.schema("row long, cells binary").parquet(at)
-        before, total = None, {k: np.zeros(WIDTH + 1, dtype=object) for k in range(len(self.centroids))}
+        before, sums_of = None, {k: np.zeros(WIDTH + 1, dtype=object) for k in range(len(self.centroids))}
         for _ in range(rounds):
             rows = self.rows.select("row", "q") if before is None else self.rows.select("row", "q").join(self.open(approximations, cells, before), "row")
             self.fetched.append(0)
-            for k, d, change in self.change(rows, before):
+            for k, change in self.change(rows, before):
                 if k < 0:
-                    self.fetched[-1] = change
+                    self.fetched[-1] = change[0]
                 else:
-                    total[k][d] += change
-            after = np.array([[int(x) // int(total[k][0]) for x in total[k][1:]] if total[k][0] else c for k, c in enumerate(self.centroids)], dtype=np.int64)
+                    sums_of[k] = sums_of[k] + np.array(change, dtype=object)
+            after = np.array([[int(x) // int(sums_of[k][0]) for x in sums_of[k][1:]] if sums_of[k][0] else c for k, c in enumerate(self.centroids)], dtype=np.int64)
             before, self.centroids = self.centroids, after
             if (before == after).all():  # later rounds would change nothing
                 break
@@ -191,7 +196,7 @@ class Clusters:
                     add(parts, q[moved], was[moved], -1)
             yield sums(parts, n)
 
-        return rows.select("q").mapInArrow(run, "cluster int, d int, s long").groupBy("cluster", "d").agg(F.sum("s").alias("s")).collect()
+        return rows.select("q").mapInArrow(run, "cluster int, s array<long>").groupBy("cluster").applyInPandas(total, "cluster int, s array<long>").collect()
 
     def assigned(self) -> DataFrame:
         """(vec_id, cluster, distance) of every vector, written; the table of vectors is dropped."""
