@@ -348,7 +348,16 @@ def test_small_functions(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/set/variants").count() == 3
     rows = spark.createDataFrame([(3, 7)], "ad int, ref_ad int")
     assert abs(L.with_balance(rows).first()["p_ab"] - 0.34375) < 1e-9
-    assert AF.counts_from_ac and C.vep_canonical
+    counts = AF.counts_from_ac(spark.createDataFrame([(10, 3, 50)], "ac int, hom int, n int"), F.col("n")).first()
+    assert (counts["n_rr"], counts["n_ra"], counts["n_aa"]) == (43, 4, 3)
+    tags = spark.createDataFrame([("YES", "HGNC", "protein_coding", 1), ("YES", "HGNC", "lncRNA", 2), ("-", "HGNC", "protein_coding", 3), ("YES", "Clone", "protein_coding", 4)], "c string, s string, b string, i int")
+    assert [r["i"] for r in tags.where(C.vep_canonical(F.col("c"), F.col("s"), F.col("b"))).collect()] == [1]
+    depth = spark.createDataFrame([(20, 30, 35, 60, 1), (20, 31, 35, 60, 2), (10, 15, 19, 40, 3), (30, 35, 40, 101, 4), (20, 25, 20, 56, 5)], "h1 int, h2 int, m int, most int, i int")
+    assert [r["i"] for r in depth.where(C.good_depth(F.col("h1"), F.col("h2"), F.col("m"), F.col("most"))).collect()] == [1]
+    alleles = spark.createDataFrame([("A", "C"), ("A", "G"), ("A", "AT")], "ref string, alt string")
+    assert sum(r["n"] for r in L.category_counts(alleles).collect()) == 3 and L.category_counts(alleles).count() == 2
+    draws = spark.createDataFrame([("a", -1.0), ("a", 2.0), ("a", 3.0), ("a", 0.0), ("b", 1.0)], "t string, d double")
+    assert {r["t"]: round(r["p"], 9) for r in R.two_sided(draws, "d", "t").collect()} == {"a": 0.6, "b": 0.5}
 
 
 def test_relatedness_allows_for_ancestry(spark):
@@ -429,3 +438,57 @@ def test_projection_and_permutation(spark):
     af = spark.createDataFrame([(i, 0.4 if i % 2 else 0.1, 0.2) for i in range(20)], "v int, a double, b double")
     r = SC.depletion_test(vids, af, "a", "b").first()
     assert (r["up_pos"], r["up_neg"], r["down_pos"], r["down_neg"]) == (10, 0, 0, 10) and r["p"] < 1e-4
+
+
+@pytest.mark.parametrize("parts,people,strip,least,dense", [(1, 7, 3, 1, 1.0), (3, 1000, 512, 1, 1.0), (1, 50, 4, 4000, 1.0), (2, 9, 100, 1, 0.08), (1, 1000, 512, 1 << 16, 0.08)])
+def test_ld_r2_against_dense_algebra(spark, parts, people, strip, least, dense):
+    """Every pair of variants near each other, over matrices and over few cells, whatever the blocks."""
+    rng = np.random.default_rng(int(100 * dense) + parts)
+    pos = {c: np.sort(rng.choice(5000, 40, replace=False)) for c in ("1", "2")}
+    sites = [(f"{c}:{p}", c, int(p)) for c in pos for p in pos[c]]
+    g = {(v, s): int(rng.integers(0, 3)) for v, _, _ in sites for s in range(60) if rng.random() < dense * 0.9}
+    gt = spark.createDataFrame([(v, s, x) for (v, s), x in g.items()] + [(sites[0][0], 99, None)], "v string, s int, gt int")
+    got = {(r["v1"], r["v2"]): r for r in G.ld_r2(gt, spark.createDataFrame(sites, "v string, contig string, pos int"), 700, parts=parts, people=people, strip=strip, least=least).collect()}
+    want = {}
+    for a, ca, pa in sites:
+        for b, cb, pb in sites:
+            if ca == cb and 0 < pb - pa <= 700:
+                both = np.array([(g[a, s], g[b, s]) for s in range(60) if (a, s) in g and (b, s) in g], dtype=float)
+                if len(both) and both.std(0).min() > 0:
+                    want[a, b] = (len(both), np.corrcoef(both.T)[0, 1])
+    assert set(got) == set(want) and len(want) > 20
+    for k, (n, r) in want.items():
+        assert got[k]["n"] == n and abs(got[k]["r2"] - r * r) < 1e-9 and (abs(r) < 1e-9 or got[k]["sign"] == np.sign(r))
+
+
+def test_runs_cross_blocks(spark):
+    """Runs, segments and low stretches over the ends of blocks of positions."""
+    from varcohort.operators import series as S
+
+    edge = 1 << 20
+    rows = [("a", p, 9.0) for p in range(edge - 3, edge + 4)] + [("a", edge + 6, 9.0), ("a", edge + 5, 1.0), ("b", 5, 9.0)]
+    runs = S.coverage_runs(spark.createDataFrame(rows, "contig string, pos long, n double"), "n", 5.0).collect()
+    assert sorted(tuple(r) for r in runs) == [("a", edge - 4, edge + 3, 7), ("a", edge + 5, edge + 6, 1), ("b", 4, 5, 1)]
+    w = spark.createDataFrame([("a", edge - 2, 1, 10), ("a", edge - 1, 2, 1), ("a", edge + 1, 2, 2), ("a", edge + 9, 1, 3)], "by string, at long, state int, total long")
+    got = sorted(tuple(r) for r in S.merge_segments(w, "by", "at", "state", "total").collect())
+    assert got == [("a", 1, 1, edge - 2, edge - 2, 1, 10), ("a", 2, 2, edge - 1, edge + 1, 2, 3), ("a", 3, 1, edge + 9, edge + 9, 1, 3)]
+    t = spark.createDataFrame([("s", edge + i, 0.5 if not -3 <= i < 3 else 0.1) for i in range(-20, 20)], "s string, pos long, vaf double")
+    from varcohort.operators import calling as K
+
+    low = K.loh_runs(t, "s", "pos", "vaf", 3, 0.5).collect()
+    assert [(r["first"], r["last"], r["n"]) for r in low] == [(edge - 3, edge + 2, 6)]
+    d = spark.createDataFrame([("s", i, 10, i % 7) for i in range(100)], "s string, pos long, dp int, ad int")
+    one = {r["pos"]: r["smooth"] for r in K.loh_trace(d, "s", "pos", 3).collect()}
+    assert {r["pos"]: r["smooth"] for r in K.loh_trace(d, "s", "pos", 3, block=8).collect()} == one and len(one) == 100
+
+
+def test_logit_of_separable_scores(spark):
+    rows = [(int(i >= 50), float(i)) for i in range(100)]
+    r = T.score_logit(spark.createDataFrame(rows, "y int, x double"), "y", "x").first()
+    assert (r["n"], r["cases"], r["beta"], r["se"], r["p"]) == (100, 50, None, None, None)
+
+
+def test_strangers_of_few_sites_are_kept(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.5, 2), (3, 4, 0.5, 200)], "s1 int, s2 int, kin double, n_sites long")
+    cohort = spark.createDataFrame([(i, "A") for i in range(1, 5)], "s int, cohort string")
+    assert sorted(r["s"] for r in G.related_to_drop(pairs, cohort, 100).collect()) == [3, 4]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import variant as V
 from ..functions.variant import complement
+from .blocked import BLOCK, scan
 from .genotype import hwe_chisq, variant_qc
 from .intervals import in_intervals
 from .models import snr_thresholds
@@ -92,20 +93,30 @@ def loh_runs(trace: DataFrame, by: str, pos: str, value: str, least: int = 3, sp
     """Runs of loci whose value is below the series' median less ``spread`` median absolute deviations."""
     m = trace.groupBy(by).agg(F.percentile(value, F.lit(0.5)).alias("__m"))
     mad = trace.join(m, by).groupBy(by).agg(F.max("__m").alias("__m"), F.percentile(F.abs(F.col(value) - F.col("__m")), F.lit(0.5)).alias("__s"))
-    w = Window.partitionBy(by).orderBy(pos)
-    rows = trace.join(mad, by).withColumn("__low", F.col(value) < F.col("__m") - spread * F.col("__s"))
-    rows = rows.withColumn("__g", F.row_number().over(w) - F.row_number().over(Window.partitionBy(by, "__low").orderBy(pos)))
-    out = rows.where("__low").groupBy(by, "__g").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.count(F.lit(1)).alias("n"), F.percentile(value, F.lit(0.5)).alias("median"))
+    block, one = F.floor(F.col(pos) / BLOCK), F.lit(1)
+    rows = trace.join(mad, by).withColumn("__low", F.col(value) < F.col("__m") - spread * F.col("__s")).withColumn("__one", one)
+    # low loci in a row have a constant difference of their rank among all and among the low ones
+    low = scan(scan(rows, [by], pos, block, "__one", "__all").where("__low"), [by], pos, block, "__one", "__own")
+    rows = low.withColumn("__g", F.col("__all") - F.col("__own"))
+    out = rows.groupBy(by, "__g").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.count(F.lit(1)).alias("n"), F.percentile(value, F.lit(0.5)).alias("median"))
     return out.where(F.col("n") >= least).drop("__g")
 
 
-def loh_trace(trace: DataFrame, by: str, pos: str, width: int = 5) -> DataFrame:
-    """Folded allele shares, depth relative to the series' median, and a windowed median of the shares."""
+def loh_trace(trace: DataFrame, by: str, pos: str, width: int = 5, block: int = 1 << 16) -> DataFrame:
+    """Folded allele shares, depth relative to the series' median, and a windowed median of the shares.
+
+    Windows slide over blocks of ``block`` loci, which overlap by ``width`` at each end.
+    """
     folded = F.least(F.col("ad") / F.col("dp"), 1 - F.col("ad") / F.col("dp"))
-    med = F.percentile("dp", F.lit(0.5)).over(Window.partitionBy(by))
-    near = Window.partitionBy(by).orderBy(pos).rowsBetween(-width, width)
-    rows = trace.where("dp > 0").withColumn("vaf", folded).withColumn("rel_depth", F.col("dp") / med)
-    return rows.withColumn("smooth", F.element_at(F.array_sort(F.collect_list("vaf").over(near)), ((F.size(F.collect_list("vaf").over(near)) + 1) / 2).cast("int")))
+    rows = trace.where("dp > 0").withColumn("vaf", folded).withColumn("__one", F.lit(1))
+    med = rows.groupBy(by).agg(F.percentile("dp", F.lit(0.5)).alias("__med"))
+    ranked = scan(rows, [by], pos, F.floor(F.col(pos) / BLOCK), "__one", "__i")
+    own = lambda d: F.floor((F.col("__i") + d) / block)
+    near = Window.partitionBy(by, "__b").orderBy(pos).rowsBetween(-width, width)
+    dealt = ranked.withColumn("__b", F.explode(F.array_distinct(F.array(own(-width), own(0), own(width)))))
+    dealt = dealt.withColumn("__near", F.array_sort(F.collect_list("vaf").over(near))).where(F.col("__b") == own(0))
+    out = dealt.join(med, by).withColumn("rel_depth", F.col("dp") / F.col("__med"))
+    return out.withColumn("smooth", F.element_at("__near", ((F.size("__near") + 1) / 2).cast("int"))).drop("__one", "__i", "__b", "__near", "__med")
 
 
 def calibrate_loci(a: DataFrame, b: DataFrame, gc: DataFrame, key: str = "v", delta: float = 0.05) -> DataFrame:

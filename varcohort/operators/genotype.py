@@ -256,31 +256,99 @@ def king_kinship(gt: DataFrame, key: str = "v", sites: int = 4096, people: int =
     return sums.withColumn("kin", F.when(least > 0, kin))
 
 
-def related_to_drop(pairs: DataFrame, s: DataFrame) -> DataFrame:
-    """Samples to drop: the same person twice in one cohort drops both, otherwise one (the higher id) of any pair up to degree 2."""
-    named = pairs.withColumn("degree", V.kin_degree(F.col("kin"))).where("kin IS NOT NULL AND degree <= 2")
+def related_to_drop(pairs: DataFrame, s: DataFrame, least_sites: int = 1) -> DataFrame:
+    """Samples to drop: the same person twice in one cohort drops both, otherwise one (the higher id) of any pair up to degree 2.
+
+    Pairs that share fewer than ``least_sites`` called sites (``n_sites``) are not judged: over a few sites strangers may look alike.
+    """
+    named = pairs.where(F.col("n_sites") >= least_sites).withColumn("degree", V.kin_degree(F.col("kin"))).where("kin IS NOT NULL AND degree <= 2")
     c = s.select("s", "cohort")
     rows = named.join(c.select(F.col("s").alias("s1"), F.col("cohort").alias("c1")), "s1").join(c.select(F.col("s").alias("s2"), F.col("cohort").alias("c2")), "s2")
     both = (F.col("degree") == 0) & (F.col("c1") == F.col("c2"))
     return rows.select(F.explode(F.when(both, F.array("s1", "s2")).otherwise(F.array(F.greatest("s1", "s2")))).alias("s")).distinct()
 
 
-def ld_r2(gt: DataFrame, v: DataFrame, window: int, key: str = "v") -> DataFrame:
+def ld_r2(gt: DataFrame, v: DataFrame, window: int, key: str = "v", parts: int = 1, people: int = 1024, strip: int = 512, least: int = 1 << 16) -> DataFrame:
     """Squared correlation of dosages for pairs of variants at most ``window`` bases apart on one contig.
 
-    Pairs come from position bins as wide as the window, never from all pairs of a contig.
+    Variants lie in bins of a ``parts``-th of the window, or of ``least`` bases where that is more, and samples in blocks of
+    about ``people``. A task has two bins that may hold a pair and one block of samples, as matrices of dosages and of
+    calls whose products are the sums of its pairs, ``strip`` variants at a time; where cells are few it meets pairs of
+    cells instead. What moves are cells,
+    once for every bin that they may pair with, and a row a pair and block of samples, never a row for each pair and sample.
     """
-    sites = v.select(key, "contig", "pos").withColumn("bin", F.floor(F.col("pos") / window))
-    a = sites.select(F.col(key).alias("v1"), "contig", F.col("pos").alias("p1"), F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    b = sites.select(F.col(key).alias("v2"), "contig", F.col("pos").alias("p2"), "bin")
-    near = a.join(b, ["contig", "bin"]).where((F.col("p2") > F.col("p1")) & (F.col("p2") - F.col("p1") <= window)).select("v1", "v2")
-    g = gt.where("gt IS NOT NULL").select(key, "s", "gt")
-    rows = near.join(g.select(F.col(key).alias("v1"), "s", F.col("gt").alias("x")), "v1").join(g.select(F.col(key).alias("v2"), "s", F.col("gt").alias("y")), ["v2", "s"])
+    width = max(-(-window // parts), least)
+    parts = -(-window // width)
+    calls = gt.where("gt IS NOT NULL").select(key, "s", F.col("gt").cast("long").alias("gt"))
+    n_people = calls.agg(F.approx_count_distinct("s").alias("n")).first()["n"]
+    cells = calls.join(v.select(key, "contig", F.col("pos").cast("long").alias("pos")), key).withColumn("block", F.pmod(F.xxhash64("s"), F.lit(max(1, -(-n_people // people)))))
+    roles = [(0, d, 0) for d in range(parts + 1)] + [(-d, d, 1) for d in range(1, parts + 1)]
+    at = F.floor(F.col("pos") / width)
+    dealt = cells.withColumn("__r", F.explode(F.array(*[F.struct((at + i).alias("bin"), F.lit(d).alias("apart"), F.lit(side).alias("side")) for i, d, side in roles])))
+    dealt = dealt.select(key, "s", "gt", "contig", "pos", "block", "__r.bin", "__r.apart", "__r.side")
+    names, kind = ("n", "sx", "sy", "sxx", "syy", "sxy"), dict(v.dtypes)[key]
+
+    def products(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.assign(who=np.unique(part["s"].to_numpy(), return_inverse=True)[1])
+        left = part[part["side"] == 0].sort_values("who")
+        right = left if keys[2] == 0 else part[part["side"] == 1].sort_values("who")
+        found = [pair_products(left, right, key, window, int(part["who"].max()) + 1, strip)] if len(left) and len(right) else []
+        return found[0] if found else pd.DataFrame({c: [] for c in ("v1", "v2", *names)}, dtype=object)
+
+    sums = dealt.groupBy("contig", "bin", "apart", "block").applyInPandas(products, f"v1 {kind}, v2 {kind}, " + ", ".join(f"{c} long" for c in names))
+    sums = sums.groupBy("v1", "v2").agg(*[F.sum(c).alias(c) for c in names])
     n, x, y = F.col("n"), F.col("sx"), F.col("sy")
-    sums = rows.groupBy("v1", "v2").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.expr("x * x")).alias("sxx"), F.sum(F.expr("y * y")).alias("syy"), F.sum(F.expr("x * y")).alias("sxy"))
     dx, dy = n * F.col("sxx") - x * x, n * F.col("syy") - y * y
     cov = n * F.col("sxy") - x * y
-    return sums.where((dx > 0) & (dy > 0)).select("v1", "v2", "n", (F.signum(cov.cast("double"))).alias("sign"), (cov * cov / (dx.cast("double") * dy)).alias("r2"))
+    return sums.where((dx > 0) & (dy > 0)).select("v1", "v2", "n", (F.signum(cov.cast("double"))).alias("sign"), (cov.cast("double") * cov / (dx.cast("double") * dy)).alias("r2"))
+
+
+def pair_products(left: pd.DataFrame, right: pd.DataFrame, key: str, window: int, n_people: int, strip: int) -> pd.DataFrame:
+    """Sums over shared samples of each pair of variants, the first before the second by at most ``window``; both frames ordered by ``who``."""
+    sides = []
+    for f in (left, right):
+        at, names = pd.factorize(f[key])
+        pos = np.zeros(len(names), np.int64)
+        pos[at] = f["pos"].to_numpy()
+        order = np.argsort(pos, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        sides.append((pos[order], np.asarray(names)[order], place[at], f["who"].to_numpy(), f["gt"].to_numpy(np.int64)))
+    (pos_l, key_l, at_l, who_l, gt_l), (pos_r, key_r, at_r, who_r, gt_r) = sides
+    base = min(pos_l[0], pos_r[0])
+    span = max(pos_l[-1], pos_r[-1]) - base + window + 2
+    order = np.lexsort((pos_r[at_r], who_r))
+    code, mine = (who_r * span + pos_r[at_r] - base)[order], who_l * span + pos_l[at_l] - base
+    start = np.searchsorted(code, mine + 1)
+    each = np.searchsorted(code, mine + window + 1) - start  # partners of each left cell: its sample's right ones within the window
+    near = np.searchsorted(pos_r, pos_l + window, "right") - np.searchsorted(pos_r, pos_l, "right")
+    none = [np.zeros(0)] * 8
+    out = [none]
+    if 50 * each.sum() < near.sum() * n_people:  # few cells: some million pairs of them at a time
+        cuts = np.flatnonzero(np.diff(np.cumsum(each) // (1 << 22), prepend=0))
+        for a, b in zip([0, *cuts], [*cuts, len(each)]):
+            p = np.repeat(np.arange(a, b), each[a:b])
+            q = order[np.repeat(start[a:b], each[a:b]) + np.arange(len(p)) - np.repeat(np.cumsum(each[a:b]) - each[a:b], each[a:b])]
+            pairs, i = np.unique(at_l[p] * len(pos_r) + at_r[q], return_inverse=True)
+            x, y = gt_l[p], gt_r[q]
+            out.append([pairs // len(pos_r), pairs % len(pos_r), *[np.rint(np.bincount(i, weights=w, minlength=len(pairs))) for w in (np.ones(len(x)), x, y, x * x, y * y, x * y)]])
+    else:
+        for a in range(0, len(pos_l), strip):
+            low, high = np.searchsorted(pos_r, pos_l[a], "right"), np.searchsorted(pos_r, pos_l[min(a + strip, len(pos_l)) - 1] + window, "right")
+            in_l, in_r = (at_l >= a) & (at_l < a + strip), (at_r >= low) & (at_r < high)
+            m, g = np.zeros((2, min(strip, len(pos_l) - a), n_people))
+            mr, gr = np.zeros((2, high - low, n_people))
+            m[at_l[in_l] - a, who_l[in_l]], g[at_l[in_l] - a, who_l[in_l]] = 1, gt_l[in_l]
+            mr[at_r[in_r] - low, who_r[in_r]], gr[at_r[in_r] - low, who_r[in_r]] = 1, gt_r[in_r]
+            gap = pos_r[None, low:high] - pos_l[a : a + strip, None]
+            n = m @ mr.T
+            i, j = np.nonzero((gap > 0) & (gap <= window) & (n > 0))
+            out.append([i + a, j + low, *[np.rint(t[i, j]) for t in (n, g @ mr.T, m @ gr.T, (g * g) @ mr.T, m @ (gr * gr).T, g @ gr.T)]])
+    columns = [np.concatenate(c).astype(np.int64) for c in zip(*out)]
+    pairs, i = np.unique(columns[0] * len(pos_r) + columns[1], return_inverse=True)
+    sums = {c: np.rint(np.bincount(i, weights=w, minlength=len(pairs))).astype(np.int64) for c, w in zip(("n", "sx", "sy", "sxx", "syy", "sxy"), columns[2:])}
+    named = lambda names, at: pd.Series(names[at], dtype=names.dtype if names.dtype.kind in "iu" else object)
+    return pd.DataFrame({"v1": named(key_l, pairs // len(pos_r)), "v2": named(key_r, pairs % len(pos_r)), **sums})
 
 
 def concordance(a: DataFrame, b: DataFrame, key: str = "v", by: tuple[str, ...] = ()) -> DataFrame:

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocked import running_sum
+from .blocked import BLOCK, neighbour, running_sum, scan
 
 
 def coverage_runs(t: DataFrame, value: str, least: float, by: str = "contig", pos: str = "pos") -> DataFrame:
-    """Gaps and islands: stretches of consecutive positions whose value reaches ``least``, half-open from pos - 1."""
-    keep = t.where(F.col(value) >= least).select(by, pos)
-    w = Window.partitionBy(by).orderBy(pos)
+    """Gaps and islands: stretches of consecutive positions whose value reaches ``least``, half-open from pos - 1.
+
+    Ranks are those inside a block of positions and the block's offset, so no contig is one task's work and a run may cross blocks.
+    """
+    kept = t.where(F.col(value) >= least).select(by, pos, F.lit(1).alias("__one"))
     # consecutive positions less their rank are constant, so no running flag is needed
-    rows = keep.withColumn("__g", F.col(pos) - F.row_number().over(w))
+    rows = scan(kept, [by], pos, F.floor(F.col(pos) / BLOCK), "__one", "__n").withColumn("__g", F.col(pos) - F.col("__n"))
     return rows.groupBy(by, "__g").agg((F.min(pos) - 1).alias("start0"), F.max(pos).alias("end0"), F.count(F.lit(1)).alias("n")).drop("__g")
 
 
@@ -55,10 +57,10 @@ def locus_windows(t: DataFrame, size: int, by: str, pos: str) -> DataFrame:
 
 
 def merge_segments(w: DataFrame, by: str, order: str, state: str, total: str) -> DataFrame:
-    """Neighbouring windows of one state joined, with their totals summed."""
-    o = Window.partitionBy(by).orderBy(order)
-    new = F.coalesce((F.lag(state).over(o) != F.col(state)).cast("int"), F.lit(1))
-    rows = w.withColumn("__new", new).withColumn("segment", F.sum("__new").over(o.rowsBetween(Window.unboundedPreceding, 0)))
+    """Neighbouring windows of one state joined, with their totals summed; ``order`` is a number, and blocks of it are one task's work."""
+    was = neighbour(w, by, order, state, "__was", False)
+    rows = was.withColumn("__new", F.coalesce((F.col("__was") != F.col(state)).cast("int"), F.lit(1)))
+    rows = scan(rows, [by], order, F.floor(F.col(order) / BLOCK), "__new", "segment")
     return rows.groupBy(by, "segment", state).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"), F.sum(total).alias(total))
 
 

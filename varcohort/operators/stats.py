@@ -236,13 +236,17 @@ def slope_interaction(df: DataFrame, y: str, x: str, by: str) -> DataFrame:
 def score_logit(df: DataFrame, case: str, score: str, least: int = 40) -> DataFrame:
     """Log odds of case status by score, with standard error and Wald p, where there are ``least`` cases and as many others.
 
-    Newton steps whose sums are aggregates over the rows; two numbers go to the driver each time.
+    Newton steps whose sums are aggregates over the rows; two numbers go to the driver each time. Where scores part the
+    cases from the others there is no finite estimate: beta, se, z and p are null.
     """
     rows = df.where(F.col(case).isNotNull() & F.col(score).isNotNull()).select(F.col(case).cast("double").alias("y"), F.col(score).cast("double").alias("x"))
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("cases"), F.avg("x").alias("m"), F.stddev_pop("x").alias("sd")).first()
     schema = "n long, cases long, beta double, se double, z double"
     if not n["n"] or n["cases"] < least or n["n"] - n["cases"] < least or not n["sd"]:
         return df.sparkSession.createDataFrame([], schema).withColumn("p", F.lit(None).cast("double"))
+    ends = rows.agg(*[f(F.when(F.col("y") == y, F.col("x"))) for y in (0.0, 1.0) for f in (F.min, F.max)]).first()
+    if ends[1] <= ends[2] or ends[3] <= ends[0]:  # all others at or below all cases, or the other way
+        return df.sparkSession.createDataFrame([(n["n"], int(n["cases"]), None, None, None)], schema).withColumn("p", F.lit(None).cast("double"))
     u = (F.col("x") - n["m"]) / n["sd"]
     w = np.zeros(2)
     for _ in range(50):

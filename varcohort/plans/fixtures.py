@@ -2,7 +2,8 @@
 
 Integer arithmetic only, so that both engines agree: ``samples`` (every customer), ``variants`` (every part, insertions,
 deletions and multi-allelic sites among them), ``genotypes`` (a cell for each part and customer that share an order line),
-``pools`` (the same, with a nation's customers pooled as one sample, so that most cells have a call), ``regions``,
+``pools`` (the same, with a nation's customers pooled as one sample, so that most cells have a call), ``libraries`` (the
+same, with suppliers for samples: some hundred loci each, and more samples at each scale), ``regions``,
 ``features`` (a second interval set), ``trace``, ``bases`` (a reference sequence with gaps) and ``models`` (polygenic
 score models). Positions spread over contigs whose length grows with the parts.
 """
@@ -92,14 +93,8 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("alts", F.when(F.col("size") % 7 == 0, F.array("alt", second)).otherwise(F.array("alt")))
 
 
-def cells(spark: SparkSession, sf_dir: str, pooled: bool) -> DataFrame:
-    """Summed reads of each part and customer (or, ``pooled``, nation), and the call that they support."""
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    if pooled:
-        rows = rows.join(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    sample = F.col("c_nationkey" if pooled else "o_custkey")
+def called(rows: DataFrame, sample: Column) -> DataFrame:
+    """Summed reads of each part and sample over order lines, and the call that they support."""
     v, n = F.col("l_partkey").cast("int"), F.col("l_quantity").cast("long")
     draw = (F.col("l_suppkey") * 7 + F.col("l_orderkey") * 13 + F.col("l_linenumber") * 29) % 100 * 100
     t = (5 + (v * 37) % 90).cast("long")  # the alternate's share, of a hundred
@@ -109,6 +104,24 @@ def cells(spark: SparkSession, sf_dir: str, pooled: bool) -> DataFrame:
     return rows.withColumn("gt", F.when(dp < 5, None).when(5 * ad < dp, 0).when(5 * ad > 4 * dp, 2).otherwise(1))
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+
+
+def cells(spark: SparkSession, sf_dir: str, pooled: bool) -> DataFrame:
+    """The cells of customers or, ``pooled``, of their nations."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    rows = lines(spark, sf_dir).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    if pooled:
+        rows = rows.join(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return called(rows, F.col("c_nationkey" if pooled else "o_custkey"))
+
+
+def libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of suppliers: some 600 loci each, and as many more samples as there are suppliers."""
+    return called(lines(spark, sf_dir), F.col("l_suppkey"))
+
+
 def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir, False)
 
@@ -169,7 +182,8 @@ SQL = {
         SELECT v, s, dp, ad, CASE WHEN dp < 5 THEN NULL WHEN 5 * ad < dp THEN 0 WHEN 5 * ad > 4 * dp THEN 2 ELSE 1 END AS gt FROM (
         SELECT CAST(l_partkey AS INT) AS v, CAST({sample} AS INT) AS s, CAST(sum(n) AS BIGINT) AS dp,
                CAST(sum(CASE WHEN draw < t * t THEN n WHEN draw < 200 * t - t * t THEN n // 2 ELSE 0 END) AS BIGINT) AS ad
-        FROM (SELECT *, (l_suppkey * 7 + l_orderkey * 13 + l_linenumber * 29) % 100 * 100 AS draw, 5 + (l_partkey * 37) % 90 AS t, CAST(l_quantity AS BIGINT) AS n FROM lineitem) JOIN orders ON l_orderkey = o_orderkey {more} GROUP BY 1, 2))""" for name, sample, more in (("genotypes", "o_custkey", ""), ("pools", "c_nationkey", "JOIN customer ON o_custkey = c_custkey"))},
+        FROM (SELECT *, (l_suppkey * 7 + l_orderkey * 13 + l_linenumber * 29) % 100 * 100 AS draw, 5 + (l_partkey * 37) % 90 AS t, CAST(l_quantity AS BIGINT) AS n FROM lineitem) {more} GROUP BY 1, 2))""" for name, sample, more in (
+        ("genotypes", "o_custkey", "JOIN orders ON l_orderkey = o_orderkey"), ("pools", "c_nationkey", "JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"), ("libraries", "l_suppkey", ""))},
     "regions": """regions AS (
         SELECT CASE WHEN s_suppkey % 5 = 4 THEN 'X' ELSE CAST(1 + s_suppkey % 5 AS VARCHAR) END AS contig,
                (s_suppkey * 7919) % (SELECT length FROM span) AS start0, (s_suppkey * 7919) % (SELECT length FROM span) + 200 + s_suppkey % 800 AS end0 FROM supplier)""",
