@@ -69,3 +69,55 @@ def test_odd_tables(spark):
     assert [c for c in got[0].asDict()] == ["page_id", "url", "text", "n_chars"]
     want = "Head A sentence that is long enough to be one."
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in got) == [("1", want, len(want)), ("1", want, len(want)), ("4", "", 0), ("None", want, len(want))]
+
+
+@pytest.fixture(scope="module")
+def fitted():
+    """The model that the pages of sf0.01 give, as the query fits it."""
+    import duckdb
+
+    pages = duckdb.sql("SELECT html FROM read_parquet('/root/testdata/sf0.01/pages.parquet') ORDER BY page_id LIMIT 120").fetchall()
+    return html_text.fit([p[0] for p in pages])
+
+
+ONE = "The first sentence of the story is long enough to be read as one, and it goes on for a while."
+TWO = "A second paragraph tells what came after that, in about as many words as the first one had."
+OFF = "Sign up to our letter and never miss a thing that happens, with offers from our many partners."
+
+
+@pytest.mark.parametrize("part", [
+    f"<aside><p>{OFF}</p></aside>", f"<form><p>{OFF}</p><input name=q></form>", f"<button>{OFF}</button>", f'<div class="advert"><p>{OFF}</p></div>', f'<div class="cookie-notice">{OFF}</div>',
+    f'<div class="sidebar"><ul><li>{OFF}</li></ul></div>', f'<section id="comments"><div><p>{OFF}</p></div></section>', f"<nav>{OFF}</nav>", f"<footer>{OFF}</footer>", f'<p><span class="ad">{OFF}</span></p>',
+])
+def test_foreign_parts_inside_the_article_go(fitted, part):
+    page = f"<html><body><nav><a href=x>Home</a></nav><article><h1>Head</h1><p>{ONE}</p>{part}<p>{TWO}</p></article></body></html>"
+    assert html_text.main_text(page, fitted) == f"Head {ONE} {TWO}"
+
+
+MENU = '<ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">Contact</a></li></ul>'
+TEMPLATES = {
+    "post": f'<div class="menu">{MENU}</div><div class="post"><h1>Head</h1><p>{ONE}</p><p>{TWO}</p></div><div class="footer"><p>{OFF}</p></div>',
+    "content": f'<div id="header"><p>{OFF}</p></div><div id="content"><h1>Head</h1><p>{ONE}</p><p>{TWO}</p></div><div id="sidebar"><p>{OFF}</p></div>',
+    "main": f"<header><p>{OFF}</p></header><main><h1>Head</h1><p>{ONE}</p><p>{TWO}</p></main><div><p>{OFF}</p></div>",
+    "nested": f'<div class="page"><div class="navbar">{MENU}</div><div class="row"><div class="entry-content"><h1>Head</h1><div><p>{ONE}</p></div><div><p>{TWO}</p></div></div><div class="widget"><p>{OFF}</p></div></div></div>',
+    "bare": f"<div>{MENU}</div><h1>Head</h1><p>{ONE}</p><p>{TWO}</p>",
+    "table": f'<table class="nav"><tr><td><a href=x>Home</a></td></tr></table><div class="story"><h1>Head</h1><p>{ONE}</p><p>{TWO}</p></div><div class="share"><a href=y>Share</a></div>',
+    "quotes": f'<article><h1>Head</h1><p>{ONE}</p><blockquote><p>{TWO}</p></blockquote></article><div class="related"><p>{OFF}</p></div>',
+}
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_other_templates(fitted, name):
+    assert html_text.main_text(f"<!DOCTYPE html><html><head><title>T</title></head><body>{TEMPLATES[name]}</body></html>", fitted) == f"Head {ONE} {TWO}"
+
+
+def test_adverts_in_the_line(fitted):
+    page = f'<article><p>{ONE} <span class="ad">Buy now!</span>{TWO}</p><p><em class="x">{TWO}</em></p></article>'
+    assert html_text.main_text(page, fitted) == f"{ONE} {TWO} {TWO}"
+
+
+def test_unclosed_comments_and_quotes():
+    assert texts("<p>One.</p><!-- note <p>Two.</p><p>Three.</p>") == ["One.", "Two.", "Three."]
+    assert texts("<p>One.</p><!-- a > b --><p>Two.</p>") == ["One.", "Two."]
+    assert texts("<p>One.</p><p class=\"foo>Two.</p><p>Three.</p>") == ["One.", "Two.", "Three."]
+    assert texts("<p>One.</p><!-->Two.<p>Three.</p>") == ["One.", "Two.", "Three."]
