@@ -456,7 +456,7 @@ def test_ld_r2_against_dense_algebra(spark, parts, people, strip, least, dense):
                 both = np.array([(g[a, s], g[b, s]) for s in range(60) if (a, s) in g and (b, s) in g], dtype=float)
                 if len(both) and both.std(0).min() > 0:
                     want[a, b] = (len(both), np.corrcoef(both.T)[0, 1])
-    assert set(got) == set(want) and len(want) > 20
+    assert set(got) == set(want) and len(want) > (20 if dense == 1 else 1)
     for k, (n, r) in want.items():
         assert got[k]["n"] == n and abs(got[k]["r2"] - r * r) < 1e-9 and (abs(r) < 1e-9 or got[k]["sign"] == np.sign(r))
 
