@@ -16,6 +16,7 @@ from .genotype import hwe_chisq, variant_qc
 from .intervals import in_intervals
 from .models import snr_thresholds
 from .series import triplet_context
+from .shared import keep
 from .stats import log_choose, with_hwe
 
 
@@ -122,14 +123,16 @@ def loh_trace(trace: DataFrame, by: str, pos: str, width: int = 5, block: int =
 def calibrate_loci(a: DataFrame, b: DataFrame, gc: DataFrame, key: str = "v", delta: float = 0.05) -> DataFrame:
     """Loci whose affinity (v, affinity, variance) is steady in two cohorts: after each filter, rescaled to a mean of one."""
 
-    def one(t: DataFrame, c: str) -> DataFrame:
-        return t.join(F.broadcast(t.agg(F.avg(c).alias("__g")))).withColumn(c, F.col(c) / F.col("__g")).drop("__g")  # one row
+    def scaled(t: DataFrame) -> DataFrame:
+        """Both affinities over their means; ``t`` is written, since it is read for the means and for the rows."""
+        t = keep(t)
+        mean = t.agg(F.avg("a").alias("__a"), F.avg("b").alias("__b"))
+        return t.join(F.broadcast(mean)).withColumns({"a": F.col("a") / F.col("__a"), "b": F.col("b") / F.col("__b")}).drop("__a", "__b")  # one row
 
     rows = a.select(key, F.col("affinity").alias("a"), F.col("variance").alias("va")).join(b.select(key, F.col("affinity").alias("b"), F.col("variance").alias("vb")), key)
-    rows = rows.join(gc.select(key, "gc"), key).where(F.col("gc").between(0.3, 0.55))
-    rows = one(one(rows, "a"), "b")
+    rows = scaled(rows.join(gc.select(key, "gc"), key).where(F.col("gc").between(0.3, 0.55)))
     for c, v in (("a", "va"), ("b", "vb")):
-        rows = one(one(rows.where(F.col(c).between(0.5, 1.5) & (F.col(v) <= 4 * F.col(c))), "a"), "b")
+        rows = scaled(rows.where(F.col(c).between(0.5, 1.5) & (F.col(v) <= 4 * F.col(c))))
     return rows.where(F.abs(F.col("a") - F.col("b")) < delta).select(key, ((F.col("a") + F.col("b")) / 2).alias("affinity"))
 
 

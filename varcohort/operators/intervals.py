@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocked import BLOCK, blocks, neighbour, running_sum, turns
+from .shared import keep
 
 #: Bin sizes of the levels, as powers of two; the last holds a contig.
 LEVELS = (9, 13, 17, 21, 25, 62)
@@ -169,16 +170,12 @@ def tier_beds(genome: DataFrame, good: DataFrame, bads: list[DataFrame], flank:
     chromosome, else 2 on X and Y and outside the good track, else 1."""
     bad = reduce(DataFrame.unionByName, [slop(b.select("contig", "start0", "end0"), flank) for b in bads])
     odd, sex = ~F.col("contig").rlike("^([0-9]+|X|Y)$"), F.col("contig").isin("X", "Y")
-
-    def tier(n: int) -> Callable[..., Column]:
-        def test(g: Column, t: Column, b: Column) -> Column:
-            worst = (b > 0) | odd
-            two = ~worst & (sex | (t == 0))
-            return (g > 0) & (worst if n == 3 else two if n == 2 else ~worst & ~two)
-
-        return test
-
-    return reduce(DataFrame.unionByName, [sweep([genome, good, bad], tier(n)).withColumn("tier", F.lit(n)) for n in (1, 2, 3)])
+    n = range(3)
+    tier = lambda g, t, b: F.when(g > 0, F.when((b > 0) | odd, 3).when(sex | (t == 0), 2).otherwise(1))
+    now, was = tier(*[F.col(f"run_d{i}") for i in n]), tier(*[F.col(f"run_d{i}") - F.col(f"d{i}") for i in n])
+    turned = depth(genome, good, bad).where(~now.eqNullSafe(was)).select("contig", F.col("pos").alias("start0"), now.alias("tier"))
+    closed = neighbour(turned, "contig", "start0", "start0", "end0", True)
+    return closed.where(F.col("tier").isNotNull() & F.col("end0").isNotNull()).select("contig", "start0", "end0", "tier")
 
 
 def common_bp(bed: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
@@ -195,21 +192,22 @@ def rarely_covered(coverage_: DataFrame, n_samples: int, share: float = 0.5) ->
 def loh_regions(genome: DataFrame, good: DataFrame, bads: list[DataFrame], covered: DataFrame, n_samples: int, least: int = 100, erode: int = 10) -> tuple[DataFrame, DataFrame]:
     """Regions for loss of heterozygosity, and the rest of the genome as their blacklist.
 
-    As ``qc_regions``, with places that fewer than half of the samples cover as one more bad track.
+    As ``qc_regions``, with places that fewer than half of the samples cover as one more bad track. What a sweep reads
+    of another is written first, here as in ``cnv_regions`` and ``comparison_regions``, so that plans don't multiply.
     """
-    kept = qc_regions(genome, good, [*bads, rarely_covered(covered, n_samples)], least, erode)
+    kept = keep(qc_regions(genome, good, [*bads, rarely_covered(keep(covered), n_samples)], least, erode))
     return kept, complement(kept, genome)
 
 
 def cnv_regions(genome: DataFrame, bads: list[DataFrame], covered: DataFrame, n_samples: int, width: int = 65, least: int = 450) -> DataFrame:
     """Regions for copy number: the genome less all bad tracks and rarely covered places, closed, and longer than ``least``."""
-    bad = reduce(DataFrame.unionByName, [b.select("contig", "start0", "end0") for b in [*bads, rarely_covered(covered, n_samples)]])
-    return close_regions(subtract(genome, bad), width, least)
+    bad = reduce(DataFrame.unionByName, [b.select("contig", "start0", "end0") for b in [*bads, rarely_covered(keep(covered), n_samples)]])
+    return close_regions(keep(subtract(genome, bad)), width, least)
 
 
 def comparison_regions(covs: list[tuple[DataFrame, int]], good: DataFrame, coding: DataFrame, flank: int = 2, least: int = 5) -> DataFrame:
     """Regions in which cohorts can be compared: each (coverage, least depth) reached, inside good and padded coding regions, ``least`` bases or more."""
-    tracks = [c.where(F.col("depth") >= n).select("contig", "start0", "end0") for c, n in covs]
+    tracks = [keep(c).where(F.col("depth") >= n).select("contig", "start0", "end0") for c, n in covs]
     out = sweep([*tracks, good, slop(coding, flank)], lambda *d: reduce(lambda a, b: a & b, [x > 0 for x in d]))
     return out.where(F.col("end0") - F.col("start0") >= least)
 
