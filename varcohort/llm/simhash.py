@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_hot
 
 GROUP = 2048
 #: Above so many fingerprints, buckets agree on three of six blocks of bits.
@@ -183,16 +183,17 @@ def near_duplicates(docs: DataFrame, bits: int = 3, words: int = 3, seed: int =
     repeated results. An empty table gives none. Further columns are ignored.
     """
     fps = cut(fingerprints(docs.select("doc_id", "text"), words, seed), "fingerprints")
-    return fps.join(component_of(fps, bits), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = cut(component_of(fps, bits), "components")
+    return join_hot(fps, found.select("fp", "component_id"), "fp", found.select("fp", "n")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def component_of(fps: DataFrame, bits: int) -> DataFrame:
-    """(fp, component_id, root) of every distinct fingerprint of (doc_id, fp)."""
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    """(fp, component_id, root, n) of every distinct fingerprint of (doc_id, fp), n of its rows."""
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(links(distinct, bits))
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return placed.join(named, "root").select("fp", "component_id", "root")
+    placed = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", "n", F.coalesce("root", "fp").alias("root")), "roots")
+    named = cut(placed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members")), "named")
+    return join_hot(placed, named.select("root", "component_id"), "root", named.select("root", F.col("members").alias("n"))).select("fp", "component_id", "root", "n")
 
 
 def deduplicate(docs: DataFrame, bits: int = 3, words: int = 3, seed: int = 42) -> DataFrame:
@@ -205,10 +206,11 @@ def deduplicate(docs: DataFrame, bits: int = 3, words: int = 3, seed: int = 42)
     keyed = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256))
     fps = cut(fingerprints(keyed.select("doc_id", "__sha", "text"), words, seed), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__sha")
-    placed = fps.groupBy("doc_id", "__sha", "fp").agg(F.count(F.lit(1)).alias("n")).join(component_of(fps, bits).select("fp", "root"), "fp")
+    found = cut(component_of(fps, bits), "components")
+    placed = join_hot(fps.groupBy("doc_id", "__sha", "fp").agg(F.count(F.lit(1)).alias("n")), found.select("fp", "root"), "fp", found.select("fp", "n"))
     placed = cut(placed.select("doc_id", "__sha", "n", "root", place.alias("place")), "placed")
-    first = placed.groupBy("root").agg(F.min("place").alias("first"))
-    judged = placed.join(first, "root").select(*key, "n", (F.col("place") == F.col("first")).alias("stays"))
+    first = cut(placed.groupBy("root").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("members")), "first")
+    judged = join_hot(placed, first.select("root", "first"), "root", first.select("root", F.col("members").alias("n"))).select(*key, "n", (F.col("place") == F.col("first")).alias("stays"))
     losers, again = judged.where("NOT stays").select(*key), judged.where("stays AND n > 1").select(*key)
     same = lambda other: keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed["__sha"] == other["__sha"])
     kept = keyed.join(losers, same(losers), "left_anti")
