@@ -1,18 +1,35 @@
-"""Lineage cuts of operators that go on in rounds."""
+"""Lineage cuts of operators that go on in rounds, and folders for tables that they write."""
 
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder: spark.checkpoint.dir, or, in a session on one machine only, a folder of its own."""
-    sc = df.sparkSession.sparkContext
+def checkpoints(spark: SparkSession) -> str:
+    """The session's checkpoint folder: spark.checkpoint.dir, or, in a session on one machine only, a folder of its own."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not at and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-varcohort-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder."""
+    checkpoints(df.sparkSession)
     return df.checkpoint()
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder."""
+    return f"{checkpoints(spark)}/{name}-{uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
