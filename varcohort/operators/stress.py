@@ -132,6 +132,8 @@ def drift_scores(af: DataFrame, diffs: DataFrame, models: DataFrame, sources: li
     left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
     right = d.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_m - 1))))
     kind = dict(models.dtypes)["id"]
+    # a number of tasks of its own: the sides are small for the work that they make, so their bytes don't tell how to split it
+    left, right = (x.repartition(min(n_m * n_d, 20_000), "block", "part") for x in (left, right))
 
     def simulate(keys: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
