@@ -18,10 +18,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_hot
 
 GROUP = 2048
 #: Above so many fingerprints, buckets agree on three of six blocks of bits.
@@ -183,16 +183,23 @@ def near_duplicates(docs: DataFrame, bits: int = 3, words: int = 3, seed: int =
     repeated results. An empty table gives none. Further columns are ignored.
     """
     fps = cut(fingerprints(docs.select("doc_id", "text"), words, seed), "fingerprints")
-    return fps.join(component_of(fps, bits), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = cut(component_of(fps, bits), "components")
+    joined = join_hot(fps, named.select("fp", "component_id"), "fp", named.select("fp", "n"))
+    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def component_of(fps: DataFrame, bits: int) -> DataFrame:
-    """(fp, component_id, root) of every distinct fingerprint of (doc_id, fp)."""
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+def placed(fps: DataFrame, least: Column, bits: int) -> DataFrame:
+    """(fp, n, least, root) of every distinct fingerprint of ``fps``: its number of rows, the smallest ``least`` of them, and its group's root."""
+    distinct = cut(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(least).alias("least")), "distinct")
     roots = components(links(distinct, bits))
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return placed.join(named, "root").select("fp", "component_id", "root")
+    return cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "placed")
+
+
+def component_of(fps: DataFrame, bits: int) -> DataFrame:
+    """(fp, n, component_id) of every distinct fingerprint of (doc_id, fp); groups of very many fingerprints meet their id in parts."""
+    rows = placed(fps, F.col("doc_id"), bits)
+    groups = rows.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    return join_hot(rows, groups.select("root", "component_id"), "root", groups.select("root", "n")).select("fp", "n", "component_id")
 
 
 def deduplicate(docs: DataFrame, bits: int = 3, words: int = 3, seed: int = 42) -> DataFrame:
@@ -205,10 +212,10 @@ def deduplicate(docs: DataFrame, bits: int = 3, words: int = 3, seed: int = 42)
     keyed = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256))
     fps = cut(fingerprints(keyed.select("doc_id", "__sha", "text"), words, seed), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__sha")
-    placed = fps.groupBy("doc_id", "__sha", "fp").agg(F.count(F.lit(1)).alias("n")).join(component_of(fps, bits).select("fp", "root"), "fp")
-    placed = cut(placed.select("doc_id", "__sha", "n", "root", place.alias("place")), "placed")
-    first = placed.groupBy("root").agg(F.min("place").alias("first"))
-    judged = placed.join(first, "root").select(*key, "n", (F.col("place") == F.col("first")).alias("stays"))
+    firsts = placed(fps, place, bits).groupBy("root").agg(F.min("least").alias("first")).select("first.doc_id", "first.__sha")  # sums only: no row meets its group
+    rows = fps.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    here = rows["doc_id"].eqNullSafe(firsts["doc_id"]) & (rows["__sha"] == firsts["__sha"])
+    judged = cut(rows.join(firsts, here, "left").select(rows["doc_id"], rows["__sha"], "n", firsts["__sha"].isNotNull().alias("stays")), "judged")
     losers, again = judged.where("NOT stays").select(*key), judged.where("stays AND n > 1").select(*key)
     same = lambda other: keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed["__sha"] == other["__sha"])
     kept = keyed.join(losers, same(losers), "left_anti")
