@@ -81,13 +81,25 @@ def burden_stats(vb: DataFrame) -> DataFrame:
     return out.withColumn("ratio", div("ratio_a", "ratio_b"))
 
 
-def enrichment(vb: DataFrame) -> DataFrame:
-    """Log odds that an allele of a class is in cohort a rather than b, deleterious against neutral."""
+def enrichment(vb: DataFrame, *by: str) -> DataFrame:
+    """Log odds that an allele of a class is in cohort a rather than b, deleterious against neutral; for each group of ``by``."""
     pick = lambda cls, col: F.coalesce(F.sum(F.when(F.col("class") == cls, F.col(col))), F.lit(0)) + 0.5
-    s = vb.agg(pick("nonsyn", "ac_a").alias("da"), pick("nonsyn", "ac_b").alias("db"), pick("syn", "ac_a").alias("na"), pick("syn", "ac_b").alias("nb"))
+    s = vb.groupBy(*by).agg(pick("nonsyn", "ac_a").alias("da"), pick("nonsyn", "ac_b").alias("db"), pick("syn", "ac_a").alias("na"), pick("syn", "ac_b").alias("nb"))
     return s.withColumn("log_odds", F.log(F.col("da") * F.col("nb") / (F.col("db") * F.col("na"))))
 
 
+def by_zygosity(counts: DataFrame, case: Column, key: str = "v") -> DataFrame:
+    """(key, counted, ac_a, ac_b): a row for each way of counting what cohorts (key, n_ra, n_aa) carry: alleles, heterozygotes, homozygotes.
+
+    ``case`` tells cohort a from b. ``enrichment`` and ``enrichment_interval`` take the result by ``counted``.
+    """
+    ways = {"alleles": F.col("n_ra") + 2 * F.col("n_aa"), "het": F.col("n_ra"), "hom": F.col("n_aa")}
+    side = lambda who, n: F.sum(F.when(who, n).otherwise(0))
+    sums = counts.groupBy(key).agg(*[side(who, n).alias(f"{c}_{w}") for w, n in ways.items() for c, who in (("a", case), ("b", ~case))])
+    rows = F.array(*[F.struct(F.lit(w).alias("counted"), F.col(f"a_{w}").alias("ac_a"), F.col(f"b_{w}").alias("ac_b")) for w in ways])
+    return sums.select(key, F.inline(rows))
+
+
 def rare_burden(long: DataFrame) -> DataFrame:
     """Expected loci per person with one, and with two, alternate alleles, by cohort, and the recessive share."""
     n = F.col("n_rr") + F.col("n_ra") + F.col("n_aa")

@@ -136,6 +136,19 @@ def order_violations(df: DataFrame, index: str, contig: str = "contig", pos: str
     return seen.where(F.col("__was") > F.col("__at")).select(index, F.col(f"__at.{contig}").alias(contig), F.col(f"__at.{pos}").alias(pos))
 
 
+def first_rows(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row for each key: the first in the order of ``order``. An aggregate, so that copies of a key never meet in one task."""
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__row")).select(*key, "__row.*").select(*df.columns)
+
+
+def drop_repeats(df: DataFrame, index: str, key: list[str]) -> DataFrame:
+    """The first row of every run of rows with one key, in the order of ``index``, a number that is no row's twice; nulls are equal."""
+    rows = df.withColumns({"__all": F.lit(0), "__k": F.struct(*key)})
+    seen = neighbour(rows, "__all", index, "__k", "__was", False)
+    return seen.where(~F.col("__k").eqNullSafe(F.col("__was"))).select(*df.columns)
+
+
 def mean_depth(depths: DataFrame) -> DataFrame:
     """Mean depth of each sample over its positions (s, n, dp): dp seen at n positions."""
     return depths.groupBy("s").agg((F.sum(F.col("n") * F.col("dp")) / F.sum("n")).alias("mean_dp"))

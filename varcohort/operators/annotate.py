@@ -61,3 +61,18 @@ def locus_tier(df: DataFrame, bad: str = "d_bad", good: str = "d_good", near: in
     """3 within ``near`` of a bad region, 2 outside good regions or on X or Y, else 1; no bad region on the contig is no hit."""
     close = F.coalesce(F.col(bad) <= near, F.lit(False))
     return F.when(close, 3).when(F.col("contig").isin("X", "Y") | F.coalesce(F.col(good) > 0, F.lit(True)), 2).otherwise(1)
+
+
+def any_symbol_in(v: DataFrame, alleles: DataFrame, wanted: DataFrame, key: str = "v", symbol: str = "symbol") -> DataFrame:
+    """Variants of which any allele (key, symbol) has a symbol of the list ``wanted`` (symbol); null symbols match none."""
+    hits = alleles.join(wanted.select(symbol).distinct(), symbol, "left_semi").select(key).distinct()
+    return v.join(hits, key, "left_semi")
+
+
+def annotate_from_dataset(v: DataFrame, other: DataFrame, fields: dict[str, Column], root: str, on: tuple[str, ...] = ("contig", "pos", "ref", "alt")) -> DataFrame:
+    """Split variants with a struct ``root`` of expressions over the same variants of another dataset; null where it lacks them.
+
+    Of several rows of the other dataset for one variant the one with the smallest values, in the order of ``fields``, counts.
+    """
+    side = other.select(*on, F.struct(*[c.alias(n) for n, c in fields.items()]).alias(root)).groupBy(*on).agg(F.min(root).alias(root))
+    return v.join(side, list(on), "left")

@@ -217,6 +217,11 @@ def close_regions(bed: DataFrame, width: int, least: int) -> DataFrame:
     return slop(merge(slop_free(bed, width)), -width).where(F.col("end0") - F.col("start0") > least)
 
 
+def bad_depth_regions(covered: DataFrame, n_samples: int, share: float = 0.95, width: int = 65, least: int = 10) -> DataFrame:
+    """Regions that fewer than ``share`` of the samples cover, closed over gaps of up to twice ``width``, and longer than ``least``."""
+    return close_regions(rarely_covered(keep(covered), n_samples, share), width, least)
+
+
 def slop_free(bed: DataFrame, flank: int) -> DataFrame:
     """As ``slop``, but starts may fall below zero, so that eroding undoes it."""
     return bed.select("contig", (F.col("start0") - flank).alias("start0"), (F.col("end0") + flank).alias("end0"))

@@ -43,6 +43,31 @@ def signature_burden(calls: DataFrame, background: DataFrame) -> DataFrame:
     return out.withColumn("burden", F.when(F.col("background") > 0, F.col("n") * 1e6 / F.col("background")))
 
 
+#: The 96 classes of substitutions: a triplet with a pyrimidine in its centre, and what the centre turns into.
+CLASSES = [(left + ref + right, alt) for ref in "CT" for alt in "ACGT" if alt != ref for left in "ACGT" for right in "ACGT"]
+
+
+def substitution(alt: Column) -> Column:
+    """The alternate as it reads on the strand of ``triplet``, given ``flipped`` of ``triplet_context``."""
+    return F.when(F.col("flipped"), F.translate(alt, "ACGT", "TGCA")).otherwise(alt)
+
+
+def signature_spectrum(loci: DataFrame, by: str, alt: str) -> DataFrame:
+    """(by, triplet, alt, n, background, burden): calls per million opportunities of every one of the 96 classes, for each of ``by``.
+
+    ``loci`` is (by, triplet, alt), a row for each locus that was looked at, with its triplet turned to the pyrimidine's
+    strand (null where unknown: left out) and, where a substitution was called, the alternate of that strand (else null).
+    The opportunities of a class are the loci of its triplet. Classes without a call have n zero; without a locus, a null burden.
+    """
+    seen = loci.where(F.col("triplet").isNotNull()).groupBy(by, "triplet", F.col(alt).alias("alt")).agg(F.count(F.lit(1)).alias("n"))
+    background = seen.groupBy(by, "triplet").agg(F.sum("n").alias("background"))
+    pairs = F.array(*[F.struct(F.lit(t).alias("triplet"), F.lit(a).alias("alt")) for t, a in CLASSES])
+    grid = background.select(by).distinct().select(by, F.inline(pairs))
+    out = grid.join(background, [by, "triplet"], "left").join(seen.where("alt IS NOT NULL"), [by, "triplet", "alt"], "left")
+    out = out.select(by, "triplet", "alt", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("background", F.lit(0)).alias("background"))
+    return out.withColumn("burden", F.when(F.col("background") > 0, F.col("n") * 1e6 / F.col("background")))
+
+
 def locus_windows(t: DataFrame, size: int, by: str, pos: str) -> DataFrame:
     """Window number of each locus in the order of the whole genome: ranks, divided.
 
@@ -98,3 +123,15 @@ def collapse_groups(t: DataFrame, cohort: str, order: list[str], size: int) -> D
     n, i = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(*order))
     groups = F.greatest(F.round(n / size), F.lit(1))
     return t.withColumn("bucket", F.floor((i - 1) * groups / n).cast("long"))
+
+
+def collapse_burden(burden: DataFrame, people: DataFrame, cohort: str, order: list[str], size: int, key: str = "s") -> DataFrame:
+    """(cohort, bucket, class, value, share): summed burdens (key, class, value) of age-ordered groups of about ``size`` people.
+
+    A group's shares of all classes add up to one; they are null in a group whose sum is zero. People without a burden
+    count when the groups are made.
+    """
+    groups = collapse_groups(people, cohort, order, size).select(key, cohort, "bucket")
+    sums = burden.join(groups, key).groupBy(cohort, "bucket", "class").agg(F.sum("value").alias("value"))
+    whole = F.sum("value").over(Window.partitionBy(cohort, "bucket"))  # a row a class
+    return sums.withColumn("share", F.col("value") / F.nullif(whole, F.lit(0)))

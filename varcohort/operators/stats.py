@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions.consequence import good_depth
 from .blocked import scan, value_blocks
+from .shared import keep
 
 
 def distinct_values(df: DataFrame, col: str, by: list[str], **counts: Column) -> tuple[DataFrame, Column]:
@@ -65,6 +67,11 @@ def fivenum(df: DataFrame, by: str, col: str) -> DataFrame:
     return rows.groupBy(by).agg(F.min("__x").alias("min"), at(n4).alias("lower"), at((n + 1) / 2).alias("median"), at(n + 1 - n4).alias("upper"), F.max("__x").alias("max"))
 
 
+def good_depth_samples(df: DataFrame, by: str, depth: str) -> DataFrame:
+    """Five numbers of each sample's depths, where these are even, deep enough and without a long tail."""
+    return fivenum(df, by, depth).where(good_depth(F.col("lower"), F.col("upper"), F.col("median"), F.col("max")))
+
+
 @F.pandas_udf(DoubleType())
 def kolmogorov(z: pd.Series) -> pd.Series:
     """Upper tail of the limiting distribution of the scaled two-sample statistic."""
@@ -206,21 +213,27 @@ def two_proportions(x1: Column, n1: Column, x2: Column, n2: Column) -> tuple[Col
 
 
 def kendall_tau(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Tau-b of two columns with few distinct values each: pairs are counted between cells of their table, not between rows."""
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    by_y = cells.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("x", "n"))).alias("own"))  # the table's rows
-    upto = lambda c: F.aggregate(F.filter("own", lambda o: o["x"] < c), F.lit(0.0), lambda a, o: a + o["n"])
-    above = by_y.select(F.col("y").alias("y2"), "own")
-    pairs = cells.join(above, F.col("y2") > F.col("y"))
-    later = F.aggregate("own", F.lit(0.0), lambda a, o: a + o["n"])
-    same = F.aggregate(F.filter("own", lambda o: o["x"] == F.col("x")), F.lit(0.0), lambda a, o: a + o["n"])
-    less = upto(F.col("x"))
-    s = pairs.agg(F.sum(F.col("n") * (later - same - less)).alias("concordant"), F.sum(F.col("n") * less).alias("discordant"))
+    """Tau-b of two numeric columns, with its concordant, discordant and tied pairs, by merge counts.
+
+    Two rows with different x part at exactly one bit of the ranks of x. So for each bit, rows that agree on the bits above
+    are one group, and a running sum over y counts those with a zero before each with a one. A row is copied once for
+    each bit, whatever the number of distinct values; groups run in blocks of y. Nulls are left out.
+    """
+    cells = keep(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n")))
+    values = keep(cells.groupBy("x").agg(F.lit(1).alias("one")))
+    bits = max(values.count() - 1, 1).bit_length()
+    ranked = cells.join(scan(values, [], "x", value_blocks(values, "x"), "one", "rank").withColumn("rank", F.col("rank") - 1), "x")
+    split = ranked.select("y", "n", "rank", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
+    split = split.select("y", "n", "bit", F.expr("shiftright(rank, bit + 1)").alias("above"), F.expr("shiftright(rank, bit) & 1").alias("own"))
+    sides = split.groupBy("bit", "above", "y").agg(F.sum(F.when(F.col("own") == 0, F.col("n")).otherwise(0.0)).alias("zeros"), F.sum(F.when(F.col("own") == 1, F.col("n")).otherwise(0.0)).alias("ones"))
+    upto = scan(sides, ["bit", "above"], "y", value_blocks(cells, "y"), "zeros", "upto")
+    s = upto.agg(F.sum(F.col("ones") * (F.col("upto") - F.col("zeros"))).alias("concordant"), F.sum(F.col("ones") * F.col("upto")).alias("not_discordant"))
     tied = lambda c: cells.groupBy(c).agg(F.sum("n").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"ties_{c}"))
     n = cells.agg(F.sum("n").alias("n"))
-    out = s.join(F.broadcast(tied("x"))).join(F.broadcast(tied("y"))).join(F.broadcast(n))  # one row each
     pairs_n = F.col("n") * (F.col("n") - 1) / 2
-    return out.withColumn("tau", (F.col("concordant") - F.col("discordant")) / F.sqrt((pairs_n - F.col("ties_x")) * (pairs_n - F.col("ties_y"))))
+    out = s.join(F.broadcast(tied("x"))).join(F.broadcast(tied("y"))).join(F.broadcast(n))  # one row each
+    out = out.withColumn("discordant", pairs_n - F.col("ties_x") - F.col("not_discordant")).drop("not_discordant")
+    return out.withColumn("tau", (F.col("concordant") - F.col("discordant")) / F.sqrt(F.nullif((pairs_n - F.col("ties_x")) * (pairs_n - F.col("ties_y")), F.lit(0.0))))
 
 
 def slope_interaction(df: DataFrame, y: str, x: str, by: str) -> DataFrame:

@@ -35,4 +35,4 @@ def union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-from . import alleles, annotation, cohort, copynumber, frequencies, populations, regions, scores, sources, statistics  # noqa: E402, F401  (they register their queries)
+from . import alleles, annotation, cohort, copynumber, frequencies, populations, regions, scores, selections, sources, statistics  # noqa: E402, F401  (they register their queries)

@@ -87,6 +87,22 @@ def read_bedgraph(spark: SparkSession, path: str, strip_chr: bool = True) -> Dat
     return rows.select(contig.alias("contig"), part[1].cast("long").alias("start0"), part[2].cast("long").alias("end0"), part[3].cast("double").alias("score"))
 
 
+def read_sorted_union(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Per-sample interval files as one table (contig, start0, end0, sample) in the order of contig, start and end.
+
+    ``sample`` is the file's (or folder's) name without its endings. Ranges of (contig, start0, end0) are dealt to tasks
+    and sorted there, so no task merges all files; what is read back in partition order is in order.
+    """
+    part = F.split("value", "\t")
+    rows = spark.read.option("recursiveFileLookup", True).text(paths).select("value", F.col("_metadata.file_path").alias("__at"))
+    rows = rows.where(~F.col("value").rlike("^(#|track|browser)") & (F.length("value") > 0))
+    steps = F.split("__at", "/")
+    last = F.element_at(steps, -1)
+    name = F.substring_index(F.when(last.startswith("part-"), F.element_at(steps, -2)).otherwise(last), ".", 1)
+    out = rows.select(contig_name(part[0]).alias("contig"), part[1].cast("long").alias("start0"), part[2].cast("long").alias("end0"), name.alias("sample"))
+    return out.repartitionByRange("contig", "start0", "end0").sortWithinPartitions("contig", "start0", "end0", "sample")
+
+
 def read_sample_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("s")).where("s <> ''").distinct()
 
