@@ -1,8 +1,8 @@
 """Interval algebra over half-open (contig, start0, end0) rows.
 
 Overlaps are equi-joins on hierarchical bins: an interval lies in at most two bins of the smallest level that is
-as long as it, and is looked up at that level and all coarser ones, so a very long interval costs no more than a
-short one. Set operations are sweeps over the intervals' edges in two levels of windows.
+as long as it, and is looked up there by shorter ones only, so a very long interval costs no more than a
+short one and short ones never meet in coarse bins. Set operations are sweeps over the intervals' edges in two levels of windows.
 """
 
 from __future__ import annotations
@@ -27,23 +27,48 @@ def _level(start: Column, end: Column) -> Column:
     return out
 
 
-def _binned(df: DataFrame, prefix: str) -> DataFrame:
-    """A row for each bin of the interval's own level and of the coarser ones."""
+def _own(df: DataFrame) -> Column:
+    return _level(F.col("start0").cast("long"), F.col("end0").cast("long"))
+
+
+def _levels(df: DataFrame) -> list[int]:
+    """The levels that intervals of ``df`` have for their own: six at most."""
+    return sorted(r["own"] for r in df.where("start0 IS NOT NULL AND end0 IS NOT NULL").select(_own(df).alias("own")).distinct().collect())
+
+
+def _binned(df: DataFrame, prefix: str, wanted: Column) -> DataFrame:
+    """A row for each bin of the (level, role) pairs of ``wanted``, an expression of the interval's own level ``__own``."""
     start, end = F.col("start0").cast("long"), F.col("end0").cast("long")
-    last = F.greatest(end - 1, start)
-    levels = F.array(*[F.struct(F.lit(i).alias("at"), F.shiftright(start, p).alias("a"), F.shiftright(last, p).alias("b")) for i, p in enumerate(LEVELS)])
-    rows = df.withColumn("__own", _level(start, end)).withColumn("__l", F.explode(F.filter(levels, lambda x: x["at"] >= F.col("__own"))))
-    rows = rows.withColumn("__bin", F.explode(F.sequence(F.col("__l.a"), F.col("__l.b"))))
-    data = F.struct(*df.columns).alias(prefix)
-    return rows.select(F.col("contig").alias("__contig"), F.col("__l.at").alias("__at"), "__bin", F.col("__own").alias(f"__own_{prefix}"), F.col("__l.a").alias(f"__first_{prefix}"), data)
+    last, power = F.greatest(end - 1, start), F.element_at(F.array(*map(F.lit, LEVELS)), F.col("__l.at") + 1)
+    rows = df.withColumn("__own", _own(df)).withColumn("__l", F.explode(wanted))
+    rows = rows.withColumns({"__p": power, "__start": start, "__last": last})
+    rows = rows.withColumns({"__a": F.expr("shiftright(__start, __p)"), "__b": F.expr("shiftright(__last, __p)")})
+    rows = rows.withColumn("__bin", F.explode(F.sequence(F.col("__a"), F.col("__b"))))
+    return rows.select(F.col("contig").alias("__contig"), F.col("__l.at").alias("__at"), F.col("__l.role").alias("__role"), "__bin", F.col("__a").alias(f"__first_{prefix}"), F.struct(*df.columns).alias(prefix))
+
+
+def near(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of intervals that share a bin at the level of the longer one, where overlaps are looked for.
+
+    A pair meets at the level of its longer interval only: as role 0 where that is a's (or both have one level), else as
+    role 1. So short intervals never meet in the coarse bins that hold a whole contig's, and a level on which no
+    interval of the other side lies is left out. Neither side is broadcast: both grow with the tables.
+    """
+    in_a, in_b = _levels(a), _levels(b)
+    own = F.col("__own")
+    entry = lambda at, role: F.struct(at.alias("at"), F.lit(role).alias("role"))
+    at_levels = lambda levels, role, test: [F.when(test(i), entry(F.lit(i), role)) for i in levels]
+    longer = lambda least: F.when(own > least, entry(own, 1))
+    mine = F.array_compact(F.array(entry(own, 0), *at_levels(in_b, 1, lambda i: own < i)))
+    theirs = F.array_compact(F.array(longer(min(in_a, default=len(LEVELS))), *at_levels(in_a, 0, lambda i: own <= i)))
+    return _binned(a, "a", mine).join(_binned(b, "b", theirs).hint("merge"), ["__contig", "__at", "__role", "__bin"])
 
 
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a, b): structs of every overlapping pair, once. Empty intervals count as one base long at their start."""
-    pairs = _binned(a, "a").join(_binned(b, "b"), ["__contig", "__at", "__bin"])
-    once = (F.col("__at") == F.greatest("__own_a", "__own_b")) & (F.col("__bin") == F.greatest("__first_a", "__first_b"))
+    once = F.col("__bin") == F.greatest("__first_a", "__first_b")
     meet = (F.col("a.start0") < F.greatest(F.col("b.end0"), F.col("b.start0"))) & (F.col("b.start0") < F.greatest(F.col("a.end0"), F.col("a.start0")))
-    return pairs.where(once & meet).select("a", "b")
+    return near(a, b).where(once & meet).select("a", "b")
 
 
 def as_intervals(v: DataFrame) -> DataFrame:
@@ -60,7 +85,7 @@ def in_intervals(v: DataFrame, bed: DataFrame, key: str = "v") -> DataFrame:
 
 def contained_in(v: DataFrame, bed: DataFrame, key: str = "v") -> DataFrame:
     """Keys of variants whose reference allele lies wholly inside one merged interval."""
-    pairs = overlaps(as_intervals(v).select(key, "contig", "start0", "end0"), merge(bed))
+    pairs = overlaps(as_intervals(v).select(key, "contig", "start0", "end0"), keep(merge(bed)))
     return pairs.where("b.start0 <= a.start0 AND a.end0 <= b.end0").select(F.col(f"a.{key}").alias(key)).distinct()
 
 
