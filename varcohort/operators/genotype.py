@@ -158,7 +158,7 @@ def cohort_allele_counts(gt: DataFrame, s: DataFrame, v: DataFrame, controls: st
 def genotype_counts(gt: DataFrame, by: DataFrame, group: str, key: str = "v") -> DataFrame:
     """nRR, nRA, nAA and n_missing of each variant in each group and (null group) in all, by one pass of grouping sets."""
     g = F.col("gt")
-    rows = gt.join(by.select("s", group), "s")
+    rows = gt.join(by.select("s", group).hint("merge"), "s")  # samples grow with the cells
     sets = rows.groupingSets([[F.col(key), F.col(group)], [F.col(key)]], key, group)
     return sets.agg(F.count_if(g == 0).alias("n_rr"), F.count_if(g == 1).alias("n_ra"), F.count_if(g == 2).alias("n_aa"), F.count_if(g.isNull()).alias("n_missing"))
 
