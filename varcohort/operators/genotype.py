@@ -6,8 +6,11 @@ sample tables are dimension tables and joined by key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,11 +198,15 @@ def pair_sums(cells: DataFrame, values: list[str], forms: dict[str, list[tuple[i
     Cells are dealt into blocks of about ``sites`` sites and, once for each other block of samples, pairs of blocks of
     about ``people`` samples. A task multiplies matrices (sites x samples) or, where cells are few, looks at the pairs of cells
     only. What moves are cells times blocks of samples and a row a pair and block of sites, never a row for each
-    pair at each site.
+    pair at each site. Where the pairs of cells themselves are fewer than that, as with many samples of a few cells
+    each, sites bring their pairs together (``pairs_of_sites``), and what moves is their number.
     """
     g = cells.select(F.xxhash64(key).alias("__v"), "s", *values)
-    n = g.agg(F.approx_count_distinct("__v").alias("v"), F.approx_count_distinct("s").alias("s")).first()
+    n = g.agg(F.approx_count_distinct("__v").alias("v"), F.approx_count_distinct("s").alias("s"), F.count(F.lit(1)).alias("n")).first()
     n_sites, n_people = max(1, -(-n["v"] // sites)), max(1, -(-n["s"] // people))
+    meet = n["n"] * n["n"] // max(1, 2 * n["v"])
+    if meet < n["n"] * n_people + n["s"] * n["s"] // 2 * n_sites:
+        return pairs_of_sites(g, values, forms, of, itself, max(g.sparkSession.sparkContext.defaultParallelism, meet >> 20))
     rows = g.select("*", F.pmod("__v", F.lit(n_sites)).alias("block"), F.pmod(F.xxhash64("s"), F.lit(n_people)).cast("int").alias("own"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_people - 1))))
     rows = rows.select("__v", "s", *values, "own", "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -246,6 +253,73 @@ def pair_sums(cells: DataFrame, values: list[str], forms: dict[str, list[tuple[i
     return part.groupBy("s1", "s2").agg(*[F.sum(c).alias(c) for c in forms])
 
 
+def pairs_of_sites(g: DataFrame, values: list[str], forms: dict[str, list[tuple[int, int]]], of: str, itself: bool, parts: int, most: int = 2048, room: int = 1 << 22) -> DataFrame:
+    """As ``pair_sums``, of cells (__v, s, values): every site pairs its own cells.
+
+    A site of more than ``most`` cells is dealt as pairs of chunks, so that none is one task's work. A task sums the pairs
+    of many sites, about ``room`` at a time, and hands on a row a first sample, with its partners and their sums as
+    arrays; these meet in ``parts`` parts by the first sample.
+    """
+    kind = dict(g.dtypes)["s"]
+    small = "int" if of == "long" else of
+    chunks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("__v")) / most)
+    rows = g.withColumn("m", chunks).withColumn("own", F.when(F.col("m") > 1, F.pmod(F.xxhash64("s"), F.col("m"))).otherwise(0).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)))
+    rows = rows.select("__v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "s", *values)
+    rows = rows.repartition(parts, "__v", "i", "j").sortWithinPartitions("__v", "i", "j")
+
+    def summed(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        col = lambda c: t.column(c).to_numpy()
+        group = np.concatenate([[0], np.cumsum((np.diff(col("__v")) != 0) | (np.diff(col("i")) != 0) | (np.diff(col("j")) != 0))])
+        names, who = np.unique(t.column("s").to_pandas().to_numpy(), return_inverse=True)
+        cell = np.stack([*[col(v).astype(float) for v in values], np.ones(len(group))])
+        one, two = col("own") == col("i"), col("own") == col("j")
+        n = group[-1] + 1
+        in_one, in_two = np.bincount(group[one], minlength=n), np.bincount(group[two], minlength=n)
+        part = np.cumsum(in_one * in_two) // room
+        first = np.searchsorted(group, np.arange(n + 1))
+        for a in np.unique(part):
+            low, high = first[np.searchsorted(part, a)], first[np.searchsorted(part, a, "right")]
+            p1, p2 = low + np.flatnonzero(one[low:high]), low + np.flatnonzero(two[low:high])
+            each = in_two[group[p1]]
+            start = np.searchsorted(group[p2], group[p1])
+            p = np.repeat(p1, each)
+            q = p2[np.repeat(start - np.cumsum(each) + each, each) + np.arange(len(p))]
+            whole = np.repeat(two[p1], each)  # chunks paired with themselves meet both orders
+            keep = np.where(whole, who[p] < who[q], who[p] != who[q]) | (itself & (p == q))
+            p, q = p[keep], q[keep]
+            p, q = np.where(who[p] <= who[q], p, q), np.where(who[p] <= who[q], q, p)
+            pairs, at = np.unique(who[p] * len(names) + who[q], return_inverse=True)
+            if not len(pairs):
+                continue
+            sums = [np.bincount(at, weights=sum(cell[x][p] * cell[y][q] for x, y in form), minlength=len(pairs)) for form in forms.values()]
+            left, cut = np.unique(pairs // len(names), return_index=True)
+            ends = pa.array(np.append(cut, len(pairs)).astype(np.int32))
+            listed = lambda x, ends=ends: pa.ListArray.from_arrays(ends, pa.array(x))
+            of_type = (lambda x: np.rint(x).astype(np.int32)) if of == "long" else (lambda x: x)
+            yield pa.RecordBatch.from_arrays([pa.array(names[left]), listed(names[pairs % len(names)]), *[listed(of_type(x)) for x in sums]], names=["s1", "s2", *forms])
+
+    def whole_sites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= 1 << 16:
+                t = pa.Table.from_batches(held)
+                key = [t.column(c).to_numpy() for c in ("__v", "i", "j")]
+                other = np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]) | (key[2] != key[2][-1]))
+                done = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
+                if done:
+                    yield from summed(t.slice(0, done))
+                held = t.slice(done).combine_chunks().to_batches()
+        if sum(x.num_rows for x in held):
+            yield from summed(pa.Table.from_batches(held))
+
+    names = list(forms)
+    part = rows.mapInArrow(whole_sites, f"s1 {kind}, s2 array<{kind}>, " + ", ".join(f"{c} array<{small}>" for c in names)).repartition(parts, "s1")
+    flat = part.select("s1", F.inline(F.arrays_zip("s2", *names)))
+    return flat.groupBy("s1", "s2").agg(*[F.sum(c).alias(c) for c in names])
+
+
 def king_kinship(gt: DataFrame, key: str = "v", sites: int = 4096, people: int = 512) -> DataFrame:
     """KING-robust kinship of every pair of samples that share called sites: counts of genotype pairs, by blocks."""
     cells = gt.where("gt IS NOT NULL").select(key, "s", *[(F.col("gt") == i).cast("int").alias(f"g{i}") for i in range(3)])
