@@ -342,20 +342,29 @@ def related_to_drop(pairs: DataFrame, s: DataFrame, least_sites: int = 1) -> Dat
     return rows.select(F.explode(F.when(both, F.array("s1", "s2")).otherwise(F.array(F.greatest("s1", "s2")))).alias("s")).distinct()
 
 
-def ld_r2(gt: DataFrame, v: DataFrame, window: int, key: str = "v", parts: int = 1, people: int = 1024, strip: int = 512, least: int = 1 << 16) -> DataFrame:
+def ld_blocks(n_cells: int, n_sites: int, bases: int, people: int, fill: int) -> tuple[int, int]:
+    """(bases of a bin of about ``fill`` cells, blocks of samples of about ``people`` cells of a variant): neither grows with the number of samples."""
+    return min(max(1 << 12, bases * fill // max(1, n_cells)), 1 << 26), max(1, -(-n_cells // max(1, n_sites * people)))
+
+
+def ld_r2(gt: DataFrame, v: DataFrame, window: int, key: str = "v", parts: int = 1, people: int = 1024, strip: int = 512, least: int | None = None, fill: int = 1 << 15) -> DataFrame:
     """Squared correlation of dosages for pairs of variants at most ``window`` bases apart on one contig.
 
-    Variants lie in bins of a ``parts``-th of the window, or of ``least`` bases where that is more, and samples in blocks of
-    about ``people``. A task has two bins that may hold a pair and one block of samples, as matrices of dosages and of
+    Variants lie in bins of a ``parts``-th of the window, or of ``least`` bases where that is more (without it, so many
+    that a bin has about ``fill`` cells), and samples in blocks: as many as ``people`` goes into a variant's mean number of cells, so
+    that few cells are not dealt out to very many tasks. A task has two bins that may hold a pair and one block of samples, as matrices of dosages and of
     calls whose products are the sums of its pairs, ``strip`` variants at a time; where cells are few it meets pairs of
     cells instead. What moves are cells,
     once for every bin that they may pair with, and a row a pair and block of samples, never a row for each pair and sample.
     """
-    width = max(-(-window // parts), least)
-    parts = -(-window // width)
     calls = gt.where("gt IS NOT NULL").select(key, "s", F.col("gt").cast("long").alias("gt"))
-    n_people = calls.agg(F.approx_count_distinct("s").alias("n")).first()["n"]
-    cells = calls.join(v.select(key, "contig", F.col("pos").cast("long").alias("pos")), key).withColumn("block", F.pmod(F.xxhash64("s"), F.lit(max(1, -(-n_people // people)))))
+    n_cells = calls.count()
+    spans = v.groupBy("contig").agg(F.count(F.lit(1)).alias("n"), (F.max("pos") - F.min("pos") + 1).cast("long").alias("bases")).agg(F.sum("n").alias("n"), F.sum("bases").alias("bases")).first()  # one row
+    filled, n_blocks = ld_blocks(n_cells, spans["n"] or 0, spans["bases"] or 0, people, fill)
+    width = max(-(-window // parts), least or filled)
+    parts = -(-window // width)
+    at_site = v.select(key, "contig", F.col("pos").cast("long").alias("pos")).hint("merge")  # sites grow with the cells
+    cells = calls.join(at_site, key).withColumn("block", F.pmod(F.xxhash64("s"), F.lit(n_blocks)))
     roles = [(0, d, 0) for d in range(parts + 1)] + [(-d, d, 1) for d in range(1, parts + 1)]
     at = F.floor(F.col("pos") / width)
     dealt = cells.withColumn("__r", F.explode(F.array(*[F.struct((at + i).alias("bin"), F.lit(d).alias("apart"), F.lit(side).alias("side")) for i, d, side in roles])))
