@@ -114,63 +114,104 @@ def pairs(most: int, least: int = 0) -> list[tuple[int, int]]:
     return [(k1, k2) for k2 in range(least, most + 1) for k1 in range(k2, most + 1)]
 
 
-def log_likelihoods(d1: np.ndarray, d2: np.ndarray, mu: np.ndarray, points: list[tuple[float, float]], copies: list[tuple[int, int]]) -> np.ndarray:
-    """(points x copies), summed over loci: reads of both alleles, whichever is which, where a share f of cells has k1 and k2 copies.
+def window_likelihoods(d1: np.ndarray, d2: np.ndarray, mu: np.ndarray, starts: np.ndarray, points: list[tuple[float, float]], copies: list[tuple[int, int]]) -> np.ndarray:
+    """(windows x points x copies), summed over each window's loci: reads of both alleles, whichever is which, where a share f of cells has k1 and k2 copies.
 
-    A point is (f, isize): Poisson, or negative binomial of size 1 / (2 isize) an allele where ``isize`` > 0. What
-    doesn't depend on the copies is summed once.
+    Windows begin at ``starts``. A point is (f, isize): Poisson, or negative binomial of size 1 / (2 isize) an allele where
+    ``isize`` > 0. Poisson likelihoods need a window's sums and how often each difference of reads occurs, and are one product of matrices.
     """
-    out, own = np.zeros((len(points), len(copies))), {}
-    for i, (f, isize) in enumerate(points):
-        if isize not in own:
-            if isize <= 0:
-                own[isize] = ((d1 + d2) * np.log(mu) - log_gamma(d1 + 1.0) - log_gamma(d2 + 1.0)).sum()
-            else:
-                size = 0.5 / isize
-                own[isize] = (log_gamma(d1 + size) + log_gamma(d2 + size) - log_gamma(d1 + 1.0) - log_gamma(d2 + 1.0)).sum() - 2 * len(mu) * float(log_gamma(np.array([size]))[0])
-        for j, (k1, k2) in enumerate(copies):
-            a, b = ((k * f + 1 - f) / 2 for k in (k1, k2))
-            if isize <= 0:
-                one, two, rest = d1 * np.log(a) + d2 * np.log(b), d1 * np.log(b) + d2 * np.log(a), -(a + b) * mu.sum()
-            else:
-                size = 0.5 / isize
-                pa, pb = np.log(a * mu / (size + a * mu)), np.log(b * mu / (size + b * mu))
-                one, two, rest = d1 * pa + d2 * pb, d1 * pb + d2 * pa, size * (np.log(size / (size + a * mu)) + np.log(size / (size + b * mu))).sum()
-            out[i, j] = own[isize] + rest + (np.logaddexp(one, two) - np.log(2)).sum()
+    out, own = np.zeros((len(starts), len(points), len(copies))), {}
+    total = lambda x: np.add.reduceat(x, starts)
+    sizes = np.diff(np.append(starts, len(mu)))
+    f, isize, (k1, k2) = np.array([p[0] for p in points])[:, None], np.array([p[1] for p in points]), np.array(copies).T
+    plain = np.flatnonzero(isize <= 0)
+    if len(plain):
+        a, b = ((k * f[plain] + 1 - f[plain]) / 2 for k in (k1, k2))
+        apart, at = np.unique(np.abs(d1 - d2), return_inverse=True)
+        n = np.bincount(np.repeat(np.arange(len(starts)), sizes) * len(apart) + at, minlength=len(starts) * len(apart)).reshape(len(starts), -1)
+        far = np.abs(np.log(a) - np.log(b)).ravel()[:, None] * apart
+        mixed = (n @ (far / 2 + np.log1p(np.exp(-far))).T).reshape(len(starts), *a.shape)
+        known = total((d1 + d2) * np.log(mu) - log_gamma(d1 + 1.0) - log_gamma(d2 + 1.0)) - sizes * np.log(2)
+        out[:, plain] = mixed + known[:, None, None] + total(d1 + d2)[:, None, None] * (np.log(a) + np.log(b)) / 2 - total(mu)[:, None, None] * (a + b)
+    for i in np.flatnonzero(isize > 0):
+        size = 0.5 / isize[i]
+        if isize[i] not in own:
+            own[isize[i]] = total(log_gamma(d1 + size) + log_gamma(d2 + size) - log_gamma(d1 + 1.0) - log_gamma(d2 + 1.0)) - 2 * sizes * float(log_gamma(np.array([size]))[0])
+        for j, ks in enumerate(copies):
+            a, b = ((k * f[i, 0] + 1 - f[i, 0]) / 2 for k in ks)
+            pa, pb = np.log(a * mu / (size + a * mu)), np.log(b * mu / (size + b * mu))
+            rest = size * (np.log(size / (size + a * mu)) + np.log(size / (size + b * mu)))
+            out[:, i, j] = own[isize[i]] + total(rest + np.logaddexp(d1 * pa + d2 * pb, d1 * pb + d2 * pa) - np.log(2))
     return out
 
 
 def log_likelihood(d1: np.ndarray, d2: np.ndarray, mu: np.ndarray, k1: int, k2: int, f: float, isize: float) -> float:
-    return float(log_likelihoods(d1, d2, mu, [(f, isize)], [(k1, k2)])[0, 0])
+    return float(window_likelihoods(d1, d2, mu, np.array([0]), [(f, isize)], [(k1, k2)])[0, 0, 0])
 
 
-def chunks(rows: DataFrame, sample: str, size: int = 4096) -> DataFrame:
-    """Loci of a merged window (``first``) as arrays, at most about ``size`` together."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(sample, "contig", "first"))
-    dealt = rows.withColumn("__c", F.pmod(F.xxhash64("pos"), F.ceil(n / size)))
-    return dealt.groupBy(sample, "contig", "first", "__c").agg(F.collect_list((F.col("dp") - F.col("ad")).cast("double")).alias("d1"), F.collect_list(F.col("ad").cast("double")).alias("d2"), F.collect_list("lambda").alias("mu"))
+def chunks(rows: DataFrame, sample: str, tasks: int, size: int = 4096) -> DataFrame:
+    """(sample, part, window array of (contig, first, start), d1, d2, mu): loci of a sample's merged windows (``first``) as arrays, window by window, in parts of about ``size``; a window lies in one part."""
+    windows = rows.groupBy(sample, "contig", "first").agg(F.collect_list(F.struct((F.col("dp") - F.col("ad")).cast("double").alias("d1"), F.col("ad").cast("double").alias("d2"), F.col("lambda").cast("double").alias("mu"))).alias("x"), F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.sum("n").over(Window.partitionBy(sample)) / size)
+    dealt = windows.withColumn("part", F.pmod(F.xxhash64("contig", "first"), parts)).groupBy(sample, "part").agg(F.array_sort(F.collect_list(F.struct("contig", "first", "n", "x"))).alias("w"))
+    flat = dealt.select(sample, "part", "w", F.flatten("w.x").alias("x"))
+    start = lambda i: F.aggregate(F.slice("w.n", F.lit(1), i), F.lit(0).cast("long"), lambda a, n: a + n)
+    window = F.transform("w", lambda w, i: F.struct(w["contig"].alias("contig"), w["first"].alias("first"), start(i).alias("start")))
+    return flat.select(sample, "part", window.alias("window"), "x.d1", "x.d2", "x.mu").repartition(tasks, sample)
 
 
-def evaluate(loci: DataFrame, candidates: DataFrame, sample: str) -> DataFrame:
-    """(sample, maxk, contig, first, at, f, isize, state, ll) of each window's likeliest copies, for each candidate of its sample.
+LIST = "maxk array<int>, mink array<int>, size array<int>, f array<double>, isize array<double>"
 
-    ``candidates`` is (sample, maxk, mink, at array of (f, isize)), a short list for each sample.
-    """
 
-    @F.pandas_udf("array<double>")
-    def values(d1: pd.Series, d2: pd.Series, mu: pd.Series, most: pd.Series, least: pd.Series, at: pd.Series) -> pd.Series:
-        out = [log_likelihoods(np.asarray(a), np.asarray(b), np.asarray(m), [(p["f"], p["isize"]) for p in points], pairs(int(k), int(j))).ravel() for a, b, m, k, j, points in zip(d1, d2, mu, most, least, at)]
-        return pd.Series(out, dtype=object)
+def models_of(maxk, mink, size, f, isize) -> list[tuple[int, int, list[tuple[float, float]]]]:
+    """(most copies, least, points) of the models in a sample's lists."""
+    ends = np.cumsum(size)
+    return [(int(k), int(j), list(zip(f[e - n : e].tolist(), isize[e - n : e].tolist()))) for k, j, n, e in zip(maxk, mink, size, ends)]
+
+
+def listed(models: list[tuple[int, int, list[tuple[float, float]]]]) -> tuple:
+    points = [p for _, _, own in models for p in own]
+    return [m[0] for m in models], [m[1] for m in models], [len(m[2]) for m in models], [float(p[0]) for p in points], [float(p[1]) for p in points]
 
-    states = (F.col("maxk") - F.col("mink") + 1) * (F.col("maxk") - F.col("mink") + 2) / 2
-    rows = loci.join(candidates, sample).withColumn("__v", values("d1", "d2", "mu", "maxk", "mink", "at"))
-    flat = rows.select(sample, "maxk", "mink", "contig", "first", "at", F.posexplode("__v").alias("__i", "__ll"))
-    summed = flat.groupBy(sample, "maxk", "mink", "contig", "first", "__i").agg(F.sum("__ll").alias("ll"), F.first("at").alias("at"))
-    point = F.floor(F.col("__i") / states).cast("int")
-    told = summed.withColumn("__p", point).withColumn("state", (F.col("__i") - F.col("__p") * states).cast("int"))
-    return told.groupBy(sample, "maxk", "mink", "contig", "first", F.col("__p").alias("point")).agg(F.max_by(F.struct("state", "ll"), F.struct(F.round("ll", 9), -F.col("state"))).alias("__b"), F.first(F.col("at")[F.col("__p")]).alias("__a")).select(
-        sample, "maxk", "mink", "contig", "first", "point", F.col("__a.f").alias("f"), F.col("__a.isize").alias("isize"), F.col("__b.state").alias("state"), F.col("__b.ll").alias("ll")
-    )
+
+def states(values: np.ndarray) -> np.ndarray:
+    """The likeliest copies of each window at each point, the first of equal ones."""
+    return np.round(values, 9).argmax(-1)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def best_sums(d1: pd.Series, d2: pd.Series, mu: pd.Series, starts: pd.Series, maxk: pd.Series, mink: pd.Series, size: pd.Series, f: pd.Series, isize: pd.Series) -> pd.Series:
+    """Log likelihood at each of a sample's candidates, summed over windows, each with its likeliest copies."""
+    out = []
+    for a, b, m, at, *lists in zip(d1, d2, mu, starts, maxk, mink, size, f, isize):
+        sums = []
+        for k, j, points in models_of(*lists):
+            values = window_likelihoods(a, b, m, np.asarray(at), points, pairs(k, j))
+            sums.append(np.take_along_axis(values, states(values)[..., None], -1).sum((0, 2)))
+        out.append(np.concatenate(sums))
+    return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(T.StructType([T.StructField("state", T.ArrayType(T.IntegerType())), T.StructField("ll", T.ArrayType(T.DoubleType()))]))
+def best_states(d1: pd.Series, d2: pd.Series, mu: pd.Series, starts: pd.Series, maxk: pd.Series, mink: pd.Series, f: pd.Series, isize: pd.Series) -> pd.DataFrame:
+    """Each window's likeliest copies, and their log likelihood, in a sample's chosen model."""
+    out = []
+    for a, b, m, at, k, j, share, disp in zip(d1, d2, mu, starts, maxk, mink, f, isize):
+        values = window_likelihoods(a, b, m, np.asarray(at), [(share, disp)], pairs(int(k), int(j)))
+        best = states(values)
+        out.append((best[:, 0].astype(np.int32), np.take_along_axis(values, best[..., None], -1)[:, 0, 0]))
+    return pd.DataFrame(out, columns=["state", "ll"])
+
+
+def evaluate(loci: DataFrame, candidates: DataFrame, sample: str) -> DataFrame:
+    """(sample, lists of candidates, ll array of arrays): a sample's candidates and the sums of each of its parts.
+
+    ``candidates`` is a row a sample, with the models and points to try as short lists (``LIST``).
+    """
+    names = [c.split()[0] for c in LIST.split(", ")]
+    rows = loci.join(candidates.hint("merge"), sample).select(sample, "part", *names, best_sums("d1", "d2", "mu", "window.start", *names).alias("ll"))
+    out = rows.groupBy(sample).agg(*[F.first(c).alias(c) for c in names], F.array_sort(F.collect_list(F.struct("part", "ll"))).alias("__p"))
+    return out.select(sample, *names, F.col("__p.ll").alias("ll"))
 
 
 def first_shares(maxk: int) -> list[float]:
@@ -179,21 +220,24 @@ def first_shares(maxk: int) -> list[float]:
     return (np.linspace(0.99**-power, 0.05**-power, maxk * 10)[::-1] ** (-1 / power)).tolist()
 
 
-def narrowed(fits: pd.DataFrame, family: str, width: int = 6) -> list[tuple[float, float]]:
-    """Candidates between the neighbours of every local maximum of a sample's summed likelihoods (f, isize, low, high, ll)."""
-    fits = fits.sort_values(["f", "isize"]).reset_index(drop=True)
-    best = fits.loc[fits.groupby("f")["ll"].idxmax()].reset_index(drop=True)
-    ll, out = best["ll"].to_numpy(), []
-    for i in np.flatnonzero((ll > np.r_[-np.inf, ll[:-1]]) & (ll >= np.r_[ll[1:], -np.inf])):
-        low, high = best["f"][max(i - 1, 0)], best["f"][min(i + 1, len(best) - 1)]
-        shares = sorted({*np.linspace(low, high, width + 1).tolist(), float(best["f"][i])})
+def narrowed(f: np.ndarray, isize: np.ndarray, ll: np.ndarray, family: str, width: int = 6) -> list[tuple[float, float]]:
+    """Candidates between the neighbours of every local maximum of a sample's summed likelihoods."""
+    order = np.lexsort((isize, f))
+    f, isize, ll = f[order], isize[order], ll[order]
+    starts = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
+    ends = np.r_[starts[1:], len(f)]
+    at = np.array([a + ll[a:b].argmax() for a, b in zip(starts, ends)])
+    top, out = ll[at], []
+    for i in np.flatnonzero((top > np.r_[-np.inf, top[:-1]]) & (top >= np.r_[top[1:], -np.inf])):
+        low, high = f[at[max(i - 1, 0)]], f[at[min(i + 1, len(at) - 1)]]
+        shares = sorted({*np.linspace(low, high, width + 1).tolist(), float(f[at[i]])})
         if family == "poisson":
             sizes = [0.0]
         else:
-            own = sorted(set(fits.loc[fits["f"] == best["f"][i], "isize"]))
-            j = own.index(best["isize"][i])
+            own = sorted(set(isize[starts[i] : ends[i]].tolist()))
+            j = own.index(isize[at[i]])
             sizes = [1 / 1000, 1 / 500, 1 / 100, 1 / 20, 1 / 4, 1.0] if own == [0.0] else sorted({*np.geomspace(own[max(j - 1, 0)], own[min(j + 1, len(own) - 1)], 4).tolist(), own[j]})
-        out += [(f, s) for f in shares for s in sizes]
+        out += [(x, y) for x in shares for y in sizes]
     return sorted(set(out))
 
 
@@ -204,57 +248,74 @@ def fit_windows(rows: DataFrame, sample: str = "s", max_copies: int = 2, family:
     share with the greatest likelihood is looked for on a list, then ``rounds`` times on finer ones between the
     neighbours of every local maximum, with the dispersion beside it for the negative binomial (``nb``); of maxima within
     one unit of likelihood the largest share is taken. The model has the least BIC, one copy of each allele among them.
+
+    In a round a sample's lists meet its loci, and what moves is a number a candidate; the number of tasks follows the loci.
     """
-    loci = keep(chunks(rows, sample))
-    spark, kind = rows.sparkSession, dict(rows.dtypes)[sample]
-    names = loci.select(sample).distinct()
-    grid = spark.createDataFrame([(k, 0, [(f, 0.0) for f in first_shares(k)]) for k in range(1, max_copies + 1)], "maxk int, mink int, at array<struct<f double, isize double>>")
+    n = keep(rows.groupBy(sample).agg(F.count(F.lit(1)).alias("__n")))
+    tasks = max(2 * rows.sparkSession.sparkContext.defaultParallelism, (n.agg(F.sum("__n")).first()[0] or 0) >> 14)
+    loci = keep(chunks(rows, sample, tasks))
     sizes = [0.0] if family == "poisson" else [1 / 1000, 1 / 500, 1 / 100, 1 / 20, 1 / 4, 1.0]
-    null = spark.createDataFrame([(1, 1, [(0.0, s) for s in sizes])], grid.schema)
-    every = grid.union(null).agg(F.collect_list(F.struct("*")).alias("__all"))
-    candidates = names.join(F.broadcast(every)).select(sample, F.inline("__all"))  # one row
-    found, schema = None, f"{sample} {kind}, maxk int, mink int, at array<struct<f double, isize double>>"
-
-    def narrow(keys: tuple, fits: pd.DataFrame) -> pd.DataFrame:
-        k, least = int(keys[1]), int(keys[2])
-        if least == 1:  # one copy of each: only the dispersion is looked for
-            own = fits.sort_values("isize").reset_index(drop=True)
-            i = int(own["ll"].idxmax())
-            low, high = own["isize"][max(i - 1, 0)], own["isize"][min(i + 1, len(own) - 1)]
-            points = [(0.0, 0.0)] if family == "poisson" else [(0.0, s) for s in sorted({*np.geomspace(low, high, 6).tolist(), own["isize"][i]})]
-        else:
-            points = narrowed(fits, family)
-        return pd.DataFrame({sample: [keys[0]], "maxk": [k], "mink": [least], "at": [[{"f": float(f), "isize": float(s)} for f, s in points]]})
-
-    for step in range(rounds + 1):
-        sums = keep(evaluate(loci, candidates, sample).groupBy(sample, "maxk", "mink", "f", "isize").agg(F.sum("ll").alias("ll")))
-        found = sums  # the last, finest list holds its own best point of every maximum
-        if step < rounds:
-            candidates = keep(sums.groupBy(sample, "maxk", "mink").applyInPandas(narrow, schema))
-    n = rows.groupBy(sample).agg(F.count(F.lit(1)).alias("__n"))
-    top = F.max("ll").over(Window.partitionBy(sample, "maxk", "mink"))
-    near = found.withColumn("__top", top).where("__top - ll < 1")
-    # of the points near the best, the maximum with the largest share: the best point of the shares that lie together
-    chosen = near.groupBy(sample, "maxk", "mink").applyInPandas(lambda keys, p: largest_share(keys, p, sample), f"{sample} {kind}, maxk int, mink int, f double, isize double, ll double")
+    first = listed([(k, 0, [(f, 0.0) for f in first_shares(k)]) for k in range(1, max_copies + 1)] + [(1, 1, [(0.0, s) for s in sizes])])
+    names = [c.split()[0] for c in LIST.split(", ")]
+    candidates = n.select(sample, *[F.array(*map(F.lit, x)).alias(c) for c, x in zip(names, first)])
+
+    @F.pandas_udf(LIST)
+    def narrow(maxk: pd.Series, mink: pd.Series, size: pd.Series, f: pd.Series, isize: pd.Series, ll: pd.Series) -> pd.DataFrame:
+        out = []
+        for *lists, parts in zip(maxk, mink, size, f, isize, ll):
+            total, at, finer = np.sum(np.stack(parts), axis=0), 0, []
+            for k, least, points in models_of(*lists):
+                own, sums = np.array(points), total[at : at + len(points)]
+                at += len(points)
+                if least < 1:
+                    finer.append((k, least, narrowed(own[:, 0], own[:, 1], sums, family)))
+                elif family == "poisson":  # one copy of each: only the dispersion is looked for
+                    finer.append((k, least, [(0.0, 0.0)]))
+                else:
+                    order = np.argsort(own[:, 1], kind="stable")
+                    tried, i = own[order, 1], int(sums[order].argmax())
+                    low, high = tried[max(i - 1, 0)], tried[min(i + 1, len(tried) - 1)]
+                    finer.append((k, least, [(0.0, s) for s in sorted({*np.geomspace(low, high, 6).tolist(), float(tried[i])})]))
+            out.append(listed(finer))
+        return pd.DataFrame(out, columns=names)
+
+    @F.pandas_udf("array<struct<maxk int, mink int, f double, isize double, ll double>>")
+    def choose(maxk: pd.Series, mink: pd.Series, size: pd.Series, f: pd.Series, isize: pd.Series, ll: pd.Series) -> pd.Series:
+        out = []
+        for *lists, parts in zip(maxk, mink, size, f, isize, ll):
+            total, at, found = np.sum(np.stack(parts), axis=0), 0, []
+            for k, least, points in models_of(*lists):
+                found.append({"maxk": k, "mink": least, **largest_share(np.array(points), total[at : at + len(points)])})
+                at += len(points)
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
+    for _ in range(rounds):
+        tried = evaluate(loci, candidates, sample)
+        candidates = keep(tried.select(sample, narrow(*names, "ll").alias("x")).select(sample, "x.*"))
+    # the last, finest list holds its own best point of every maximum
+    chosen = evaluate(loci, candidates, sample).select(sample, F.inline(choose(*names, "ll")))
     free = F.when(F.col("mink") == 1, 0 if family == "poisson" else 1).otherwise(F.ceil(F.log2((F.col("maxk") + 1) * (F.col("maxk") + 2) / 2)) + (1 if family == "poisson" else 2)).cast("int")
     models = chosen.join(n, sample).withColumn("p", free).withColumn("bic", -2 * F.col("ll") + F.log("__n") * F.col("p")).drop("__n")
     order = Window.partitionBy(sample).orderBy("bic", "maxk", F.desc("mink"))
     models = keep(models.withColumn("best", F.row_number().over(order) == 1))
-    final = models.where("best").select(sample, "maxk", "mink", F.array(F.struct("f", "isize")).alias("at"))
-    told = evaluate(loci, final, sample)
+    final = models.where("best").select(sample, "maxk", "mink", "f", "isize")
+    told = loci.join(final.hint("merge"), sample).withColumn("__b", best_states("d1", "d2", "mu", "window.start", "maxk", "mink", "f", "isize"))
+    told = told.select(sample, "maxk", "mink", "f", "isize", F.inline(F.arrays_zip("window", F.col("__b.state").alias("state"), F.col("__b.ll").alias("ll"))))
     table = {(k, j): pairs(k, j) for k, j in [(1, 1)] + [(k, 0) for k in range(1, max_copies + 1)]}
     copies = F.create_map(*[x for (k, j), p in table.items() for x in (F.lit(f"{k}:{j}"), F.array(*[F.struct(F.lit(a).alias("k1"), F.lit(b).alias("k2")) for a, b in p]))])
     k = copies[F.concat_ws(":", "maxk", "mink")][F.col("state")]
-    return models, told.select(sample, "contig", "first", k["k1"].alias("k1"), k["k2"].alias("k2"), "f", "isize", "ll")
+    return models, told.select(sample, "window.contig", "window.first", k["k1"].alias("k1"), k["k2"].alias("k2"), "f", "isize", "ll")
 
 
-def largest_share(keys: tuple, points: pd.DataFrame, sample: str) -> pd.DataFrame:
+def largest_share(points: np.ndarray, ll: np.ndarray) -> dict:
     """Of a list's points near the best, those around one maximum differ by little: the best of the group with the largest share."""
-    points = points.sort_values("f").reset_index(drop=True)
-    group = (points["f"].diff() > 0.02).cumsum()
-    last = points[group == group.max()]
-    row = last.loc[last["ll"].idxmax()]
-    return pd.DataFrame({sample: [keys[0]], "maxk": [int(keys[1])], "mink": [int(keys[2])], "f": [row["f"]], "isize": [row["isize"]], "ll": [row["ll"]]})
+    near = np.flatnonzero(ll.max() - ll < 1)
+    near = near[np.argsort(points[near, 0], kind="stable")]
+    group = np.cumsum(np.diff(points[near, 0], prepend=points[near[0], 0]) > 0.02)
+    last = near[group == group[-1]]
+    at = last[ll[last].argmax()]
+    return {"f": float(points[at, 0]), "isize": float(points[at, 1]), "ll": float(ll[at])}
 
 
 def segment_copy_number(trace: DataFrame, sample: str = "s", size: int = 100, alpha: float = 0.01, max_copies: int = 2, family: str = "poisson", rounds: int = 4) -> tuple[DataFrame, DataFrame]:
