@@ -41,10 +41,17 @@ def boot_scores(counts: DataFrame, models: DataFrame, reps: int, seed: int, key:
 
     ``counts`` is (v, cohort, n_rr, n_ra, n_aa), ``models`` (id, v, aaf, coef). A variant that a cohort lacks, or has no
     call of, counts with the model's frequency in every replicate, and a row without coefficient or frequency adds nothing; a cohort without any variant of a model has no row.
+
+    Variants of one model, cohort and coefficient whose counts are the same are drawn together: the sum of m draws with
+    the same shares is a draw of m times as many people. So draws grow as the distinct counts, not as the variants.
     """
     known = counts.where("n_rr + n_ra + n_aa > 0").select(key, "cohort", "n_rr", "n_ra", "n_aa")
-    rows = models.dropna(subset=["coef", "aaf"]).join(known, key).select("id", "cohort", "coef", "aaf", "n_rr", "n_ra", "n_aa", F.pmod(F.xxhash64(F.lit(seed), key, "cohort"), F.lit(1 << 62)).alias("__seed"))
+    same = ["id", "cohort", "coef", "n_rr", "n_ra", "n_aa"]
+    rows = models.dropna(subset=["coef", "aaf"]).join(known, key).groupBy(*same).agg(F.count(F.lit(1)).alias("__m"), F.sum("aaf").alias("__aaf"))
     types = dict(rows.dtypes)
+    rows = keep(rows.select("id", "cohort", "coef", "__aaf", "n_rr", "n_ra", "n_aa", "__m", F.pmod(F.xxhash64(F.lit(seed), *same), F.lit(1 << 62)).alias("__seed")))
+    # a number of tasks of its own: a row is some thousand draws, so its bytes don't tell how to split the work
+    rows = rows.repartition(min(max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() >> 11), 10_000))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, np.ndarray] = {}
@@ -55,8 +62,8 @@ def boot_scores(counts: DataFrame, models: DataFrame, reps: int, seed: int, key:
             return out
 
         for b in batches:
-            for who, cohort, coef, aaf, rr, ra, aa, s in b.itertuples(index=False):
-                n = np.random.default_rng(s).multinomial(rr + ra + aa, np.array([rr, ra, aa]) / (rr + ra + aa), size=reps)
+            for who, cohort, coef, aaf, rr, ra, aa, m, s in b.itertuples(index=False):
+                n = np.random.default_rng(s).multinomial(m * (rr + ra + aa), np.array([rr, ra, aa]) / (rr + ra + aa), size=reps)
                 shift = coef * ((n[:, 1] + 2 * n[:, 2]) / (rr + ra + aa) - 2 * aaf)
                 at = held.get((who, cohort))
                 if at is None:
