@@ -114,7 +114,12 @@ def normalised_differences(af: DataFrame, target: str, sources: list[str], key:
     return known.select(key, *[((F.col(target) - F.col(s)) / F.sqrt(F.col(s) * (1 - F.col(s)))).alias(f"d_{s}") for s in sources])
 
 
-def drift_scores(af: DataFrame, diffs: DataFrame, models: DataFrame, sources: list[str], reps: int, seed: int, key: str = "v", rows: int = 4096, drawn: int = 1 << 16, strip: int = 256) -> DataFrame:
+def block_numbers(n_rows: int, n_drawn: int, rows: int, drawn: int, least: int) -> tuple[int, int]:
+    """Blocks of model rows and of differences."""
+    return max(1, -(-n_rows // rows), min(least, n_rows >> 10)), max(1, -(-n_drawn // drawn))
+
+
+def drift_scores(af: DataFrame, diffs: DataFrame, models: DataFrame, sources: list[str], reps: int, seed: int, key: str = "v", rows: int = 1 << 18, drawn: int = 1 << 22, strip: int = 256, least: int = 32) -> DataFrame:
     """(id, source, rep, score) of frequencies that drifted from each source: f + d sqrt(f (1 - f)), clipped to [0, 1].
 
     d is drawn from ``diffs`` (key, d_<source>) with replacement; in one replicate all sources use the same drawn locus of
@@ -122,15 +127,17 @@ def drift_scores(af: DataFrame, diffs: DataFrame, models: DataFrame, sources: li
     source lacks take no part, nor do rows of models with a null. A score is twice the sum of coefficient times frequency, divided by the number of
     coefficients that aren't zero (null if there are none).
 
-    Model rows lie in blocks of about ``rows`` and differences in blocks of about ``drawn``. Every pair of blocks is a task,
-    which looks up those draws that fall into its differences, ``strip`` replicates at a time; what it holds grows with
-    neither table. Without any differences the result is empty.
+    Model rows lie in blocks of about ``rows`` (and in ``least`` blocks, if there are a thousand for each) and differences
+    in blocks of about ``drawn``. Every pair of blocks is a task, which looks up those draws that fall into its
+    differences, ``strip`` replicates at a time or fewer, so that it holds about a million draws. A block of differences
+    holds millions of them, so that up to there each draw is made once; beyond, a task makes all draws of its
+    rows, but looks up its own only. Without any differences the result is empty.
     """
     known = af.select(key, *sources).dropna()
     m = models.select("id", key, "coef").dropna().join(known, key)
     d = diffs.select(key, *[f"d_{s}" for s in sources]).dropna()
     n_rows, n_drawn = m.count(), d.count()
-    n_m, n_d = max(1, -(-n_rows // rows)), max(1, -(-n_drawn // drawn))
+    n_m, n_d = block_numbers(n_rows, n_drawn, rows, drawn, least)
     hashed = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
     d = d.select(F.xxhash64(key).alias("__k"), *[f"d_{s}" for s in sources], hashed(n_d, F.lit(seed), key).alias("part"))
     sizes = {r["part"]: r["count"] for r in d.groupBy("part").count().collect()}  # a row a block
@@ -148,16 +155,27 @@ def drift_scores(af: DataFrame, diffs: DataFrame, models: DataFrame, sources: li
         a, b = a.sort_values("id", kind="stable"), b.sort_values(["__k", *[f"d_{s}" for s in sources]])
         ids = a["id"].to_numpy()
         starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        coef, h, first = a["coef"].to_numpy(float)[:, None], a["__h"].to_numpy(), ends[keys[1]] - len(b)
+        coef, h, first = 2 * a["coef"].to_numpy(float), a["__h"].to_numpy(), ends[keys[1]] - len(b)
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(a))))
         sums = {s: np.zeros((len(starts), reps)) for s in sources}
-        for r in range(0, reps, strip):
-            at = np.floor(uniforms(h, np.arange(r, min(r + strip, reps))) * ends[-1]).astype(np.int64) - first
-            mine = (at >= 0) & (at < len(b))
-            at = np.where(mine, at, 0)
-            for s in sources:
-                f = a[s].to_numpy(float)[:, None]
-                x = np.clip(f + b[f"d_{s}"].to_numpy()[at] * np.sqrt(f * (1 - f)), 0, 1)
-                sums[s][:, r : r + strip] = np.add.reduceat(np.where(mine, 2 * coef * x, 0.0), starts, axis=0)
+        sides = {s: (f, np.sqrt(f * (1 - f)), b[f"d_{s}"].to_numpy()) for s in sources for f in [a[s].to_numpy(float)]}
+        wide = max(1, min(strip, (1 << 20) // len(a)))
+        for r in range(0, reps, wide):
+            at = np.floor(uniforms(h, np.arange(r, min(r + wide, reps))) * ends[-1]).astype(np.int64) - first
+            if len(b) < ends[-1]:
+                i, c = np.nonzero((at >= 0) & (at < len(b)))
+                at, place = at[i, c], of[i] * wide + c
+                for s, (f, w, d) in sides.items():
+                    x = coef[i] * np.clip(f[i] + d[at] * w[i], 0, 1)
+                    sums[s][:, r : r + wide] = np.bincount(place, weights=x, minlength=len(starts) * wide).reshape(len(starts), wide)[:, : reps - r]
+                continue
+            for s, (f, w, d) in sides.items():
+                x = d[at]
+                x *= w[:, None]
+                x += f[:, None]
+                np.clip(x, 0, 1, out=x)
+                x *= coef[:, None]
+                sums[s][:, r : r + wide] = np.add.reduceat(x, starts, axis=0)
         return pd.DataFrame({"id": np.tile(ids[starts], len(sources)), "source": np.repeat(sources, len(starts)), "sums": [x for s in sources for x in sums[s]]})
 
     parts = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(simulate, f"id {kind}, source string, sums array<double>")
