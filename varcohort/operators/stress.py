@@ -13,21 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .resample import two_sided
+from .resample import two_sided, uniforms
 from .shared import keep
 from .stats import p_adjust
 
 #: Pairs of model and cohort of which a task holds sums before it hands them on.
 HELD = 256
-GOLDEN, MIX_1, MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def uniforms(keys: np.ndarray, reps: np.ndarray) -> np.ndarray:
-    """A number in [0, 1) for each key (64-bit hash) and replicate, by the splitmix64 rule."""
-    z = keys.astype(np.int64).view(np.uint64)[:, None] + reps.astype(np.uint64)[None, :] * GOLDEN
-    z = (z ^ (z >> np.uint64(30))) * MIX_1
-    z = (z ^ (z >> np.uint64(27))) * MIX_2
-    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
 
 
 def by_replicate(parts: DataFrame, by: list[str]) -> DataFrame:
