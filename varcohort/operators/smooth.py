@@ -189,15 +189,16 @@ def shuffled(i: np.ndarray, n: int, seed: int, rep: int) -> np.ndarray:
 
 
 def smooth_perm_test(
-    df: DataFrame, by: str, key: str, y: str, fixed: list[str], permuted: list[str], reps: int, seed: int, pieces: int = 6, block: int = 1 << 16, chunk: int = 100
+    df: DataFrame, by: str, key: str, y: str, fixed: list[str], permuted: list[str], reps: int, seed: int, pieces: int = 6, block: int = 1 << 18, chunk: int = 100, held: int = 1 << 21, strip: int = 1 << 15
 ) -> DataFrame:
     """(by, n, deviance, below, reps, p): whether the permuted terms tell anything of ``y`` beside the fixed ones, in each group.
 
     The deviance of the additive fit is held against those of ``reps`` fits in which the rows' permuted columns are dealt
     anew, all by the same permutation: p = (those not above it + 0.5) / (reps + 1). Products among the fixed columns, and
     among the permuted ones, are the same for all replicates and summed once. What is left, products of fixed with
-    permuted columns, comes from pairs of blocks of ``block`` rows and ``chunk`` replicates; places of rows are
-    permuted by a rule, so nothing is sorted or joined for a replicate. Rows with a null take no part.
+    permuted columns, comes from tasks of ``block`` rows, ``chunk`` replicates and the permuted columns of ``held`` rows;
+    places of rows are permuted by a rule, so nothing is sorted or joined for a replicate. Up to ``held`` rows in a group
+    each row is permuted once a replicate; beyond, once for every ``held`` rows. Rows with a null take no part.
     """
     kind, terms = dict(df.dtypes)[by], [*fixed, *permuted]
     rows = df.select(by, key, *[F.col(c).cast("double").alias(c) for c in (y, *terms)]).na.drop()
@@ -222,16 +223,23 @@ def smooth_perm_test(
         n = int(part["__n"].iloc[0])
         x = np.column_stack([design(left, fixed, pieces), left[y].to_numpy(float)])
         z = design(right, permuted, pieces)[:, 1:]
-        places, first, out = left["i"].to_numpy(), int(b) * block, []
+        places, first, out = left["i"].to_numpy(), int(b) * held, []
         for rep in range(int(c) * chunk, min(int(c) * chunk + chunk, reps + 1)):
-            to = shuffled(places, n, seed, rep)
-            here = to // block == b
-            out.append((rep, (x[here].T @ z[to[here] - first]).ravel()))
+            sums = np.zeros((x.shape[1], z.shape[1]))
+            for at in range(0, len(places), strip):
+                own, to = x[at : at + strip], shuffled(places[at : at + strip], n, seed, rep) - first
+                if len(z) < n:
+                    here = (to >= 0) & (to < len(z))
+                    own, to = own[here], to[here]
+                sums += own.T @ z[to]
+            out.append((rep, sums.ravel()))
         return pd.DataFrame({by: [keys[0]] * len(out), "c": c, "rep": [r for r, _ in out], "cross": [v for _, v in out]})
 
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("__n") / block) - 1))
-    sides = rows.withColumn("a", own).withColumn("b", every).withColumn("side", F.lit(0)).unionByName(rows.withColumn("b", own).withColumn("a", every).withColumn("side", F.lit(1)))
+    every = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("__n") / size) - 1))
+    sides = rows.withColumn("a", own).withColumn("b", every(held)).withColumn("side", F.lit(0)).unionByName(rows.withColumn("b", F.floor(F.col("i") / held)).withColumn("a", every(block)).withColumn("side", F.lit(1)))
     dealt = sides.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    # a number of tasks of its own: a row makes a thousand permutations, so bytes don't tell how to split the work
+    dealt = dealt.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, min(rows.count() * (last + 1) >> 20, 10_000)), by, "a", "b", "c")
     cross = dealt.groupBy(by, "a", "b", "c").applyInPandas(across, f"{by} {kind}, c int, rep int, cross array<double>")
 
     def deviances(keys: tuple, part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
