@@ -9,6 +9,7 @@ from ..operators import models as M
 from ..operators import resample as R
 from ..operators import scores as S
 from ..operators.blocked import scan
+from ..operators.shared import keep
 from . import fixtures as X
 from .frequencies import counts, variant_burden
 from .registry import query, rounded
@@ -150,7 +151,7 @@ def pca_loadings(spark, sf):
 @query()
 def pc_relate(spark, sf):
     """Kinship of pooled samples, allowing for two components."""
-    gt = X.pools(spark, sf)
+    gt = keep(X.pools(spark, sf).select("v", "s", "gt"))
     return rounded(M.pc_relate(gt, M.pca(gt, 2)[0], ["pc1", "pc2"]), "kin")
 
 
