@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocked import BLOCK, neighbour, running_sum, scan
+from .shared import keep
 
 
 def coverage_runs(t: DataFrame, value: str, least: float, by: str = "contig", pos: str = "pos") -> DataFrame:
@@ -93,7 +94,7 @@ def depth_affinity(t: DataFrame, sample: str, locus: str, value: str) -> DataFra
     """Mean and variance over samples of each locus's depth relative to its sample's mean, scaled to a grand mean of one."""
     mean = t.groupBy(sample).agg(F.avg(value).alias("__m"))
     rel = t.join(mean, sample).withColumn("__r", F.col(value) / F.col("__m"))
-    out = rel.groupBy(locus).agg(F.avg("__r").alias("affinity"), F.var_pop("__r").alias("variance"), F.count(F.lit(1)).alias("n"))
+    out = keep(rel.groupBy(locus).agg(F.avg("__r").alias("affinity"), F.var_pop("__r").alias("variance"), F.count(F.lit(1)).alias("n")))
     grand = out.agg(F.avg("affinity").alias("__g"))
     return out.join(F.broadcast(grand)).select(locus, (F.col("affinity") / F.col("__g")).alias("affinity"), (F.col("variance") / (F.col("__g") * F.col("__g"))).alias("variance"), "n")  # one row
 

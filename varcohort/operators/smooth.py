@@ -7,9 +7,13 @@ which generalised cross-validation picks from a grid (one strength for all terms
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import groupby, islice
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocked import scan
@@ -21,11 +25,15 @@ GRID = tuple(10.0**e for e in range(-4, 6))
 def spline(x: np.ndarray, low: np.ndarray | float, high: np.ndarray | float, pieces: int) -> np.ndarray:
     """Values of the ``pieces`` + 3 cubic B-splines over ``low`` .. ``high``; beyond the ends, and with one value only, those at the end."""
     width = np.where(np.asarray(high) > low, np.asarray(high) - low, 1.0)
-    u = np.clip((x - low) / width * pieces, 0, pieces)
+    return spline_at(np.clip((x - low) / width * pieces, 0, pieces), pieces)
+
+
+def spline_at(u: np.ndarray, pieces: int) -> np.ndarray:
+    """Values of the splines at places 0 .. ``pieces`` of their range."""
     j = np.minimum(np.floor(u).astype(int), pieces - 1)
     t = u - j
-    out = np.zeros((len(x), pieces + 3))
-    at = np.arange(len(x))
+    out = np.zeros((len(u), pieces + 3))
+    at = np.arange(len(u))
     for k, w in enumerate(((1 - t) ** 3, 3 * t**3 - 6 * t**2 + 4, -3 * t**3 + 3 * t**2 + 3 * t + 1, t**3)):
         out[at, j + k] = w / 6
     return out
@@ -43,19 +51,31 @@ def roughness(n_terms: int, pieces: int) -> np.ndarray:
 
 
 def penalised(xx: np.ndarray, xy: np.ndarray, yy: float, n: int, penalty: np.ndarray, grid: tuple[float, ...] = GRID) -> tuple[np.ndarray, float, float, float]:
-    """(coefficients, residual sum of squares, strength, degrees of freedom) with the least generalised cross-validation score.
+    """(coefficients, residual sum of squares, strength, degrees of freedom) with the least generalised cross-validation score."""
+    beta, rss, strength, df = penalised_many(xx[None], xy[None], np.array([yy]), np.array([n]), penalty, grid)
+    return beta[0], float(rss[0]), float(strength[0]), float(df[0])
+
+
+def penalised_many(xx: np.ndarray, xy: np.ndarray, yy: np.ndarray, n: np.ndarray, penalty: np.ndarray, grid: tuple[float, ...] = GRID) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``penalised`` of many fits at once, whose sums are stacked.
 
     The intercept and each spline's constant are told apart by a ridge of 1e-9 of the mean diagonal.
     """
-    ridge = 1e-9 * max(np.trace(xx) / len(xx), 1e-300) * np.eye(len(xx))
+    size = xx.shape[1]
+    ridge = 1e-9 * np.maximum(np.trace(xx, axis1=1, axis2=2) / size, 1e-300)[:, None, None] * np.eye(size)
+    sides = np.concatenate([xy[:, :, None], xx], axis=2)
     best = None
     for strength in grid:
-        solved = np.linalg.solve(xx + strength * penalty + ridge, np.column_stack([xy, xx]))
-        beta, df = solved[:, 0], float(np.trace(solved[:, 1:]))
-        rss = max(float(yy - 2 * beta @ xy + beta @ xx @ beta), 0.0)
-        score = n * rss / max(n - df, 1e-9) ** 2
-        if best is None or score < best[0]:
-            best = (score, beta, rss, strength, df)
+        solved = np.linalg.solve(xx + strength * penalty + ridge, sides)
+        beta, df = solved[:, :, 0], np.trace(solved[:, :, 1:], axis1=1, axis2=2)
+        rss = np.maximum(yy - 2 * (beta * xy).sum(1) + ((beta[:, None] @ xx)[:, 0] * beta).sum(1), 0.0)
+        score = n * rss / np.maximum(n - df, 1e-9) ** 2
+        new = (score, beta, rss, np.full(len(n), strength), df)
+        if best is None:
+            best = new
+        else:
+            less = score < best[0]
+            best = tuple(np.where(less[:, None] if a.ndim == 2 else less, a, b) for a, b in zip(new, best))
     return best[1:]
 
 
@@ -70,67 +90,88 @@ def with_ends(rows: DataFrame, by: str, terms: list[str]) -> DataFrame:
     return rows.join(ends, by)
 
 
+def totals(rows: Iterable[tuple[object, np.ndarray]], by: str, size: int = 256) -> Iterator[tuple[pd.Series, np.ndarray]]:
+    """Sums of the arrays of neighbours with the same key, ``size`` keys at a time: (keys, sums in rows)."""
+    sums = ((k, reduce(np.add, (x for _, x in own))) for k, own in groupby(rows, key=lambda r: r[0]))
+    while some := list(islice(sums, size)):
+        yield pd.Series([k for k, _ in some], name=by), np.stack([x for _, x in some])
+
+
 def smooth_fit(rows: DataFrame, by: str, key: str, y: str, terms: list[str], pieces: int = 8, block: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
     """(fits (by, n, beta, rss, strength, df), rows with ``fitted``): a penalised additive fit of ``y`` for each group.
 
-    Rows are grouped by hash blocks of ``key`` of about ``block`` each; a block hands on one matrix, and a group's fit
-    is one task over as many matrices as it has blocks.
+    Rows are dealt by group and hash blocks of ``key`` of about ``block`` each; a block hands on one matrix, and a group's
+    fit needs as many matrices as it has blocks. Batches hold the rows, or the fits, of many groups.
     """
-    kind = dict(rows.dtypes)[by]
-    ended = with_ends(rows, by, terms)
-    size = 1 + len(terms) * (pieces + 3)
-
-    def sums(part: pd.DataFrame) -> pd.DataFrame:
-        x, target = design(part, terms, pieces), part[y].to_numpy(float)
-        xx = np.concatenate([(x.T @ x).ravel(), x.T @ target, [target @ target, len(part)]])
-        return pd.DataFrame({by: part[by].iloc[:1], "sums": [xx]})
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum(np.stack(part["sums"]), axis=0)
-        n = int(total[-1])
-        beta, rss, strength, df = penalised(total[: size * size].reshape(size, size), total[size * size : -2], total[-2], n, roughness(len(terms), pieces))
-        return pd.DataFrame({by: part[by].iloc[:1], "n": n, "beta": [beta], "rss": rss, "strength": strength, "df": df})
-
-    needed = [by, y, *[c for t in terms for c in (t, f"{t}_low", f"{t}_high")]]
-    blocks = ended.select(*needed, F.pmod(F.xxhash64(key), F.ceil(F.col("__n") / block)).alias("__block"))
-    fits = keep(blocks.groupBy(by, "__block").applyInPandas(sums, f"{by} {kind}, sums array<double>").groupBy(by).applyInPandas(solve, f"{by} {kind}, n long, beta array<double>, rss double, strength double, df double"))
-
-    @F.pandas_udf("double")
-    def fitted(part: pd.DataFrame) -> pd.Series:
-        if not len(part):
-            return pd.Series([], dtype=float)
-        return pd.Series((design(part, terms, pieces) * np.stack(part["beta"])).sum(1))
-
-    inputs = F.struct(*[c for c in needed if c not in (by, y)], "beta")
-    out = ended.join(fits.select(by, "beta"), by).withColumn("fitted", fitted(inputs))
+    kind, wide = dict(rows.dtypes)[by], pieces + 3
+    size = 1 + len(terms) * wide
+    upper = np.triu_indices(size + 1)  # the target is the last column, and the intercept's square the number of rows
+    width = lambda t: F.when(F.col(f"{t}_high") > F.col(f"{t}_low"), F.col(f"{t}_high") - F.col(f"{t}_low")).otherwise(1.0)
+    place = lambda t: F.greatest(F.least((F.col(t) - F.col(f"{t}_low")) / width(t) * pieces, F.lit(float(pieces))), F.lit(0.0))
+    placed = with_ends(rows, by, terms).withColumns({f"__u{i}": place(t) for i, t in enumerate(terms)})
+    at = [f"__u{i}" for i in range(len(terms))]
+
+    def squares(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, np.ndarray]]:
+        for part in batches:
+            if len(part):
+                x = np.column_stack([np.ones(len(part)), *[spline_at(part[u].to_numpy(float), pieces) for u in at], part[y].to_numpy(float)])
+                keys = part[by].to_numpy()
+                cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(part)]
+                yield from ((keys[a], (x[a:b].T @ x[a:b])[upper]) for a, b in zip(cuts, cuts[1:]))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for keys, total in totals(squares(batches), by):
+            yield pd.DataFrame({by: keys, "sums": list(total)})
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for keys, total in totals((r for part in batches for r in zip(part[by], part["sums"])), by):
+            xx = np.zeros((len(keys), size + 1, size + 1))
+            xx[:, upper[0], upper[1]] = xx[:, upper[1], upper[0]] = total
+            n = np.round(xx[:, 0, 0]).astype(int)
+            beta, rss, strength, df = penalised_many(xx[:, :-1, :-1], xx[:, :-1, -1], xx[:, -1, -1], n, roughness(len(terms), pieces))
+            yield pd.DataFrame({by: keys, "n": n, "beta": list(beta), "rss": rss, "strength": strength, "df": df})
+
+    blocks = placed.select(by, y, *at, F.pmod(F.xxhash64(key), F.ceil(F.col("__n") / block)).alias("__block"))
+    blocks = blocks.repartition(by, "__block").sortWithinPartitions(by).drop("__block")
+    parts = blocks.mapInPandas(sums, f"{by} {kind}, sums array<double>").repartition(by).sortWithinPartitions(by)
+    fits = keep(parts.mapInPandas(solve, f"{by} {kind}, n long, beta array<double>, rss double, strength double, df double"))
+
+    def curve(i: int) -> Column:
+        """A term's part of the fit: four splines reach a place."""
+        j = F.least(F.floor(at[i]), F.lit(pieces - 1))
+        t = F.col(at[i]) - j
+        weights = ((1 - t) * (1 - t) * (1 - t), 3 * t * t * t - 6 * t * t + 4, -3 * t * t * t + 3 * t * t + 3 * t + 1, t * t * t)
+        return sum((w / 6 * F.get("beta", (j + (1 + i * wide + k)).cast("int")) for k, w in enumerate(weights)), F.lit(0.0))
+
+    out = placed.join(fits.select(by, "beta"), by).withColumn("fitted", sum((curve(i) for i in range(len(terms))), F.get("beta", F.lit(0))))
     return fits, out.select(*rows.columns, "fitted")
 
 
-def components(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    """Adds ``pc1`` ..: each group's principal components of centred and scaled columns, from its correlation matrix.
+def components(rows: DataFrame, by: str, columns: list[str], **also: Column) -> DataFrame:
+    """Adds ``pc1`` ..: each group's principal components of centred and scaled columns, from its correlation matrix; and the group's aggregates ``also``.
 
     The largest entry of a component's loadings is positive; a constant column has no weight.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    facts = rows.groupBy(by).agg(F.array(*[F.avg(c) for c in columns]).alias("__mean"), F.array(*[F.stddev_samp(c) for c in columns]).alias("__sd"), F.array(*[F.corr(a, b) for a, b in pairs]).alias("__corr"))
-    m = len(columns)
+    m, pairs = len(columns), [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    facts = rows.groupBy(by).agg(
+        F.array(*[F.avg(c) for c in columns]).alias("__mean"), F.array(*[F.stddev_samp(c) for c in columns]).alias("__sd"), F.array(*[F.corr(a, b) for a, b in pairs]).alias("__corr"), *[x.alias(n) for n, x in also.items()]
+    )
 
     @F.pandas_udf("array<double>")
     def rotate(sd: pd.Series, corr: pd.Series) -> pd.Series:
-        out = []
-        for s, values in zip(sd, corr):
-            c, s = np.eye(m), np.array(s, dtype=float)
-            for (a, b), r in zip(((i, j) for i in range(m) for j in range(i + 1, m)), np.array(values, dtype=float)):
-                c[a, b] = c[b, a] = 0.0 if np.isnan(r) else r
-            _, vectors = np.linalg.eigh(c)
-            vectors = vectors[:, ::-1]
-            vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(m)])
-            out.append((vectors.T * np.where(s > 0, 1 / np.where(s > 0, s, 1), 0.0)).ravel())
-        return pd.Series(out, dtype=object)
-
-    turned = facts.select(by, "__mean", rotate("__sd", "__corr").alias("__turn"))
+        if not len(sd):
+            return pd.Series([], dtype=object)
+        c, s = np.tile(np.eye(m), (len(sd), 1, 1)), np.stack(sd).astype(float)
+        above = np.triu_indices(m, 1)
+        c[:, above[0], above[1]] = c[:, above[1], above[0]] = np.nan_to_num(np.stack(corr).astype(float).reshape(len(sd), -1))
+        vectors = np.linalg.eigh(c)[1][:, :, ::-1]
+        vectors = vectors * np.sign(np.take_along_axis(vectors, np.abs(vectors).argmax(1)[:, None], 1))
+        turned = vectors.transpose(0, 2, 1) * np.where(s > 0, 1 / np.where(s > 0, s, 1), 0.0)[:, None]
+        return pd.Series(list(turned.reshape(len(sd), -1)))
+
+    turned = facts.select(by, "__mean", rotate("__sd", "__corr").alias("__turn"), *also)
     score = lambda i: sum(((F.col(c) - F.col("__mean")[j]) * F.col("__turn")[i * m + j] for j, c in enumerate(columns)), F.lit(0.0))
-    return rows.join(turned, by).select(*rows.columns, *[score(i).alias(f"pc{i + 1}") for i in range(m)])
+    return rows.join(turned, by).select(*rows.columns, *also, *[score(i).alias(f"pc{i + 1}") for i in range(m)])
 
 
 def depth_anomaly(trace: DataFrame, affinity: DataFrame, gc: DataFrame, columns: list[str], sample: str = "s", key: str = "v", pieces: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -140,11 +181,12 @@ def depth_anomaly(trace: DataFrame, affinity: DataFrame, gc: DataFrame, columns:
     the sample's principal components of the GC windows in ``columns``; the fit is turned back and scaled so that depth
     over expected depth has a mean of one in each sample. Loci without depth, affinity or GC drop out.
     """
-    rows = trace.where("dp > 0").join(affinity.where("affinity > 0").select(key, "affinity"), key).join(gc.select(key, *columns), key).na.drop(subset=columns)
-    mean = rows.groupBy(sample).agg(F.avg("dp").alias("__depth"))
-    rows = components(rows.join(mean, sample), sample, columns)
+    loci = affinity.where("affinity > 0").select(key, "affinity").join(gc.select(key, *columns), key).na.drop(subset=columns)
+    rows = trace.where("dp > 0").join(loci, key)
+    rows = keep(rows.repartition(sample, F.pmod(F.xxhash64(key), F.lit(16))))  # a sample's rows meet, so that what is summed over them is few rows
+    rows = components(rows, sample, columns, __depth=F.avg("dp"))
     terms = ["log_a", *[f"pc{i + 1}" for i in range(len(columns))]]
-    rows = keep(rows.withColumn("log_a", F.log("affinity")).withColumn("__y", F.log("dp") - F.log("__depth") - F.col("log_a")))
+    rows = keep(rows.withColumn("log_a", F.log("affinity")).withColumn("__y", F.log("dp") - F.log("__depth") - F.col("log_a")).drop("affinity", *columns))
     fits, out = smooth_fit(rows, sample, key, "__y", terms, pieces)
     out = keep(out.select(*trace.columns, F.exp(F.log("__depth") + F.col("log_a") + F.col("fitted")).alias("__raw")))
     bias = out.groupBy(sample).agg(F.avg(F.col("dp") / F.col("__raw")).alias("__bias"))

@@ -10,6 +10,7 @@ from ..operators import factor
 from ..operators import genotype as G
 from ..operators import series as S
 from ..operators import smooth
+from ..operators.shared import keep
 from . import fixtures as X
 from .cohort import KING
 from .registry import query, rounded
@@ -23,7 +24,7 @@ def gc_shares(spark, sf):
 
 
 def expected_depth(spark, sf):
-    cells = X.libraries(spark, sf).select("v", "s", "dp", "ad")
+    cells = keep(X.libraries(spark, sf).select("v", "s", "dp", "ad"))
     affinity = S.depth_affinity(cells, "s", "v", "dp")
     return smooth.depth_anomaly(cells, affinity, gc_shares(spark, sf), ["gc100", "gc200", "gc400"], pieces=4)
 
