@@ -39,7 +39,7 @@ def vcf_to_long(sites: DataFrame, calls: DataFrame, fields: list[str], key: str
 def split_calls(sites: DataFrame, calls: DataFrame, key: str = "v") -> DataFrame:
     """Calls at split sites, down-coded: (key, s, a_index, alt, gt, ad, ref_ad) and what else the calls have."""
     alleles = split_multi(sites, key)
-    return downcode(calls, alleles, key).join(alleles.select(key, "a_index", "alt"), [key, "a_index"])
+    return downcode(calls, alleles, key, ("alt",))
 
 
 def annotate_alleles(sites: DataFrame, rows: DataFrame, values: dict[str, Column], key: str = "v") -> DataFrame:

@@ -24,9 +24,9 @@ def split_multi(v: DataFrame, key: str = "v") -> DataFrame:
     return out.withColumn("a_index", F.col("__i") + 1).withColumn("was_split", F.size("alts") > 1).drop("__i", "alts")
 
 
-def downcode(gt: DataFrame, alleles: DataFrame, key: str = "v") -> DataFrame:
-    """Genotypes (a1, a2, ads) at split sites: other alternates count as reference, their reads too."""
-    rows = gt.join(alleles.select(key, "a_index"), key)
+def downcode(gt: DataFrame, alleles: DataFrame, key: str = "v", also: tuple[str, ...] = ()) -> DataFrame:
+    """Genotypes (a1, a2, ads) at split sites, with the alleles' columns ``also``: other alternates count as reference, their reads too."""
+    rows = gt.join(alleles.select(key, "a_index", *also).hint("merge"), key)  # sites grow with the cells
     one = lambda a: F.when(F.col(a) == F.col("a_index"), 1).when(F.col(a).isNotNull(), 0)
     ad = F.element_at("ads", F.col("a_index") + 1)
     total = F.aggregate("ads", F.lit(0).cast("long"), lambda x, y: x + y)
@@ -87,19 +87,21 @@ def hwe_chisq(df: DataFrame, a: str = "n_hom_ref", b: str = "n_het", c: str = "n
     return df.withColumn("hwe_chisq", F.when((n > 0) & (p > 0) & (p < 1), chisq))
 
 
-def sample_qc(gt: DataFrame, alleles: DataFrame, n_variants: int, key: str = "v") -> DataFrame:
-    """Call rate, depth, class counts, singletons, Ti/Tv and het/hom ratio of each sample."""
+def sample_qc(gt: DataFrame, alleles: DataFrame, n_variants: int, key: str = "v", singletons: bool = True) -> DataFrame:
+    """Call rate, depth, class counts, singletons (these need the cells a second time), Ti/Tv and het/hom ratio of each sample."""
     g, carried = F.col("gt"), F.col("gt") > 0
     info = alleles.select(key, V.is_snp(F.col("ref"), F.col("alt")).alias("snp"), V.is_transition(F.col("ref"), F.col("alt")).alias("ts"), V.is_insertion(F.col("ref"), F.col("alt")).alias("ins"), V.is_deletion(F.col("ref"), F.col("alt")).alias("del"))
-    counts = gt.groupBy(key).agg(F.sum("gt").alias("__ac"))
-    rows = gt.join(info, key).join(counts, key)
+    rows = gt.join(info, key)
+    if singletons:
+        rows = rows.join(gt.groupBy(key).agg(F.sum("gt").alias("__ac")), key)
+    single = [F.count_if(carried & (F.col("__ac") == 1)).alias("n_singleton")] if singletons else []
     quality = [F.avg("gq").alias("gq_mean"), F.stddev_pop("gq").alias("gq_stdev")] if "gq" in gt.columns else []
     out = rows.groupBy("s").agg(
         *quality,
         F.count_if(g.isNotNull()).alias("n_called"), F.avg("dp").alias("dp_mean"), F.stddev_pop("dp").alias("dp_stdev"),
         F.count_if(g == 1).alias("n_het"), F.count_if(g == 2).alias("n_hom_var"), F.count_if(carried & F.col("snp")).alias("n_snp"),
         F.count_if(carried & F.col("ins")).alias("n_insertion"), F.count_if(carried & F.col("del")).alias("n_deletion"),
-        F.count_if(carried & (F.col("__ac") == 1)).alias("n_singleton"), F.count_if(carried & F.col("snp") & F.col("ts")).alias("n_ti"), F.count_if(carried & F.col("snp") & ~F.col("ts")).alias("n_tv"),
+        *single, F.count_if(carried & F.col("snp") & F.col("ts")).alias("n_ti"), F.count_if(carried & F.col("snp") & ~F.col("ts")).alias("n_tv"),
     )
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return out.withColumns({"call_rate": F.col("n_called") / n_variants, "r_ti_tv": ratio("n_ti", "n_tv"), "r_het_hom": ratio("n_het", "n_hom_var")})
@@ -158,9 +160,10 @@ def cohort_allele_counts(gt: DataFrame, s: DataFrame, v: DataFrame, controls: st
     return out.withColumn("af", F.when(F.col("an") > 0, F.col("ac") / F.col("an")))
 
 
-def genotype_counts(gt: DataFrame, by: DataFrame, group: str, key: str = "v") -> DataFrame:
-    """nRR, nRA, nAA and n_missing of each variant in each group and (null group) in all, by one pass of grouping sets."""
+def genotype_counts(gt: DataFrame, by: DataFrame, group: str, key: str = "v", parts: int | None = None) -> DataFrame:
+    """nRR, nRA, nAA and n_missing of each variant in each group and (null group) in all, by one pass of grouping sets; cells meet their samples in ``parts`` partitions, if given."""
     g = F.col("gt")
+    gt = gt.repartition(parts, "s") if parts else gt
     rows = gt.join(by.select("s", group).hint("merge"), "s")  # samples grow with the cells
     sets = rows.groupingSets([[F.col(key), F.col(group)], [F.col(key)]], key, group)
     return sets.agg(F.count_if(g == 0).alias("n_rr"), F.count_if(g == 1).alias("n_ra"), F.count_if(g == 2).alias("n_aa"), F.count_if(g.isNull()).alias("n_missing"))

@@ -19,7 +19,7 @@ FIELDS = ["Allele", "Consequence", "SYMBOL"]
 
 def calls(spark, sf) -> DataFrame:
     g, many, half = F.col("gt"), F.size("alts") > 1, F.floor(F.col("ad") / 2)
-    rows = X.genotypes(spark, sf).join(X.variants(spark, sf).select("v", "alts"), "v")
+    rows = X.genotypes(spark, sf).repartition(X.parts(spark, sf), "v").join(X.variants(spark, sf).select("v", "alts").hint("merge"), "v")
     second = F.when(g.isNull(), None).when(g == 0, 0).when(many & (F.col("s") % 2 == 0), 2).otherwise(1)
     reads = F.when(many, F.array(F.col("dp") - F.col("ad"), F.col("ad") - half, half)).otherwise(F.array(F.col("dp") - F.col("ad"), F.col("ad")))
     return rows.select("v", "s", F.when(g.isNull(), None).when(g == 2, 1).otherwise(0).alias("a1"), second.alias("a2"), reads.alias("ads"), "dp", ((F.col("dp") * 3 + F.col("s")) % 99).alias("gq"))
@@ -56,7 +56,8 @@ SELECT a.v, a.i::INT AS a_index, ac, an, het, hom, female_ac, female_an, female_
 FROM (SELECT v, unnest(range(1, len(alts) + 1)) AS i FROM variants) a LEFT JOIN m ON a.v = m.v AND a.i = m.a_index""")
 def allele_metrics(spark, sf):
     """Counts and frequencies of every alternate, in all and by sex."""
-    rows = parts(spark, sf).join(X.samples(spark, sf).select("s", "is_female"), "s")
+    rows = parts(spark, sf).select("v", "s", "a_index", "gt").repartition(X.parts(spark, sf), "s")
+    rows = rows.join(X.samples(spark, sf).select("s", "is_female").hint("merge"), "s")
     out = L.annotate_alleles(X.variants(spark, sf).select("v", "alts"), rows, L.allele_metrics())
     out = out.select("v", F.posexplode("alleles").alias("i", "x")).select("v", (F.col("i") + 1).cast("int").alias("a_index"), "x.*")
     return rounded(out, "af", "female_af", "male_af")

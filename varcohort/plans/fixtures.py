@@ -93,13 +93,23 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("alts", F.when(F.col("size") % 7 == 0, F.array("alt", second)).otherwise(F.array("alt")))
 
 
-def called(rows: DataFrame, sample: Column) -> DataFrame:
-    """Summed reads of each part and sample over order lines, and the call that they support."""
+def parts(spark: SparkSession, sf_dir: str, most: int = 1 << 18) -> int:
+    """Into how many partitions order lines, and their cells, are dealt: ``most`` lines in each on average, so that a task's memory doesn't follow the tables; few for few lines."""
+    n = read(spark, sf_dir, "lineitem").count()  # the file's footer answers
+    return max(1, n // most + 1, min(spark.sparkContext.defaultParallelism, n >> 14))
+
+
+def called(rows: DataFrame, sample: Column, n_parts: int) -> DataFrame:
+    """Summed reads of each part and sample over order lines, and the call that they support; dealt by cell into ``n_parts``.
+
+    Few cells have several lines, so lines are not summed before they are dealt.
+    """
     v, n = F.col("l_partkey").cast("int"), F.col("l_quantity").cast("long")
     draw = (F.col("l_suppkey") * 7 + F.col("l_orderkey") * 13 + F.col("l_linenumber") * 29) % 100 * 100
     t = (5 + (v * 37) % 90).cast("long")  # the alternate's share, of a hundred
     reads = F.when(draw < t * t, n).when(draw < 200 * t - t * t, F.floor(n / 2)).otherwise(0)
-    rows = rows.groupBy(v.alias("v"), sample.cast("int").alias("s")).agg(F.sum(n).alias("dp"), F.sum(reads).alias("ad"))
+    rows = rows.select(v.alias("v"), sample.cast("int").alias("s"), n.alias("n"), reads.alias("reads")).repartition(n_parts, "v", "s")
+    rows = rows.groupBy("v", "s").agg(F.sum("n").alias("dp"), F.sum("reads").alias("ad"))
     dp, ad = F.col("dp"), F.col("ad")
     return rows.withColumn("gt", F.when(dp < 5, None).when(5 * ad < dp, 0).when(5 * ad > 4 * dp, 2).otherwise(1))
 
@@ -110,16 +120,17 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str, pooled: bool) -> DataFrame:
     """The cells of customers or, ``pooled``, of their nations."""
+    n = parts(spark, sf_dir)
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").hint("merge")  # as large as its files say, times the packing
     if pooled:  # orders meet their customers before the lines, which are more
-        orders = orders.join(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").hint("merge"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey").hint("merge")
-    rows = lines(spark, sf_dir).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return called(rows, F.col("c_nationkey" if pooled else "o_custkey"))
+        orders = orders.join(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").hint("merge"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    rows = lines(spark, sf_dir).repartition(n, "l_orderkey").join(orders.repartition(n, "o_orderkey").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return called(rows, F.col("c_nationkey" if pooled else "o_custkey"), n)
 
 
 def libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of suppliers: some 600 loci each, and as many more samples as there are suppliers."""
-    return called(lines(spark, sf_dir), F.col("l_suppkey"))
+    return called(lines(spark, sf_dir), F.col("l_suppkey"), parts(spark, sf_dir))
 
 
 def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
