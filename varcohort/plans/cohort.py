@@ -72,7 +72,7 @@ SELECT s, CASE WHEN call_rate >= 0.7 AND dp_mean >= 50 AND coalesce(het_ratio_sd
 FROM sq LEFT JOIN hr USING (s)""")
 def sample_tiers(spark, sf):
     gt = X.genotypes(spark, sf)
-    qc = G.sample_qc(gt, X.variants(spark, sf), X.n_variants()).join(G.het_ratio_stdev(gt).select("s", "het_ratio_sd"), "s", "left")
+    qc = G.sample_qc(gt, X.variants(spark, sf), X.n_variants(), singletons=False).join(G.het_ratio_stdev(gt).select("s", "het_ratio_sd"), "s", "left")
     qc = rounded(qc, "call_rate", "dp_mean", "het_ratio_sd")
     return qc.select("s", G.sample_tier(call_rate=0.7, dp=50.0).alias("tier"))
 
@@ -130,7 +130,7 @@ def filter_alleles(spark, sf):
 SELECT v, pop, count(*) FILTER (gt = 0) AS n_rr, count(*) FILTER (gt = 1) AS n_ra, count(*) FILTER (gt = 2) AS n_aa, count(*) FILTER (gt IS NULL) AS n_missing
 FROM genotypes JOIN samples USING (s) GROUP BY GROUPING SETS ((v, pop), (v))""")
 def genotype_counts_by_group(spark, sf):
-    return G.genotype_counts(X.genotypes(spark, sf), X.samples(spark, sf), "pop")
+    return G.genotype_counts(X.genotypes(spark, sf), X.samples(spark, sf), "pop", parts=X.parts(spark, sf))
 
 
 @query("variants genotypes", """
