@@ -169,7 +169,7 @@ def components(rows: DataFrame, by: str, columns: list[str], **also: Column) ->
         turned = vectors.transpose(0, 2, 1) * np.where(s > 0, 1 / np.where(s > 0, s, 1), 0.0)[:, None]
         return pd.Series(list(turned.reshape(len(sd), -1)))
 
-    turned = facts.select(by, "__mean", rotate("__sd", "__corr").alias("__turn"), *also)
+    turned = keep(facts.select(by, "__mean", rotate("__sd", "__corr").alias("__turn"), *also))  # a row a group
     score = lambda i: sum(((F.col(c) - F.col("__mean")[j]) * F.col("__turn")[i * m + j] for j, c in enumerate(columns)), F.lit(0.0))
     return rows.join(turned, by).select(*rows.columns, *also, *[score(i).alias(f"pc{i + 1}") for i in range(m)])
 
@@ -186,7 +186,8 @@ def depth_anomaly(trace: DataFrame, affinity: DataFrame, gc: DataFrame, columns:
     rows = keep(rows.repartition(sample, F.pmod(F.xxhash64(key), F.lit(16))))  # a sample's rows meet, so that what is summed over them is few rows
     rows = components(rows, sample, columns, __depth=F.avg("dp"))
     terms = ["log_a", *[f"pc{i + 1}" for i in range(len(columns))]]
-    rows = keep(rows.withColumn("log_a", F.log("affinity")).withColumn("__y", F.log("dp") - F.log("__depth") - F.col("log_a")).drop("affinity", *columns))
+    # not written: the columns derived here are wider than those they come from, and joins by sample share one exchange
+    rows = rows.withColumn("log_a", F.log("affinity")).withColumn("__y", F.log("dp") - F.log("__depth") - F.col("log_a")).drop("affinity", *columns)
     fits, out = smooth_fit(rows, sample, key, "__y", terms, pieces)
     out = keep(out.select(*trace.columns, F.exp(F.log("__depth") + F.col("log_a") + F.col("fitted")).alias("__raw")))
     bias = out.groupBy(sample).agg(F.avg(F.col("dp") / F.col("__raw")).alias("__bias"))
