@@ -93,6 +93,11 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("alts", F.when(F.col("size") % 7 == 0, F.array("alt", second)).otherwise(F.array("alt")))
 
 
+def first_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants cut to the first base of their reference allele, for queries that ask where a position lies."""
+    return variants(spark, sf_dir).withColumn("ref", F.substring("ref", 1, 1))
+
+
 def parts(spark: SparkSession, sf_dir: str, most: int = 1 << 18) -> int:
     """Into how many partitions order lines, and their cells, are dealt: ``most`` lines in each on average, so that a task's memory doesn't follow the tables; few for few lines."""
     n = read(spark, sf_dir, "lineitem").count()  # the file's footer answers
