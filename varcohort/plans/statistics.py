@@ -82,9 +82,12 @@ WITH u AS (SELECT user_id, round(avg(value) FILTER (event_id % 2 = 0) - avg(valu
 r AS (SELECT d, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS r FROM z)
 SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS w_plus, coalesce(sum(r) FILTER (d < 0), 0)::DOUBLE AS w_minus FROM r""")
 def wilcoxon(spark, sf):
-    odd = F.col("event_id") % 2 == 1
-    d = events(spark, sf).groupBy("user_id").agg((F.avg(F.when(~odd, F.col("value"))) - F.avg(F.when(odd, F.col("value")))).alias("d"))
-    return rounded(S.wilcoxon_signed_rank(rounded(d, "d"), "d").select("n", "w_plus", "w_minus"), "w_plus", "w_minus")
+    """Signed ranks of users' means of even events less those of odd ones; sums go in the order of events, and digits are cut as the SQL cuts them."""
+    rows = events(spark, sf).select("user_id", "event_id", "value", (F.col("event_id") % 2).alias("odd")).where("odd IN (0, 1)")
+    means = S.mean_in_order(rows, ["user_id", "odd"], "value", "event_id", "mean")
+    mean = lambda odd: F.max(F.when(F.col("odd") == odd, F.col("mean")))
+    d = means.groupBy("user_id").agg((F.round((mean(0) - mean(1)) * 1e6) / 1e6).alias("d"))
+    return rounded(S.wilcoxon_signed_rank(d, "d").select("n", "w_plus", "w_minus"), "w_plus", "w_minus")
 
 
 @query("", "SELECT lang, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad, count(*) FILTER (quality IS NULL) AS unlabelled FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
