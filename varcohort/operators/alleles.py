@@ -137,12 +137,13 @@ def order_violations(df: DataFrame, index: str, contig: str = "contig", pos: str
 
 
 def first_rows(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """One row for each key: the first in the order of ``order``, then of its other columns, so that ties don't depend on the tasks.
+    """One row for each key: the first in the order of ``order``, nulls last, then of its other columns, so that ties don't depend on the tasks.
 
     An aggregate, so that copies of a key never meet in one task.
     """
     rest = [c for c in df.columns if c not in key]
-    return df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order, *[c for c in rest if c not in order])).alias("__row")).select(*key, "__row.*").select(*df.columns)
+    place = [x for c in order for x in (F.col(c).isNull().alias(f"__no_{c}"), F.col(c))]
+    return df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*place, *[c for c in rest if c not in order])).alias("__row")).select(*key, "__row.*").select(*df.columns)
 
 
 def drop_repeats(df: DataFrame, index: str, key: list[str]) -> DataFrame:
