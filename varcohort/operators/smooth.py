@@ -90,6 +90,13 @@ def with_ends(rows: DataFrame, by: str, terms: list[str]) -> DataFrame:
     return rows.join(ends, by)
 
 
+def place(term: str, pieces: int) -> Column:
+    """A value's place, 0 .. ``pieces``, in its term's range (``with_ends``)."""
+    low, high = F.col(f"{term}_low"), F.col(f"{term}_high")
+    width = F.when(high > low, high - low).otherwise(1.0)
+    return F.greatest(F.least((F.col(term) - low) / width * pieces, F.lit(float(pieces))), F.lit(0.0))
+
+
 def totals(rows: Iterable[tuple[object, np.ndarray]], by: str, size: int = 256) -> Iterator[tuple[pd.Series, np.ndarray]]:
     """Sums of the arrays of neighbours with the same key, ``size`` keys at a time: (keys, sums in rows)."""
     sums = ((k, reduce(np.add, (x for _, x in own))) for k, own in groupby(rows, key=lambda r: r[0]))
@@ -106,9 +113,7 @@ def smooth_fit(rows: DataFrame, by: str, key: str, y: str, terms: list[str], pie
     kind, wide = dict(rows.dtypes)[by], pieces + 3
     size = 1 + len(terms) * wide
     upper = np.triu_indices(size + 1)  # the target is the last column, and the intercept's square the number of rows
-    width = lambda t: F.when(F.col(f"{t}_high") > F.col(f"{t}_low"), F.col(f"{t}_high") - F.col(f"{t}_low")).otherwise(1.0)
-    place = lambda t: F.greatest(F.least((F.col(t) - F.col(f"{t}_low")) / width(t) * pieces, F.lit(float(pieces))), F.lit(0.0))
-    placed = with_ends(rows, by, terms).withColumns({f"__u{i}": place(t) for i, t in enumerate(terms)})
+    placed = with_ends(rows, by, terms).withColumns({f"__u{i}": place(t, pieces) for i, t in enumerate(terms)})
     at = [f"__u{i}" for i in range(len(terms))]
 
     def squares(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, np.ndarray]]:
@@ -219,20 +224,55 @@ def shuffled(i: np.ndarray, n: int, seed: int, rep: int) -> np.ndarray:
     bits = max(1, ((max(n - 1, 1)).bit_length() + 1) // 2)
     mask, shift = np.uint64((1 << bits) - 1), np.uint64(bits)
     keys = np.random.SeedSequence([seed, rep]).generate_state(6, np.uint64)
-    out, open_ = i.astype(np.uint64), np.ones(len(i), bool)
-    while open_.any():
-        left, right = out[open_] >> shift, out[open_] & mask
+
+    def turned(at: np.ndarray) -> np.ndarray:
+        left, right = at >> shift, at & mask
         for k in keys:
-            x = (right + k) * np.uint64(0x9E3779B97F4A7C15)
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            left, right = right, left ^ ((x ^ (x >> np.uint64(29))) & mask)
-        out[open_] = (left << shift) | right
-        open_ = out >= np.uint64(n)
+            x = right + k
+            x *= np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(29)
+            x &= mask
+            x ^= left
+            left, right = right, x
+        left <<= shift
+        left |= right
+        return left
+
+    out = turned(i.astype(np.uint64))
+    open_ = np.flatnonzero(out >= np.uint64(n))
+    while len(open_):
+        out[open_] = again = turned(out[open_])
+        open_ = open_[again >= np.uint64(n)]
     return out.astype(np.int64)
 
 
+def strips(rows: DataFrame, by: str, y: str, fixed: list[str], permuted: list[str], pieces: int, block: int, held: int, strip: int) -> DataFrame:
+    """(by, of, a, b, first, n, fixed, permuted, sums): a row for some ``strip`` numbered rows, which lie in one block ``a`` and one block ``b``.
+
+    ``fixed`` and ``permuted`` are the bytes of a column of doubles for each term, places in its range, ``fixed`` with ``y``
+    as its last; ``sums`` are the strip's normal equations, and ``of`` is the group's number of rows.
+    """
+    kind, terms = dict(rows.dtypes)[by], [*fixed, *permuted]
+    at = [f"__u{j}" for j in range(len(terms))]
+    placed = with_ends(rows, by, terms).select(by, "i", y, F.col("__n").alias("of"), *[place(t, pieces).alias(u) for t, u in zip(terms, at)])
+    keys = [F.floor(F.col("i") / size).alias(c) for size, c in ((block, "a"), (held, "b"), (strip, "strip"))]
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("i")
+        u, target = part[at].to_numpy(float).T, part[y].to_numpy(float)
+        x = np.column_stack([np.ones(len(part)), *[spline_at(p, pieces) for p in u]])
+        sums = np.concatenate([(x.T @ x).ravel(), x.T @ target, [target @ target, len(part)]])
+        one = {c: [part[c].iloc[0]] for c in (by, "of", "a", "b")}
+        return pd.DataFrame({**one, "first": [part["i"].iloc[0]], "n": [len(part)], "fixed": [np.vstack([u[: len(fixed)], target]).tobytes()], "permuted": [u[len(fixed) :].tobytes()], "sums": [sums]})
+
+    out = f"{by} {kind}, of long, a long, b long, first long, n int, fixed binary, permuted binary, sums array<double>"
+    return placed.select("*", *keys).groupBy(by, "a", "b", "strip").applyInPandas(pack, out)
+
+
 def smooth_perm_test(
-    df: DataFrame, by: str, key: str, y: str, fixed: list[str], permuted: list[str], reps: int, seed: int, pieces: int = 6, block: int = 1 << 18, chunk: int = 100, held: int = 1 << 21, strip: int = 1 << 15
+    df: DataFrame, by: str, key: str, y: str, fixed: list[str], permuted: list[str], reps: int, seed: int, pieces: int = 6, block: int = 1 << 18, chunk: int = 500, held: int = 1 << 21, strip: int = 1 << 15
 ) -> DataFrame:
     """(by, n, deviance, below, reps, p): whether the permuted terms tell anything of ``y`` beside the fixed ones, in each group.
 
@@ -242,47 +282,50 @@ def smooth_perm_test(
     permuted columns, comes from tasks of ``block`` rows, ``chunk`` replicates and the permuted columns of ``held`` rows;
     places of rows are permuted by a rule, so nothing is sorted or joined for a replicate. Up to ``held`` rows in a group
     each row is permuted once a replicate; beyond, once for every ``held`` rows. Rows with a null take no part.
+
+    Rows reach these tasks as the bytes of some ``strip`` of them (``strips``): a task has 8 bytes for a row's term, and
+    the splines of the permuted ones.
     """
     kind, terms = dict(df.dtypes)[by], [*fixed, *permuted]
     rows = df.select(by, key, *[F.col(c).cast("double").alias(c) for c in (y, *terms)]).na.drop()
-    rows = keep(with_ends(numbered(rows, by, key, seed), by, terms).drop(key))
-    own, wide, last = F.floor(F.col("i") / block), pieces + 3, reps // chunk
-    nf = 1 + len(fixed) * wide
-
-    def within(part: pd.DataFrame) -> pd.DataFrame:
-        x, target = design(part, terms, pieces), part[y].to_numpy(float)
-        return pd.DataFrame({by: part[by].iloc[:1], "sums": [np.concatenate([(x.T @ x).ravel(), x.T @ target, [target @ target, len(part)]])]})
+    packed = keep(strips(numbered(rows, by, key, seed), by, y, fixed, permuted, pieces, block, held, strip))
+    wide, last = pieces + 3, reps // chunk
+    nf, nz = 1 + len(fixed) * wide, len(permuted) * wide
 
     def total(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({by: part[by].iloc[:1], "sums": [np.sum(np.stack(part["sums"]), axis=0)]})
 
-    shared = f"{by} {kind}, sums array<double>"
-    gram = rows.withColumn("a", own).groupBy(by, "a").applyInPandas(within, shared).groupBy(by).applyInPandas(total, shared)
+    gram = packed.select(by, "sums").groupBy(by).applyInPandas(total, f"{by} {kind}, sums array<double>")
 
     def across(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        _, a, b, c = keys
-        part = part.sort_values("i")
-        left, right = part[part["side"] == 0], part[part["side"] == 1]
-        n = int(part["__n"].iloc[0])
-        x = np.column_stack([design(left, fixed, pieces), left[y].to_numpy(float)])
-        z = design(right, permuted, pieces)[:, 1:]
-        places, first, out = left["i"].to_numpy(), int(b) * held, []
-        for rep in range(int(c) * chunk, min(int(c) * chunk + chunk, reps + 1)):
-            sums = np.zeros((x.shape[1], z.shape[1]))
-            for at in range(0, len(places), strip):
-                own, to = x[at : at + strip], shuffled(places[at : at + strip], n, seed, rep) - first
+        _, _, b, c = keys
+        n, first = int(part["of"].iloc[0]), int(b) * held
+        z = np.empty((min(held, n - first), nz))
+        for _, own in part[part["side"] == 1].iterrows():
+            for j, u in enumerate(np.frombuffer(own["data"]).reshape(-1, own["n"])):
+                z[own["first"] - first : own["first"] - first + own["n"], j * wide : j * wide + wide] = spline_at(u, pieces)
+        every = range(int(c) * chunk, min(int(c) * chunk + chunk, reps + 1))
+        sums = np.zeros((len(every), nf + 1, nz))
+        for _, own in part[part["side"] == 0].iterrows():
+            *u, target = np.frombuffer(own["data"]).reshape(-1, own["n"])
+            x = np.vstack([np.ones(own["n"]), *[spline_at(t, pieces).T for t in u], target])
+            places = np.arange(own["first"], own["first"] + own["n"])
+            for at, rep in enumerate(every):
+                to = shuffled(places, n, seed, rep) - first
                 if len(z) < n:
-                    here = (to >= 0) & (to < len(z))
-                    own, to = own[here], to[here]
-                sums += own.T @ z[to]
-            out.append((rep, sums.ravel()))
-        return pd.DataFrame({by: [keys[0]] * len(out), "c": c, "rep": [r for r, _ in out], "cross": [v for _, v in out]})
-
-    every = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("__n") / size) - 1))
-    sides = rows.withColumn("a", own).withColumn("b", every(held)).withColumn("side", F.lit(0)).unionByName(rows.withColumn("b", F.floor(F.col("i") / held)).withColumn("a", every(block)).withColumn("side", F.lit(1)))
-    dealt = sides.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(last))))
+                    here = np.flatnonzero((to >= 0) & (to < len(z)))
+                    sums[at] += x[:, here] @ z[to[here]]
+                else:
+                    sums[at] += x @ z[to]
+        return pd.DataFrame({by: [keys[0]] * len(every), "c": c, "rep": every, "cross": list(sums.reshape(len(every), -1))})
+
+    every = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("of") / size) - 1))
+    left = packed.select(by, "of", "a", every(held).alias("b"), "first", "n", F.lit(0).alias("side"), F.col("fixed").alias("data"))
+    right = packed.select(by, "of", every(block).alias("a"), "b", "first", "n", F.lit(1).alias("side"), F.col("permuted").alias("data"))
+    dealt = left.unionByName(right).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(last))))
     # a number of tasks of its own: a row makes a thousand permutations, so bytes don't tell how to split the work
-    dealt = dealt.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, min(rows.count() * (last + 1) >> 20, 10_000)), by, "a", "b", "c")
+    n_tasks = packed.groupBy(by).agg(((F.max("a") + 1) * (F.max("b") + 1) * (last + 1)).alias("n")).agg(F.sum("n")).first()[0] or 1  # one row
+    dealt = dealt.repartition(min(2 * n_tasks, 10_000), by, "a", "b", "c")
     cross = dealt.groupBy(by, "a", "b", "c").applyInPandas(across, f"{by} {kind}, c int, rep int, cross array<double>")
 
     def deviances(keys: tuple, part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -290,13 +333,14 @@ def smooth_perm_test(
             return pd.DataFrame({by: [], "n": [], "rep": [], "deviance": []}, dtype=object)
         size = 1 + len(terms) * wide
         sums = np.asarray(known["sums"].iloc[0])
-        xx, xy, yy, n = sums[: size * size].reshape(size, size).copy(), sums[size * size : -2].copy(), sums[-2], int(sums[-1])
-        penalty, out = roughness(len(terms), pieces), []
-        for rep, own in part.groupby("rep"):
-            cross = np.sum(np.stack(own["cross"]), axis=0).reshape(nf + 1, size - nf)
-            xx[:nf, nf:], xx[nf:, :nf], xy[nf:] = cross[:nf], cross[:nf].T, cross[nf]
-            out.append((keys[0], n, rep, penalised(xx, xy, yy, n, penalty)[1]))
-        return pd.DataFrame(out, columns=[by, "n", "rep", "deviance"])
+        rep, at = np.unique(part["rep"].to_numpy(), return_inverse=True)
+        cross = np.zeros((len(rep), nf + 1, nz))
+        np.add.at(cross, at, np.stack(part["cross"]).reshape(-1, nf + 1, nz))
+        xx = np.tile(sums[: size * size].reshape(size, size), (len(rep), 1, 1))
+        xy = np.tile(sums[size * size : -2], (len(rep), 1))
+        xx[:, :nf, nf:], xx[:, nf:, :nf], xy[:, nf:] = cross[:, :nf], cross[:, :nf].transpose(0, 2, 1), cross[:, nf]
+        rss = penalised_many(xx, xy, np.full(len(rep), sums[-2]), np.full(len(rep), int(sums[-1])), roughness(len(terms), pieces))[1]
+        return pd.DataFrame({by: [keys[0]] * len(rep), "n": int(sums[-1]), "rep": rep, "deviance": rss})
 
     known = gram.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(last))))
     fits = keep(cross.groupBy(by, "c").cogroup(known.groupBy(by, "c")).applyInPandas(deviances, f"{by} {kind}, n long, rep int, deviance double"))
