@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import groupby, islice
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -30,12 +31,12 @@ def spline(x: np.ndarray, low: np.ndarray | float, high: np.ndarray | float, pie
 
 def spline_at(u: np.ndarray, pieces: int) -> np.ndarray:
     """Values of the splines at places 0 .. ``pieces`` of their range."""
-    j = np.minimum(np.floor(u).astype(int), pieces - 1)
+    j = np.minimum(u.astype(np.int64), pieces - 1)
     t = u - j
-    out = np.zeros((len(u), pieces + 3))
-    at = np.arange(len(u))
-    for k, w in enumerate(((1 - t) ** 3, 3 * t**3 - 6 * t**2 + 4, -3 * t**3 + 3 * t**2 + 3 * t + 1, t**3)):
-        out[at, j + k] = w / 6
+    rest, square = 1 - t, t * t
+    out, at = np.zeros((len(u), pieces + 3)), np.arange(len(u)) * (pieces + 3) + j
+    for k, w in enumerate((rest * rest * rest, (3 * t - 6) * square + 4, ((3 - 3 * t) * t + 3) * t + 1, square * t)):
+        out.ravel()[at + k] = w / 6
     return out
 
 
@@ -216,29 +217,31 @@ def split_rows(df: DataFrame, by: str, key: str, seed: int, share: float = 0.25)
 def shuffled(i: np.ndarray, n: int, seed: int, rep: int) -> np.ndarray:
     """Where replicate ``rep`` sends each place of 0 .. n - 1: a permutation that any task can tell for its own places.
 
-    Six rounds over the halves of the number, each adding a hash of the other half; places beyond ``n`` go round again.
+    A place is a row and a column of a square of about ``n`` places; six rounds turn one of them by a hash of the other.
+    Places beyond ``n`` go round again.
     Replicate 0 leaves all where they are.
     """
     if rep == 0:
         return i.astype(np.int64)
-    bits = max(1, ((max(n - 1, 1)).bit_length() + 1) // 2)
-    mask, shift = np.uint64((1 << bits) - 1), np.uint64(bits)
+    n_left = isqrt(max(n - 1, 0)) + 1
+    n_right = -(-n // n_left)
     keys = np.random.SeedSequence([seed, rep]).generate_state(6, np.uint64)
 
     def turned(at: np.ndarray) -> np.ndarray:
-        left, right = at >> shift, at & mask
+        sizes = np.uint64(n_left), np.uint64(n_right)
+        left, right = np.divmod(at, sizes[1])
         for k in keys:
             x = right + k
             x *= np.uint64(0x9E3779B97F4A7C15)
             x ^= x >> np.uint64(32)
             x *= np.uint64(0xD6E8FEB86659FD93)
-            x ^= x >> np.uint64(29)
-            x &= mask
-            x ^= left
-            left, right = right, x
-        left <<= shift
-        left |= right
-        return left
+            x >>= np.uint64(32)
+            x *= sizes[0]
+            x >>= np.uint64(32)
+            x += left
+            np.minimum(x, x - sizes[0], out=x)  # a difference below zero is a huge number
+            left, right, sizes = right, x, sizes[::-1]
+        return left * sizes[1] + right
 
     out = turned(i.astype(np.uint64))
     open_ = np.flatnonzero(out >= np.uint64(n))
@@ -283,8 +286,7 @@ def smooth_perm_test(
     places of rows are permuted by a rule, so nothing is sorted or joined for a replicate. Up to ``held`` rows in a group
     each row is permuted once a replicate; beyond, once for every ``held`` rows. Rows with a null take no part.
 
-    Rows reach these tasks as the bytes of some ``strip`` of them (``strips``): a task has 8 bytes for a row's term, and
-    the splines of the permuted ones.
+    Rows reach these tasks as the bytes of some ``strip`` of them (``strips``): a task has 8 bytes for a row's term.
     """
     kind, terms = dict(df.dtypes)[by], [*fixed, *permuted]
     rows = df.select(by, key, *[F.col(c).cast("double").alias(c) for c in (y, *terms)]).na.drop()
@@ -300,10 +302,9 @@ def smooth_perm_test(
     def across(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
         _, _, b, c = keys
         n, first = int(part["of"].iloc[0]), int(b) * held
-        z = np.empty((min(held, n - first), nz))
+        z = np.empty((len(permuted), min(held, n - first)))  # places in their terms' ranges: splines would be nine times as large, and slower to reach
         for _, own in part[part["side"] == 1].iterrows():
-            for j, u in enumerate(np.frombuffer(own["data"]).reshape(-1, own["n"])):
-                z[own["first"] - first : own["first"] - first + own["n"], j * wide : j * wide + wide] = spline_at(u, pieces)
+            z[:, own["first"] - first : own["first"] - first + own["n"]] = np.frombuffer(own["data"]).reshape(-1, own["n"])
         every = range(int(c) * chunk, min(int(c) * chunk + chunk, reps + 1))
         sums = np.zeros((len(every), nf + 1, nz))
         for _, own in part[part["side"] == 0].iterrows():
@@ -312,11 +313,12 @@ def smooth_perm_test(
             places = np.arange(own["first"], own["first"] + own["n"])
             for at, rep in enumerate(every):
                 to = shuffled(places, n, seed, rep) - first
-                if len(z) < n:
-                    here = np.flatnonzero((to >= 0) & (to < len(z)))
-                    sums[at] += x[:, here] @ z[to[here]]
-                else:
-                    sums[at] += x @ z[to]
+                own_x = x
+                if z.shape[1] < n:
+                    here = np.flatnonzero((to >= 0) & (to < z.shape[1]))
+                    own_x, to = x[:, here], to[here]
+                for j, u in enumerate(z):
+                    sums[at, :, j * wide : j * wide + wide] += own_x @ spline_at(u[to], pieces)
         return pd.DataFrame({by: [keys[0]] * len(every), "c": c, "rep": every, "cross": list(sums.reshape(len(every), -1))})
 
     every = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("of") / size) - 1))

@@ -51,7 +51,7 @@ def smooth_perm_test(spark, sf):
     orders = X.read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("orders"), F.sum("o_totalprice").alias("spent"), F.avg(F.dayofyear("o_orderdate").cast("double")).alias("day"))
     rows = X.read(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").cast("double").alias("y"), F.when(F.col("c_custkey") % 2 == 1, "female").otherwise("male").alias("sex")).join(orders, "k")
     parted = smooth.split_rows(rows, "sex", "k", 314159).withColumn("test", F.concat_ws(":", "sex", "split"))
-    return rounded(smooth.smooth_perm_test(parted, "test", "k", "y", ["orders", "spent"], ["day"], 1000, 314159), "deviance", "p")
+    return rounded(smooth.smooth_perm_test(parted, "test", "k", "y", ["orders", "spent"], ["day"], 10_000, 314159), "deviance", "p")
 
 
 def burden_matrix(spark, sf):
