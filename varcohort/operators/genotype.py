@@ -358,7 +358,7 @@ def ld_r2(gt: DataFrame, v: DataFrame, window: int, key: str = "v", parts: int =
     that few cells are not dealt out to very many tasks. A task has two bins that may hold a pair and one block of samples, as matrices of dosages and of
     calls whose products are the sums of its pairs, ``strip`` variants at a time; where cells are few it meets pairs of
     cells instead. What moves are cells,
-    once for every bin that they may pair with, and a row a pair and block of samples, never a row for each pair and sample.
+    once for every bin that they may pair with, and a row a pair and block of samples where there are several, never a row for each pair and sample.
     """
     calls = gt.where("gt IS NOT NULL").select(key, "s", F.col("gt").cast("long").alias("gt"))
     n_cells = calls.count()
@@ -382,7 +382,8 @@ def ld_r2(gt: DataFrame, v: DataFrame, window: int, key: str = "v", parts: int =
         return found[0] if found else pd.DataFrame({c: [] for c in ("v1", "v2", *names)}, dtype=object)
 
     sums = dealt.groupBy("contig", "bin", "apart", "block").applyInPandas(products, f"v1 {kind}, v2 {kind}, " + ", ".join(f"{c} long" for c in names))
-    sums = sums.groupBy("v1", "v2").agg(*[F.sum(c).alias(c) for c in names])
+    if n_blocks > 1:  # a pair's calls lie in several tasks; else they meet in one, and pairs, which are many in a wide window, needn't move
+        sums = sums.groupBy("v1", "v2").agg(*[F.sum(c).alias(c) for c in names])
     n, x, y = F.col("n"), F.col("sx"), F.col("sy")
     dx, dy = n * F.col("sxx") - x * x, n * F.col("syy") - y * y
     cov = n * F.col("sxy") - x * y
