@@ -25,6 +25,26 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def keep_as_dealt(df: DataFrame) -> DataFrame:
+    """``df`` written with what is known of how its rows are dealt: sums and joins by the key of its last join or repartition move none of them.
+
+    An adaptive plan would not hand this on, so this one isn't.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return keep(df)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def keep_dealt(df: DataFrame, by: str, least: int = 0) -> DataFrame:
+    """``df`` dealt by ``by``, into ``least`` partitions at least, and written (``keep_as_dealt``)."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), least)
+    return keep_as_dealt(df.repartition(n, by))
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in the checkpoint folder."""
     return f"{checkpoints(spark)}/{name}-{uuid4().hex}"

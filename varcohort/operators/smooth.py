@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocked import scan
-from .shared import keep
+from .shared import keep, keep_as_dealt, keep_dealt
 
 GRID = tuple(10.0**e for e in range(-4, 6))
 
@@ -86,13 +86,13 @@ def design(rows: pd.DataFrame, terms: list[str], pieces: int) -> np.ndarray:
     return np.column_stack([np.ones(len(rows)), *parts])
 
 
-def with_ends(rows: DataFrame, by: str, terms: list[str]) -> DataFrame:
-    ends = rows.groupBy(by).agg(F.count(F.lit(1)).alias("__n"), *[f(t).alias(f"{t}_{end}") for t in terms for f, end in ((F.min, "low"), (F.max, "high"))])
-    return rows.join(ends, by)
+def ends(rows: DataFrame, by: str, terms: list[str]) -> DataFrame:
+    """Each group's number of rows, and the ends of its terms' ranges."""
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("__n"), *[f(t).alias(f"{t}_{end}") for t in terms for f, end in ((F.min, "low"), (F.max, "high"))])
 
 
 def place(term: str, pieces: int) -> Column:
-    """A value's place, 0 .. ``pieces``, in its term's range (``with_ends``)."""
+    """A value's place, 0 .. ``pieces``, in its term's range (``ends``)."""
     low, high = F.col(f"{term}_low"), F.col(f"{term}_high")
     width = F.when(high > low, high - low).otherwise(1.0)
     return F.greatest(F.least((F.col(term) - low) / width * pieces, F.lit(float(pieces))), F.lit(0.0))
@@ -108,13 +108,14 @@ def totals(rows: Iterable[tuple[object, np.ndarray]], by: str, size: int = 256)
 def smooth_fit(rows: DataFrame, by: str, key: str, y: str, terms: list[str], pieces: int = 8, block: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
     """(fits (by, n, beta, rss, strength, df), rows with ``fitted``): a penalised additive fit of ``y`` for each group.
 
-    Rows are dealt by group and hash blocks of ``key`` of about ``block`` each; a block hands on one matrix, and a group's
-    fit needs as many matrices as it has blocks. Batches hold the rows, or the fits, of many groups.
+    Rows lie by group or, where some group has more than ``block``, are dealt by hash blocks of ``key`` of about that many
+    too; a block hands on one matrix, and a group's fit needs as many matrices as it has blocks. Batches hold the rows, or the fits, of many groups.
     """
     kind, wide = dict(rows.dtypes)[by], pieces + 3
     size = 1 + len(terms) * wide
     upper = np.triu_indices(size + 1)  # the target is the last column, and the intercept's square the number of rows
-    placed = with_ends(rows, by, terms).withColumns({f"__u{i}": place(t, pieces) for i, t in enumerate(terms)})
+    known = keep(ends(rows, by, terms))  # a row a group
+    placed = rows.join(known.hint("merge"), by).withColumns({f"__u{i}": place(t, pieces) for i, t in enumerate(terms)})
     at = [f"__u{i}" for i in range(len(terms))]
 
     def squares(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, np.ndarray]]:
@@ -137,8 +138,11 @@ def smooth_fit(rows: DataFrame, by: str, key: str, y: str, terms: list[str], pie
             beta, rss, strength, df = penalised_many(xx[:, :-1, :-1], xx[:, :-1, -1], xx[:, -1, -1], n, roughness(len(terms), pieces))
             yield pd.DataFrame({by: keys, "n": n, "beta": list(beta), "rss": rss, "strength": strength, "df": df})
 
-    blocks = placed.select(by, y, *at, F.pmod(F.xxhash64(key), F.ceil(F.col("__n") / block)).alias("__block"))
-    blocks = blocks.repartition(by, "__block").sortWithinPartitions(by).drop("__block")
+    if (known.agg(F.max("__n")).first()[0] or 0) <= block:  # the join by group has brought a group's rows together
+        blocks = placed.select(by, y, *at).sortWithinPartitions(by)
+    else:
+        blocks = placed.select(by, y, *at, F.pmod(F.xxhash64(key), F.ceil(F.col("__n") / block)).alias("__block"))
+        blocks = blocks.repartition(by, "__block").sortWithinPartitions(by).drop("__block")
     parts = blocks.mapInPandas(sums, f"{by} {kind}, sums array<double>").repartition(by).sortWithinPartitions(by)
     fits = keep(parts.mapInPandas(solve, f"{by} {kind}, n long, beta array<double>, rss double, strength double, df double"))
 
@@ -149,7 +153,7 @@ def smooth_fit(rows: DataFrame, by: str, key: str, y: str, terms: list[str], pie
         weights = ((1 - t) * (1 - t) * (1 - t), 3 * t * t * t - 6 * t * t + 4, -3 * t * t * t + 3 * t * t + 3 * t + 1, t * t * t)
         return sum((w / 6 * F.get("beta", (j + (1 + i * wide + k)).cast("int")) for k, w in enumerate(weights)), F.lit(0.0))
 
-    out = placed.join(fits.select(by, "beta"), by).withColumn("fitted", sum((curve(i) for i in range(len(terms))), F.get("beta", F.lit(0))))
+    out = placed.join(fits.select(by, "beta").hint("merge"), by).withColumn("fitted", sum((curve(i) for i in range(len(terms))), F.get("beta", F.lit(0))))
     return fits, out.select(*rows.columns, "fitted")
 
 
@@ -177,7 +181,7 @@ def components(rows: DataFrame, by: str, columns: list[str], **also: Column) ->
 
     turned = keep(facts.select(by, "__mean", rotate("__sd", "__corr").alias("__turn"), *also))  # a row a group
     score = lambda i: sum(((F.col(c) - F.col("__mean")[j]) * F.col("__turn")[i * m + j] for j, c in enumerate(columns)), F.lit(0.0))
-    return rows.join(turned, by).select(*rows.columns, *also, *[score(i).alias(f"pc{i + 1}") for i in range(m)])
+    return rows.join(turned.hint("merge"), by).select(*rows.columns, *also, *[score(i).alias(f"pc{i + 1}") for i in range(m)])
 
 
 def depth_anomaly(trace: DataFrame, affinity: DataFrame, gc: DataFrame, columns: list[str], sample: str = "s", key: str = "v", pieces: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -189,15 +193,15 @@ def depth_anomaly(trace: DataFrame, affinity: DataFrame, gc: DataFrame, columns:
     """
     loci = affinity.where("affinity > 0").select(key, "affinity").join(gc.select(key, *columns), key).na.drop(subset=columns)
     rows = trace.where("dp > 0").join(loci, key)
-    rows = keep(rows.repartition(sample, F.pmod(F.xxhash64(key), F.lit(16))))  # a sample's rows meet, so that what is summed over them is few rows
+    rows = keep_dealt(rows, sample, trace.count() >> 18)  # a sample's rows meet here, once
     rows = components(rows, sample, columns, __depth=F.avg("dp"))
     terms = ["log_a", *[f"pc{i + 1}" for i in range(len(columns))]]
-    # not written: the columns derived here are wider than those they come from, and joins by sample share one exchange
+    # not written: the columns derived here are wider than those they come from
     rows = rows.withColumn("log_a", F.log("affinity")).withColumn("__y", F.log("dp") - F.log("__depth") - F.col("log_a")).drop("affinity", *columns)
     fits, out = smooth_fit(rows, sample, key, "__y", terms, pieces)
-    out = keep(out.select(*trace.columns, F.exp(F.log("__depth") + F.col("log_a") + F.col("fitted")).alias("__raw")))
+    out = keep_as_dealt(out.select(*trace.columns, F.exp(F.log("__depth") + F.col("log_a") + F.col("fitted")).alias("__raw")))
     bias = out.groupBy(sample).agg(F.avg(F.col("dp") / F.col("__raw")).alias("__bias"))
-    return fits, out.join(bias, sample).select(*trace.columns, (F.col("__raw") * F.col("__bias")).alias("lambda"))
+    return fits, out.join(bias.hint("merge"), sample).select(*trace.columns, (F.col("__raw") * F.col("__bias")).alias("lambda"))
 
 
 def numbered(df: DataFrame, by: str, key: str, seed: int, name: str = "i") -> DataFrame:
@@ -259,7 +263,7 @@ def strips(rows: DataFrame, by: str, y: str, fixed: list[str], permuted: list[st
     """
     kind, terms = dict(rows.dtypes)[by], [*fixed, *permuted]
     at = [f"__u{j}" for j in range(len(terms))]
-    placed = with_ends(rows, by, terms).select(by, "i", y, F.col("__n").alias("of"), *[place(t, pieces).alias(u) for t, u in zip(terms, at)])
+    placed = rows.join(ends(rows, by, terms), by).select(by, "i", y, F.col("__n").alias("of"), *[place(t, pieces).alias(u) for t, u in zip(terms, at)])
     keys = [F.floor(F.col("i") / size).alias(c) for size, c in ((block, "a"), (held, "b"), (strip, "strip"))]
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
